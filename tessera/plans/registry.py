@@ -51,3 +51,263 @@ SELECT qid, id, score, CAST(rnk AS INTEGER) AS rank FROM (
 def knn_exact_top10(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return search.knn_exact(v.select(F.col("id").alias("qid"), "vector"), v, 10)
+
+
+# ------------------------------------------------------------------ DuckDB helpers
+# the strip class of Python's str.strip() written for RE2
+_W = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def d_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_W}+|{_W}+\\z', '', 'g')"
+
+
+def d_flatten(x: str) -> str:
+    return d_strip(f"translate({x}, chr(10)||chr(9), '  ')")
+
+
+def d_clean(x: str) -> str:
+    collapsed = f"regexp_replace({x}, '{_W}+', ' ', 'g')"
+    kept = f"regexp_replace({collapsed}, '[^一-龥a-zA-Z0-9 ，。！？；：、\"（）【】《》]', '', 'g')"
+    return d_strip(kept)
+
+
+def d_pieces(arr: str) -> str:
+    return f"list_filter(list_transform({arr}, lambda x: {d_strip('x')}), lambda x: x <> '')"
+
+
+def d_tokens(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({x}), '[^\\pL\\pN]+'), lambda x: x <> '')"
+
+
+def d_chunks(source_sql: str, key: str, text: str, cs: int = 512, mn: int = 10, mx: int = 512) -> str:
+    """Chunk rows via a recursive CTE carrying (item index, current chunk) per document.
+    ``source_sql`` yields columns ``{key}`` and ``{text}`` (already cleaned)."""
+    sent = d_pieces("regexp_split_to_array(p, '[。！？\\n]')")
+    return f"""
+WITH RECURSIVE
+src AS ({source_sql}),
+paras AS (SELECT {key} AS k, {d_pieces(f"string_split({text}, chr(10)||chr(10))")} AS ps FROM src),
+items0 AS (SELECT k, flatten(list_transform(ps, lambda p: CASE WHEN length(p) > {cs}
+           THEN list_concat([{{'s': '', 't': 1}}], list_transform({sent}, lambda x: {{'s': x, 't': 2}}))
+           ELSE [{{'s': p, 't': 0}}] END)) AS its FROM paras),
+items AS (SELECT k, unnest(range(1, len(its) + 1)) AS i, unnest(its) AS it FROM items0),
+rec(k, i, cur, emit) AS (
+  SELECT k, 0, '', NULL::VARCHAR FROM items0
+  UNION ALL
+  SELECT r.k, r.i + 1,
+    CASE WHEN m.it.t = 1 THEN ''
+         WHEN length(r.cur) + length(m.it.s) + 1 <= {cs}
+           THEN CASE WHEN r.cur = '' THEN m.it.s
+                     ELSE r.cur || CASE WHEN m.it.t = 0 THEN chr(10) ELSE ' ' END || m.it.s END
+         ELSE m.it.s END,
+    CASE WHEN (m.it.t = 1 OR length(r.cur) + length(m.it.s) + 1 > {cs})
+              AND r.cur <> '' AND length(r.cur) >= {mn} THEN substring(r.cur, 1, {mx}) END
+  FROM rec r JOIN items m ON m.k = r.k AND m.i = r.i + 1
+),
+lastpos AS (SELECT k, len(its) AS n FROM items0),
+emits AS (
+  SELECT k, i, emit AS text FROM rec WHERE emit IS NOT NULL
+  UNION ALL
+  SELECT r.k, r.i + 1, substring(r.cur, 1, {mx}) FROM rec r JOIN lastpos l ON r.k = l.k AND r.i = l.n
+  WHERE r.cur <> '' AND length(r.cur) >= {mn}
+)
+SELECT k, text, row_number() OVER (PARTITION BY k ORDER BY i) AS chunk_no FROM emits"""
+
+
+# ---------------------------------------------------------------- text functions
+
+@query("flatten_text", f"""
+SELECT doc_id, {d_flatten('text')} AS flat_text,
+       CAST(length({d_flatten('text')}) AS BIGINT) AS flat_chars,
+       CASE WHEN length({d_flatten('text')}) > 80 THEN substring({d_flatten('text')}, 1, 80) || '...'
+            ELSE {d_flatten('text')} END AS preview
+FROM documents""")
+def q_flatten_text(spark, sf_dir):
+    from ..functions import text as tx
+    d = read_table(spark, sf_dir, "documents")
+    flat = tx.flatten_text("text")
+    return d.select("doc_id", flat.alias("flat_text"), tx.char_length(flat).alias("flat_chars"),
+                    tx.preview(flat, 80).alias("preview"))
+
+
+@query("clean_text", f"SELECT doc_id, {d_clean('text')} AS cleaned FROM documents")
+def q_clean_text(spark, sf_dir):
+    from ..functions import text as tx
+    return read_table(spark, sf_dir, "documents").select("doc_id", tx.clean_text("text").alias("cleaned"))
+
+
+@query("split_counts", f"""
+SELECT doc_id,
+  CAST(len({d_pieces("string_split(text, chr(10)||chr(10))")}) AS INTEGER) AS paragraphs,
+  CAST(len({d_pieces("regexp_split_to_array(translate(text, '.!?', '。！？'), '[。！？\\n]')")}) AS INTEGER) AS sentences,
+  CAST(len({d_tokens('text')}) AS BIGINT) AS words,
+  CAST(length(text) AS BIGINT) AS chars
+FROM documents""")
+def q_split_counts(spark, sf_dir):
+    from ..functions import text as tx
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(tx.split_paragraphs("text")).alias("paragraphs"),
+                    F.size(tx.split_sentences(tx.sentence_marks_to_cjk(F.col("text")))).alias("sentences"),
+                    tx.token_count("text", "words").alias("words"),
+                    tx.token_count("text", "chars").alias("chars"))
+
+
+# ------------------------------------------------------------------------- corpus
+
+_CORPUS_SQL = f"""
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS IDTYPE) AS id, t AS text FROM (
+  SELECT doc_id, {d_flatten("coalesce(text, 'None')")} AS t FROM documents)
+WHERE length(t) BETWEEN 10 AND 512"""
+
+
+@query("convert_parquet_corpus", _CORPUS_SQL.replace("IDTYPE", "VARCHAR"))
+def q_convert_parquet_corpus(spark, sf_dir):
+    """S4 -> P1 -> F1 -> O1 -> K1 (TSV written to the checkpoint folder) -> S1 read back."""
+    from ..session import scratch_path
+    from ..sinks.corpus import write_collection
+    from ..sources import corpus
+    accepted = corpus.read_parquet_text(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    path = write_collection(accepted, scratch_path(spark, "collection"), "doc_id")
+    return corpus.read_collection(spark, path)
+
+
+@query("convert_json_corpus", _CORPUS_SQL.replace("IDTYPE", "BIGINT"))
+def q_convert_json_corpus(spark, sf_dir):
+    """JSON lines written from the table, read back by S3, numbered in line order (O1)."""
+    from ..operators.ordinals import dense_id
+    from ..session import scratch_path
+    from ..sources import corpus
+    path = scratch_path(spark, "jsonl")
+    (read_table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+     .select(F.to_json(F.struct("text")).alias("value")).write.text(path))
+    texts = corpus.read_json_text(corpus.read_lines(spark, path))
+    return dense_id(texts, corpus.LINE_ORDER, name="id").select("id", "text")
+
+
+@query("corpus_head_100", f"""
+SELECT doc_id, t AS text FROM (SELECT doc_id, {d_flatten('text')} AS t FROM documents)
+WHERE length(t) BETWEEN 10 AND 512 ORDER BY doc_id LIMIT 100""")
+def q_corpus_head(spark, sf_dir):
+    """S5 (text under ``content`` only) + X2/X4: first 100 accepted rows."""
+    from ..operators.sample import load_head
+    from ..sources import corpus
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return load_head(corpus.read_text_with_fallback(d, "text"), 100, "doc_id").select("doc_id", "text")
+
+
+def _collection(spark, sf_dir):
+    from ..sources import corpus
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return corpus.read_parquet_text(d)
+
+
+@query("sample_documents", f"""
+SELECT id, text FROM (SELECT CAST(doc_id AS VARCHAR) AS id, {d_flatten('text')} AS text FROM documents)
+WHERE length(text) BETWEEN 10 AND 512 ORDER BY md5(id || ':42'), id LIMIT 100""")
+def q_sample_documents(spark, sf_dir):
+    from ..operators.sample import sample_documents
+    return sample_documents(_collection(spark, sf_dir), 100, seed=42)
+
+
+def _raw_lines(spark, sf_dir):
+    """The table written as a raw TSV keyed by ``source``: embedded newlines make extra lines."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split(F.concat_ws("\t", "source", "text"), "\n"))
+                    .alias("pos", "value"))
+
+
+_RAW_LINES_SQL = """SELECT doc_id, unnest(range(0, len(string_split(source || chr(9) || text, chr(10))))) AS pos,
+  unnest(string_split(source || chr(9) || text, chr(10))) AS value FROM documents"""
+
+
+def _d_classify(v: str) -> str:
+    s = d_strip(v)
+    return (f"CASE WHEN {s} = '' THEN 'blank' WHEN len(string_split({s}, chr(9))) <> 2 THEN 'malformed' "
+            f"ELSE 'valid' END")
+
+
+@query("validate_collection", f"""
+WITH l AS ({_RAW_LINES_SQL}),
+c AS (SELECT {_d_classify('value')} AS kind, string_split({d_strip('value')}, chr(9)) AS p FROM l)
+SELECT count(*) AS total_lines, count_if(kind = 'valid') AS valid_lines, count_if(kind = 'blank') AS empty_lines,
+  count_if(kind = 'malformed') AS malformed_lines,
+  count(DISTINCT CASE WHEN kind = 'valid' THEN p[1] END) AS unique_ids,
+  round(avg(CASE WHEN kind = 'valid' THEN length(p[2]) END), 6) AS avg_length,
+  CAST(min(CASE WHEN kind = 'valid' THEN length(p[2]) END) AS BIGINT) AS min_length,
+  CAST(max(CASE WHEN kind = 'valid' THEN length(p[2]) END) AS BIGINT) AS max_length,
+  count_if(kind = 'valid' AND octet_length(encode(p[1])) > 64) AS ids_over_64_bytes,
+  count_if(kind = 'valid') - count(DISTINCT CASE WHEN kind = 'valid' THEN p[1] END) AS duplicate_ids,
+  count_if(kind = 'malformed') = 0 AND count_if(kind = 'valid') > 0 AS passed
+FROM c""")
+def q_validate_collection(spark, sf_dir):
+    from ..operators.validate import validate_collection
+    return validate_collection(_raw_lines(spark, sf_dir))
+
+
+@query("duplicate_ids", f"""
+WITH l AS ({_RAW_LINES_SQL}),
+c AS (SELECT doc_id, pos, {_d_classify('value')} AS kind, string_split({d_strip('value')}, chr(9))[1] AS id FROM l)
+SELECT id, doc_id, pos, occurrence FROM (
+  SELECT id, doc_id, pos, row_number() OVER (PARTITION BY id ORDER BY doc_id, pos) AS occurrence
+  FROM c WHERE kind = 'valid') WHERE occurrence > 1""")
+def q_duplicate_ids(spark, sf_dir):
+    from ..operators.validate import duplicate_id_lines
+    dup = duplicate_id_lines(_raw_lines(spark, sf_dir), ["doc_id", "pos"])
+    return dup.select("id", "doc_id", "pos", F.col("occurrence").cast("bigint").alias("occurrence"))
+
+
+@query("first_malformed_lines", f"""
+WITH l AS ({_RAW_LINES_SQL}),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS line_no FROM l)
+SELECT line_no, CASE WHEN length(value) > 60 THEN substring(value, 1, 60) || '...' ELSE value END AS preview
+FROM n WHERE {_d_classify('value')} = 'malformed' ORDER BY line_no LIMIT 5""")
+def q_first_malformed(spark, sf_dir):
+    from ..functions.text import preview
+    from ..operators.validate import first_errors, number_lines
+    numbered = number_lines(_raw_lines(spark, sf_dir), ["doc_id", "pos"])
+    return first_errors(numbered, ["line_no"], 5).select("line_no", preview("value", 60).alias("preview"))
+
+
+@query("head_preview", f"""
+SELECT id, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS preview FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS id, {d_flatten('text')} AS text, doc_id FROM documents)
+WHERE length(text) BETWEEN 10 AND 512 ORDER BY doc_id LIMIT 3""")
+def q_head_preview(spark, sf_dir):
+    from ..operators.validate import head_preview
+    c = _collection(spark, sf_dir).withColumn("__k", F.col("id").cast("bigint"))
+    return head_preview(c, ["__k"], 3, 80)
+
+
+# ----------------------------------------------------------------------- chunking
+
+_DOC_CHUNK_SRC = f"SELECT doc_id, {d_clean(chr(116) + 'ranslate(text, ' + repr('.!?') + ', ' + repr('。！？') + ')')} AS t FROM documents"
+
+
+@query("chunk_documents", f"""
+SELECT 'doc_' || k || '_chunk_' || chunk_no AS id, text, 'doc_' || k AS source_file,
+       CAST(chunk_no AS INTEGER) AS chunk_id
+FROM ({d_chunks(_DOC_CHUNK_SRC, 'doc_id', 't')})""")
+def q_chunk_documents(spark, sf_dir):
+    from ..operators.chunk import chunk_rows
+    d = read_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), "text")
+    return chunk_rows(d, latin_sentences=True)
+
+
+_CONV_SRC = f"""SELECT conv_id, {d_clean("translate(string_agg(text || chr(10) || chr(10), '' ORDER BY turn), '.!?', '。！？')")} AS t
+FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id"""
+
+
+@query("assemble_and_chunk_pages", f"""
+SELECT 'conv_' || k || '_chunk_' || chunk_no AS id, text, 'conv_' || k || '.pdf' AS source_file,
+       CAST(chunk_no AS INTEGER) AS chunk_id
+FROM ({d_chunks(_CONV_SRC, 'conv_id', 't')})""")
+def q_assemble_pages(spark, sf_dir):
+    """S7 over the conversation turns as pages, then P3/P7/P8."""
+    from ..operators.chunk import chunk_rows
+    from ..sources.pages import assemble_pages
+    c = read_table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("source_file"),
+        F.col("turn").alias("page_no"), F.col("text").alias("page_text"))
+    return chunk_rows(assemble_pages(c), latin_sentences=True)
