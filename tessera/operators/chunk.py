@@ -76,7 +76,7 @@ def prepare_text(text, clean: bool = True, latin_sentences: bool = False) -> Col
 def chunk_rows(df: DataFrame, *, text_col: str = "text", source_col: str = "source_file",
                stem_col: str | None = None, chunk_size: int = 512, min_length: int = 10,
                max_length: int = 512, clean: bool = True, latin_sentences: bool = False,
-               preserve_paragraphs: bool = False) -> DataFrame:
+               preserve_paragraphs: bool = False, keep: list[str] | None = None) -> DataFrame:
     """One row per chunk ``(id, text, source_file, chunk_id)``; ``chunk_id`` from 1,
     id ``"{stem}_chunk_{n}"``.  ``preserve_paragraphs`` cleans each paragraph separately so the
     blank-line split survives cleaning (quirk Q2); default is the reference behaviour.
@@ -89,7 +89,8 @@ def chunk_rows(df: DataFrame, *, text_col: str = "text", source_col: str = "sour
     else:
         prepared = prepare_text(t, clean, latin_sentences)
     chunks = chunk_text(prepared, chunk_size, min_length, max_length)
-    return (df.select(F.col(source_col).alias("source_file"), stem.alias("__stem"),
+    keep = list(keep or [])
+    return (df.select(F.col(source_col).alias("source_file"), stem.alias("__stem"), *keep,
                       F.posexplode(chunks).alias("__pos", "text"))
             .select(F.concat(F.col("__stem"), F.lit("_chunk_"), (F.col("__pos") + 1).cast("string")).alias("id"),
-                    "text", "source_file", (F.col("__pos") + 1).cast("int").alias("chunk_id")))
+                    "text", "source_file", (F.col("__pos") + 1).cast("int").alias("chunk_id"), *keep))

@@ -311,3 +311,224 @@ def q_assemble_pages(spark, sf_dir):
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("source_file"),
         F.col("turn").alias("page_no"), F.col("text").alias("page_text"))
     return chunk_rows(assemble_pages(c), latin_sentences=True)
+
+
+# ----------------------------------------------------------------------- expansion
+
+@query("expand_chunks_fuzzy", f"""
+WITH ch AS (SELECT k AS doc_id, 'doc_' || k || '_chunk_' || chunk_no AS id, text, 'doc_' || k AS source_file,
+                   CAST(chunk_no AS INTEGER) AS chunk_id FROM ({d_chunks(_DOC_CHUNK_SRC, 'doc_id', 't')})),
+n AS (SELECT count(*) AS n, CAST(ceil(100000.0 / count(*)) AS BIGINT) AS f FROM ch),
+o AS (SELECT ch.*, row_number() OVER (ORDER BY doc_id, chunk_id) AS rn FROM ch),
+copies AS (
+  SELECT o.*, unnest(range(0, n.f - 1)) AS rep FROM o, n
+  UNION ALL
+  SELECT o.*, n.f - 1 AS rep FROM o, n WHERE o.rn <= 100000 - n.n * (n.f - 1))
+SELECT id || '_fuzzy_' || rep AS id, '[副本' || (rep + 1) || '] ' || text AS text, source_file, chunk_id,
+       CAST(rep AS INTEGER) AS repeat_id
+FROM copies""")
+def q_expand_chunks(spark, sf_dir):
+    """P7/P8 chunks expanded to the reference's 100,000 target with the fuzzy strategy."""
+    from ..operators.chunk import chunk_rows
+    from ..operators.expand import expand_documents
+    d = read_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), "text", "doc_id")
+    ch = chunk_rows(d, latin_sentences=True, keep=["doc_id"])
+    return (expand_documents(ch, 100_000, ["doc_id", "chunk_id"], strategy="fuzzy")
+            .select("id", "text", "source_file", "chunk_id", "repeat_id"))
+
+
+# ---------------------------------------------------------------------- vector store
+
+def _store_with_overwrite(spark, sf_dir):
+    """K2 create, K3 write all, K3 overwrite the upper half with negated vectors."""
+    from ..session import scratch_path
+    from ..sinks.store import create_store, write_batch
+    from ..sources.store import read_store
+    root = scratch_path(spark, "store")
+    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"),
+                                                       F.col("embedding").alias("vector"), "vec_id")
+    create_store(spark, root, total_vectors=None, vector_dim=64, metadata={"model_name": "given-embeddings"})
+    write_batch(spark, root, v, start_idx=0, order_by="vec_id")
+    stored = read_store(spark, root)
+    half = stored.count() // 2
+    upper = stored.filter(F.col("pos") >= half).select(
+        "id", "pos", F.transform("vector", lambda x: -x).alias("vector"))
+    write_batch(spark, root, upper, start_idx=half, order_by="pos")
+    return root, half
+
+
+_STORE_SQL = """
+WITH s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, CAST(vec_id AS VARCHAR) AS id, embedding
+           FROM embeddings), h AS (SELECT count(*) // 2 AS h FROM embeddings)
+SELECT pos, id, CAST(len(embedding) AS INTEGER) AS dims,
+  CASE WHEN pos >= h.h THEN -round(list_sum(embedding::DOUBLE[]), 6) ELSE round(list_sum(embedding::DOUBLE[]), 6) END
+  AS vector_sum
+FROM s, h"""
+
+
+@query("vector_store_roundtrip", _STORE_SQL)
+def q_vector_store_roundtrip(spark, sf_dir):
+    from ..sources.store import read_ids, read_vectors
+    root, _ = _store_with_overwrite(spark, sf_dir)
+    vec = read_vectors(spark, root)
+    ids = read_ids(spark, root)
+    return vec.join(ids, "pos").select(
+        "pos", "id", F.size("vector").cast("int").alias("dims"),
+        F.round(F.aggregate("vector", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 6)
+        .alias("vector_sum"))
+
+
+@query("vector_store_slice", """
+WITH s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, CAST(vec_id AS VARCHAR) AS id FROM embeddings),
+n AS (SELECT count(*) AS n FROM embeddings)
+SELECT pos, id FROM s, n WHERE pos >= n.n // 4 AND pos < 3 * n.n // 4""")
+def q_vector_store_slice(spark, sf_dir):
+    """Ids of the position slice [N/4, 3N/4)."""
+    from ..sources.store import read_ids
+    root, half = _store_with_overwrite(spark, sf_dir)
+    n = half * 2 + (1 if read_ids(spark, root).count() % 2 else 0)
+    return read_ids(spark, root, n // 4, 3 * n // 4)
+
+
+@query("vector_store_info", """
+SELECT count(*) AS total_vectors, count(*) AS stored_vectors, CAST(max(len(embedding)) AS INTEGER) AS vector_dim,
+  'float32' AS dtype, 'given-embeddings' AS model_name, 2 AS version, true AS has_bytes,
+  round(count(*) * max(len(embedding)) * 4 / 1024.0 / 1024.0 * 0.7, 6) AS estimated_mb
+FROM embeddings""")
+def q_vector_store_info(spark, sf_dir):
+    """S11/S12 and the P16 estimate for the same shape."""
+    from ..sinks.store import estimate_store_size
+    from ..sources.store import store_info
+    root, _ = _store_with_overwrite(spark, sf_dir)
+    info = store_info(spark, root)
+    return info.select("total_vectors", "stored_vectors", "vector_dim", "dtype", "model_name", "version",
+                       (F.col("size_mb") > 0).alias("has_bytes"),
+                       F.round(estimate_store_size("stored_vectors", "vector_dim", "float32"), 6)
+                       .alias("estimated_mb"))
+
+
+# ------------------------------------------------------------------------ embedding
+
+def d_cells(source_sql: str, key: str, text: str, dim: int = 64) -> str:
+    return f"""
+WITH src AS ({source_sql}),
+t AS (SELECT {key} AS k, unnest({d_tokens(text)}) AS tok FROM src),
+c AS (SELECT k, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS INTEGER) AS bucket,
+             CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER < 8 THEN 1 ELSE -1 END AS s FROM t),
+w AS (SELECT k, bucket, sum(s) AS w FROM c GROUP BY k, bucket HAVING sum(s) <> 0)
+SELECT k, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS value FROM w"""
+
+
+@query("hash_embed_cells", f"""
+SELECT k AS doc_id, bucket, round(value, 6) AS value
+FROM ({d_cells('SELECT doc_id, text FROM documents', 'doc_id', 'text')})""")
+def q_hash_embed_cells(spark, sf_dir):
+    from ..operators.embed import hash_embed_cells
+    d = read_table(spark, sf_dir, "documents")
+    cells = hash_embed_cells(d, 64, id_col="doc_id")
+    return cells.select("doc_id", "bucket", F.round("value", 6).alias("value"))
+
+
+def _vec_summary(vec):
+    return [F.size(F.filter(vec, lambda x: x != 0)).cast("bigint").alias("nonzero"),
+            F.round(F.sqrt(F.aggregate(vec, F.lit(0.0).cast("double"),
+                                       lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm")]
+
+
+_EMBED_SQL = """
+WITH cells AS ({cells})
+SELECT d.doc_id, CAST(count(c.bucket) AS BIGINT) AS nonzero, round(coalesce(sqrt(sum(c.value * c.value)), 0), 4) AS norm
+  {extra}
+FROM documents d LEFT JOIN cells c ON c.k = d.doc_id GROUP BY d.doc_id {group}"""
+
+
+@query("embed_documents", _EMBED_SQL.format(
+    cells=d_cells("SELECT doc_id, text FROM documents", "doc_id", "text"), extra="", group=""))
+def q_embed_documents(spark, sf_dir):
+    """The built-in hash embedder run through mapInPandas over Arrow batches."""
+    from ..operators.embed import embed, hash_embedder_factory
+    d = read_table(spark, sf_dir, "documents")
+    v = embed(d, hash_embedder_factory(64), id_col="doc_id", dim=64)
+    return v.select("doc_id", *_vec_summary(F.col("vector")))
+
+
+_TEMPLATE = "Represent this sentence for searching relevant passages: {text}"
+_TPL_HEAD = _TEMPLATE.split("{text}")[0]
+
+
+@query("embed_with_instruction", _EMBED_SQL.format(
+    cells=d_cells(f"SELECT doc_id, '{_TPL_HEAD}' || text AS text FROM documents", "doc_id", "text"),
+    extra=f", CAST(length('{_TPL_HEAD}' || any_value(d.text)) AS BIGINT) AS wrapped_chars", group=""))
+def q_embed_with_instruction(spark, sf_dir):
+    """P9 wrapping, then E1."""
+    from ..functions.text import wrap_instruction
+    from ..operators.embed import embed_with_instruction, hash_embedder_factory
+    d = read_table(spark, sf_dir, "documents").withColumn(
+        "wrapped_chars", F.length(wrap_instruction("text", _TEMPLATE)).cast("bigint"))
+    v = embed_with_instruction(d, hash_embedder_factory(64), _TEMPLATE, id_col="doc_id", dim=64,
+                               keep=["wrapped_chars"])
+    return v.select("doc_id", *_vec_summary(F.col("vector")), "wrapped_chars")
+
+
+@query("generate_and_store")
+def q_generate_and_store(spark, sf_dir):
+    """S4 -> X3 (100,000 of them, i.e. all at test scale) -> E1 -> K2/K3; run statistics."""
+    from ..operators.embed import generate_and_store, hash_embedder_factory
+    from ..operators.sample import sample_documents
+    from ..session import scratch_path
+    coll = _collection(spark, sf_dir)
+    sampled = sample_documents(coll, 100_000, seed=42).withColumn("__k", F.col("id").cast("bigint"))
+    return generate_and_store(sampled, hash_embedder_factory(64), scratch_path(spark, "e4store"),
+                              order_by="__k", dim=64)
+
+
+# ----------------------------------------------------------------------------- bulk
+
+_BULK_DOC_SCHEMA = "text string, vector array<double>, source_file string, lang string"
+
+
+def _bulk_roundtrip(spark, sf_dir):
+    from ..operators.embed import embed, hash_embedder_factory
+    from ..session import scratch_path
+    from ..sinks.bulk import attach_vectors, write_bulk_ndjson
+    from ..sources.bulk import read_bulk_ndjson
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("source_file"), "lang",
+        F.col("doc_id").alias("__k"))
+    vecs = embed(docs, hash_embedder_factory(64), dim=64).select("id", "vector")
+    joined = attach_vectors(docs, vecs, on="id", on_missing="error")
+    path = write_bulk_ndjson(joined, scratch_path(spark, "bulk"), "pdf_vectors", order_by="__k")
+    return read_bulk_ndjson(spark, path, _BULK_DOC_SCHEMA)
+
+
+@query("bulk_export_roundtrip", f"""
+WITH cells AS ({d_cells("SELECT doc_id, text FROM documents", "doc_id", "text")})
+SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS pos, 'pdf_vectors' AS _index, CAST(d.doc_id AS VARCHAR) AS _id,
+  any_value(d.text) AS text, any_value(d.source) AS source_file, any_value(d.lang) AS lang,
+  CAST(64 AS INTEGER) AS dims, CAST(count(c.bucket) AS BIGINT) AS nonzero
+FROM documents d LEFT JOIN cells c ON c.k = d.doc_id GROUP BY d.doc_id""")
+def q_bulk_export_roundtrip(spark, sf_dir):
+    """J1 -> K5 -> S13: documents with hash vectors through a bulk file and back."""
+    b = _bulk_roundtrip(spark, sf_dir)
+    return b.select("pos", "_index", "_id", F.col("doc.text").alias("text"),
+                    F.col("doc.source_file").alias("source_file"), F.col("doc.lang").alias("lang"),
+                    F.size("doc.vector").cast("int").alias("dims"),
+                    F.size(F.filter("doc.vector", lambda x: x != 0)).cast("bigint").alias("nonzero"))
+
+
+@query("bulk_import_summary", f"""
+WITH cells AS ({d_cells("SELECT doc_id, text FROM documents", "doc_id", "text")}),
+nz AS (SELECT d.doc_id, count(c.bucket) AS nonzero FROM documents d LEFT JOIN cells c ON c.k = d.doc_id
+       GROUP BY d.doc_id),
+p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, nonzero FROM nz)
+SELECT CAST(pos // 500 AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS indexed,
+       CAST(count_if(nonzero = 0) AS BIGINT) AS errors
+FROM p GROUP BY ROLLUP (pos // 500)""")
+def q_bulk_import_summary(spark, sf_dir):
+    """K9 + O5: per 500-item request, items and rejected zero vectors (cosine needs a norm)."""
+    from ..sources.bulk import bulk_import_summary
+    b = _bulk_roundtrip(spark, sf_dir)
+    items = b.select("pos", F.when(F.size(F.filter("doc.vector", lambda x: x != 0)) == 0,
+                                   F.lit("zero_vector")).alias("error"))
+    return bulk_import_summary(items, 500)
