@@ -532,3 +532,273 @@ def q_bulk_import_summary(spark, sf_dir):
     items = b.select("pos", F.when(F.size(F.filter("doc.vector", lambda x: x != 0)) == 0,
                                    F.lit("zero_vector")).alias("error"))
     return bulk_import_summary(items, 500)
+
+
+# -------------------------------------------------------- metrics over a request log
+# ``events`` as a request log: model = event_type, batch size from props.k, latency = value ms,
+# a call over 350 ms counts as failed (timeout).
+
+def _requests(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.col("event_type").alias("model"), F.call_function("shiftleft", F.lit(16), k % 6).alias("batch_size"),
+                    (F.col("value") / 1000).alias("latency_s"), (F.col("value") <= 350).alias("ok"),
+                    "ts", "user_id", "event_id", k.alias("k"), "value", "props", "event_type")
+
+
+_REQ = ("SELECT event_type AS model, 16 << (CAST(json_extract(props, '$.k') AS INTEGER) % 6) AS batch_size, "
+        "value / 1000 AS latency_s, value <= 350 AS ok, ts, user_id, event_id, "
+        "CAST(json_extract(props, '$.k') AS INTEGER) AS k, value, props, event_type FROM events")
+
+
+def d_latency(src: str, keys: str) -> str:
+    x = "latency_s * 1000"
+    return f"""SELECT {keys}, count(*) AS samples, round(avg({x}), 6) AS mean_ms, round(stddev_pop({x}), 6) AS std_ms,
+  round(min({x}), 6) AS min_ms, round(max({x}), 6) AS max_ms,
+  round(quantile_cont({x}, 0.5), 6) AS p50_ms, round(quantile_cont({x}, 0.9), 6) AS p90_ms,
+  round(quantile_cont({x}, 0.95), 6) AS p95_ms, round(quantile_cont({x}, 0.99), 6) AS p99_ms
+FROM ({src}) WHERE ok GROUP BY {keys}"""
+
+
+_THR = f"""SELECT model, batch_size, count_if(ok) AS calls_ok, count_if(NOT ok) AS calls_failed,
+  round(avg(CASE WHEN ok THEN latency_s END), 6) AS avg_latency,
+  round(stddev_pop(CASE WHEN ok THEN latency_s END), 6) AS std_latency,
+  round(min(CASE WHEN ok THEN latency_s END), 6) AS min_latency,
+  round(max(CASE WHEN ok THEN latency_s END), 6) AS max_latency,
+  round(batch_size / avg(CASE WHEN ok THEN latency_s END), 6) AS throughput
+FROM ({_REQ}) GROUP BY model, batch_size"""
+
+_OPT = f"""SELECT model, first(batch_size ORDER BY throughput DESC, batch_size) AS optimal_batch_size,
+  max(throughput) AS optimal_throughput FROM ({_THR}) WHERE throughput IS NOT NULL GROUP BY model"""
+
+
+@query("latency_summary", d_latency(_REQ, "model"))
+def q_latency_summary(spark, sf_dir):
+    from ..operators.metrics import latency_summary
+    return latency_summary(_requests(spark, sf_dir), ["model"])
+
+
+@query("throughput_summary", _THR)
+def q_throughput_summary(spark, sf_dir):
+    from ..operators.metrics import throughput_summary
+    return throughput_summary(_requests(spark, sf_dir))
+
+
+@query("tune_batch_size", f"""
+WITH thr AS ({_THR}),
+l AS (SELECT *, lag(throughput) OVER (PARTITION BY model ORDER BY batch_size) AS prev FROM thr
+      WHERE batch_size BETWEEN 16 AND 1000),
+f AS (SELECT *, max(CASE WHEN calls_ok = 0 OR (prev IS NOT NULL AND prev > 0 AND throughput < prev * 0.9)
+                    THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY batch_size
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM l),
+b AS (SELECT model, first(batch_size ORDER BY throughput DESC, batch_size) AS bs, max(throughput) AS t
+      FROM f WHERE stop = 0 GROUP BY model)
+SELECT m.model, coalesce(b.bs, 16) AS optimal_batch_size, coalesce(b.t, 0.0) AS optimal_throughput
+FROM (SELECT DISTINCT model FROM thr) m LEFT JOIN b ON b.model = m.model""")
+def q_tune_batch_size(spark, sf_dir):
+    """O3 on the doubling ladder from 16 (max 2048, at most 1,000 probe texts)."""
+    from ..operators.metrics import throughput_summary, tune_batch_size
+    return tune_batch_size(throughput_summary(_requests(spark, sf_dir)), start_size=16, max_size=2048,
+                           n_texts=1000)
+
+
+@query("pick_optimal", _OPT)
+def q_pick_optimal(spark, sf_dir):
+    from ..operators.metrics import pick_optimal, throughput_summary
+    return pick_optimal(throughput_summary(_requests(spark, sf_dir)))
+
+
+# results document: A3 + A4 + O4 + device peak (A6) + generation totals per model
+_GEN = f"""SELECT model, count(*) AS total_vectors, sum(CASE WHEN ok THEN latency_s END) AS generation_seconds,
+  count(*) / sum(CASE WHEN ok THEN latency_s END) AS gthr FROM ({_REQ}) GROUP BY model"""
+_MODELS = f"""SELECT g.model, row_number() OVER (ORDER BY g.model) - 1 AS ordinal, g.total_vectors, g.generation_seconds,
+  g.gthr, l.p99_ms, o.optimal_batch_size, o.optimal_throughput, p.peak_mb
+FROM ({_GEN}) g LEFT JOIN ({d_latency(_REQ, "model")}) l ON l.model = g.model
+LEFT JOIN ({_OPT}) o ON o.model = g.model
+LEFT JOIN (SELECT event_type AS model, max(value) AS peak_mb FROM events GROUP BY event_type) p ON p.model = g.model"""
+
+
+def _results_models(spark, sf_dir):
+    """K7 write + S14 read of the results document built from the request log."""
+    from ..operators.metrics import latency_summary, pick_optimal, throughput_summary
+    from ..operators.report import model_results, read_results, write_results
+    from ..operators.telemetry import peak_memory
+    from ..session import scratch_path
+    r = _requests(spark, sf_dir)
+    thr = throughput_summary(r)
+    gen = r.groupBy("model").agg(F.count(F.lit(1)).alias("total_vectors"),
+                                 F.sum(F.when(F.col("ok"), F.col("latency_s"))).alias("generation_seconds"))
+    peaks = peak_memory(r.select(F.col("model").alias("gpu_id"), F.col("value").alias("memory_used_mb"))) \
+        .withColumnRenamed("gpu_id", "model")
+    models = model_results(latency_summary(r, ["model"]), thr, pick_optimal(thr), peaks, gen, vector_dim=64)
+    path = write_results(models, scratch_path(spark, "results"))
+    return read_results(spark, path)
+
+
+@query("run_summary", f"""
+SELECT model AS model_name, round(optimal_throughput, 6) AS throughput, round(p99_ms, 6) AS p99_ms,
+  CAST(optimal_batch_size AS INTEGER) AS optimal_batch_size, round(peak_mb, 6) AS peak_memory_mb,
+  round(generation_seconds / 3600, 6) AS run_hours, round(100000000.0 / gthr / 3600, 6) AS hours_100m
+FROM ({_MODELS})""")
+def q_run_summary(spark, sf_dir):
+    from ..operators.report import run_summary
+    return run_summary(_results_models(spark, sf_dir))
+
+
+@query("model_leaders", f"""
+SELECT first(model ORDER BY generation_seconds, ordinal) AS fastest_model,
+  first(model ORDER BY generation_seconds DESC, ordinal) AS slowest_model,
+  first(model ORDER BY peak_mb, ordinal) AS lowest_memory_model FROM ({_MODELS})""")
+def q_model_leaders(spark, sf_dir):
+    from ..operators.report import model_leaders
+    return model_leaders(_results_models(spark, sf_dir))
+
+
+@query("comparison_table", f"""
+SELECT model AS model_name, 64 AS vector_dim, CAST(optimal_batch_size AS INTEGER) AS optimal_batch_size,
+  round(5000000.0 / gthr / 3600, 6) AS hours_5m, round(10000000.0 / gthr / 3600, 6) AS hours_10m,
+  round(50000000.0 / gthr / 3600, 6) AS hours_50m, round(100000000.0 / gthr / 3600, 6) AS hours_100m
+FROM ({_MODELS})""")
+def q_comparison_table(spark, sf_dir):
+    from ..operators.report import comparison_table
+    return comparison_table(_results_models(spark, sf_dir))
+
+
+@query("report_totals", f"""
+SELECT count(*) AS models, round(sum(generation_seconds) / 3600, 6) AS total_hours,
+  first(total_vectors ORDER BY ordinal) AS total_vectors FROM ({_MODELS})""")
+def q_report_totals(spark, sf_dir):
+    from ..operators.report import report_totals
+    return report_totals(_results_models(spark, sf_dir))
+
+
+@query("batch_curve", f"SELECT model AS model_name, batch_size, throughput FROM ({_THR})")
+def q_batch_curve(spark, sf_dir):
+    from ..operators.report import batch_curve
+    return batch_curve(_results_models(spark, sf_dir))
+
+
+@query("extrapolation", f"""
+SELECT model, round(gthr, 6) AS generation_throughput, scale, round(scale / gthr, 6) AS seconds,
+  round(scale / gthr / 60, 6) AS minutes, round(scale / gthr / 3600, 6) AS hours
+FROM ({_GEN}), (SELECT unnest([5000000, 10000000, 50000000, 100000000]::BIGINT[]) AS scale)""")
+def q_extrapolation(spark, sf_dir):
+    """A16 generation throughput per model x J3 scales."""
+    from ..operators.metrics import extrapolate, rate
+    r = _requests(spark, sf_dir)
+    gen = r.groupBy("model").agg(rate(F.count(F.lit(1)), F.sum(F.when(F.col("ok"), F.col("latency_s"))))
+                                 .alias("gthr"))
+    e = extrapolate(gen, "gthr")
+    return e.select("model", F.round("gthr", 6).alias("generation_throughput"), "scale",
+                    F.round("seconds", 6).alias("seconds"), F.round("minutes", 6).alias("minutes"),
+                    F.round("hours", 6).alias("hours"))
+
+
+@query("token_summary", f"""
+SELECT role, count(*) AS documents, CAST(coalesce(sum(len({d_tokens('text')})), 0) AS BIGINT) AS total_tokens,
+  coalesce(round(CAST(coalesce(sum(len({d_tokens('text')})), 0) AS BIGINT) / count(*), 6), 0.0) AS avg_tokens_per_doc
+FROM conversations GROUP BY role""")
+def q_token_summary(spark, sf_dir):
+    """A5/P12 per conversation role, word tokens."""
+    from ..operators.metrics import token_summary
+    return token_summary(read_table(spark, sf_dir, "conversations"), "text", ["role"], mode="words")
+
+
+# run statistics (M15) per day of the log; stages from event types
+_STAGE_OF = {"view": "pdf_extraction_time", "click": "expansion_time", "signup": "token_count_time",
+             "purchase": "vectorization_time", "error": "export_time"}
+
+
+def _runs(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    stage_cols = [F.coalesce(F.sum(F.when(F.col("event_type") == et, F.col("latency_s"))), F.lit(0.0)).alias(st)
+                  for et, st in _STAGE_OF.items()]
+    return r.groupBy(F.to_date("ts").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("total_documents"), F.count_if("ok").alias("total_vectors"),
+        F.sum("k").cast("bigint").alias("total_tokens"), F.sum("latency_s").alias("total_time_seconds"),
+        *stage_cols)
+
+
+_RUNS = f"""SELECT CAST(ts AS DATE) AS run_id, count(*) AS total_documents, count_if(ok) AS total_vectors,
+  CAST(sum(k) AS BIGINT) AS total_tokens, sum(latency_s) AS total_time_seconds,
+  {", ".join(f"coalesce(sum(CASE WHEN event_type = '{et}' THEN latency_s END), 0.0) AS {st}" for et, st in _STAGE_OF.items())}
+FROM ({_REQ}) GROUP BY CAST(ts AS DATE)"""
+
+
+@query("pipeline_rates", f"""
+SELECT run_id, round(total_documents / total_time_seconds, 6) AS docs_per_second,
+  round(total_vectors / total_time_seconds, 6) AS vectors_per_second,
+  round(total_tokens / total_time_seconds, 6) AS tokens_per_second,
+  round(total_tokens / vectorization_time, 6) AS token_throughput,
+  round(total_tokens / total_documents, 6) AS avg_tokens_per_doc
+FROM ({_RUNS})""")
+def q_pipeline_rates(spark, sf_dir):
+    from ..operators.metrics import pipeline_rates
+    return pipeline_rates(_runs(spark, sf_dir))
+
+
+@query("stage_breakdown", f"""
+SELECT run_id, stage, round(seconds, 6) AS seconds, round(seconds / sum(seconds) OVER (PARTITION BY run_id), 6) AS share
+FROM (UNPIVOT ({_RUNS}) ON {", ".join(_STAGE_OF.values())} INTO NAME stage VALUE seconds)""")
+def q_stage_breakdown(spark, sf_dir):
+    from ..operators.metrics import stage_breakdown
+    return stage_breakdown(_runs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------- telemetry
+# ``events`` as device telemetry: device = event_type, reading = value (MB)
+
+def _telemetry(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select(
+        "ts", F.col("event_type").alias("gpu_id"), F.col("value").alias("memory_used_mb"))
+
+
+@query("telemetry_peak", "SELECT event_type AS gpu_id, max(value) AS peak_mb FROM events GROUP BY event_type")
+def q_telemetry_peak(spark, sf_dir):
+    from ..operators.telemetry import peak_memory
+    return peak_memory(_telemetry(spark, sf_dir))
+
+
+@query("telemetry_average", "SELECT event_type AS gpu_id, round(avg(value), 6) AS avg_mb FROM events GROUP BY event_type")
+def q_telemetry_average(spark, sf_dir):
+    from ..operators.telemetry import average_memory
+    return average_memory(_telemetry(spark, sf_dir))
+
+
+@query("telemetry_summary", """
+SELECT CAST(ts AS DATE) AS run_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS devices,
+  count(*) AS snapshots, max(value) AS max_peak_mb,
+  round(max(a), 6) AS max_avg_mb
+FROM (SELECT ts, event_type, value, avg(value) OVER (PARTITION BY CAST(ts AS DATE), event_type) AS a FROM events)
+GROUP BY CAST(ts AS DATE)""")
+def q_telemetry_summary(spark, sf_dir):
+    """A8 per day (a run per day)."""
+    from ..operators.telemetry import telemetry_summary
+    t = _telemetry(spark, sf_dir).withColumn("run_id", F.to_date("ts"))
+    s = telemetry_summary(t, group_cols=["run_id"])
+    return s.select("run_id", F.array_join("devices", ",").alias("devices"), "snapshots", "max_peak_mb", "max_avg_mb")
+
+
+@query("telemetry_windows", """
+SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end,
+  event_type AS gpu_id, count(*) AS snapshots, max(value) AS peak_mb, round(avg(value), 6) AS avg_mb
+FROM events GROUP BY ALL""")
+def q_telemetry_windows(spark, sf_dir):
+    """T1 batch form: 6-hour tumbling windows per device."""
+    from ..operators.telemetry import telemetry_windows
+    return telemetry_windows(_telemetry(spark, sf_dir), window="6 hours")
+
+
+@query("resource_summary", f"""
+SELECT system, metric, count(*) AS samples, round(avg(v), 6) AS avg, max(v) AS max, round(quantile_cont(v, 0.95), 6) AS p95
+FROM (SELECT event_type AS system, 'latency_ms' AS metric, value AS v FROM events
+      UNION ALL SELECT event_type, 'payload_k', CAST(json_extract(props, '$.k') AS DOUBLE) FROM events)
+GROUP BY system, metric""")
+def q_resource_summary(spark, sf_dir):
+    """V12 over a long metrics table built from the log."""
+    from ..operators.telemetry import resource_summary
+    r = _requests(spark, sf_dir)
+    long = r.select(F.col("event_type").alias("system"),
+                    F.inline(F.array(F.struct(F.lit("latency_ms").alias("metric"), F.col("value").alias("value")),
+                                     F.struct(F.lit("payload_k").alias("metric"), F.col("k").cast("double").alias("value")))))
+    return resource_summary(long)
