@@ -68,9 +68,9 @@ def import_summary(log: DataFrame, order_by: list[str], ts_col: str = "ts", batc
     """Rows, seconds and rows/s per import batch (position // batch_size), the running
     total and the checkpoint each batch falls in."""
     pos = dense_id(log, order_by, name="__pos")
-    sec = F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     per = (pos.groupBy(batch_no("__pos", batch_size).alias("batch_no"))
-           .agg(F.count(F.lit(1)).alias("rows"), (F.max(sec) - F.min(sec)).alias("seconds")))
+           .agg(F.count(F.lit(1)).alias("rows"), ((F.max(us) - F.min(us)) / 1e6).alias("seconds")))
     w = Window.orderBy("batch_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row per batch: the running sum is over N / batch_size rows
     return per.select(

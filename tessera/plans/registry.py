@@ -802,3 +802,316 @@ def q_resource_summary(spark, sf_dir):
                     F.inline(F.array(F.struct(F.lit("latency_ms").alias("metric"), F.col("value").alias("value")),
                                      F.struct(F.lit("payload_k").alias("metric"), F.col("k").cast("double").alias("value")))))
     return resource_summary(long)
+
+
+# ------------------------------------------------------------------ search family
+
+def _queries_from(v):
+    return v.select(F.col("id").alias("qid"), "vector", "label")
+
+
+@query("knn_filtered", _KNN_SQL.format(where="WHERE c.label < 5"))
+def q_knn_filtered(spark, sf_dir):
+    """V2: vector search restricted by a scalar predicate (pushed to the Parquet scan)."""
+    v = _vectors(spark, sf_dir)
+    return search.knn_filtered(_queries_from(v), v, F.col("label") < 5, 10)
+
+
+@query("knn_partitioned", _KNN_SQL.format(where="WHERE q.label = c.label"))
+def q_knn_partitioned(spark, sf_dir):
+    """V8: search inside the query's own partition (label)."""
+    v = _vectors(spark, sf_dir)
+    return search.knn_partitioned(_queries_from(v), v, "label", 10)
+
+
+@query("knn_scenario_scopes", " UNION ALL ".join(
+    f"SELECT '{name}' AS scope, * FROM ({_KNN_SQL.format(where=where)})"
+    for name, where in (("personal", "WHERE c.label = 0"), ("team", "WHERE c.label < 5"), ("data_lake", ""))))
+def q_knn_scopes(spark, sf_dir):
+    """The same queries at three owner-scope selectivities."""
+    v = _vectors(spark, sf_dir)
+    q = _queries_from(v)
+    out = None
+    for name, pred in (("personal", F.col("label") == 0), ("team", F.col("label") < 5), ("data_lake", F.lit(True))):
+        r = search.knn_filtered(q, v, pred, 10).select(F.lit(name).alias("scope"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def d_codes(vec: str) -> str:
+    return (f"CAST(list_sum(list_transform({vec}, lambda x, i: CASE WHEN x > 0 THEN "
+            f"CASE WHEN i = 64 THEN -9223372036854775808 ELSE (CAST(1 AS BIGINT) << (i - 1)) END ELSE 0 END)) AS BIGINT)")
+
+
+@query("binary_codes", f"""
+SELECT vec_id AS id, {d_codes('embedding')} AS code, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS bits
+FROM embeddings""")
+def q_binary_codes(spark, sf_dir):
+    """V5: one sign-bit word per 64 dimensions."""
+    from ..operators.quantize import binary_codes
+    v = _vectors(spark, sf_dir)
+    c = binary_codes("vector", 64)
+    return v.select("id", F.get(c, 0).alias("code"), F.bit_count(F.get(c, 0)).cast("int").alias("bits"))
+
+
+_QUANT_SQL = f"""
+WITH c AS (SELECT vec_id, embedding, {d_codes('embedding')} AS code FROM embeddings),
+p AS (SELECT q.vec_id AS qid, d.vec_id AS id, bit_count(xor(q.code, d.code)) AS hamming,
+        round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM c q, c d),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hamming, id) AS sr FROM p) WHERE sr <= 40)
+SELECT qid, id, CAST(hamming AS BIGINT) AS hamming, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("knn_quantized", _QUANT_SQL)
+def q_knn_quantized(spark, sf_dir):
+    """V6: Hamming shortlist (k x 4) and exact rescoring."""
+    from ..operators.quantize import knn_quantized
+    v = _vectors(spark, sf_dir)
+    return knn_quantized(_queries_from(v), v, 10, oversample=4)
+
+
+@query("recall_quantized", f"""
+WITH a AS ({_QUANT_SQL}), e AS ({_KNN_SQL.format(where="")}),
+per AS (SELECT e.qid, count(a.id) / 10.0 AS recall FROM e LEFT JOIN a ON a.qid = e.qid AND a.id = e.id GROUP BY e.qid)
+SELECT round(avg(recall), 6) AS mean_recall, count(*) AS queries FROM per""")
+def q_recall_quantized(spark, sf_dir):
+    """V9: recall@10 of the quantised search against the exact one."""
+    from ..operators.quantize import knn_quantized
+    v = _vectors(spark, sf_dir)
+    q = _queries_from(v)
+    return search.mean_recall(search.recall_at_k(knn_quantized(q, v, 10), search.knn_exact(q, v, 10), 10))
+
+
+@query("knn_ivf_recall")
+def q_knn_ivf_recall(spark, sf_dir):
+    """V7 + V9: probe search over 16 KMeans cells (4 probed) and its recall@10 (iterative
+    training: no SQL oracle)."""
+    from ..operators.ann import knn_ivf
+    v = _vectors(spark, sf_dir)
+    q = _queries_from(v)
+    return search.mean_recall(search.recall_at_k(knn_ivf(q, v, 10, cells=16, nprobe=4),
+                                                 search.knn_exact(q, v, 10), 10))
+
+
+_BM25_SQL = f"""
+WITH d AS (SELECT doc_id, {d_tokens('text')} AS toks FROM documents),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
+q AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({d_tokens('text')}) AS term FROM benchmark)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY doc_id, term),
+dl AS (SELECT doc_id, len(toks) AS dl FROM d),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT q.qid, tf.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2
+        / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))), 6) AS score
+      FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term JOIN dl ON dl.doc_id = tf.doc_id, st
+      GROUP BY q.qid, tf.doc_id)
+SELECT qid, doc_id AS id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def _bm25(spark, sf_dir):
+    from ..operators.bm25 import bm25_search
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return bm25_search(docs, qs, 10)
+
+
+@query("bm25_search", _BM25_SQL)
+def q_bm25_search(spark, sf_dir):
+    """V3: benchmark texts as queries over the documents."""
+    return _bm25(spark, sf_dir)
+
+
+_HYBRID_SQL = f"""
+WITH bm AS ({_BM25_SQL}),
+dc AS ({d_cells('SELECT doc_id, text FROM documents', 'doc_id', 'text')}),
+qc AS ({d_cells('SELECT item_id, text FROM benchmark', 'item_id', 'text')}),
+vs AS (SELECT qc.k AS qid, dc.k AS id, round(sum(qc.value * dc.value), 6) AS score FROM qc JOIN dc ON qc.bucket = dc.bucket
+       GROUP BY qc.k, dc.k),
+vk AS (SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs)
+       WHERE rank <= 10),
+u AS (SELECT qid, id, 1.0 / (60 + rank) AS rrf FROM bm UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM vk),
+f AS (SELECT qid, id, round(sum(rrf), 6) AS score, count(*) AS lists FROM u GROUP BY qid, id)
+SELECT qid, id, score, lists, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10"""
+
+
+def _cell_vectors(df, id_col, dim=64):
+    from ..operators.embed import hash_embed_cells
+    cells = hash_embed_cells(df, dim, id_col=id_col)
+    m = F.map_from_entries(F.collect_list(F.struct("bucket", "value")))
+    return (cells.groupBy(id_col).agg(m.alias("__m"))
+            .select(F.col(id_col), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                               lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0))).alias("vector")))
+
+
+@query("hybrid_search", _HYBRID_SQL)
+def q_hybrid_search(spark, sf_dir):
+    """V4: BM25 top-10 and hash-vector top-10 fused by reciprocal rank (c = 60)."""
+    from ..operators.bm25 import reciprocal_rank_fusion
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    dv = _cell_vectors(docs, "id")
+    qv = _cell_vectors(qs, "qid")
+    vec = search.knn_exact(qv, dv, 10)
+    fused = reciprocal_rank_fusion([_bm25(spark, sf_dir), vec], 10)
+    return fused.select("qid", "id", "score", "lists", F.col("rank").cast("int").alias("rank"))
+
+
+@query("usage_top_terms", f"""
+SELECT term, count(*) AS count FROM (SELECT unnest({d_tokens('text')}) AS term FROM documents)
+GROUP BY term ORDER BY count DESC, term LIMIT 20""")
+def q_usage_top_terms(spark, sf_dir):
+    """Hot terms of the corpus (top 20)."""
+    from ..operators.analytics import top_terms
+    return top_terms(read_table(spark, sf_dir, "documents"), "text", 20)
+
+
+@query("usage_top_users", """
+SELECT user_id, count(*) AS count FROM events GROUP BY user_id ORDER BY count DESC, user_id LIMIT 10""")
+def q_usage_top_users(spark, sf_dir):
+    """Most active users of the event log (top 10)."""
+    from ..operators.analytics import top_values
+    return top_values(read_table(spark, sf_dir, "events"), "user_id", 10)
+
+
+# -------------------------------------------------------- search-benchmark analytics
+# ``events`` as a query log: system = event_type, query = user_id, latency = value ms
+
+def _qlog(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("system"), F.col("user_id").alias("query_id"), "user_id", "ts", "event_id",
+        (F.col("value") / 1000).alias("latency_s"),
+        (F.octet_length("props") + F.octet_length("event_type") + 32).alias("bytes"))
+
+
+_QLOG = ("SELECT event_type AS system, user_id AS query_id, user_id, ts, event_id, value / 1000 AS latency_s, "
+         "strlen(props) + strlen(event_type) + 32 AS bytes, true AS ok FROM events")
+
+
+@query("search_latency", f"""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY ts, query_id) AS seq,
+                  row_number() OVER (PARTITION BY system, query_id ORDER BY ts) AS occ FROM ({_QLOG})),
+p AS (SELECT system, CASE WHEN occ = 1 THEN 'cold' ELSE 'hot' END AS phase, latency_s, ok FROM s WHERE seq > 100)
+{d_latency('SELECT * FROM p', 'system, phase')}""")
+def q_search_latency(spark, sf_dir):
+    """Warm-up 100 dropped, cold vs hot percentiles per system."""
+    from ..operators.analytics import search_latency
+    return search_latency(_qlog(spark, sf_dir), warmup=100)
+
+
+@query("search_throughput", """
+WITH l AS (SELECT event_type AS system, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+r AS (SELECT system, sec // 60 AS run, count(DISTINCT user_id) AS clients,
+             count_if(sec - (sec // 60) * 60 >= 5) AS measured FROM l GROUP BY system, sec // 60),
+p AS (SELECT *, CASE WHEN clients >= 100 THEN 100 WHEN clients >= 50 THEN 50 WHEN clients >= 10 THEN 10 ELSE 1 END
+             AS client_level, measured / 55.0 AS qps FROM r)
+SELECT system, client_level, count(*) AS runs, CAST(sum(measured) AS BIGINT) AS requests,
+       round(avg(qps), 6) AS qps_mean, round(max(qps), 6) AS qps_max FROM p GROUP BY system, client_level""")
+def q_search_throughput(spark, sf_dir):
+    """60 s runs, 5 s ramp-up excluded, QPS per client level."""
+    from ..operators.analytics import search_throughput
+    return search_throughput(_qlog(spark, sf_dir), duration_s=60, ramp_up_s=5)
+
+
+@query("import_summary", """
+WITH p AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, ts FROM events),
+b AS (SELECT pos // 1000 AS batch_no, count(*) AS rows, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS seconds
+      FROM p GROUP BY pos // 1000)
+SELECT batch_no, rows, round(seconds, 6) AS seconds, round(rows / seconds, 6) AS rows_per_second,
+  CAST(sum(rows) OVER (ORDER BY batch_no) AS BIGINT) AS rows_total,
+  CAST(floor((sum(rows) OVER (ORDER BY batch_no) - rows) / 1000000) AS BIGINT) AS checkpoint_no FROM b""")
+def q_import_summary(spark, sf_dir):
+    """The log as an import stream: 1,000-row batches, checkpoint every 1M rows."""
+    from ..operators.analytics import import_summary
+    return import_summary(_qlog(spark, sf_dir), ["ts", "event_id"], batch_size=1000, checkpoint_every=1_000_000)
+
+
+def _with_now(spark, sf_dir):
+    q = _qlog(spark, sf_dir)
+    now = q.agg(F.max("ts")).first()[0]
+    return q.withColumn("__now", F.lit(now))
+
+
+_TIER_DAYS = f"""SELECT system, date_diff('day', CAST(ts AS DATE), CAST((SELECT max(ts) FROM events) AS DATE)) AS age_days,
+  latency_s, bytes FROM ({_QLOG})"""
+
+
+@query("tier_by_age", f"""
+WITH d AS (SELECT age_days, count(*) AS rows, sum(bytes) AS bytes FROM ({_TIER_DAYS}) GROUP BY age_days),
+s AS (SELECT * FROM (VALUES ('hot_only', 1), ('hot_warm', 15), ('hot_warm_cold', 60)) v(scenario, max_age))
+SELECT scenario, CASE WHEN age_days < 7 THEN 'hot' WHEN age_days < 30 THEN 'warm' ELSE 'cold' END AS tier,
+  CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes
+FROM d JOIN s ON d.age_days < s.max_age GROUP BY ALL""")
+def q_tier_by_age(spark, sf_dir):
+    """Hot < 7 d, warm < 30 d, cold; per scenario 1 / 15 / 60 days of data."""
+    from ..operators.analytics import tier_by_age
+    return tier_by_age(_with_now(spark, sf_dir), "ts", "bytes")
+
+
+def _usage(spark, sf_dir):
+    from ..operators.analytics import HOT_DAYS
+    q = _with_now(spark, sf_dir)
+    age = F.datediff(F.col("__now").cast("date"), F.col("ts").cast("date"))
+    wide = q.groupBy("system").agg(
+        (F.sum("latency_s") / 3600).alias("compute_hours"),
+        (F.sum(F.when(age < HOT_DAYS, F.col("bytes")).otherwise(0)) / 1e9).alias("storage_ssd_gb"),
+        (F.sum(F.when(age >= HOT_DAYS, F.col("bytes")).otherwise(0)) / 1e9).alias("storage_hdd_gb"),
+        (F.sum("bytes") / 1e9).alias("network_gb"))
+    return wide.unpivot(["system"], ["compute_hours", "storage_ssd_gb", "storage_hdd_gb", "network_gb"],
+                        "resource", "quantity")
+
+
+_USAGE = f"""SELECT system, sum(latency_s) / 3600 AS compute_hours,
+  sum(CASE WHEN age_days < 7 THEN bytes ELSE 0 END) / 1e9 AS storage_ssd_gb,
+  sum(CASE WHEN age_days >= 7 THEN bytes ELSE 0 END) / 1e9 AS storage_hdd_gb, sum(bytes) / 1e9 AS network_gb
+FROM ({_TIER_DAYS}) GROUP BY system"""
+_COST = f"""SELECT system, round(compute_hours * 0.5 + storage_ssd_gb * 0.1 + storage_hdd_gb * 0.03 + network_gb * 0.09, 6)
+  AS cost, CAST(0 AS BIGINT) AS unpriced_items FROM ({_USAGE})"""
+
+
+@query("cost_model", _COST)
+def q_cost_model(spark, sf_dir):
+    """Usage x unit prices per system."""
+    from ..operators.analytics import cost_model
+    return cost_model(_usage(spark, sf_dir))
+
+
+@query("scale_projection", f"""
+WITH m AS (SELECT system, count(*) AS rows, sum(latency_s) AS seconds, sum(bytes) AS bytes FROM ({_QLOG}) GROUP BY system),
+s AS (SELECT unnest([100000000, 500000000, 1000000000]::BIGINT[]) AS scale)
+SELECT system, scale, round(seconds * (scale / rows), 6) AS seconds_projected,
+  round(bytes * (scale / rows), 6) AS bytes_projected FROM m, s""")
+def q_scale_projection(spark, sf_dir):
+    """Per system, time and bytes projected linearly to 100M / 500M / 1B."""
+    from ..operators.analytics import scale_projection
+    m = _qlog(spark, sf_dir).groupBy("system").agg(F.count(F.lit(1)).alias("rows"),
+                                                   F.sum("latency_s").alias("seconds"),
+                                                   F.sum("bytes").cast("double").alias("bytes"))
+    return scale_projection(m, "rows", ["seconds", "bytes"])
+
+
+@query("system_comparison", f"""
+WITH lat AS ({d_latency(_QLOG, 'system')}),
+thr AS (SELECT system, count(*) / sum(latency_s) AS v FROM ({_QLOG}) GROUP BY system),
+cost AS ({_COST}),
+m AS (SELECT system, 'p99_ms' AS metric, p99_ms AS value FROM lat
+      UNION ALL SELECT system, 'throughput_qps', round(v, 6) FROM thr
+      UNION ALL SELECT system, 'cost', cost FROM cost)
+SELECT system, metric, value, CAST(rank() OVER (PARTITION BY metric ORDER BY
+  CASE WHEN metric = 'throughput_qps' THEN -value ELSE value END) AS INTEGER) AS rank FROM m""")
+def q_system_comparison(spark, sf_dir):
+    """Rank systems per metric (p99 and cost lower is better, throughput higher)."""
+    from ..operators.analytics import cost_model
+    from ..operators.metrics import latency_summary
+    from ..operators.report import rank_systems
+    log = _qlog(spark, sf_dir)
+    lat = latency_summary(log, ["system"], ok_col=None).select("system", F.lit("p99_ms").alias("metric"),
+                                                               F.col("p99_ms").alias("value"))
+    thr = log.groupBy("system").agg(F.round(F.count(F.lit(1)) / F.sum("latency_s"), 6).alias("value")) \
+        .select("system", F.lit("throughput_qps").alias("metric"), "value")
+    cost = cost_model(_usage(spark, sf_dir)).select("system", F.lit("cost").alias("metric"),
+                                                    F.col("cost").alias("value"))
+    r = rank_systems(lat.unionByName(thr).unionByName(cost),
+                     {"p99_ms": True, "throughput_qps": False, "cost": True})
+    return r.select("system", "metric", "value", F.col("rank").cast("int").alias("rank"))
