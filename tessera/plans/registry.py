@@ -1115,3 +1115,105 @@ def q_system_comparison(spark, sf_dir):
     r = rank_systems(lat.unionByName(thr).unionByName(cost),
                      {"p99_ms": True, "throughput_qps": False, "cost": True})
     return r.select("system", "metric", "value", F.col("rank").cast("int").alias("rank"))
+
+
+# ---------------------------------------------------------------------- streaming
+
+@query("telemetry_stream_windows", """
+SELECT * FROM (
+  SELECT ws AS window_start, ws + INTERVAL 6 HOUR AS window_end, gpu_id, count(*) AS snapshots, max(value) AS peak_mb,
+         round(avg(value), 6) AS avg_mb
+  FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS ws, event_type AS gpu_id, value FROM events) GROUP BY ws, gpu_id)
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_telemetry_stream_windows(spark, sf_dir):
+    """The table replayed as a stream (available-now trigger, checkpointed); append mode
+    emits the windows the 1-hour watermark has closed."""
+    from ..session import scratch_path
+    from ..streaming.telemetry import run_windows_available_now
+    schema = read_table(spark, sf_dir, "events").schema
+    sink = run_windows_available_now(
+        spark, sf_dir, schema, scratch_path(spark, "t1sink"), scratch_path(spark, "t1ckpt"), glob="events.parquet",
+        prepare=lambda s: s.select("ts", F.col("event_type").alias("gpu_id"), F.col("value").alias("memory_used_mb")),
+        window="6 hours", watermark="1 hour")
+    out = spark.read.parquet(sink)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      "gpu_id", "snapshots", "peak_mb", "avg_mb")
+
+
+@query("incremental_ingest", f"""
+SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, CAST(64 AS INTEGER) AS dims FROM (
+  SELECT doc_id, {d_flatten('text')} AS t FROM documents) WHERE length(t) BETWEEN 10 AND 512""")
+def q_incremental_ingest(spark, sf_dir):
+    """The collection arrives twice (two file drops); the stream de-duplicates by id, embeds
+    and appends to the store."""
+    from ..operators.embed import hash_embedder_factory
+    from ..session import scratch_path
+    from ..sinks.corpus import write_collection
+    from ..streaming.ingest import incremental_ingest, read_stream_store
+    src = scratch_path(spark, "t2src")
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("__k"),
+                                                      F.col("doc_id").cast("string").alias("doc"), "text")
+    from ..sources import corpus
+    accepted = corpus.read_parquet_text(d)
+    # two drops of the same collection, keyed by the document id
+    for part in ("drop1", "drop2"):
+        (accepted.select(F.concat_ws("\t", "doc", "text").alias("value"))
+         .write.text(f"{src}/{part}"))
+    store = scratch_path(spark, "t2store")
+    incremental_ingest(spark, f"{src}/*", store, hash_embedder_factory(64), 64, scratch_path(spark, "t2ckpt"))
+    _ = write_collection  # the K1 writer is exercised by convert_parquet_corpus
+    return read_stream_store(spark, store).select("id", F.size("vector").cast("int").alias("dims"))
+
+
+# ------------------------------------------------------------- files and catalogs
+
+@query("dataset_catalog", f"""
+SELECT lang, CAST(1 AS BIGINT) AS files, count(*) AS lines,
+  CAST(sum(strlen(CAST(doc_id AS VARCHAR) || chr(9) || {d_flatten('text')}) + 1) AS BIGINT) AS size_bytes,
+  true AS valid_utf8
+FROM documents GROUP BY lang""")
+def q_dataset_catalog(spark, sf_dir):
+    """S16 + A2: a TSV written per language, then catalogued (lines, bytes) and UTF-8 checked."""
+    from ..functions.text import flatten_text
+    from ..session import scratch_path
+    from ..sources.corpus import dataset_catalog, utf8_check_files
+    path = scratch_path(spark, "catalog")
+    d = read_table(spark, sf_dir, "documents")
+    (d.select("lang", F.concat_ws("\t", F.col("doc_id").cast("string"), flatten_text("text")).alias("value"))
+     .repartition("lang").write.partitionBy("lang").text(path))
+    cat = dataset_catalog(spark, path, "*.txt")
+    ok = utf8_check_files(spark, path, "*.txt")
+    j = cat.join(ok, cat.file_path == ok.path).withColumn("lang", F.regexp_extract("file_path", "lang=([^/]+)", 1))
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").cast("bigint").alias("lines"),
+                                 F.sum("size_bytes").cast("bigint").alias("size_bytes"),
+                                 F.bool_and("valid_utf8").alias("valid_utf8"))
+
+
+@query("telemetry_roundtrip", """
+SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS devices, count(*) AS snapshots,
+  max(value) AS max_peak_mb, round(max(a), 6) AS max_avg_mb
+FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS a FROM events)""")
+def q_telemetry_roundtrip(spark, sf_dir):
+    """K8 -> S15 -> A8: snapshots written as JSON per device and summarised after reading back."""
+    from ..session import scratch_path
+    from ..operators.telemetry import read_telemetry, telemetry_summary, write_telemetry
+    path = write_telemetry(_telemetry(spark, sf_dir), scratch_path(spark, "telemetry"))
+    t = read_telemetry(spark, path)
+    s = telemetry_summary(t)
+    return s.select(F.array_join("devices", ",").alias("devices"), "snapshots", "max_peak_mb", "max_avg_mb")
+
+
+@query("repeat_with_noise", """
+SELECT CAST(vec_id AS VARCHAR) || '_repeat_' || r AS id, CAST(r AS INTEGER) AS repeat_id,
+  CAST(len(embedding) AS INTEGER) AS dims, CAST(1.0 AS DOUBLE) AS norm
+FROM embeddings, (SELECT unnest([0, 1]) AS r)""")
+def q_repeat_with_noise(spark, sf_dir):
+    """The vector table grown to twice its size with reproducible noise, re-normalised."""
+    from ..operators.expand import repeat_with_noise
+    v = read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "vec_id")
+    n = v.count()
+    r = repeat_with_noise(v, 2 * n, "vec_id", sigma=0.01)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return r.select("id", "repeat_id", F.size("vector").cast("int").alias("dims"), F.round(norm, 4).alias("norm"))
