@@ -75,22 +75,26 @@ def clean_text(c, keep: str = CLEAN_KEEP) -> Column:
     """Collapse whitespace runs to one space, delete every character outside the
     allow-list, strip."""
     collapsed = F.regexp_replace(_c(c), f"{STRIP_CLASS}+", " ")
-    kept = F.regexp_replace(collapsed, f"[^{keep}]", "")
-    return py_strip(kept)
+    kept = F.regexp_replace(collapsed, f"[^{keep}]+", "")
+    # after the collapse the only whitespace left is the ASCII space (when the allow-list
+    # keeps no other), so Python's strip() is a plain trim here
+    return F.trim(kept) if " " in keep and not any(ch.isspace() and ch != " " for ch in keep) else py_strip(kept)
 
 
-def _nonblank_pieces(arr: Column) -> Column:
-    return F.filter(F.transform(arr, lambda x: py_strip(x)), lambda x: x != F.lit(""))
+def _nonblank_pieces(arr: Column, spaces_only: bool = False) -> Column:
+    strip = F.trim if spaces_only else py_strip
+    return F.filter(F.transform(arr, lambda x: strip(x)), lambda x: x != F.lit(""))
 
 
-def split_paragraphs(c) -> Column:
-    """P5: split on a blank line, strip, drop empty pieces -> array<string>."""
-    return _nonblank_pieces(F.split(_c(c), PARAGRAPH_SPLIT))
+def split_paragraphs(c, spaces_only: bool = False) -> Column:
+    """P5: split on a blank line, strip, drop empty pieces -> array<string>.
+    ``spaces_only``: the text holds no whitespace but ASCII spaces (cleaned), so strip = trim."""
+    return _nonblank_pieces(F.split(_c(c), PARAGRAPH_SPLIT), spaces_only)
 
 
-def split_sentences(c) -> Column:
+def split_sentences(c, spaces_only: bool = False) -> Column:
     """Split on 。！？ or a newline (delimiter dropped), strip, drop empty."""
-    return _nonblank_pieces(F.split(_c(c), SENTENCE_SPLIT))
+    return _nonblank_pieces(F.split(_c(c), SENTENCE_SPLIT), spaces_only)
 
 
 def preview(c, n: int = 80) -> Column:

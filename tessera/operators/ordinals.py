@@ -34,9 +34,13 @@ def _range_bucket(df: DataFrame, order_by: list[str], buckets: int) -> DataFrame
 
 
 def dense_id(df: DataFrame, order_by: list[str] | str, name: str = "n", start: int = 0,
-             buckets: int | None = None) -> DataFrame:
-    """O1: ``start, start+1, ...`` over ``order_by`` (dense, gap-free, layout-independent)."""
+             buckets: int | None = None, materialize: bool = False) -> DataFrame:
+    """O1: ``start, start+1, ...`` over ``order_by`` (dense, gap-free, layout-independent).
+    The input is read up to three times (cut points, range counts, numbering);
+    ``materialize`` checkpoints it first when it is expensive to recompute."""
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
+    if materialize:
+        df = cut_lineage(df)
     if buckets is None:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     b = _range_bucket(df, order_by, buckets)

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators.chunk import chunk_text
+from tessera.operators.chunk import chunk_text, chunk_text_arrow
 
 WS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0        　"
 
@@ -84,8 +84,9 @@ def test_chunk_fold_matches_python(spark):
         texts.append("".join(parts))
     texts += ["", "short", "a" * 511, "a" * 512, "a" * 513, "b" * 9 + "。" + "c" * 600]
     for cs, mn, mx in ((512, 10, 512), (50, 5, 30)):
-        got = _one(spark, chunk_text("t", cs, mn, mx), texts)
-        assert got == [_py_chunk(t, cs, mn, mx) for t in texts]
+        want = [_py_chunk(t, cs, mn, mx) for t in texts]
+        assert _one(spark, chunk_text("t", cs, mn, mx), texts) == want
+        assert _one(spark, chunk_text_arrow("t", cs, mn, mx), texts) == [list(x) for x in want]
 
 
 def test_tokens_and_counts(spark):
