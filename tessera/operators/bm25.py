@@ -14,7 +14,6 @@ Scoring: ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``,
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -41,67 +40,114 @@ def term_document_frequency(docs: DataFrame, terms: DataFrame, id_col: str = "id
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "id",
-                text_col: str = "text", query_id: str = "qid", query_text: str = "text",
-                k1: float = K1, b: float = B, decimals: int = 6,
-                max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Top-k documents per query: ``(qid, id, score, rank)``; ties by id."""
+def statistics_for(docs: DataFrame, vocab: list[str], text_col: str = "text"):
+    """One scan: N, average length and df of every vocabulary term.  Each document emits one
+    row with a null term (its length) and one row per vocabulary term it contains; partial
+    aggregation folds them before the shuffle, which then carries at most |vocab| + 1 groups
+    per task."""
+    toks = tokens(text_col)
     spark = docs.sparkSession
-    qterms = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(query_text)))
-                            .alias("term"))
-    qpdf = qterms.toPandas() if qterms.count() * 64 <= max_broadcast_bytes else None
-    if qpdf is None:
-        raise ValueError("query set exceeds the broadcast bound; split it into blocks")
-    n, avgdl = corpus_stats(docs, text_col)
-    dfs = {r["term"]: int(r["df"]) for r in term_document_frequency(docs, qterms, id_col, text_col).collect()}
-    idf = {t: math.log(1.0 + (n - d + 0.5) / (d + 0.5)) for t, d in dfs.items()}
-    qids = qpdf["qid"].drop_duplicates().to_numpy()
-    qindex = {q: i for i, q in enumerate(qids)}
-    by_term: dict[str, list[int]] = {}
-    for q, t in zip(qpdf["qid"], qpdf["term"]):
-        if t in idf:
-            by_term.setdefault(t, []).append(qindex[q])
-    id_type = docs.schema[id_col].dataType
-    qtype = queries.schema[query_id].dataType
-    schema = T.StructType([T.StructField("qid", qtype), T.StructField(id_col, id_type),
-                           T.StructField("score", T.DoubleType())])
+    # the vocabulary of one query block: bounded by the caller's broadcast budget
+    vdf = spark.createDataFrame([(t, True) for t in vocab], "term string, __hit boolean")
+    # project the token array once: referencing the higher-order token expression twice
+    # inside the generator below makes Spark re-evaluate it per output row
+    exploded = (docs.select(toks.alias("__toks"))
+                .select(F.size("__toks").alias("dl"),
+                        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("__toks")))
+                        .alias("term")))
+    rows = (exploded.join(F.broadcast(vdf), "term", "left")
+            .filter(F.col("term").isNull() | F.col("__hit")))
+    agg = rows.groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("dl").alias("s")).collect()
+    n, total, dfs = 0, 0, {}
+    for r in agg:
+        if r["term"] is None:
+            n, total = int(r["c"]), int(r["s"] or 0)
+        else:
+            dfs[r["term"]] = int(r["c"])
+    return n, (total / n if n else 0.0), dfs
+
+
+def _score_fn(vocab_index, weights, qids, k, k1, b, avgdl, decimals, id_col, budget):
+    """mapInPandas body: dense (doc block x vocabulary) tf matrix, BM25 saturation, one matrix
+    product against the idf-weighted query matrix, partial top-k per query."""
+    nv, nq = weights.shape
+    block = max(1, min(4096, budget // max(1, nv * 8)))
+    present = weights > 0
 
     def run(batches):
         import regex
         split = regex.compile(TOKEN_SPLIT)
         best = None
-
-        def reduce(frame):
-            frame = frame.sort_values(["__qi", "score", id_col], ascending=[True, False, True], kind="mergesort")
-            return frame.groupby("__qi", sort=False).head(k)
-
         for pdf in batches:
-            cands = []
-            for did, text in zip(pdf[id_col], pdf["__t"]):
-                toks = [x for x in split.split((text or "").lower()) if x]
-                if not toks:
-                    continue
-                dl = len(toks)
-                tf = Counter(toks)
-                norm = k1 * (1.0 - b + b * dl / avgdl) if avgdl > 0 else k1
-                acc: dict[int, float] = {}
-                for t, c in tf.items():
-                    qs = by_term.get(t)
-                    if qs:
-                        w = idf[t] * c * (k1 + 1.0) / (c + norm)
-                        for qi in qs:
-                            acc[qi] = acc.get(qi, 0.0) + w
-                for qi, s in acc.items():
-                    cands.append((qi, did, round(s, decimals)))
-            if cands:
-                frame = pd.DataFrame(cands, columns=["__qi", id_col, "score"])
-                best = reduce(frame if best is None else pd.concat([best, frame], ignore_index=True))
+            for s in range(0, len(pdf), block):
+                part = pdf.iloc[s:s + block]
+                ids = part[id_col].to_numpy()
+                tf = np.zeros((len(part), nv))
+                dl = np.zeros(len(part))
+                for r, text in enumerate(part["__t"]):
+                    toks = [x for x in split.split((text or "").lower()) if x]
+                    dl[r] = len(toks)
+                    for tok in toks:
+                        j = vocab_index.get(tok)
+                        if j is not None:
+                            tf[r, j] += 1.0
+                norm = k1 * (1.0 - b + b * dl / avgdl) if avgdl > 0 else np.full(len(part), k1)
+                sat = tf * (k1 + 1.0) / (tf + norm[:, None])
+                scores = np.round(sat @ weights, decimals)
+                hit = (tf > 0).astype(np.float64) @ present
+                scores[hit == 0] = -np.inf
+                kk = min(k, scores.shape[0])
+                kth = np.partition(scores, scores.shape[0] - kk, axis=0)[scores.shape[0] - kk, :]
+                di, qi = np.nonzero((scores >= kth[None, :]) & np.isfinite(scores))
+                if len(di):
+                    frame = pd.DataFrame({"__qi": qi, id_col: ids[di], "score": scores[di, qi]})
+                    f = frame if best is None else pd.concat([best, frame], ignore_index=True)
+                    best = (f.sort_values(["__qi", "score", id_col], ascending=[True, False, True],
+                                          kind="mergesort").groupby("__qi", sort=False).head(k))
         if best is None or best.empty:
             return
         yield pd.DataFrame({"qid": qids[best["__qi"].to_numpy()], id_col: best[id_col].to_numpy(),
                             "score": best["score"].to_numpy()})
 
-    partial = docs.select(F.col(id_col), F.col(text_col).alias("__t")).mapInPandas(run, schema)
+    return run
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "id",
+                text_col: str = "text", query_id: str = "qid", query_text: str = "text",
+                k1: float = K1, b: float = B, decimals: int = 6,
+                max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Top-k documents per query: ``(qid, id, score, rank)``; ties by id.  Queries are split
+    into blocks whose (vocabulary x queries) weight matrix fits ``max_broadcast_bytes``."""
+    qterms = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(query_text)))
+                            .alias("term"))
+    size = qterms.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("term").alias("v"),
+                      F.count_distinct("qid").alias("q")).first()
+    nblocks = max(1, math.ceil(int(size["v"] or 0) * int(size["q"] or 0) * 8 / max_broadcast_bytes))
+    id_type = docs.schema[id_col].dataType
+    qtype = queries.schema[query_id].dataType
+    schema = T.StructType([T.StructField("qid", qtype), T.StructField(id_col, id_type),
+                           T.StructField("score", T.DoubleType())])
+    src = docs.select(F.col(id_col), F.col(text_col).alias("__t"))
+    parts = []
+    for blk in range(nblocks):
+        qb = qterms if nblocks == 1 else qterms.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == blk)
+        qpdf = qb.toPandas()
+        vocab = sorted(set(qpdf["term"]))
+        n, avgdl, dfs = statistics_for(docs, vocab, text_col)
+        idf = {t: math.log(1.0 + (n - d + 0.5) / (d + 0.5)) for t, d in dfs.items()}
+        vocab = [t for t in vocab if t in idf]
+        vindex = {t: j for j, t in enumerate(vocab)}
+        qids = qpdf["qid"].drop_duplicates().to_numpy()
+        qindex = {q: i for i, q in enumerate(qids)}
+        weights = np.zeros((len(vocab), len(qids)))
+        for q, t in zip(qpdf["qid"], qpdf["term"]):
+            if t in vindex:
+                weights[vindex[t], qindex[q]] = idf[t]
+        fn = _score_fn(vindex, weights, qids, k, k1, b, avgdl, decimals, id_col, 32 * 1024 * 1024)
+        parts.append(src.mapInPandas(fn, schema))
+    partial = parts[0]
+    for p in parts[1:]:
+        partial = partial.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
     return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("qid", id_col, "score", "rank"))

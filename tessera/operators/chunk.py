@@ -147,12 +147,14 @@ def chunk_rows(df: DataFrame, *, text_col: str = "text", source_col: str = "sour
         prepared = F.array_join(pieces, "\n\n")
     else:
         prepared = prepare_text(t, clean, latin_sentences)
+    keep = list(keep or [])
+    # the cleaned text is projected once; the chunker references it several times
+    staged = df.select(F.col(source_col).alias("source_file"), stem.alias("__stem"), *keep,
+                       prepared.alias("__prep"))
     if engine == "arrow":
-        chunks = chunk_text_arrow(prepared, chunk_size, min_length, max_length)
+        chunks = chunk_text_arrow("__prep", chunk_size, min_length, max_length)
     else:
-        chunks = chunk_text(prepared, chunk_size, min_length, max_length, spaces_only=clean)
-    keep = list(keep or [])
-    return (df.select(F.col(source_col).alias("source_file"), stem.alias("__stem"), *keep,
-                      F.posexplode(chunks).alias("__pos", "text"))
+        chunks = chunk_text("__prep", chunk_size, min_length, max_length, spaces_only=clean)
+    return (staged.select("source_file", "__stem", *keep, F.posexplode(chunks).alias("__pos", "text"))
             .select(F.concat(F.col("__stem"), F.lit("_chunk_"), (F.col("__pos") + 1).cast("string")).alias("id"),
                     "text", "source_file", (F.col("__pos") + 1).cast("int").alias("chunk_id"), *keep))
