@@ -85,26 +85,49 @@ def embed_with_instruction(df: DataFrame, factory, template: str | None, *, text
 # ----------------------------------------------------------------- hash embedder
 
 def hash_bucket(token: Column, dim: int) -> Column:
-    h = F.md5(token)
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
+    return _bucket_of(F.md5(token), dim)
 
 
 def hash_sign(token: Column) -> Column:
-    h = F.md5(token)
+    return _sign_of(F.md5(token))
+
+
+def _bucket_of(h: Column, dim: int) -> Column:
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
+
+
+def _sign_of(h: Column) -> Column:
     return F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1)).otherwise(F.lit(-1))
 
 
-def hash_embed_cells(df: DataFrame, dim: int = 64, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """E3 in SQL: ``(id, bucket, value)`` non-zero cells of the normalised vector.
-    Tokens are pre-aggregated to cells map-side, so the shuffle carries at most ``dim`` cells
-    per document and partition."""
-    tok = df.select(F.col(id_col).alias("id"), F.explode(tokens(text_col)).alias("tok"))
-    cells = (tok.select("id", hash_bucket(F.col("tok"), dim).alias("bucket"), hash_sign(F.col("tok")).alias("s"))
-             .groupBy("id", "bucket").agg(F.sum("s").alias("w"))
+def hash_embed_grouped(df: DataFrame, dim: int = 64, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """E3 per document: ``(id, cells array<struct<bucket, w>>, norm)`` with the raw signed
+    counts.  Tokens are folded to (id, bucket) cells map-side before the first shuffle; the
+    second aggregation gathers at most ``dim`` cells per document."""
+    tok = df.select(F.col(id_col).alias("__id"), tokens(text_col).alias("__toks")) \
+        .select("__id", F.explode("__toks").alias("__t")).select("__id", F.md5("__t").alias("__h"))
+    cells = (tok.select("__id", _bucket_of(F.col("__h"), dim).alias("bucket"), _sign_of(F.col("__h")).alias("s"))
+             .groupBy("__id", "bucket").agg(F.sum("s").alias("w"))
              .filter(F.col("w") != 0))
-    norms = cells.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return (cells.join(norms, "id")
-            .select(F.col("id").alias(id_col), "bucket", (F.col("w") / F.col("nrm")).alias("value")))
+    return cells.groupBy(F.col("__id").alias(id_col)).agg(
+        F.collect_list(F.struct("bucket", "w")).alias("cells"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def hash_embed_cells(df: DataFrame, dim: int = 64, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """E3 in SQL: ``(id, bucket, value)`` non-zero cells of the normalised vector."""
+    g = hash_embed_grouped(df, dim, id_col, text_col)
+    return g.select(F.col(id_col), F.inline("cells"), "norm").select(
+        id_col, "bucket", (F.col("w") / F.col("norm")).alias("value"))
+
+
+def hash_embed_vectors(df: DataFrame, dim: int = 64, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """E3 as dense ``array<double>`` vectors (documents without tokens have no row)."""
+    g = hash_embed_grouped(df, dim, id_col, text_col)
+    m = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["bucket"], c["w"] / F.col("norm"))))
+    return g.select(F.col(id_col), m.alias("__m")).select(
+        id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                            lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0))).alias("vector"))
 
 
 class HashEmbedder:

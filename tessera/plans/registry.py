@@ -939,12 +939,8 @@ SELECT qid, id, score, lists, CAST(rank AS INTEGER) AS rank FROM (
 
 
 def _cell_vectors(df, id_col, dim=64):
-    from ..operators.embed import hash_embed_cells
-    cells = hash_embed_cells(df, dim, id_col=id_col)
-    m = F.map_from_entries(F.collect_list(F.struct("bucket", "value")))
-    return (cells.groupBy(id_col).agg(m.alias("__m"))
-            .select(F.col(id_col), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                               lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0))).alias("vector")))
+    from ..operators.embed import hash_embed_vectors
+    return hash_embed_vectors(df, dim, id_col=id_col)
 
 
 @query("hybrid_search", _HYBRID_SQL)
