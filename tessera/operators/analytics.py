@@ -30,16 +30,26 @@ CLIENT_LEVELS = (1, 10, 50, 100)
 
 def search_latency(log: DataFrame, system_col: str = "system", query_col: str = "query_id",
                    ts_col: str = "ts", latency_col: str = "latency_s", warmup: int = 100,
-                   ok_col: str | None = None) -> DataFrame:
+                   ok_col: str | None = None, request_col: str = "event_id", approx: bool = False) -> DataFrame:
     """Per system drop the first ``warmup`` requests, split the rest into cold (first
-    time a query is seen) and hot (repeats), then the A3 summary per (system, phase)."""
-    w_sys = Window.partitionBy(system_col).orderBy(ts_col, query_col)
-    w_q = Window.partitionBy(system_col, query_col).orderBy(ts_col)
-    staged = (log.withColumn("__seq", F.row_number().over(w_sys))
-              .withColumn("__occ", F.row_number().over(w_q))
-              .filter(F.col("__seq") > warmup)
-              .withColumn("phase", F.when(F.col("__occ") == 1, F.lit("cold")).otherwise(F.lit("hot"))))
-    return latency_summary(staged, [system_col, "phase"], latency_col, ok_col)
+    time a query is seen) and hot (repeats), then the A3 summary per (system, phase).
+
+    Nothing numbers a whole system: the warm-up rows are a per-system top-``warmup``
+    (partial limit before the shuffle, then broadcast: ``systems x warmup`` rows), and the
+    first request of each (system, query) comes from a combinable ``min`` aggregate, joined
+    back on the request id (uniformly distributed, so a hot query cannot skew the join)."""
+    order = [F.col(ts_col), F.col(query_col), F.col(request_col)]
+    w_sys = Window.partitionBy(system_col).orderBy(*order)
+    warm = (log.select(system_col, query_col, ts_col, request_col)
+            .withColumn("__seq", F.row_number().over(w_sys)).filter(F.col("__seq") <= warmup)
+            .select(request_col))
+    first = (log.groupBy(system_col, query_col)
+             .agg(F.min(F.struct(*order)).alias("__f"))
+             .select(F.col(f"__f.{request_col}").alias(request_col), F.lit(True).alias("__cold")))
+    staged = (log.join(F.broadcast(warm), request_col, "left_anti")
+              .join(first, request_col, "left")
+              .withColumn("phase", F.when(F.col("__cold"), F.lit("cold")).otherwise(F.lit("hot"))))
+    return latency_summary(staged, [system_col, "phase"], latency_col, ok_col, approx=approx)
 
 
 def search_throughput(log: DataFrame, system_col: str = "system", user_col: str = "user_id",
@@ -71,13 +81,14 @@ def import_summary(log: DataFrame, order_by: list[str], ts_col: str = "ts", batc
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     per = (pos.groupBy(batch_no("__pos", batch_size).alias("batch_no"))
            .agg(F.count(F.lit(1)).alias("rows"), ((F.max(us) - F.min(us)) / 1e6).alias("seconds")))
-    w = Window.orderBy("batch_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one row per batch: the running sum is over N / batch_size rows
+    # positions are dense, so every batch before the last holds exactly ``batch_size`` rows:
+    # the running total is arithmetic, no window over all batches is needed
+    before = F.col("batch_no") * F.lit(batch_size)
     return per.select(
         "batch_no", "rows", F.round("seconds", decimals).alias("seconds"),
         F.round(F.try_divide(F.col("rows").cast("double"), F.col("seconds")), decimals).alias("rows_per_second"),
-        F.sum("rows").over(w).cast("bigint").alias("rows_total"),
-        F.floor((F.sum("rows").over(w) - F.col("rows")) / F.lit(checkpoint_every)).cast("bigint").alias("checkpoint_no"))
+        (before + F.col("rows")).cast("bigint").alias("rows_total"),
+        F.floor(before / F.lit(checkpoint_every)).cast("bigint").alias("checkpoint_no"))
 
 
 def tier_label(age_days) -> F.Column:

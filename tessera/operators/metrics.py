@@ -17,11 +17,17 @@ EXTRAPOLATION_SCALES = (5_000_000, 10_000_000, 50_000_000, 100_000_000)
 
 
 def latency_summary(obs: DataFrame, group_cols: list[str], latency_col: str = "latency_s",
-                    ok_col: str | None = "ok", scale: float = 1000.0, decimals: int = 6) -> DataFrame:
-    """A3: mean, population std, min, max and exact (linearly interpolated) percentiles, in ms."""
+                    ok_col: str | None = "ok", scale: float = 1000.0, decimals: int = 6,
+                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """A3: mean, population std, min, max and exact (linearly interpolated) percentiles, in ms.
+
+    The exact ``percentile`` keeps one count per distinct value of a group (bounded by the
+    measurement resolution, not the row count); ``approx=True`` switches to
+    ``percentile_approx`` with a fixed-size sketch for logs of unbounded resolution."""
     src = obs.filter(F.col(ok_col)) if ok_col else obs
     x = F.col(latency_col) * F.lit(scale)
-    pct = F.percentile(x, F.array(*[F.lit(p) for p in PERCENTILES]))
+    probs = F.array(*[F.lit(p) for p in PERCENTILES])
+    pct = F.percentile_approx(x, probs, accuracy) if approx else F.percentile(x, probs)
     agg = src.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("samples"), F.avg(x).alias("mean_ms"), F.stddev_pop(x).alias("std_ms"),
         F.min(x).alias("min_ms"), F.max(x).alias("max_ms"), pct.alias("__p"))

@@ -25,7 +25,12 @@ def load_head(df: DataFrame, n: int | None, order_by: list[str] | str) -> DataFr
     """The first ``n`` accepted rows in input order (``None`` = all)."""
     if n is None:
         return df
-    return df.orderBy(*([order_by] if isinstance(order_by, str) else order_by)).limit(n)
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    if n < LARGE_K:
+        return df.orderBy(*keys).limit(n)
+    # a large head would be merged in one task by a top-k: number the rows distributedly
+    from .ordinals import dense_id
+    return dense_id(df, keys, name="__pos").filter(F.col("__pos") < n).drop("__pos")
 
 
 def sample_documents(df: DataFrame, k: int, seed: int = 42, id_col: str = "id",
