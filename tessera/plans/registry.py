@@ -1215,3 +1215,33 @@ def q_repeat_with_noise(spark, sf_dir):
     r = repeat_with_noise(v, 2 * n, "vec_id", sigma=0.01)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
     return r.select("id", "repeat_id", F.size("vector").cast("int").alias("dims"), F.round(norm, 4).alias("norm"))
+
+
+# ---------------------------------------------------------------------- synthetic
+
+def _d_synth(lang_expr_en: str) -> str:
+    from ..functions.synth import EN_TEMPLATES, EN_WORDS, ZH_TEMPLATES, ZH_WORDS
+
+    def arr(xs):
+        return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+    def piece(rep, tpls, words):
+        h = f"md5('42:' || doc_id || ':' || {rep})"
+        return (f"replace({arr(tpls)}[(doc_id % {len(tpls)}) + 1], '{{}}', "
+                f"{arr(words)}[(('0x' || substr({h}, 1, 8))::BIGINT % {len(words)}) + 1])")
+
+    def grown(tpls, words):
+        return (f"list_reduce(range(1, 3), lambda acc, r: CASE WHEN length(acc) < 50 THEN acc || ' ' || "
+                f"{piece('r', tpls, words)} ELSE acc END, {piece('0', tpls, words)})")
+
+    return (f"CASE WHEN {lang_expr_en} THEN {d_strip('substring(' + grown(EN_TEMPLATES, EN_WORDS) + ', 1, 200)')} "
+            f"ELSE {d_strip('substring(' + grown(ZH_TEMPLATES, ZH_WORDS) + ', 1, 200)')} END")
+
+
+@query("synth_corpus", f"SELECT doc_id, lang, {_d_synth(chr(108) + 'ang = ' + repr('en'))} AS text FROM documents")
+def q_synth_corpus(spark, sf_dir):
+    """One synthetic text per document id (English for ``en`` rows, Chinese otherwise)."""
+    from ..functions.synth import synth_text
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return d.select("doc_id", "lang", F.when(F.col("lang") == "en", synth_text("doc_id", "en"))
+                    .otherwise(synth_text("doc_id", "zh")).alias("text"))

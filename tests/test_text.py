@@ -95,3 +95,25 @@ def test_tokens_and_counts(spark):
     assert _one(spark, tx.token_count("t"), ["a b  c"]) == [6]
     assert _one(spark, tx.id_too_long("t"), ["x" * 64, "é" * 33]) == [False, True]
     assert _one(spark, tx.fuzzy_prefix(F.col("t"), F.lit(0)), ["x"]) == ["[副本1] x"]
+
+
+def test_synth_text_rules(spark):
+    from tessera.functions.synth import EN_TEMPLATES, synth_text
+    df = spark.range(0, 50).select(F.col("id"), synth_text("id", "en", 42, 50, 200).alias("t"),
+                                   synth_text("id", "zh", 42, 50, 200).alias("z"))
+    for r in df.collect():
+        assert 50 <= len(r["t"]) <= 200 and len(r["z"]) <= 200
+        head = EN_TEMPLATES[r["id"] % 10].split("{}")[0]
+        assert r["t"].startswith(head)
+    again = spark.range(0, 50).repartition(5).select("id", synth_text("id", "en").alias("t"))
+    assert sorted(map(tuple, again.collect())) == sorted((r["id"], r["t"]) for r in df.collect())
+
+
+def test_caller_tokenizer(spark):
+    from tessera.operators.tokens import count_tokens_with
+
+    def factory():
+        return lambda s: len(s.split())
+
+    df = spark.createDataFrame([("a b c",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(count_tokens_with("t", factory)).collect()] == [3, 0, 0]
