@@ -90,3 +90,38 @@ def test_expand_exact_target(spark):
     fuzzy = expand_documents(df, 23, "k", strategy="fuzzy", large_k=1)
     assert fuzzy.count() == 23
     assert fuzzy.filter(F.col("id") == "d0_fuzzy_2").first()["text"] == "[副本3] text 0"
+
+
+def test_read_corpus_dispatch(spark, tmpdir_path):
+    import os
+    p = tmpdir_path + "/j"
+    os.makedirs(p)
+    with open(p + "/a.jsonl", "w") as f:
+        f.write('{"text":"first text line"}\n{"text":7}\n{"body":"x"}\n')
+    got = [r["text"] for r in corpus.read_corpus(spark, p, "json", min_length=0).collect()]
+    assert sorted(got) == ["", "first text line"]
+    spark.createDataFrame([("hello parquet world",), (None,)], "text string").write.parquet(tmpdir_path + "/pq")
+    got = sorted(r["text"] for r in corpus.read_corpus(spark, tmpdir_path + "/pq", "parquet", min_length=0).collect())
+    assert got == ["None", "hello parquet world"]
+
+
+def test_scan_document_dir(spark, tmpdir_path):
+    import os
+    from tessera.sources.pages import assemble_pages, scan_document_dir
+    d = tmpdir_path + "/pdfs"
+    os.makedirs(d)
+    for name, body in (("a.pdf", b"p1|p2"), ("B.PDF", b"only"), ("bad.pdf", b"FAIL"), ("c.txt", b"skip")):
+        with open(f"{d}/{name}", "wb") as f:
+            f.write(body)
+
+    def extract(data: bytes):
+        if data == b"FAIL":
+            raise ValueError("unreadable")
+        return data.decode().split("|")
+
+    pages = scan_document_dir(spark, d, extract)
+    rows = sorted((r["source_file"], r["page_no"], r["page_text"]) for r in pages.collect())
+    assert rows == [("B.PDF", 1, "only"), ("a.pdf", 1, "p1"), ("a.pdf", 2, "p2")]
+    texts = {r["source_file"]: r["text"] for r in assemble_pages(pages).collect()}
+    assert texts["a.pdf"] == "p1\n\np2\n\n"
+    assert scan_document_dir(spark, tmpdir_path + "/missing", extract).count() == 0

@@ -94,3 +94,13 @@ def test_latency_percentiles_match_numpy(spark):
     ms = x * 1000
     assert abs(r["p99_ms"] - np.percentile(ms, 99)) < 1e-5
     assert abs(r["std_ms"] - ms.std()) < 1e-5
+
+
+def test_lsh_candidates_are_close(spark):
+    from tessera.operators.ann import lsh_candidates
+    v = _emb(spark)
+    q = v.select(F.col("id").alias("qid"), "vector")
+    pairs = lsh_candidates(q, v, threshold=0.5, bucket_length=0.5)
+    rows = pairs.collect()
+    assert rows and all(r["distance"] < 0.5 for r in rows)
+    assert {(r["qid"], r["id"]) for r in rows if r["qid"] == r["id"]}
