@@ -1128,6 +1128,9 @@ def q_telemetry_stream_windows(spark, sf_dir):
     emits the windows the 1-hour watermark has closed."""
     from ..session import scratch_path
     from ..streaming.telemetry import run_windows_available_now
+    # event time must be TIMESTAMP for a watermark; the table's TIMESTAMP_NTZ values are UTC
+    # wall-clock times, so the conversion (and the one back) is pinned to UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = read_table(spark, sf_dir, "events").schema
     sink = run_windows_available_now(
         spark, sf_dir, schema, scratch_path(spark, "t1sink"), scratch_path(spark, "t1ckpt"), glob="events.parquet",
