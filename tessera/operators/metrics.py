@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
+from ..functions.units import seconds_to_hours, seconds_to_minutes
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 # extrapolation scales of the embedding benchmark (vectors)
@@ -141,4 +142,5 @@ def extrapolate(df: DataFrame, throughput_col: str, scales=EXTRAPOLATION_SCALES)
     sc = F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in scales])).alias("scale")
     out = df.select("*", sc)
     secs = F.try_divide(F.col("scale").cast("double"), F.col(throughput_col))
-    return out.withColumn("seconds", secs).withColumn("minutes", secs / 60).withColumn("hours", secs / 3600)
+    return (out.withColumn("seconds", secs).withColumn("minutes", seconds_to_minutes(secs))
+            .withColumn("hours", seconds_to_hours(secs)))

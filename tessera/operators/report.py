@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.units import seconds_to_hours
 from .metrics import EXTRAPOLATION_SCALES
 
 MODEL_SCHEMA = (
@@ -93,7 +94,7 @@ def run_summary(models: DataFrame, decimals: int = 6) -> DataFrame:
         "model_name", F.round("optimal_throughput", decimals).alias("throughput"),
         F.round("single_latency_ms.p99_ms", decimals).alias("p99_ms"), "optimal_batch_size",
         F.round("gpu_memory_mb", decimals).alias("peak_memory_mb"),
-        F.round(F.col("generation_time_seconds") / 3600, decimals).alias("run_hours"),
+        F.round(seconds_to_hours("generation_time_seconds"), decimals).alias("run_hours"),
         F.round(F.col("extrapolation")["100000000"]["hours"], decimals).alias("hours_100m"))
 
 

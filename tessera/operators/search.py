@@ -27,6 +27,12 @@ _QUERY_SLICE = 1024
 def _matrix(series: pd.Series, dim: int) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, dim), dtype=np.float64)
+    try:
+        stacked = np.stack(series.to_numpy()).astype(np.float64)
+        if stacked.shape == (len(series), dim):
+            return stacked
+    except (ValueError, TypeError):
+        pass  # ragged or null rows: fill row by row (those rows stay zero = excluded)
     out = np.zeros((len(series), dim), dtype=np.float64)
     for i, v in enumerate(series):
         if v is not None and len(v) == dim:

@@ -104,3 +104,26 @@ def test_lsh_candidates_are_close(spark):
     rows = pairs.collect()
     assert rows and all(r["distance"] < 0.5 for r in rows)
     assert {(r["qid"], r["id"]) for r in rows if r["qid"] == r["id"]}
+
+
+def test_units_and_wide_resources(spark):
+    from tessera.functions.units import bytes_to_mb, percent, seconds_to_hours, seconds_to_minutes, seconds_to_ms
+    from tessera.operators.telemetry import resource_summary, resource_wide
+    r = spark.createDataFrame([(7200.0, 3 * 1048576, 25.0, 0.0)], "s double, b long, u double, z double").select(
+        seconds_to_minutes("s"), seconds_to_hours("s"), seconds_to_ms("s"), bytes_to_mb("b"),
+        percent("u", F.lit(50.0)), percent("u", "z")).first()
+    assert tuple(r) == (120.0, 2.0, 7200000.0, 3.0, 50.0, None)
+    m = spark.createDataFrame([("es", "cpu", 1.0), ("es", "cpu", 3.0), ("es", "mem", 5.0), ("mv", "cpu", 2.0)],
+                              "system string, metric string, value double")
+    wide = {r["system"]: (r["cpu"], r["mem"]) for r in resource_wide(resource_summary(m), ["cpu", "mem"]).collect()}
+    assert wide == {"es": (2.0, 5.0), "mv": (2.0, None)}
+
+
+def test_utf8_check_flags_bad_file(spark, tmpdir_path):
+    from tessera.sources.corpus import utf8_check_files
+    with open(tmpdir_path + "/good.tsv", "wb") as f:
+        f.write("1\tgood 中文\n".encode())
+    with open(tmpdir_path + "/bad.tsv", "wb") as f:
+        f.write(b"1\tbad \xff\xfe bytes\n")
+    got = {r["path"].rsplit("/", 1)[-1]: r["valid_utf8"] for r in utf8_check_files(spark, tmpdir_path, "*.tsv").collect()}
+    assert got == {"good.tsv": True, "bad.tsv": False}
