@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bounded import DEFAULT_BROADCAST_BYTES
-from .search import _matrix, _unit
+from .search import _matrix, _unit, query_blocks
 
 
 def train_cells(corpus: DataFrame, cells: int, vec_col: str = "vector", seed: int = 42,
@@ -34,25 +34,11 @@ def train_cells(corpus: DataFrame, cells: int, vec_col: str = "vector", seed: in
     return _unit(cent)[0]
 
 
-def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 16, nprobe: int = 4, *,
-            query_id: str = "qid", query_vec: str = "vector", id_col: str = "id", vec_col: str = "vector",
-            decimals: int = 6, seed: int = 42, centroids: np.ndarray | None = None,
-            max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """V7: ``(qid, id, score, rank)`` from the probed cells only."""
-    cent = centroids if centroids is not None else train_cells(corpus, cells, vec_col, seed)
-    q = queries.select(F.col(query_id).alias("__qid"), F.col(query_vec).alias("__qv"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__qv")).alias("d")).first()
-    nq, dim = int(stats["n"]), int(stats["d"] or 0)
-    if nq * (dim * 8 + 64) > max_broadcast_bytes:
-        raise ValueError("query block exceeds the broadcast bound; split the queries")
-    qpdf = q.toPandas()
+def _ivf_fn(qpdf, dim, cent, nprobe, k, decimals, id_col):
     qmat, qok = _unit(_matrix(qpdf["__qv"], dim))
     probes = np.argsort(-(qmat @ cent.T), axis=1, kind="stable")[:, :nprobe]
     qids = qpdf["__qid"].to_numpy()
     by_cell = {c: np.nonzero((probes == c).any(axis=1) & qok)[0] for c in range(cent.shape[0])}
-    schema = T.StructType([T.StructField("qid", queries.schema[query_id].dataType),
-                           T.StructField(id_col, corpus.schema[id_col].dataType),
-                           T.StructField("score", T.DoubleType())])
 
     def run(batches):
         best = None
@@ -82,7 +68,28 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 16,
         yield pd.DataFrame({"qid": qids[best["__qi"].to_numpy()], id_col: best[id_col].to_numpy(),
                             "score": best["score"].to_numpy()})
 
-    partial = corpus.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v")).mapInPandas(run, schema)
+    return run
+
+
+def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 16, nprobe: int = 4, *,
+            query_id: str = "qid", query_vec: str = "vector", id_col: str = "id", vec_col: str = "vector",
+            decimals: int = 6, seed: int = 42, centroids: np.ndarray | None = None,
+            max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """V7: ``(qid, id, score, rank)`` from the probed cells only; queries in size-bounded blocks."""
+    cent = centroids if centroids is not None else train_cells(corpus, cells, vec_col, seed)
+    q = queries.select(F.col(query_id).alias("__qid"), F.col(query_vec).alias("__qv"))
+    dim = int(q.agg(F.max(F.size("__qv"))).first()[0] or 0)
+    schema = T.StructType([T.StructField("qid", queries.schema[query_id].dataType),
+                           T.StructField(id_col, corpus.schema[id_col].dataType),
+                           T.StructField("score", T.DoubleType())])
+    src = corpus.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v"))
+    parts = [src.mapInPandas(_ivf_fn(qpdf, dim, cent, nprobe, k, decimals, id_col), schema)
+             for qpdf in query_blocks(q, "__qid", dim * 8 + 64, max_broadcast_bytes) if not qpdf.empty]
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    partial = parts[0]
+    for p in parts[1:]:
+        partial = partial.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
     return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("qid", id_col, "score", "rank"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bounded import DEFAULT_BROADCAST_BYTES
-from .search import _matrix, _unit
+from .search import _matrix, _unit, query_blocks
 
 
 def binary_codes(vec, dim: int) -> Column:
@@ -55,25 +55,12 @@ def _hamming(qc: np.ndarray, cc: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=2).astype(np.int64)
 
 
-def knn_quantized(queries: DataFrame, corpus: DataFrame, k: int = 10, oversample: int = 4, *,
-                  query_id: str = "qid", query_vec: str = "vector", id_col: str = "id",
-                  vec_col: str = "vector", decimals: int = 6,
-                  max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """V6: Hamming shortlist of ``k * oversample`` then exact cosine; ``(qid, id, hamming, score, rank)``."""
-    shortlist = k * oversample
-    q = queries.select(F.col(query_id).alias("__qid"), F.col(query_vec).alias("__qv"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__qv")).alias("d")).first()
-    nq, dim = int(stats["n"]), int(stats["d"] or 0)
-    if nq * (dim * 8 + 64) > max_broadcast_bytes:
-        raise ValueError("query block exceeds the broadcast bound; split the queries")
-    qpdf = q.toPandas()
+def _hamming_fn(qpdf, dim, shortlist, decimals, id_col):
     qraw = _matrix(qpdf["__qv"], dim)
     qcodes = _pack(qraw)
     qmat, qok = _unit(qraw)
     qids = qpdf["__qid"].to_numpy()
-    id_type = corpus.schema[id_col].dataType
-    schema = T.StructType([T.StructField("qid", queries.schema[query_id].dataType), T.StructField(id_col, id_type),
-                           T.StructField("hamming", T.LongType()), T.StructField("score", T.DoubleType())])
+    nq = len(qids)
 
     def run(batches):
         best = None
@@ -100,7 +87,31 @@ def knn_quantized(queries: DataFrame, corpus: DataFrame, k: int = 10, oversample
         yield pd.DataFrame({"qid": qids[best["__qi"].to_numpy()], id_col: best[id_col].to_numpy(),
                             "hamming": best["hamming"].to_numpy(), "score": best["score"].to_numpy()})
 
-    partial = corpus.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v")).mapInPandas(run, schema)
+    return run
+
+
+def knn_quantized(queries: DataFrame, corpus: DataFrame, k: int = 10, oversample: int = 4, *,
+                  query_id: str = "qid", query_vec: str = "vector", id_col: str = "id",
+                  vec_col: str = "vector", decimals: int = 6,
+                  max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """V6: Hamming shortlist of ``k * oversample`` then exact cosine; ``(qid, id, hamming, score, rank)``."""
+    shortlist = k * oversample
+    q = queries.select(F.col(query_id).alias("__qid"), F.col(query_vec).alias("__qv"))
+    dim = int(q.agg(F.max(F.size("__qv"))).first()[0] or 0)
+    id_type = corpus.schema[id_col].dataType
+    schema = T.StructType([T.StructField("qid", queries.schema[query_id].dataType), T.StructField(id_col, id_type),
+                           T.StructField("hamming", T.LongType()), T.StructField("score", T.DoubleType())])
+    src = corpus.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v"))
+    parts = []
+    for qpdf in query_blocks(q, "__qid", dim * 8 + 64, max_broadcast_bytes):
+        if qpdf.empty:
+            continue
+        parts.append(src.mapInPandas(_hamming_fn(qpdf, dim, shortlist, decimals, id_col), schema))
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    partial = parts[0]
+    for p in parts[1:]:
+        partial = partial.unionByName(p)
     w_short = Window.partitionBy("qid").orderBy(F.col("hamming").asc(), F.col(id_col).asc())
     short = partial.withColumn("__s", F.row_number().over(w_short)).filter(F.col("__s") <= shortlist)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), F.col(id_col).asc())

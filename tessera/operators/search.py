@@ -87,6 +87,15 @@ def _partial_topk(qmat, qok, qpart, qids, k, metric, decimals, id_name, has_part
     return run
 
 
+def query_blocks(q: DataFrame, qid_col: str, row_bytes: int, max_bytes: int):
+    """Yield pandas blocks of the query side, each within ``max_bytes`` (hash-split by id)."""
+    n = q.count()
+    nblocks = max(1, math.ceil(n * row_bytes / max_bytes))
+    for b in range(nblocks):
+        qb = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64(qid_col), F.lit(nblocks)) == b)
+        yield qb.toPandas()
+
+
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
               query_id: str = "qid", query_vec: str = "vector",
               id_col: str = "id", vec_col: str = "vector",

@@ -127,3 +127,16 @@ def test_utf8_check_flags_bad_file(spark, tmpdir_path):
         f.write(b"1\tbad \xff\xfe bytes\n")
     got = {r["path"].rsplit("/", 1)[-1]: r["valid_utf8"] for r in utf8_check_files(spark, tmpdir_path, "*.tsv").collect()}
     assert got == {"good.tsv": True, "bad.tsv": False}
+
+
+def test_quantized_and_ivf_query_blocks_agree(spark):
+    v = _emb(spark)
+    q = v.select(F.col("id").alias("qid"), "vector")
+    a = sorted(map(tuple, knn_quantized(q, v, 5).collect()))
+    b = sorted(map(tuple, knn_quantized(q, v, 5, max_broadcast_bytes=30_000).collect()))
+    assert a == b
+    from tessera.operators.ann import train_cells
+    cent = train_cells(v, 8)
+    c = sorted(map(tuple, knn_ivf(q, v, 5, nprobe=3, centroids=cent).collect()))
+    d = sorted(map(tuple, knn_ivf(q, v, 5, nprobe=3, centroids=cent, max_broadcast_bytes=30_000).collect()))
+    assert c == d
