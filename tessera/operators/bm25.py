@@ -114,10 +114,12 @@ def _score_fn(vocab_index, weights, qids, k, k1, b, avgdl, decimals, id_col, bud
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "id",
                 text_col: str = "text", query_id: str = "qid", query_text: str = "text",
-                k1: float = K1, b: float = B, decimals: int = 6,
+                k1: float = K1, b: float = B, decimals: int = 6, stats_corpus: DataFrame | None = None,
                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Top-k documents per query: ``(qid, id, score, rank)``; ties by id.  Queries are split
-    into blocks whose (vocabulary x queries) weight matrix fits ``max_broadcast_bytes``."""
+    into blocks whose (vocabulary x queries) weight matrix fits ``max_broadcast_bytes``.
+    ``stats_corpus`` (same text column) supplies N, avgdl and df when ``docs`` is a filtered
+    subset, so a filter restricts matches without changing scores."""
     qterms = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(query_text)))
                             .alias("term"))
     size = qterms.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("term").alias("v"),
@@ -133,7 +135,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
         qb = qterms if nblocks == 1 else qterms.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == blk)
         qpdf = qb.toPandas()
         vocab = sorted(set(qpdf["term"]))
-        n, avgdl, dfs = statistics_for(docs, vocab, text_col)
+        n, avgdl, dfs = statistics_for(stats_corpus if stats_corpus is not None else docs, vocab, text_col)
         idf = {t: math.log(1.0 + (n - d + 0.5) / (d + 0.5)) for t, d in dfs.items()}
         vocab = [t for t in vocab if t in idf]
         vindex = {t: j for j, t in enumerate(vocab)}

@@ -896,19 +896,22 @@ def q_knn_ivf_recall(spark, sf_dir):
                                                  search.knn_exact(q, v, 10), 10))
 
 
-_BM25_SQL = f"""
-WITH d AS (SELECT doc_id, {d_tokens('text')} AS toks FROM documents),
-st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
+_BM25_TMPL = f"""
+WITH d AS (SELECT doc_id, {d_tokens('text')} AS toks FROM DOCS),
+sd AS (SELECT doc_id, {d_tokens('text')} AS toks FROM STATDOCS),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM sd),
 q AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({d_tokens('text')}) AS term FROM benchmark)),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY doc_id, term),
 dl AS (SELECT doc_id, len(toks) AS dl FROM d),
-df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(toks) AS term FROM sd)
+       WHERE term IN (SELECT term FROM q) GROUP BY term),
 s AS (SELECT q.qid, tf.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2
         / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))), 6) AS score
       FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term JOIN dl ON dl.doc_id = tf.doc_id, st
       GROUP BY q.qid, tf.doc_id)
 SELECT qid, doc_id AS id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+_BM25_SQL = _BM25_TMPL.replace("STATDOCS", "documents").replace("DOCS", "documents")
 
 
 def _bm25(spark, sf_dir):
@@ -924,9 +927,9 @@ def q_bm25_search(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
-_HYBRID_SQL = f"""
-WITH bm AS ({_BM25_SQL}),
-dc AS ({d_cells('SELECT doc_id, text FROM documents', 'doc_id', 'text')}),
+_HYBRID_TMPL = f"""
+WITH bm AS ({_BM25_TMPL}),
+dc AS ({d_cells('SELECT doc_id, text FROM DOCS', 'doc_id', 'text')}),
 qc AS ({d_cells('SELECT item_id, text FROM benchmark', 'item_id', 'text')}),
 vs AS (SELECT qc.k AS qid, dc.k AS id, round(sum(qc.value * dc.value), 6) AS score FROM qc JOIN dc ON qc.bucket = dc.bucket
        GROUP BY qc.k, dc.k),
@@ -936,6 +939,7 @@ u AS (SELECT qid, id, 1.0 / (60 + rank) AS rrf FROM bm UNION ALL SELECT qid, id,
 f AS (SELECT qid, id, round(sum(rrf), 6) AS score, count(*) AS lists FROM u GROUP BY qid, id)
 SELECT qid, id, score, lists, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10"""
+_HYBRID_SQL = _HYBRID_TMPL.replace("STATDOCS", "documents").replace("DOCS", "documents")
 
 
 def _cell_vectors(df, id_col, dim=64):
@@ -946,16 +950,38 @@ def _cell_vectors(df, id_col, dim=64):
 @query("hybrid_search", _HYBRID_SQL)
 def q_hybrid_search(spark, sf_dir):
     """V4: BM25 top-10 and hash-vector top-10 fused by reciprocal rank (c = 60)."""
-    from ..operators.bm25 import reciprocal_rank_fusion
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _hybrid(spark, sf_dir, docs)
+
+
+def _hybrid(spark, sf_dir, docs, stats_docs=None):
+    from ..operators.bm25 import bm25_search, reciprocal_rank_fusion
     qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     dv = _cell_vectors(docs, "id")
     qv = _cell_vectors(qs, "qid")
     vec = search.knn_exact(qv, dv, 10)
-    fused = reciprocal_rank_fusion([_bm25(spark, sf_dir), vec], 10)
+    fused = reciprocal_rank_fusion([bm25_search(docs, qs, 10, stats_corpus=stats_docs), vec], 10)
     return fused.select("qid", "id", "score", "lists", F.col("rank").cast("int").alias("rank"))
 
 
+_CLEAN_DOCS = ("(SELECT * FROM documents WHERE doc_id IN "
+               "(SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0))")
+
+
+@query("hybrid_search_filtered", _HYBRID_TMPL.replace("STATDOCS", "documents").replace("DOCS", _CLEAN_DOCS))
+def q_hybrid_search_filtered(spark, sf_dir):
+    """V4 with a scalar filter in the same query: only documents labelled good quality and
+    non-toxic match (semi join with the label table; broadcast only below a measured size).
+    As in a search engine, the filter restricts matches but not the term statistics, which
+    come from the whole corpus."""
+    from ..operators.bounded import broadcast_if_small
+    ok = read_table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0)) \
+        .select(F.col("doc_id").alias("id"))
+    all_docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = all_docs.join(broadcast_if_small(ok, row_bytes=16), "id", "left_semi")
+    return _hybrid(spark, sf_dir, docs, stats_docs=all_docs)
+
+
 @query("usage_top_terms", f"""
 SELECT term, count(*) AS count FROM (SELECT unnest({d_tokens('text')}) AS term FROM documents)
 GROUP BY term ORDER BY count DESC, term LIMIT 20""")
