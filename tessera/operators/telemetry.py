@@ -56,9 +56,9 @@ def resource_wide(summary: DataFrame, metrics: list[str], stat: str = "avg") ->
 def telemetry_windows(t: DataFrame, ts_col: str = "ts", device_col: str = "gpu_id",
                       mem_col: str = "memory_used_mb", window: str = "1 hour", slide: str | None = None,
                       decimals: int = 6) -> DataFrame:
-    """T1 batch form: peak / average per device per tumbling (or sliding) window."""
-    w = F.window(F.col(ts_col).cast("timestamp"), window, slide) if slide else \
-        F.window(F.col(ts_col).cast("timestamp"), window)
+    """T1 batch form: peak / average per device per tumbling (or sliding) window.  The window
+    keeps the event-time type (``TIMESTAMP_NTZ`` windows are wall-clock, no time zone)."""
+    w = F.window(F.col(ts_col), window, slide) if slide else F.window(F.col(ts_col), window)
     return (t.groupBy(w.alias("w"), F.col(device_col))
             .agg(F.count(F.lit(1)).alias("snapshots"), F.max(mem_col).alias("peak_mb"),
                  F.round(F.avg(mem_col), decimals).alias("avg_mb"))

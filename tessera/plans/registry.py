@@ -230,14 +230,15 @@ def _d_classify(v: str) -> str:
 @query("validate_collection", f"""
 WITH l AS ({_RAW_LINES_SQL}),
 c AS (SELECT {_d_classify('value')} AS kind, string_split({d_strip('value')}, chr(9)) AS p FROM l)
-SELECT count(*) AS total_lines, count_if(kind = 'valid') AS valid_lines, count_if(kind = 'blank') AS empty_lines,
-  count_if(kind = 'malformed') AS malformed_lines,
+SELECT count(*) AS total_lines, CAST(count_if(kind = 'valid') AS BIGINT) AS valid_lines,
+  CAST(count_if(kind = 'blank') AS BIGINT) AS empty_lines,
+  CAST(count_if(kind = 'malformed') AS BIGINT) AS malformed_lines,
   count(DISTINCT CASE WHEN kind = 'valid' THEN p[1] END) AS unique_ids,
   round(avg(CASE WHEN kind = 'valid' THEN length(p[2]) END), 6) AS avg_length,
   CAST(min(CASE WHEN kind = 'valid' THEN length(p[2]) END) AS BIGINT) AS min_length,
   CAST(max(CASE WHEN kind = 'valid' THEN length(p[2]) END) AS BIGINT) AS max_length,
-  count_if(kind = 'valid' AND octet_length(encode(p[1])) > 64) AS ids_over_64_bytes,
-  count_if(kind = 'valid') - count(DISTINCT CASE WHEN kind = 'valid' THEN p[1] END) AS duplicate_ids,
+  CAST(count_if(kind = 'valid' AND octet_length(encode(p[1])) > 64) AS BIGINT) AS ids_over_64_bytes,
+  CAST(count_if(kind = 'valid') - count(DISTINCT CASE WHEN kind = 'valid' THEN p[1] END) AS BIGINT) AS duplicate_ids,
   count_if(kind = 'malformed') = 0 AND count_if(kind = 'valid') > 0 AS passed
 FROM c""")
 def q_validate_collection(spark, sf_dir):
@@ -254,7 +255,8 @@ SELECT id, doc_id, pos, occurrence FROM (
 def q_duplicate_ids(spark, sf_dir):
     from ..operators.validate import duplicate_id_lines
     dup = duplicate_id_lines(_raw_lines(spark, sf_dir), ["doc_id", "pos"])
-    return dup.select("id", "doc_id", "pos", F.col("occurrence").cast("bigint").alias("occurrence"))
+    return dup.select("id", "doc_id", F.col("pos").cast("bigint").alias("pos"),
+                      F.col("occurrence").cast("bigint").alias("occurrence"))
 
 
 @query("first_malformed_lines", f"""
@@ -562,7 +564,8 @@ def d_latency(src: str, keys: str) -> str:
 FROM ({src}) WHERE ok GROUP BY {keys}"""
 
 
-_THR = f"""SELECT model, batch_size, count_if(ok) AS calls_ok, count_if(NOT ok) AS calls_failed,
+_THR = f"""SELECT model, batch_size, CAST(count_if(ok) AS BIGINT) AS calls_ok,
+  CAST(count_if(NOT ok) AS BIGINT) AS calls_failed,
   round(avg(CASE WHEN ok THEN latency_s END), 6) AS avg_latency,
   round(stddev_pop(CASE WHEN ok THEN latency_s END), 6) AS std_latency,
   round(min(CASE WHEN ok THEN latency_s END), 6) AS min_latency,
