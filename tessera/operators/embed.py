@@ -36,13 +36,15 @@ def _resolve(factory) -> Callable:
 
 def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]], *,
           text_col: str = "text", id_col: str = "id", dim: int | None = None,
-          batch_size: int = 128, on_error: str = "fail", keep: list[str] | None = None) -> DataFrame:
+          batch_size: int = 128, on_error: str = "fail", keep: list[str] | None = None,
+          max_concurrency: int | None = None) -> DataFrame:
     """``(id, [keep...], vector array<float>, ok)``.
 
     ``on_error='fail'`` fails the job on any failed batch (export policy);
     ``on_error='null'`` keeps the rows of a failed batch with a null vector and
     ``ok=false`` (store policy, counted downstream).  Rows stay keyed by id, so results
-    can never be paired with the wrong document.
+    can never be paired with the wrong document.  ``max_concurrency`` bounds the number of
+    tasks calling the model at once (the reference's in-flight request limit).
     """
     if on_error not in ("fail", "null"):
         raise ValueError("on_error must be 'fail' or 'null'")
@@ -51,6 +53,9 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
         T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("ok", T.BooleanType())]
     schema = T.StructType(fields)
     sel = df.select(F.col(id_col), *keep, F.col(text_col).alias("__t"))
+    if max_concurrency:
+        # at most this many tasks call the model at once (coalesce: no shuffle of the texts)
+        sel = sel.coalesce(max_concurrency)
 
     def run(batches):
         fn = _resolve(factory)

@@ -17,21 +17,26 @@ class CountMismatch(ValueError):
 
 def attach_vectors(docs: DataFrame, vectors: DataFrame, on: str = "id",
                    on_missing: str = "error", vector_col: str = "vector") -> DataFrame:
-    """Document k with vector k, keyed by id (never by position).  One job counts
-    documents, vectors and matches; ``on_missing='error'`` raises on any difference,
-    ``'drop'`` keeps the matched rows."""
+    """Document k with vector k, keyed by id (never by position).
+
+    ``on_missing='error'``: one full outer join is materialised (reliable checkpoint), the
+    counts of documents, vectors and matches are read from it, and any difference raises;
+    the matched rows come from the same materialised join, so the documents are shuffled
+    once.  ``'drop'`` is a plain inner join."""
     v = vectors.select(F.col(on), F.col(vector_col).alias("vector"))
-    if on_missing == "error":
-        flags = (docs.select(F.col(on), F.lit(True).alias("__d"))
-                 .join(v.select(F.col(on), F.lit(True).alias("__v")), on, "full_outer"))
-        c = flags.agg(F.count_if(F.col("__d")).alias("docs"), F.count_if(F.col("__v")).alias("vecs"),
-                      F.count_if(F.col("__d") & F.col("__v")).alias("both")).first()
-        if not (c["docs"] == c["vecs"] == c["both"]):
-            raise CountMismatch(f"Documents count ({c['docs']}) != vectors count ({c['vecs']}); "
-                                f"{c['both']} ids match")
-    elif on_missing != "drop":
+    if on_missing == "drop":
+        return docs.join(v, on, "inner")
+    if on_missing != "error":
         raise ValueError("on_missing must be 'error' or 'drop'")
-    return docs.join(v, on, "inner")
+    from ..session import cut_lineage
+    both = cut_lineage(docs.withColumn("__d", F.lit(True))
+                       .join(v.withColumn("__v", F.lit(True)), on, "full_outer"))
+    c = both.agg(F.count_if(F.col("__d")).alias("docs"), F.count_if(F.col("__v")).alias("vecs"),
+                 F.count_if(F.col("__d") & F.col("__v")).alias("both")).first()
+    if not (c["docs"] == c["vecs"] == c["both"]):
+        raise CountMismatch(f"Documents count ({c['docs']}) != vectors count ({c['vecs']}); "
+                            f"{c['both']} ids match")
+    return both.drop("__d", "__v")
 
 
 def format_action(id_col: Column, index_name: str) -> Column:

@@ -125,3 +125,21 @@ def test_scan_document_dir(spark, tmpdir_path):
     texts = {r["source_file"]: r["text"] for r in assemble_pages(pages).collect()}
     assert texts["a.pdf"] == "p1\n\np2\n\n"
     assert scan_document_dir(spark, tmpdir_path + "/missing", extract).count() == 0
+
+
+def test_expand_partition_invariant(spark):
+    df = spark.createDataFrame([(f"d{i}", f"t{i}", i) for i in range(37)], "id string, text string, k int")
+    ref = None
+    for parts in (1, 4, 16):
+        got = sorted(r["id"] for r in expand_documents(df.repartition(parts), 100, "k").collect())
+        assert len(got) == 100
+        ref = ref or got
+        assert got == ref
+
+
+def test_validate_check_lines_cut(spark):
+    from tessera.operators.validate import validate_collection
+    rows = ["1\tgood line one", "bad", "2\tgood line two", "alsobad"]
+    df = spark.createDataFrame([(v, i + 1) for i, v in enumerate(rows)], "value string, line int")
+    r = validate_collection(df, check_lines=2, line_no_col="line").first()
+    assert (r["total_lines"], r["valid_lines"], r["malformed_lines"]) == (4, 1, 1)

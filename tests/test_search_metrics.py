@@ -140,3 +140,11 @@ def test_quantized_and_ivf_query_blocks_agree(spark):
     c = sorted(map(tuple, knn_ivf(q, v, 5, nprobe=3, centroids=cent).collect()))
     d = sorted(map(tuple, knn_ivf(q, v, 5, nprobe=3, centroids=cent, max_broadcast_bytes=30_000).collect()))
     assert c == d
+
+
+def test_latency_approx_switch(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random(5000)
+    df = spark.createDataFrame([("a", float(v), True) for v in x], "model string, latency_s double, ok boolean")
+    r = latency_summary(df, ["model"], approx=True).first()
+    assert abs(r["p50_ms"] - np.percentile(x * 1000, 50)) < 5.0
