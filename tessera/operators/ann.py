@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .bounded import DEFAULT_BROADCAST_BYTES
 from .search import _matrix, _unit, query_blocks
 
@@ -76,6 +77,7 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 16,
             decimals: int = 6, seed: int = 42, centroids: np.ndarray | None = None,
             max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """V7: ``(qid, id, score, rank)`` from the probed cells only; queries in size-bounded blocks."""
+    ship_package(corpus.sparkSession)
     cent = centroids if centroids is not None else train_cells(corpus, cells, vec_col, seed)
     q = queries.select(F.col(query_id).alias("__qid"), F.col(query_vec).alias("__qv"))
     dim = int(q.agg(F.max(F.size("__qv"))).first()[0] or 0)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_SPLIT, tokens
+from ..session import ship_package
 from .bounded import DEFAULT_BROADCAST_BYTES
 
 K1, B = 1.2, 0.75
@@ -120,6 +121,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
     into blocks whose (vocabulary x queries) weight matrix fits ``max_broadcast_bytes``.
     ``stats_corpus`` (same text column) supplies N, avgdl and df when ``docs`` is a filtered
     subset, so a filter restricts matches without changing scores."""
+    ship_package(docs.sparkSession)
     qterms = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(query_text)))
                             .alias("term"))
     size = qterms.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("term").alias("v"),

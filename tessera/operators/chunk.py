@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..functions.text import clean_text, py_strip, sentence_marks_to_cjk, split_paragraphs, split_sentences
 
 _P, _R, _S = 0, 1, 2
@@ -115,6 +116,7 @@ def chunk_text_arrow(text, chunk_size: int = 512, min_length: int = 10, max_leng
     about 3x faster than the interpreted higher-order fold on long documents; both are tested
     to give identical chunks."""
     t = F.col(text) if isinstance(text, str) else text
+    ship_package()
 
     @F.pandas_udf("array<string>")
     def _chunks(s: pd.Series) -> pd.Series:

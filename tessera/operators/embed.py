@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_SPLIT, tokens, wrap_instruction
+from ..session import ship_package
 
 # one embedding function per Python worker and factory
 _WORKER_CACHE: dict[object, Callable] = {}
@@ -48,6 +49,7 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
     """
     if on_error not in ("fail", "null"):
         raise ValueError("on_error must be 'fail' or 'null'")
+    ship_package(df.sparkSession)
     keep = list(keep or [])
     fields = [df.schema[id_col]] + [df.schema[k] for k in keep] + [
         T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("ok", T.BooleanType())]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .bounded import DEFAULT_BROADCAST_BYTES
 from .search import _matrix, _unit, query_blocks
 
@@ -96,6 +97,7 @@ def knn_quantized(queries: DataFrame, corpus: DataFrame, k: int = 10, oversample
                   max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """V6: Hamming shortlist of ``k * oversample`` then exact cosine; ``(qid, id, hamming, score, rank)``."""
     shortlist = k * oversample
+    ship_package(corpus.sparkSession)
     q = queries.select(F.col(query_id).alias("__qid"), F.col(query_vec).alias("__qv"))
     dim = int(q.agg(F.max(F.size("__qv"))).first()[0] or 0)
     id_type = corpus.schema[id_col].dataType

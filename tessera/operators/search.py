@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .bounded import DEFAULT_BROADCAST_BYTES
 
 # corpus rows x query rows handled per numpy product (bounds task memory)
@@ -109,6 +110,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     if metric not in ("cosine", "dot"):
         raise ValueError("metric must be 'cosine' or 'dot'")
     spark = corpus.sparkSession
+    ship_package(spark)
     qcols = [F.col(query_id).alias("__qid"), F.col(query_vec).alias("__qv")]
     if partition_col:
         qcols.append(F.col(partition_col).alias("__qp"))

@@ -13,12 +13,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 _CACHE: dict[object, Callable] = {}
 
 
 def count_tokens_with(text, factory: Callable[[], Callable[[str], int]]) -> Column:
     """Tokens per text from ``factory()`` (a ``str -> int`` counter); null text counts 0."""
     key = getattr(factory, "cache_key", None) or id(factory)
+    ship_package()
 
     @F.pandas_udf("long")
     def _count(s: pd.Series) -> pd.Series:

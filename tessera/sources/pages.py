@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 PAGE_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()),
     T.StructField("page_no", T.IntegerType()),
@@ -39,6 +41,7 @@ def scan_document_dir(spark: SparkSession, directory: str,
     """List ``*.pdf``/``*.PDF`` once (distinct paths) and run the caller's page
     extractor per file inside ``mapInPandas``; a file that fails yields no pages and the run
     goes on; a missing directory yields an empty table."""
+    ship_package(spark)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(directory)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
