@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Whitespace removed by Python's str.strip(), derived by rule: every code point for which
+# str.isspace() holds (29 of them: TAB..CR, U+001C-U+001F, SPACE, NEL, NBSP and the other
+# Unicode space separators; not U+200B or U+FEFF).
+STRIP_CHARS = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+STRIP_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in STRIP_CHARS) + "]"
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for identical results.
-# Whitespace removed by Python's str.strip(): the Java \s set plus VT, the
-# information separators U+001C-U+001F, NEL U+0085 and every Unicode space
-# separator (category Z).  U+200B and U+FEFF are not in it.
-STRIP_CLASS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 # Characters kept by the cleaning step: CJK U+4E00-U+9FA5, ASCII letters and
 # digits, the space, and the punctuation ，。！？；：、"（）【】《》 (ASCII double
 # quote kept, apostrophe removed).
@@ -31,16 +32,14 @@ FUZZY_OPEN, FUZZY_CLOSE = "[副本", "] "
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # ---------------------------------------------------------------------------
 
-_STRIP_RE = rf"^{STRIP_CLASS}+|{STRIP_CLASS}+\z"
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` on a string column."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    """Python ``str.strip()`` on a string column (``btrim`` with the whitespace set:
+    no regex)."""
+    return F.btrim(_c(c), F.lit(STRIP_CHARS))
 
 
 def flatten_text(c, replace_cr: bool = False) -> Column:
