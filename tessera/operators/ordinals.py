@@ -22,11 +22,15 @@ def _range_bucket(df: DataFrame, order_by: list[str], buckets: int) -> DataFrame
     key = order_by[0]
     if len(order_by) == 1 and isinstance(df.schema[key].dataType, _NUMERIC) and buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(x for x in df.approxQuantile(key, probs, 0.001) if x is not None))
-        b = F.lit(0)
-        for c in cuts:
-            b = b + F.when(F.col(key) > F.lit(c), 1).otherwise(0)
-        return df.withColumn("__b", b)
+        cuts = sorted(set(float(x) for x in df.approxQuantile(key, probs, 0.001) if x is not None))
+        if not cuts:
+            return df.withColumn("__b", F.lit(0))
+        # binary search over the cut points (JVM); any monotone bucketing keeps the order
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf")] + cuts + [float("inf")]
+        b = Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd", handleInvalid="keep")
+        out = b.transform(df.withColumn("__kd", F.col(key).cast("double")))
+        return out.withColumn("__b", F.col("__bd").cast("int")).drop("__kd", "__bd")
     if buckets <= 1:
         return df.withColumn("__b", F.lit(0))
     ranged = df.repartitionByRange(buckets, *order_by).withColumn("__b", F.spark_partition_id())
