@@ -1276,3 +1276,37 @@ def q_synth_corpus(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     return d.select("doc_id", "lang", F.when(F.col("lang") == "en", synth_text("doc_id", "en"))
                     .otherwise(synth_text("doc_id", "zh")).alias("text"))
+
+
+# ------------------------------------------------------------------ end-to-end flows
+
+@query("prepare_collection", f"""
+WITH a AS (SELECT t FROM (SELECT {d_flatten("coalesce(text, 'None')")} AS t FROM documents)
+           WHERE length(t) BETWEEN 10 AND 512)
+SELECT count(*) AS total_lines, count(*) AS valid_lines, CAST(0 AS BIGINT) AS empty_lines,
+  CAST(0 AS BIGINT) AS malformed_lines, count(*) AS unique_ids, round(avg(length(t)), 6) AS avg_length,
+  CAST(min(length(t)) AS BIGINT) AS min_length, CAST(max(length(t)) AS BIGINT) AS max_length,
+  CAST(0 AS BIGINT) AS ids_over_64_bytes, CAST(0 AS BIGINT) AS duplicate_ids, count(*) > 0 AS passed FROM a""")
+def q_prepare_collection(spark, sf_dir):
+    """Raw table -> accepted texts -> dense ids -> TSV -> validation of the written files."""
+    from ..session import scratch_path
+    from ..sources import corpus
+    from .corpus_preparation import prepare_collection
+    accepted = corpus.read_parquet_text(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return prepare_collection(spark, accepted, scratch_path(spark, "prepared"), "doc_id").drop("path")
+
+
+@query("document_export_run")
+def q_document_export_run(spark, sf_dir):
+    """Conversation turns as pages through the whole export flow; run statistics and their
+    rates (timings: rows-only check)."""
+    from ..operators.embed import hash_embedder_factory
+    from ..operators.metrics import pipeline_rates
+    from ..session import scratch_path
+    from .document_export import export_documents
+    pages = read_table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("source_file"),
+        F.col("turn").cast("int").alias("page_no"), F.col("text").alias("page_text"))
+    run = export_documents(spark, pages, scratch_path(spark, "export"), hash_embedder_factory(64), 64,
+                           target_count=10_000, latin_sentences=True)
+    return run.join(pipeline_rates(run), "run_id")
