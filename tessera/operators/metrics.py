@@ -114,7 +114,7 @@ def rate(num, den) -> Column:
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
 
 
-def pipeline_rates(runs: DataFrame, decimals: int = 6) -> DataFrame:
+def run_rates(runs: DataFrame, decimals: int = 6) -> DataFrame:
     """Per run: docs/s, vectors/s, tokens/s over the total time, tokens / embedding time."""
     return runs.select(
         "run_id",

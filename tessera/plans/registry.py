@@ -729,16 +729,16 @@ _RUNS = f"""SELECT CAST(ts AS DATE) AS run_id, count(*) AS total_documents, coun
 FROM ({_REQ}) GROUP BY CAST(ts AS DATE)"""
 
 
-@query("pipeline_rates", f"""
+@query("run_rates", f"""
 SELECT run_id, round(total_documents / total_time_seconds, 6) AS docs_per_second,
   round(total_vectors / total_time_seconds, 6) AS vectors_per_second,
   round(total_tokens / total_time_seconds, 6) AS tokens_per_second,
   round(total_tokens / vectorization_time, 6) AS token_throughput,
   round(total_tokens / total_documents, 6) AS avg_tokens_per_doc
 FROM ({_RUNS})""")
-def q_pipeline_rates(spark, sf_dir):
-    from ..operators.metrics import pipeline_rates
-    return pipeline_rates(_runs(spark, sf_dir))
+def q_run_rates(spark, sf_dir):
+    from ..operators.metrics import run_rates
+    return run_rates(_runs(spark, sf_dir))
 
 
 @query("stage_breakdown", f"""
@@ -1301,7 +1301,7 @@ def q_document_export_run(spark, sf_dir):
     """Conversation turns as pages through the whole export flow; run statistics and their
     rates (timings: rows-only check)."""
     from ..operators.embed import hash_embedder_factory
-    from ..operators.metrics import pipeline_rates
+    from ..operators.metrics import run_rates
     from ..session import scratch_path
     from .document_export import export_documents
     pages = read_table(spark, sf_dir, "conversations").select(
@@ -1309,4 +1309,4 @@ def q_document_export_run(spark, sf_dir):
         F.col("turn").cast("int").alias("page_no"), F.col("text").alias("page_text"))
     run = export_documents(spark, pages, scratch_path(spark, "export"), hash_embedder_factory(64), 64,
                            target_count=10_000, latin_sentences=True)
-    return run.join(pipeline_rates(run), "run_id")
+    return run.join(run_rates(run), "run_id")
