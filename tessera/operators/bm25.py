@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_SPLIT, tokens
 from ..session import ship_package
-from .bounded import DEFAULT_BROADCAST_BYTES
+from .bounded import DEFAULT_BROADCAST_BYTES, spread
 
 K1, B = 1.2, 0.75
 
@@ -131,7 +131,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
     qtype = queries.schema[query_id].dataType
     schema = T.StructType([T.StructField("qid", qtype), T.StructField(id_col, id_type),
                            T.StructField("score", T.DoubleType())])
-    src = docs.select(F.col(id_col), F.col(text_col).alias("__t"))
+    src = spread(docs.select(F.col(id_col), F.col(text_col).alias("__t")))
     parts = []
     for blk in range(nblocks):
         qb = qterms if nblocks == 1 else qterms.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == blk)

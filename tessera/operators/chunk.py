@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .bounded import spread
 from ..functions.text import clean_text, py_strip, sentence_marks_to_cjk, split_paragraphs, split_sentences
 
 _P, _R, _S = 0, 1, 2
@@ -151,8 +152,8 @@ def chunk_rows(df: DataFrame, *, text_col: str = "text", source_col: str = "sour
         prepared = prepare_text(t, clean, latin_sentences)
     keep = list(keep or [])
     # the cleaned text is projected once; the chunker references it several times
-    staged = df.select(F.col(source_col).alias("source_file"), stem.alias("__stem"), *keep,
-                       prepared.alias("__prep"))
+    staged = spread(df).select(F.col(source_col).alias("source_file"), stem.alias("__stem"), *keep,
+                               prepared.alias("__prep"))
     if engine == "arrow":
         chunks = chunk_text_arrow("__prep", chunk_size, min_length, max_length)
     else:

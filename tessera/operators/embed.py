@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_SPLIT, tokens, wrap_instruction
 from ..session import ship_package
+from .bounded import spread
 
 # one embedding function per Python worker and factory
 _WORKER_CACHE: dict[object, Callable] = {}
@@ -55,6 +56,8 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
         T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("ok", T.BooleanType())]
     schema = T.StructType(fields)
     sel = df.select(F.col(id_col), *keep, F.col(text_col).alias("__t"))
+    if not max_concurrency:
+        sel = spread(sel)
     if max_concurrency:
         # at most this many tasks call the model at once (coalesce: no shuffle of the texts)
         sel = sel.coalesce(max_concurrency)
@@ -111,7 +114,7 @@ def hash_embed_grouped(df: DataFrame, dim: int = 64, id_col: str = "id", text_co
     """E3 per document: ``(id, cells array<struct<bucket, w>>, norm)`` with the raw signed
     counts.  Tokens are folded to (id, bucket) cells map-side before the first shuffle; the
     second aggregation gathers at most ``dim`` cells per document."""
-    tok = df.select(F.col(id_col).alias("__id"), tokens(text_col).alias("__toks")) \
+    tok = spread(df).select(F.col(id_col).alias("__id"), tokens(text_col).alias("__toks")) \
         .select("__id", F.explode("__toks").alias("__t")).select("__id", F.md5("__t").alias("__h"))
     cells = (tok.select("__id", _bucket_of(F.col("__h"), dim).alias("bucket"), _sign_of(F.col("__h")).alias("s"))
              .groupBy("__id", "bucket").agg(F.sum("s").alias("w"))
