@@ -39,7 +39,7 @@ def _resolve(factory) -> Callable:
 def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]], *,
           text_col: str = "text", id_col: str = "id", dim: int | None = None,
           batch_size: int = 128, on_error: str = "fail", keep: list[str] | None = None,
-          max_concurrency: int | None = None) -> DataFrame:
+          max_concurrency: int | None = None, vector_type: str = "float") -> DataFrame:
     """``(id, [keep...], vector array<float>, ok)``.
 
     ``on_error='fail'`` fails the job on any failed batch (export policy);
@@ -47,13 +47,16 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
     ``ok=false`` (store policy, counted downstream).  Rows stay keyed by id, so results
     can never be paired with the wrong document.  ``max_concurrency`` bounds the number of
     tasks calling the model at once (the reference's in-flight request limit).
+    ``vector_type='double'`` keeps float64 vectors (default float32, P15).
     """
     if on_error not in ("fail", "null"):
         raise ValueError("on_error must be 'fail' or 'null'")
     ship_package(df.sparkSession)
     keep = list(keep or [])
     fields = [df.schema[id_col]] + [df.schema[k] for k in keep] + [
-        T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("ok", T.BooleanType())]
+        T.StructField("vector", T.ArrayType(T.FloatType() if vector_type == "float" else T.DoubleType())),
+        T.StructField("ok", T.BooleanType())]
+    np_type = np.float32 if vector_type == "float" else np.float64
     schema = T.StructType(fields)
     sel = df.select(F.col(id_col), *keep, F.col(text_col).alias("__t"))
     if not max_concurrency:
@@ -69,7 +72,7 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
                 part = pdf.iloc[s:s + batch_size]
                 texts = [t if t is not None else "" for t in part["__t"]]
                 try:
-                    vecs = np.asarray(fn(texts), dtype=np.float32)
+                    vecs = np.asarray(fn(texts), dtype=np_type)
                     if vecs.shape[0] != len(texts) or (dim is not None and vecs.shape[1] != dim):
                         raise ValueError(f"embedding batch shape {vecs.shape} for {len(texts)} texts")
                     vcol, ok = list(vecs), True

@@ -945,8 +945,11 @@ _HYBRID_SQL = _HYBRID_TMPL.replace("STATDOCS", "documents").replace("DOCS", "doc
 
 
 def _cell_vectors(df, id_col, dim=64):
-    from ..operators.embed import hash_embed_vectors
-    return hash_embed_vectors(df, dim, id_col=id_col)
+    """Hash-embedder vectors in float64 through the map-only embedder (no shuffle); equal to
+    the SQL cells of ``hash_embed_vectors``."""
+    from ..operators.embed import embed, hash_embedder_factory
+    return embed(df, hash_embedder_factory(dim), id_col=id_col, dim=dim, vector_type="double") \
+        .select(id_col, "vector")
 
 
 @query("hybrid_search", _HYBRID_SQL)
