@@ -38,11 +38,17 @@ def _range_bucket(df: DataFrame, order_by: list[str], buckets: int) -> DataFrame
 
 
 def dense_id(df: DataFrame, order_by: list[str] | str, name: str = "n", start: int = 0,
-             buckets: int | None = None, materialize: bool = False) -> DataFrame:
+             buckets: int | None = None, materialize: bool = False, bucket_prefix: int = 0) -> DataFrame:
     """O1: ``start, start+1, ...`` over ``order_by`` (dense, gap-free, layout-independent).
     The input is read up to three times (cut points, range counts, numbering);
-    ``materialize`` checkpoints it first when it is expensive to recompute."""
+    ``materialize`` checkpoints it first when it is expensive to recompute.
+
+    ``bucket_prefix=k``: the first ``k`` order columns already cut the rows into bounded
+    groups (e.g. file and split offset of a line: one group is at most one input split), so
+    those groups are the ranges — no cut points, no range shuffle, no checkpoint."""
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
+    if bucket_prefix:
+        return _dense_by_groups(df, order_by, bucket_prefix, name, start)
     if materialize:
         df = cut_lineage(df)
     if buckets is None:
@@ -60,6 +66,20 @@ def dense_id(df: DataFrame, order_by: list[str] | str, name: str = "n", start: i
             .drop("__b", "__off"))
 
 
+def _dense_by_groups(df: DataFrame, order_by: list[str], prefix: int, name: str, start: int) -> DataFrame:
+    from .bounded import broadcast_if_small
+    keys, rest = order_by[:prefix], order_by[prefix:]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
+    # one row per group (per input split): the running count is over a small table
+    w_all = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("__c").over(w_all), F.lit(0)).alias("__off"))
+    offsets = broadcast_if_small(offsets, row_bytes=160)
+    w = Window.partitionBy(*keys).orderBy(*(rest or keys))
+    return (df.join(offsets, keys)
+            .withColumn(name, (F.row_number().over(w) - 1 + F.col("__off") + F.lit(start)).cast("bigint"))
+            .drop("__off"))
+
+
 def duplicate_occurrences(df: DataFrame, id_col: str, order_by: list[str]) -> DataFrame:
     """O2: every occurrence of an id after its first one, in line order."""
     w = Window.partitionBy(id_col).orderBy(*order_by)

@@ -182,7 +182,7 @@ def q_convert_json_corpus(spark, sf_dir):
     (read_table(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
      .select(F.to_json(F.struct("text")).alias("value")).write.text(path))
     texts = corpus.read_json_text(corpus.read_lines(spark, path))
-    return dense_id(texts, corpus.LINE_ORDER, name="id").select("id", "text")
+    return dense_id(texts, corpus.LINE_ORDER, name="id", bucket_prefix=2).select("id", "text")
 
 
 @query("corpus_head_100", f"""

@@ -34,7 +34,7 @@ def read_bulk_ndjson(spark: SparkSession, path: str, doc_schema: str,
     parsed = rec.select("__file", "__block", "__row",
                         F.from_json(action, ACTION_SCHEMA).alias("a"),
                         F.from_json(F.col("__l")[1], doc_schema).alias("doc"))
-    numbered = dense_id(parsed, ["__file", "__block", "__row"], name="pos")
+    numbered = dense_id(parsed, ["__file", "__block", "__row"], name="pos", bucket_prefix=2)
     idx = F.lit(index_override) if index_override else F.col("a.index._index")
     return numbered.select("pos", idx.alias("_index"), F.col("a.index._id").alias("_id"), "doc")
 

@@ -143,3 +143,11 @@ def test_validate_check_lines_cut(spark):
     df = spark.createDataFrame([(v, i + 1) for i, v in enumerate(rows)], "value string, line int")
     r = validate_collection(df, check_lines=2, line_no_col="line").first()
     assert (r["total_lines"], r["valid_lines"], r["malformed_lines"]) == (4, 1, 1)
+
+
+def test_dense_id_by_groups_matches_global(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 3000).select((F.col("id") % 7).alias("f"), (F.col("id") * 13 % 3001).alias("r"))
+    a = sorted((r["f"], r["r"], r["n"]) for r in dense_id(df, ["f", "r"], name="n", bucket_prefix=1).collect())
+    b = sorted((r["f"], r["r"], r["n"]) for r in dense_id(df, ["f", "r"], name="n", buckets=4).collect())
+    assert a == b and [x[2] for x in sorted(a, key=lambda t: t[2])] == list(range(3000))
