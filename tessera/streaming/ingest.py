@@ -4,7 +4,8 @@ New collection files -> S1 parsing -> de-duplication by id (exact, keyed state;
 ingest-time watermark for bounded state) -> embedding -> append to the store.  Each
 micro-batch is written to its own directory ``batch=<id>`` with overwrite, so a replayed batch
 (after a failure between the write and the checkpoint commit) replaces its own output instead
-of duplicating it; positions continue after the last position of all earlier batches.
+of duplicating it; positions continue after the last position of all earlier batches, read
+from a one-row-per-batch ledger (also overwritten per batch).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.embed import embed
 from ..operators.ordinals import dense_id
+from ..session import cut_lineage
 from ..sources.corpus import parse_collection
 
 
@@ -38,18 +40,25 @@ def incremental_ingest(spark: SparkSession, source_dir: str, store_root: str, fa
         coll = coll.dropDuplicates(["id"])
     out_root = stream_store_path(store_root)
 
+    ledger = f"{store_root.rstrip('/')}/_ledger"
+
     def write(batch: DataFrame, batch_id: int):
         sp = batch.sparkSession
+        # the ledger holds one tiny row per committed batch (first position, rows), so the
+        # next start position never requires scanning the stored vectors
         try:
-            earlier = (sp.read.parquet(out_root).filter(F.col("batch") < batch_id)
-                       .agg(F.max("pos")).first()[0])
-        except Exception:  # noqa: BLE001  first batch: nothing written yet
-            earlier = None
-        start = 0 if earlier is None else int(earlier) + 1
-        vec = embed(batch, factory, dim=dim, on_error="null").select("id", "vector")
+            prev = (sp.read.parquet(ledger).filter(F.col("batch") < batch_id)
+                    .agg(F.max(F.col("first_pos") + F.col("rows"))).first()[0])
+        except Exception:  # noqa: BLE001  first batch: no ledger yet
+            prev = None
+        start = 0 if prev is None else int(prev)
+        vec = cut_lineage(embed(batch, factory, dim=dim, on_error="null").select("id", "vector"))
         numbered = dense_id(vec, "id", name="__o")
         (numbered.select((F.col("__o") + F.lit(start)).alias("pos"), "id", "vector")
          .write.mode("overwrite").parquet(f"{out_root}/batch={batch_id}"))
+        rows = vec.count()
+        (sp.createDataFrame([(start, rows)], "first_pos long, rows long")
+         .write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}"))
 
     w = coll.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

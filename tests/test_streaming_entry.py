@@ -82,3 +82,18 @@ def test_stream_drops_late_rows(spark, tmpdir_path):
     assert all(r["peak_mb"] != 999.0 for r in rows)  # the late reading never counted
     starts = sorted(r["window_start"].hour for r in rows if r["window_start"].day == 1)
     assert starts == [0, 6, 12, 18]
+
+
+def test_ingest_two_runs_dedupes_and_continues_positions(spark, tmpdir_path):
+    from tessera.operators.embed import hash_embedder_factory
+    from tessera.streaming.ingest import incremental_ingest, read_stream_store
+    src, store, ckpt = tmpdir_path + "/src", tmpdir_path + "/store", tmpdir_path + "/ckpt"
+    first = [f"{i}\tthis is document number {i}" for i in range(10)]
+    second = [f"{i}\tthis is document number {i}" for i in range(5, 15)]  # ids 5-9 repeat
+    spark.createDataFrame([(v,) for v in first], "value string").coalesce(1).write.text(src + "/d1")
+    incremental_ingest(spark, src + "/*", store, hash_embedder_factory(8), 8, ckpt)
+    spark.createDataFrame([(v,) for v in second], "value string").coalesce(1).write.text(src + "/d2")
+    incremental_ingest(spark, src + "/*", store, hash_embedder_factory(8), 8, ckpt)
+    rows = read_stream_store(spark, store).collect()
+    assert sorted(int(r["id"]) for r in rows) == list(range(15))
+    assert sorted(r["pos"] for r in rows) == list(range(15))
