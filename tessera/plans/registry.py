@@ -283,7 +283,8 @@ def q_head_preview(spark, sf_dir):
 
 # ----------------------------------------------------------------------- chunking
 
-_DOC_CHUNK_SRC = f"SELECT doc_id, {d_clean(chr(116) + 'ranslate(text, ' + repr('.!?') + ', ' + repr('。！？') + ')')} AS t FROM documents"
+_LATIN_TO_CJK = "translate(text, '.!?', '。！？')"
+_DOC_CHUNK_SRC = f"SELECT doc_id, {d_clean(_LATIN_TO_CJK)} AS t FROM documents"
 
 
 @query("chunk_documents", f"""
@@ -1181,12 +1182,11 @@ def q_incremental_ingest(spark, sf_dir):
     and appends to the store."""
     from ..operators.embed import hash_embedder_factory
     from ..session import scratch_path
-    from ..sinks.corpus import write_collection
+    from ..sources import corpus
     from ..streaming.ingest import incremental_ingest, read_stream_store
     src = scratch_path(spark, "t2src")
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("__k"),
                                                       F.col("doc_id").cast("string").alias("doc"), "text")
-    from ..sources import corpus
     accepted = corpus.read_parquet_text(d)
     # two drops of the same collection, keyed by the document id
     for part in ("drop1", "drop2"):
@@ -1194,7 +1194,6 @@ def q_incremental_ingest(spark, sf_dir):
          .write.text(f"{src}/{part}"))
     store = scratch_path(spark, "t2store")
     incremental_ingest(spark, f"{src}/*", store, hash_embedder_factory(64), 64, scratch_path(spark, "t2ckpt"))
-    _ = write_collection  # the K1 writer is exercised by convert_parquet_corpus
     return read_stream_store(spark, store).select("id", F.size("vector").cast("int").alias("dims"))
 
 
@@ -1272,7 +1271,7 @@ def _d_synth(lang_expr_en: str) -> str:
             f"ELSE {d_strip('substring(' + grown(ZH_TEMPLATES, ZH_WORDS) + ', 1, 200)')} END")
 
 
-@query("synth_corpus", f"SELECT doc_id, lang, {_d_synth(chr(108) + 'ang = ' + repr('en'))} AS text FROM documents")
+@query("synth_corpus", f"SELECT doc_id, lang, {_d_synth("lang = 'en'")} AS text FROM documents")
 def q_synth_corpus(spark, sf_dir):
     """One synthetic text per document id (English for ``en`` rows, Chinese otherwise)."""
     from ..functions.synth import synth_text
