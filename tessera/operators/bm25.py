@@ -169,6 +169,3 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, c: int = 60, id_
                                          F.count(F.lit(1)).alias("lists"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-__all__ = ["bm25_search", "term_document_frequency", "corpus_stats", "reciprocal_rank_fusion", "np"]

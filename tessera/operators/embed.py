@@ -14,7 +14,6 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,7 +207,3 @@ def generate_and_store(df: DataFrame, factory, store_path: str, *, text_col: str
            float(stats["total_vectors"]) / secs if secs > 0 else 0.0, int(version))
     return spark.createDataFrame([row], "total_vectors long, failed_vectors long, seconds double, "
                                         "vectors_per_second double, version int")
-
-
-__all__ = ["embed", "embed_with_instruction", "hash_embed_cells", "HashEmbedder", "hash_embedder_factory",
-           "generate_and_store", "pd"]
