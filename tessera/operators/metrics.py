@@ -114,10 +114,11 @@ def rate(num, den) -> Column:
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
 
 
-def run_rates(runs: DataFrame, decimals: int = 6) -> DataFrame:
-    """Per run: docs/s, vectors/s, tokens/s over the total time, tokens / embedding time."""
+def run_rates(runs: DataFrame, decimals: int = 6, keep_all: bool = False) -> DataFrame:
+    """Per run: docs/s, vectors/s, tokens/s over the total time, tokens / embedding time
+    (``keep_all`` keeps the run's own columns next to the rates)."""
     return runs.select(
-        "run_id",
+        "*" if keep_all else "run_id",
         F.round(rate("total_documents", "total_time_seconds"), decimals).alias("docs_per_second"),
         F.round(rate("total_vectors", "total_time_seconds"), decimals).alias("vectors_per_second"),
         F.round(rate("total_tokens", "total_time_seconds"), decimals).alias("tokens_per_second"),

@@ -1311,4 +1311,4 @@ def q_document_export_run(spark, sf_dir):
         F.col("turn").cast("int").alias("page_no"), F.col("text").alias("page_text"))
     run = export_documents(spark, pages, scratch_path(spark, "export"), hash_embedder_factory(64), 64,
                            target_count=10_000, latin_sentences=True)
-    return run.join(run_rates(run), "run_id")
+    return run_rates(run, keep_all=True)

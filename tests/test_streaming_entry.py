@@ -48,6 +48,9 @@ def test_all_queries_match_oracle_sf0001(spark):
     bad = []
     for name, fn in entry.queries().items():
         df = fn(spark, SF001)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # scale guard: no pair products anywhere
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         rows = df.collect()
         if name not in sqls:
             continue
