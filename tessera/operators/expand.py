@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_prefix
-from ..session import cut_lineage
+from ..session import cut_lineage, expensive_plan
 from .ordinals import dense_id
 from .sample import LARGE_K
 
@@ -30,11 +30,14 @@ def _copy(df: DataFrame, rep: Column, strategy: str, id_col: str, text_col: str)
 
 def expand_documents(df: DataFrame, target_count: int, order_by: list[str] | str,
                      strategy: str = "repeat", id_col: str = "id", text_col: str = "text",
-                     large_k: int = LARGE_K, materialize: bool = True) -> DataFrame:
+                     large_k: int = LARGE_K, materialize: bool | None = None) -> DataFrame:
     """Exactly ``target_count`` rows (input unchanged when it already has enough).
     The input is read by the count, the whole copies and the last copy; ``materialize``
-    checkpoints it once (reliable checkpoint in the shared folder) instead of recomputing it."""
+    checkpoints it once (reliable checkpoint in the shared folder) instead of recomputing it;
+    by default only when its plan is expensive (a plain scan is read again instead)."""
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
+    if materialize is None:
+        materialize = expensive_plan(df)
     if materialize:
         df = cut_lineage(df)
     n = df.count()

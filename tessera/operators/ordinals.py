@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, expensive_plan
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -38,10 +38,10 @@ def _range_bucket(df: DataFrame, order_by: list[str], buckets: int) -> DataFrame
 
 
 def dense_id(df: DataFrame, order_by: list[str] | str, name: str = "n", start: int = 0,
-             buckets: int | None = None, materialize: bool = False, bucket_prefix: int = 0) -> DataFrame:
+             buckets: int | None = None, materialize: bool | None = None, bucket_prefix: int = 0) -> DataFrame:
     """O1: ``start, start+1, ...`` over ``order_by`` (dense, gap-free, layout-independent).
     The input is read up to three times (cut points, range counts, numbering);
-    ``materialize`` checkpoints it first when it is expensive to recompute.
+    ``materialize`` checkpoints it first (default: when its plan is expensive to recompute).
 
     ``bucket_prefix=k``: the first ``k`` order columns already cut the rows into bounded
     groups (e.g. file and split offset of a line: one group is at most one input split), so
@@ -49,6 +49,8 @@ def dense_id(df: DataFrame, order_by: list[str] | str, name: str = "n", start: i
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     if bucket_prefix:
         return _dense_by_groups(df, order_by, bucket_prefix, name, start)
+    if materialize is None:
+        materialize = expensive_plan(df)
     if materialize:
         df = cut_lineage(df)
     if buckets is None:
