@@ -40,12 +40,14 @@ def telemetry_summary(t: DataFrame, device_col: str = "gpu_id", mem_col: str = "
 
 
 def resource_summary(metrics: DataFrame, group_cols: list[str] = ("system", "metric"), value_col: str = "value",
-                     decimals: int = 6) -> DataFrame:
-    """Avg / max / exact p95 per (system, metric) of a long metrics table."""
+                     decimals: int = 6, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Avg / max / p95 per (system, metric) of a long metrics table; exact p95 keeps one
+    count per distinct reading of a group, ``approx=True`` uses a fixed-size sketch."""
+    p95 = F.percentile_approx(value_col, 0.95, accuracy) if approx else F.percentile(value_col, 0.95)
     return metrics.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("samples"),
         F.round(F.avg(value_col), decimals).alias("avg"), F.max(value_col).alias("max"),
-        F.round(F.percentile(value_col, 0.95), decimals).alias("p95"))
+        F.round(p95, decimals).alias("p95"))
 
 
 def resource_wide(summary: DataFrame, metrics: list[str], stat: str = "avg") -> DataFrame:
