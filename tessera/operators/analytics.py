@@ -122,13 +122,19 @@ def cost_model(usage: DataFrame, system_col: str = "system", decimals: int = 6)
 
 
 def scale_projection(measured: DataFrame, count_col: str, value_cols: list[str], system_col: str = "system",
-                     scales=PROJECTION_SCALES, decimals: int = 6) -> DataFrame:
-    """Linear projection of each measured value to every target scale."""
+                     scales=PROJECTION_SCALES, decimals: int = 6, integral_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Linear projection of each measured value to every target scale.  Columns in
+    ``integral_cols`` (counts, bytes) are projected to whole units: at billions of units the
+    decimals would lie beyond double precision."""
     sc = F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in scales])).alias("scale")
     out = measured.select(system_col, count_col, *value_cols, sc)
     factor = F.col("scale").cast("double") / F.col(count_col)
-    return out.select(system_col, "scale",
-                      *[F.round(F.col(c) * factor, decimals).alias(f"{c}_projected") for c in value_cols])
+
+    def proj(c):
+        v = F.col(c) * factor
+        return (F.round(v, 0).cast("bigint") if c in integral_cols else F.round(v, decimals)).alias(f"{c}_projected")
+
+    return out.select(system_col, "scale", *[proj(c) for c in value_cols])
 
 
 def top_terms(docs: DataFrame, text_col: str = "text", k: int = 20) -> DataFrame:

@@ -1111,14 +1111,14 @@ def q_cost_model(spark, sf_dir):
 WITH m AS (SELECT system, count(*) AS rows, sum(latency_s) AS seconds, sum(bytes) AS bytes FROM ({_QLOG}) GROUP BY system),
 s AS (SELECT unnest([100000000, 500000000, 1000000000]::BIGINT[]) AS scale)
 SELECT system, scale, round(seconds * (scale / rows), 6) AS seconds_projected,
-  round(bytes * (scale / rows), 6) AS bytes_projected FROM m, s""")
+  CAST(round(bytes * (scale / rows), 0) AS BIGINT) AS bytes_projected FROM m, s""")
 def q_scale_projection(spark, sf_dir):
     """Per system, time and bytes projected linearly to 100M / 500M / 1B."""
     from ..operators.analytics import scale_projection
     m = _qlog(spark, sf_dir).groupBy("system").agg(F.count(F.lit(1)).alias("rows"),
                                                    F.sum("latency_s").alias("seconds"),
                                                    F.sum("bytes").cast("double").alias("bytes"))
-    return scale_projection(m, "rows", ["seconds", "bytes"])
+    return scale_projection(m, "rows", ["seconds", "bytes"], integral_cols=("bytes",))
 
 
 @query("system_comparison", f"""
