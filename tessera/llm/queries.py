@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import simhash
+from . import secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,27 @@ def op10(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_secret_scan")
+def op3(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit_markov(secret_scan.labelled_samples(docs)))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    return found.select(F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"),
+                        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"), count("markov").alias("n_markov"))
