@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import secret_scan, simhash, toxicity
+from . import mixing, packing, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,65 @@ def op3(spark, sf_dir):
                         count("hex").alias("n_hex"),
                         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"), count("markov").alias("n_markov"))
+
+
+#: the mix of the query and of the pipeline: a domain is the source's number modulo 4; sources
+#: not listed weigh 1; three fifths of the table's tokens, each leaf at most twice
+MIX_LEVELS = {"domain": F.expr("concat('domain', try_cast(regexp_extract(source, '[0-9]+$', 0) as bigint) % 4)"),
+              "language": F.col("lang"), "origin": F.col("source")}
+MIX_WEIGHTS = {**{(f"domain{i}",): 4 - i for i in range(4)},
+               **{(f"domain{i}", lang): w for i in range(4) for lang, w in (("en", 3), ("de", 3), ("fr", 2), ("es", 2))}}
+MIX_BUDGET, MIX_EPOCHS, MIX_SEED = (3, 5), 2, 17
+
+
+def _mix_sql() -> str:
+    names = list(MIX_LEVELS)
+    given = ", ".join(f"({len(p)}, " + ", ".join(f"'{p[i]}'" if i < len(p) else "NULL" for i in range(3)) + f", {w})"
+                      for p, w in MIX_WEIGHTS.items())
+    parts = [f"""
+u AS (SELECT coalesce('domain' || (TRY_CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 4), '(none)') AS domain,
+       coalesce(nullif(lang, ''), '(none)') AS language, coalesce(nullif(source, ''), '(none)') AS origin, doc_id AS id,
+       count(*) AS rows, sum(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0))::BIGINT AS tokens
+      FROM documents GROUP BY ALL)""",
+             f"given(depth, domain, language, origin, w) AS (VALUES {given})",
+             f"""c3 AS (SELECT *, CASE WHEN w > 0 THEN supply * {MIX_EPOCHS} ELSE 0 END AS cap FROM (
+       SELECT s.*, coalesce(g.w, 1) AS w FROM (SELECT domain, language, origin, sum(tokens)::BIGINT AS supply FROM u GROUP BY ALL) s
+       LEFT JOIN given g ON g.depth = 3 AND g.domain = s.domain AND g.language = s.language AND g.origin = s.origin))"""]
+    for d in (2, 1):
+        cols = ", ".join(names[:d])
+        on = " AND ".join(f"g.{c} = s.{c}" for c in names[:d])
+        parts.append(f"""c{d} AS (SELECT s.*, coalesce(g.w, 1) AS w, CASE WHEN coalesce(g.w, 1) > 0 THEN s.cap0 ELSE 0 END AS cap
+       FROM (SELECT {cols}, sum(cap)::BIGINT AS cap0 FROM c{d + 1} GROUP BY ALL) s LEFT JOIN given g ON g.depth = {d} AND {on})""")
+    for d in (1, 2, 3):
+        parent = ", ".join(names[: d - 1])
+        by = f"PARTITION BY {parent}" if parent else ""
+        up = f"({by} ORDER BY cap / w, {', '.join(names[:d])} ROWS UNBOUNDED PRECEDING)"
+        source = (f"(SELECT *, (SELECT sum(tokens) * {MIX_BUDGET[0]} // {MIX_BUDGET[1]} FROM u)::HUGEINT AS b FROM c1)" if d == 1 else
+                  f"(SELECT c.*, p.g::HUGEINT AS b FROM c{d} c JOIN (SELECT {parent}, g FROM b{d - 1}) p USING ({parent}))")
+        parts.append(f"""b{d} AS (SELECT *, (CASE WHEN met THEN cap ELSE (upto * remains) // opens - ((upto - open) * remains) // opens END)::BIGINT AS g
+       FROM (SELECT *, b - sum(taken) OVER ({by}) AS remains, sum(open) OVER ({by}) AS opens, sum(open) OVER {up} AS upto
+       FROM (SELECT *, CASE WHEN met THEN cap ELSE 0 END AS taken, CASE WHEN met THEN 0 ELSE w END AS open
+       FROM (SELECT *, cap * (sum(w) OVER ({by}) - sum(w) OVER {up} + w) <= w * (b - (sum(cap) OVER {up} - cap)) AS met
+       FROM {source} WHERE cap > 0))))""")
+    key = f"md5('{MIX_SEED}:' || epochs || ':' || coalesce('=' || id, 'null'))"
+    parts.append("l AS (SELECT domain, language, origin, g // supply AS epochs, g % supply AS part FROM b3 WHERE g > 0)")
+    parts.append(f"""k AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY {key} ROWS UNBOUNDED PRECEDING) - tokens AS start
+       FROM u JOIN l USING (domain, language, origin))""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT domain, language, origin, id AS doc_id, epoch::INTEGER AS epoch, rows, tokens,
+       (CASE WHEN epoch = epochs THEN least(tokens, part - start) ELSE tokens END)::BIGINT AS take
+FROM (SELECT *, unnest(range(0, epochs + CASE WHEN start < part THEN 1 ELSE 0 END)) AS epoch FROM k)"""
+
+
+@query("op1_mix_sources", _mix_sql())
+def op1(spark, sf_dir):
+    units, plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"), MIX_LEVELS, MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)
+    return mixing.mixed_units(units, plan, list(MIX_LEVELS), MIX_SEED).withColumnRenamed("id", "doc_id")
+
+
+PACK_LENGTHS = [512, 1024, 2048, 4096]
+
+
+@query("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"), PACK_LENGTHS).withColumnRenamed("id", "doc_id")
