@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import mixing, packing, secret_scan, simhash, toxicity
+from . import mixing, packing, quality, secret_scan, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,53 @@ PACK_LENGTHS = [512, 1024, 2048, 4096]
 @query("op5_best_fit_packing")
 def op5(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), PACK_LENGTHS).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_exact_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def op8(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return topk.exact_top_k(rows.where("id % 50 = 0"), rows, k=5).withColumnRenamed("id", "vec_id")
+
+
+def _quality_sql() -> str:
+    rules = {"base": "n_words < 10 OR 100 * n_repeat_words > 20 * n_words", "symbols": "10 * n_symbols > n_words",
+             "lines": "10 * n_dup_lines > 3 * n_lines", "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words"}
+    least, most = quality.PRIOR
+    counts = ", ".join(f"sum(({c})::INT) AS f_{r}" for r, c in rules.items())
+    sums = ", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, sum(f_{r}::DOUBLE * f_{r} / n) - sum(f_{r}) * (sum(f_{r}) / sum(n)) AS s_{r}" for r in rules)
+    rhos = ", ".join(f"""CASE WHEN m_{r} > 0 AND m_{r} < 1 AND room > 0 THEN (s_{r} / (m_{r} * (1 - m_{r})) - (k - 1)) / room ELSE 0 END AS rho_{r}"""
+                     for r in rules)
+    sizes = ", ".join(f"least(greatest(CASE WHEN rho_{r} > 0 THEN (1 - rho_{r}) / rho_{r} ELSE {most} END, {least}), {most}) AS z_{r}" for r in rules)
+    bad = " OR ".join(f"(f_{r} + m_{r} * z_{r}) / (n + z_{r}) > {quality.MAX_RATE}" for r in rules)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT rid, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram,
+    unnest(range(1, len(w) - 3)) AS pos FROM d),
+r AS (SELECT rid, count(DISTINCT pos + step) AS n_repeat_words FROM
+    (SELECT rid, pos, unnest(range(0, 5)) AS step FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS times FROM g) WHERE times > 1)
+    GROUP BY rid),
+m AS (SELECT doc_id, source AS host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (rid)),
+h AS (SELECT host, count(*) AS n, {counts} FROM m GROUP BY host),
+p AS (SELECT count(*) AS k, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room, {sums} FROM h),
+q AS (SELECT *, {sizes} FROM (SELECT *, {rhos} FROM p)),
+b AS (SELECT host, {bad} AS host_failed FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules["base"]} AS base_failed,
+    NOT ({rules["base"]}) AND NOT host_failed AS kept, host_failed
+FROM m JOIN b ON m.host IS NOT DISTINCT FROM b.host"""
+
+
+@query("op2_quality_rules", _quality_sql())
+def op2(spark, sf_dir):
+    return quality.judge(read_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
