@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
-from . import mixing, packing, quality, secret_scan, simhash, topk, toxicity
+from ..session import read_table, scratch_path
+from . import mixing, packing, quality, secret_scan, simhash, token_files, topk, toxicity
+from .common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,3 +165,15 @@ FROM m JOIN b ON m.host IS NOT DISTINCT FROM b.host"""
 def op2(spark, sf_dir):
     return quality.judge(read_table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
+@query("op4_token_files")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    path = scratch_path(spark, "token-files")
+    encoded = materialise(token_files.encode_words(read_table(spark, sf_dir, "documents"), tokenizer, end_id=1), "token-ids")
+    token_files.write_token_files(encoded, path)
+    return token_files.read_checksums(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
