@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, scratch_path
-from . import mixing, packing, quality, secret_scan, simhash, token_files, topk, toxicity
+from . import mixing, packing, quality, secret_scan, simhash, token_files, topk, toxicity, warc
 from .common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,32 @@ def op4(spark, sf_dir):
     encoded = materialise(token_files.encode_words(read_table(spark, sf_dir, "documents"), tokenizer, end_id=1), "token-ids")
     token_files.write_token_files(encoded, path)
     return token_files.read_checksums(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+@query("op6_warc_fixity", """
+WITH t AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+b AS (SELECT *, CASE WHEN page_id % 389 = 7 THEN left(html, length(html) // 2)
+                     WHEN page_id % 97 = 13 AND html <> '' THEN 'X' || substr(html, 2) ELSE html END AS html_b FROM t),
+r AS (SELECT page_id, html, html_b,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '')
+  || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+  chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM b),
+s AS (SELECT page_id, head || octet_length(encode(html)) || gap || html || gap AS ra, head || octet_length(encode(html_b)) || gap || html_b || gap AS rb FROM r),
+h AS (SELECT page_id, octet_length(encode(ra)) AS la, sha256(ra) AS da, octet_length(encode(rb)) AS lb, sha256(rb) AS db FROM s),
+n AS (SELECT *, (row_number() OVER (ORDER BY page_id NULLS FIRST, da) - 1) // 1000 AS file FROM h),
+i AS (SELECT *, (sum(la) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, da ROWS UNBOUNDED PRECEDING) - la)::BIGINT AS "offset" FROM n)
+SELECT file, "offset", CASE WHEN page_id % 577 = 5 THEN 'missing' ELSE 'changed' END AS status, la || ':' || da || ':1' AS expected,
+  CASE WHEN page_id % 577 = 5 THEN NULL ELSE lb || ':' || db || ':1' END AS found, page_id
+FROM i WHERE da <> db OR page_id % 577 = 5""")
+def op6(spark, sf_dir):
+    """The archive of ``pages`` against a replica of it in which some records are altered, cut
+    short or lost: every such record is to be located."""
+    html, page = F.coalesce(F.col("html"), F.lit("")), F.col("page_id")
+    damaged = (F.when(page % 389 == 7, F.left(html, F.expr("int(length(coalesce(html, '')) div 2)")))
+               .when((page % 97 == 13) & (html != ""), F.concat(F.lit("X"), F.substring(html, 2, 2**31 - 1))).otherwise(html))
+    records = read_table(spark, sf_dir, "pages").select(
+        "page_id", *warc.digest_of(warc.warc_record(page, F.col("url"), html)),
+        F.struct(*warc.digest_of(warc.warc_record(page, F.col("url"), damaged))).alias("replica"))
+    index = materialise(warc.archive_index(records, "page_id"), "warc-index")
+    replica = index.where("page_id is null or page_id % 577 <> 5").select("file", "offset", "replica.*")
+    return warc.audit(index, replica).join(index.select("file", "offset", "page_id"), ["file", "offset"], "left")
