@@ -91,16 +91,17 @@ def _crossing(sums: DataFrame, levels: list[str], order: list[str]) -> DataFrame
             .where("upto - t < part and upto >= part").withColumn("start", F.col("upto") - F.col("t")))
 
 
-def mix_plan(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...], int], budget: tuple[int, int],
+def mix_plan(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, ...], int], budget: tuple[int, int],
              max_epochs: int, seed: int, id_col: str = "doc_id", tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The materialised units (levels..., id, unit, rows, tokens) and leaf plans (levels...,
-    supply, weight, budget, epochs, cut, cut_take).  ``budget`` is the fraction (numerator,
+    supply, weight, budget, epochs, cut, cut_take).  ``levels`` gives each level's SQL expression,
+    the top one first; ``budget`` is the fraction (numerator,
     denominator) of the table's tokens that the mix shall have.  ``epochs`` epochs are taken
     whole; of the next, the units whose key is before ``cut`` and ``cut_take`` tokens of the
     unit at it."""
     names, spark = list(levels), docs.sparkSession
     unit = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
-    units = materialise(docs.select(*[node_name(c).alias(n) for n, c in levels.items()], F.col(id_col).alias("id"),
+    units = materialise(docs.select(*[node_name(F.expr(c)).alias(n) for n, c in levels.items()], F.col(id_col).alias("id"),
                                     unit.alias("unit"), (n_words(F.col("text")) if tokens is None else tokens).alias("tokens"))
                         .groupBy(*names, "id", "unit").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens")), "mix-units")
     supply = materialise(units.groupBy(*names).agg(F.sum("tokens").alias("supply")), "mix-supply")
@@ -140,11 +141,11 @@ def mixed_units(units: DataFrame, plan: DataFrame, levels: list[str], seed: int)
             .select(*levels, "id", "epoch", "rows", "tokens", "take"))
 
 
-def mix_documents(docs: DataFrame, plan: DataFrame, levels: dict[str, Column], seed: int, id_col: str = "doc_id") -> DataFrame:
+def mix_documents(docs: DataFrame, plan: DataFrame, levels: dict[str, str], seed: int, id_col: str = "doc_id") -> DataFrame:
     """The documents of the mix, whole and with their columns unchanged, once per epoch that
     takes them; the unit at the cut is taken whole."""
     own = {n: f"__mix_{n}" for n in levels}
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), *[node_name(c).alias(own[n]) for n, c in levels.items()],
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), *[node_name(F.expr(c)).alias(own[n]) for n, c in levels.items()],
                        F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("unit"))
     plan = small(plan.where("budget > 0").select(*[F.col(n).alias(own[n]) for n in levels], "epochs", "cut"))
     return _taken(rows.join(plan, list(own.values())), seed).select("__mix_row.*")

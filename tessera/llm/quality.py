@@ -17,7 +17,7 @@ prior (``PRIOR`` documents); an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise, small
@@ -55,16 +55,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return step.select(*rest, F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
-
-#: the rules whose failures are counted per host
-RULES: dict[str, Column] = {
-    "base": base_failed(),
-    "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-    "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
-    "word_length": (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 10 * F.col("n_words")),
+#: the rules whose failures are counted per host, as SQL conditions on the measures
+RULES: dict[str, str] = {
+    "base": BASE_FAILED,
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
 }
 
 
@@ -81,10 +79,10 @@ def beta_prior(hosts: int, documents: float, squares: float, failures: float, we
     return mean * size, (1 - mean) * size
 
 
-def host_rates(measured: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
+def host_rates(measured: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """(host, n, rate_<rule>...): the shrunk failure rates per host (null host included)."""
     rules = rules or RULES
-    hosts = materialise(measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(c.cast("int")).alias(f"f_{r}") for r, c in rules.items()]),
+    hosts = materialise(measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.expr(c).cast("int")).alias(f"f_{r}") for r, c in rules.items()]),
                         "quality-hosts")
     sums = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
                      *[x for r in rules for x in (F.sum(f"f_{r}").alias(f"f_{r}"),
@@ -103,5 +101,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     failed = materialise(rates.where(F.greatest(*[F.col(c) for c in rates.columns if c.startswith("rate_")], F.lit(0.0)) > MAX_RATE)
                          .select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("null")).alias("key"), F.lit(True).alias("bad")), "quality-failed")
     return (measured.withColumn("key", F.coalesce(F.concat(F.lit("="), "host"), F.lit("null"))).join(small(failed), "key", "left")
-            .withColumn("base_failed", base_failed()).withColumn("host_failed", F.coalesce("bad", F.lit(False)))
+            .withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("host_failed", F.coalesce("bad", F.lit(False)))
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("key", "bad"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, scratch_path
-from . import mixing, packing, quality, secret_scan, simhash, token_files, topk, toxicity, warc
+from . import mixing, packing, quality, secret_scan, simhash, suffix, token_files, topk, toxicity, warc
 from .common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,8 +57,8 @@ def op3(spark, sf_dir):
 
 #: the mix of the query and of the pipeline: a domain is the source's number modulo 4; sources
 #: not listed weigh 1; three fifths of the table's tokens, each leaf at most twice
-MIX_LEVELS = {"domain": F.expr("concat('domain', try_cast(regexp_extract(source, '[0-9]+$', 0) as bigint) % 4)"),
-              "language": F.col("lang"), "origin": F.col("source")}
+MIX_LEVELS = {"domain": "concat('domain', try_cast(regexp_extract(source, '[0-9]+$', 0) as bigint) % 4)",
+              "language": "lang", "origin": "source"}
 MIX_WEIGHTS = {**{(f"domain{i}",): 4 - i for i in range(4)},
                **{(f"domain{i}", lang): w for i in range(4) for lang, w in (("en", 3), ("de", 3), ("fr", 2), ("es", 2))}}
 MIX_BUDGET, MIX_EPOCHS, MIX_SEED = (3, 5), 2, 17
@@ -131,8 +131,7 @@ def op8(spark, sf_dir):
 
 
 def _quality_sql() -> str:
-    rules = {"base": "n_words < 10 OR 100 * n_repeat_words > 20 * n_words", "symbols": "10 * n_symbols > n_words",
-             "lines": "10 * n_dup_lines > 3 * n_lines", "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words"}
+    rules = quality.RULES  # their conditions read the same in both dialects
     least, most = quality.PRIOR
     counts = ", ".join(f"sum(({c})::INT) AS f_{r}" for r, c in rules.items())
     sums = ", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, sum(f_{r}::DOUBLE * f_{r} / n) - sum(f_{r}) * (sum(f_{r}) / sum(n)) AS s_{r}" for r in rules)
@@ -206,3 +205,10 @@ def op6(spark, sf_dir):
     index = materialise(warc.archive_index(records, "page_id"), "warc-index")
     replica = index.where("page_id is null or page_id % 577 <> 5").select("file", "offset", "replica.*")
     return warc.audit(index, replica).join(index.select("file", "offset", "page_id"), ["file", "offset"], "left")
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    found = suffix.repeated_passages(read_table(spark, sf_dir, "documents"), min_words=50)
+    return found.select(F.col("id").alias("doc_id"), F.col("begin").alias("first_word"), F.col("stop").alias("end_word"),
+                        (F.col("stop") - F.col("begin")).alias("n_words"), F.col("others").alias("other_doc_ids"))

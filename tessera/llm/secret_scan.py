@@ -62,11 +62,16 @@ class MarkovModel:
 
     def __init__(self, random: np.ndarray, ordinary: np.ndarray):
         if random.sum() and ordinary.sum():
-            p, q = (np.log((n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True)) for n in (random, ordinary))
-            self.ratio = (p - q).tolist()
+            self.ratio = (np.log(self._smooth(random)) - np.log(self._smooth(ordinary))).tolist()
         else:
             self.ratio = None
 
+    @staticmethod
+    def _smooth(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
+        """Transition shares, drawn towards the character's overall share where samples are few."""
+        overall = counts.sum(axis=0) + 0.5
+        return (counts + weight * overall / overall.sum()) / (counts.sum(axis=1, keepdims=True) + weight)
+
     def score(self, run: str) -> float:
         before, total = _START, 0.0
         for c in map(_CODE.__getitem__, run):
