@@ -17,6 +17,8 @@ others; an empty table gives an empty result; only the id and the length column
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,25 +38,24 @@ def best_fit(lengths: list[int], capacities: list[int], cost: dict[int, int]) ->
     each piece and, per bin, its tokens."""
     room_bins: dict[int, list[int]] = {}
     rooms = 0  # bit r: there is an open bin with room r
-    room_of, fill, bins, offsets, remaining = [], [], [], [], sum(lengths)
+    fill, bins, offsets, remaining = [], [], [], sum(lengths)
     for n in lengths:
         fitting = rooms >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
-            here = room_bins[room].pop()
+            here = heappop(room_bins[room])  # of equal rooms the bin opened first
             if not room_bins[room]:
                 rooms ^= 1 << room
         else:
             size = min((c for c in capacities if c >= n), key=lambda c: (cost[c] / min(c, remaining), c))
             here, room = len(fill), size
             fill.append(0)
-            room_of.append(size)
         bins.append(here)
         offsets.append(fill[here])
         fill[here] += n
         remaining -= n
         if room > n:
-            room_bins.setdefault(room - n, []).append(here)
+            heappush(room_bins.setdefault(room - n, []), here)
             rooms |= 1 << (room - n)
     return bins, offsets, fill
 
