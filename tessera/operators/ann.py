@@ -13,29 +13,40 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
 from .bounded import DEFAULT_BROADCAST_BYTES
-from .search import _matrix, _unit, query_blocks
+from .search import RANK_DECIMALS, _matrix, _unit, merge_blocks, query_blocks
 
 
 def train_cells(corpus: DataFrame, cells: int, vec_col: str = "vector", seed: int = 42,
                 max_iter: int = 20, train_fraction: float | None = None) -> np.ndarray:
     """Unit-normalised KMeans centroids (``cells x dim``)."""
-    unit = corpus.select(F.transform(vec_col, lambda x: x.cast("double")).alias("__v"))
+    vectors = corpus.where(F.col(vec_col).isNotNull()).select(F.transform(vec_col, lambda x: x.cast("double")).alias("__v"))
     norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x))
-    feats = unit.select(array_to_vector(F.transform("__v", lambda x: x / norm)).alias("features"))
+    # null and zero vectors belong to no cell
+    feats = (vectors.select("__v", norm.alias("__n")).where(F.col("__n") > 0)
+             .select(array_to_vector(F.transform("__v", lambda x: x / F.col("__n"))).alias("features")).persist())
     if train_fraction:
         feats = feats.sample(False, train_fraction, seed)
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, initMode="k-means||").fit(feats)
+    feats.unpersist()
     cent = np.array([c for c in model.clusterCenters()], dtype=np.float64)
     return _unit(cent)[0]
 
 
-def _ivf_fn(qpdf, dim, cent, nprobe, k, decimals, id_col):
+def cell_means(corpus: DataFrame, cell_col: str, vec_col: str = "vector") -> np.ndarray:
+    """Unit-normalised mean vectors of given cells, in the order of their names (one row per cell)."""
+    means = (corpus.where(F.col(cell_col).isNotNull()).select(cell_col, F.posexplode(vec_col).alias("i", "x")).groupBy(cell_col, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+             .groupBy(cell_col).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("m")).orderBy(cell_col)
+             .select("m.m").collect())
+    return _unit(np.array([r[0] for r in means], dtype=np.float64))[0]
+
+
+def _ivf_fn(qpdf, dim, cent, nprobe, k, id_col):
     qmat, qok = _unit(_matrix(qpdf["__qv"], dim))
     probes = np.argsort(-(qmat @ cent.T), axis=1, kind="stable")[:, :nprobe]
     qids = qpdf["__qid"].to_numpy()
@@ -55,7 +66,7 @@ def _ivf_fn(qpdf, dim, cent, nprobe, k, decimals, id_col):
                 qs = by_cell.get(int(c), np.array([], dtype=int))
                 if len(rows) == 0 or len(qs) == 0:
                     continue
-                sc = np.round(qmat[qs] @ cm[rows].T, decimals)
+                sc = np.round(qmat[qs] @ cm[rows].T, RANK_DECIMALS)
                 kk = min(k, len(rows))
                 kth = np.partition(sc, len(rows) - kk, axis=1)[:, len(rows) - kk]
                 qi, ci = np.nonzero(sc >= kth[:, None])
@@ -85,27 +96,28 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 16,
                            T.StructField(id_col, corpus.schema[id_col].dataType),
                            T.StructField("score", T.DoubleType())])
     src = corpus.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v"))
-    parts = [src.mapInPandas(_ivf_fn(qpdf, dim, cent, nprobe, k, decimals, id_col), schema)
+    parts = [src.mapInPandas(_ivf_fn(qpdf, dim, cent, nprobe, k, id_col), schema)
              for qpdf in query_blocks(q, "__qid", dim * 8 + 64, max_broadcast_bytes) if not qpdf.empty]
     if not parts:
         return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("qid", id_col, "score", "rank"))
-
-
-def lsh_candidates(queries: DataFrame, corpus: DataFrame, threshold: float, *, bucket_length: float = 1.0,
-                   tables: int = 4, seed: int = 42, query_id: str = "qid", query_vec: str = "vector",
-                   id_col: str = "id", vec_col: str = "vector") -> DataFrame:
-    """V7 (LSH form): Euclidean-LSH similarity join; on unit vectors distance d maps to cosine
-    ``1 - d^2 / 2``.  Returns ``(qid, id, distance)`` for pairs closer than ``threshold``."""
+    return merge_blocks(parts, [F.col("score").desc(), F.col(id_col).asc()], k, ["qid", id_col, "score"], decimals)
+
+
+def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, *, bucket_length: float = 1.0,
+            tables: int = 4, seed: int = 42, query_id: str = "qid", query_vec: str = "vector",
+            id_col: str = "id", vec_col: str = "vector", decimals: int = 6) -> DataFrame:
+    """V7 (LSH form): ``(qid, id, score, rank)``; Euclidean LSH on unit vectors, where distance
+    ``d`` is cosine ``1 - d^2 / 2``; candidates within ``threshold``, the best ``k`` of them."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    a = queries.select(F.col(query_id).alias("qid"), array_to_vector(query_vec).alias("features"))
-    b = corpus.select(F.col(id_col).alias("id"), array_to_vector(vec_col).alias("features"))
+
+    def unit(df, id_, vec, name):
+        norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        return (df.where(F.col(vec).isNotNull()).select(F.col(id_).alias(name), F.col(vec).alias("__v"), norm.alias("__n")).where("__n > 0")
+                .select(name, array_to_vector(F.transform("__v", lambda x: x.cast("double") / F.col("__n"))).alias("features")))
+    a, b = unit(queries, query_id, query_vec, "qid"), unit(corpus, id_col, vec_col, "id")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(b)
-    j = model.approxSimilarityJoin(a, b, threshold, distCol="distance")
-    return j.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.id").alias(id_col), "distance")
+    found = model.approxSimilarityJoin(a, b, threshold, distCol="distance").select(
+        F.col("datasetA.qid").alias("qid"), F.col("datasetB.id").alias(id_col),
+        (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
+    return merge_blocks([found], [F.col("score").desc(), F.col(id_col).asc()], k, ["qid", id_col, "score"], decimals)

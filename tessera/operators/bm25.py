@@ -23,24 +23,12 @@ from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_SPLIT, tokens
 from ..session import ship_package
-from .bounded import DEFAULT_BROADCAST_BYTES, spread
+from .bounded import DEFAULT_BROADCAST_BYTES
+from .search import RANK_DECIMALS, merge_blocks
 
 K1, B = 1.2, 0.75
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text"):
-    s = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(text_col))).alias("avgdl")).first()
-    return int(s["n"]), float(s["avgdl"] or 0.0)
-
-
-def term_document_frequency(docs: DataFrame, terms: DataFrame, id_col: str = "id",
-                            text_col: str = "text") -> DataFrame:
-    """df for the given terms: ``(term, df)``; ``terms`` is small and broadcast (semi join)."""
-    postings = docs.select(F.col(id_col), F.explode(F.array_distinct(tokens(text_col))).alias("term"))
-    return (postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-
-
 def statistics_for(docs: DataFrame, vocab: list[str], text_col: str = "text"):
     """One scan: N, average length and df of every vocabulary term.  Each document emits one
     row with a null term (its length) and one row per vocabulary term it contains; partial
@@ -68,7 +56,7 @@ def statistics_for(docs: DataFrame, vocab: list[str], text_col: str = "text"):
     return n, (total / n if n else 0.0), dfs
 
 
-def _score_fn(vocab_index, weights, qids, k, k1, b, avgdl, decimals, id_col, budget):
+def _score_fn(vocab_index, weights, qids, k, k1, b, avgdl, id_col, budget):
     """mapInPandas body: dense (doc block x vocabulary) tf matrix, BM25 saturation, one matrix
     product against the idf-weighted query matrix, partial top-k per query."""
     nv, nq = weights.shape
@@ -94,7 +82,7 @@ def _score_fn(vocab_index, weights, qids, k, k1, b, avgdl, decimals, id_col, bud
                             tf[r, j] += 1.0
                 norm = k1 * (1.0 - b + b * dl / avgdl) if avgdl > 0 else np.full(len(part), k1)
                 sat = tf * (k1 + 1.0) / (tf + norm[:, None])
-                scores = np.round(sat @ weights, decimals)
+                scores = np.round(sat @ weights, RANK_DECIMALS)
                 hit = (tf > 0).astype(np.float64) @ present
                 scores[hit == 0] = -np.inf
                 kk = min(k, scores.shape[0])
@@ -131,7 +119,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
     qtype = queries.schema[query_id].dataType
     schema = T.StructType([T.StructField("qid", qtype), T.StructField(id_col, id_type),
                            T.StructField("score", T.DoubleType())])
-    src = spread(docs.select(F.col(id_col), F.col(text_col).alias("__t")))
+    src = docs.select(F.col(id_col), F.col(text_col).alias("__t"))
     parts = []
     for blk in range(nblocks):
         qb = qterms if nblocks == 1 else qterms.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == blk)
@@ -147,14 +135,9 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
         for q, t in zip(qpdf["qid"], qpdf["term"]):
             if t in vindex:
                 weights[vindex[t], qindex[q]] = idf[t]
-        fn = _score_fn(vindex, weights, qids, k, k1, b, avgdl, decimals, id_col, 32 * 1024 * 1024)
+        fn = _score_fn(vindex, weights, qids, k, k1, b, avgdl, id_col, 32 * 1024 * 1024)
         parts.append(src.mapInPandas(fn, schema))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("qid", id_col, "score", "rank"))
+    return merge_blocks(parts, [F.col("score").desc(), F.col(id_col).asc()], k, ["qid", id_col, "score"], decimals)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, c: int = 60, id_col: str = "id",
@@ -165,7 +148,8 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, c: int = 60, id_
         part = l.select("qid", id_col, (F.lit(1.0) / (F.lit(c) + F.col("rank"))).alias("rrf"),
                         F.lit(i).alias("__src"))
         u = part if u is None else u.unionByName(part)
-    fused = u.groupBy("qid", id_col).agg(F.round(F.sum("rrf"), decimals).alias("score"),
+    fused = u.groupBy("qid", id_col).agg(F.round(F.sum("rrf"), RANK_DECIMALS).alias("score"),
                                          F.count(F.lit(1)).alias("lists"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("score", F.round("score", decimals)))

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def estimated_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def fits_broadcast(df: DataFrame, row_bytes: int, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
     """True when ``rows * row_bytes`` stays under the bound (one count job)."""
     return df.count() * max(row_bytes, 1) <= max_bytes
@@ -27,22 +23,7 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, max_bytes: int = DEFAULT_B
     return F.broadcast(df) if fits_broadcast(df, row_bytes, max_bytes) else df
 
 
-def block_ranges(n: int, rows_per_block: int) -> list[tuple[int, int]]:
-    rows_per_block = max(1, rows_per_block)
-    return [(s, min(n, s + rows_per_block)) for s in range(0, n, rows_per_block)] or [(0, 0)]
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Use every core for CPU-heavy text stages when the input has fewer splits than the
-    cluster has task slots (a small input: the round-robin shuffle is cheap).  An input with
-    at least that many splits — any large input — is left untouched, so this never adds a
-    shuffle at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    # an input that already went through a shuffle has the shuffle's partition count; asking
-    # its RDD for partitions would also run the adaptive stages, so only scan-like plans
-    # (no exchange) are inspected
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deals the rows out over ``partitions`` tasks in front of a CPU-heavy stage; None (the
+    default of every operator) keeps the input's own splits."""
+    return df.repartition(partitions) if partitions else df

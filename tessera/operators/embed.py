@@ -22,12 +22,14 @@ from ..functions.text import TOKEN_SPLIT, tokens, wrap_instruction
 from ..session import ship_package
 from .bounded import spread
 
-# one embedding function per Python worker and factory
+# one embedding function per Python worker and ``cache_key`` of its factory
 _WORKER_CACHE: dict[object, Callable] = {}
 
 
 def _resolve(factory) -> Callable:
-    key = getattr(factory, "cache_key", None) or id(factory)
+    key = getattr(factory, "cache_key", None)
+    if key is None:  # nothing names the model, so nothing may be shared between tasks
+        return factory()
     fn = _WORKER_CACHE.get(key)
     if fn is None:
         fn = factory()
@@ -39,11 +41,11 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
           text_col: str = "text", id_col: str = "id", dim: int | None = None,
           batch_size: int = 128, on_error: str = "fail", keep: list[str] | None = None,
           max_concurrency: int | None = None, vector_type: str = "float") -> DataFrame:
-    """``(id, [keep...], vector array<float>, ok)``.
+    """``(id, [keep...], vector array<float>, ok, error)``.
 
     ``on_error='fail'`` fails the job on any failed batch (export policy);
-    ``on_error='null'`` keeps the rows of a failed batch with a null vector and
-    ``ok=false`` (store policy, counted downstream).  Rows stay keyed by id, so results
+    ``on_error='null'`` keeps the rows of a failed batch with a null vector, ``ok=false`` and the
+    ``error`` (store policy, counted downstream).  Rows stay keyed by id, so results
     can never be paired with the wrong document.  ``max_concurrency`` bounds the number of
     tasks calling the model at once (the reference's in-flight request limit).
     ``vector_type='double'`` keeps float64 vectors (default float32, P15).
@@ -54,15 +56,12 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
     keep = list(keep or [])
     fields = [df.schema[id_col]] + [df.schema[k] for k in keep] + [
         T.StructField("vector", T.ArrayType(T.FloatType() if vector_type == "float" else T.DoubleType())),
-        T.StructField("ok", T.BooleanType())]
+        T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())]
     np_type = np.float32 if vector_type == "float" else np.float64
     schema = T.StructType(fields)
     sel = df.select(F.col(id_col), *keep, F.col(text_col).alias("__t"))
-    if not max_concurrency:
-        sel = spread(sel)
-    if max_concurrency:
-        # at most this many tasks call the model at once (coalesce: no shuffle of the texts)
-        sel = sel.coalesce(max_concurrency)
+    # at most max_concurrency tasks call the model at once; the scan keeps its own tasks
+    sel = spread(sel, max_concurrency)
 
     def run(batches):
         fn = _resolve(factory)
@@ -74,14 +73,15 @@ def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]
                     vecs = np.asarray(fn(texts), dtype=np_type)
                     if vecs.shape[0] != len(texts) or (dim is not None and vecs.shape[1] != dim):
                         raise ValueError(f"embedding batch shape {vecs.shape} for {len(texts)} texts")
-                    vcol, ok = list(vecs), True
-                except Exception:
+                    vcol, ok, error = list(vecs), True, None
+                except Exception as e:
                     if on_error == "fail":
                         raise
-                    vcol, ok = [None] * len(texts), False
+                    vcol, ok, error = [None] * len(texts), False, f"{type(e).__name__}: {e}"
                 out = part[[id_col] + keep].copy()
                 out["vector"] = vcol
                 out["ok"] = ok
+                out["error"] = error
                 yield out
 
     return sel.mapInPandas(run, schema)
@@ -116,7 +116,7 @@ def hash_embed_grouped(df: DataFrame, dim: int = 64, id_col: str = "id", text_co
     """E3 per document: ``(id, cells array<struct<bucket, w>>, norm)`` with the raw signed
     counts.  Tokens are folded to (id, bucket) cells map-side before the first shuffle; the
     second aggregation gathers at most ``dim`` cells per document."""
-    tok = spread(df).select(F.col(id_col).alias("__id"), tokens(text_col).alias("__toks")) \
+    tok = df.select(F.col(id_col).alias("__id"), tokens(text_col).alias("__toks")) \
         .select("__id", F.explode("__toks").alias("__t")).select("__id", F.md5("__t").alias("__h"))
     cells = (tok.select("__id", _bucket_of(F.col("__h"), dim).alias("bucket"), _sign_of(F.col("__h")).alias("s"))
              .groupBy("__id", "bucket").agg(F.sum("s").alias("w"))

@@ -1,10 +1,9 @@
 """Ordinals (O1, O2, O5).
 
-``dense_id`` never sends all rows to one task: rows are cut into key ranges, each range is
-numbered by its own ``row_number`` and shifted by the count of all earlier ranges (a table
-with one row per range, broadcast).  The ranges come from quantile cut points of a single
-numeric key, or from ``repartitionByRange`` (whose layout is frozen by a reliable
-checkpoint so both passes see the same ranges).
+``dense_id`` never sends all rows to one task: one range shuffle over the order columns (and a
+hash of the whole row, which splits equal keys and fixes their order) sorts the rows; each
+range counts its own rows and is shifted by the count of all earlier ranges (a table with one
+row per range, broadcast).  The sorted ranges are frozen by one reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -13,59 +12,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, expensive_plan
+from ..session import cut_lineage
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-
-def _range_bucket(df: DataFrame, order_by: list[str], buckets: int) -> DataFrame:
-    key = order_by[0]
-    if len(order_by) == 1 and isinstance(df.schema[key].dataType, _NUMERIC) and buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(float(x) for x in df.approxQuantile(key, probs, 0.001) if x is not None))
-        if not cuts:
-            return df.withColumn("__b", F.lit(0))
-        # binary search over the cut points (JVM); any monotone bucketing keeps the order
-        from pyspark.ml.feature import Bucketizer
-        splits = [float("-inf")] + cuts + [float("inf")]
-        b = Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd", handleInvalid="keep")
-        out = b.transform(df.withColumn("__kd", F.col(key).cast("double")))
-        return out.withColumn("__b", F.col("__bd").cast("int")).drop("__kd", "__bd")
-    if buckets <= 1:
-        return df.withColumn("__b", F.lit(0))
-    ranged = df.repartitionByRange(buckets, *order_by).withColumn("__b", F.spark_partition_id())
-    return cut_lineage(ranged)
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of a row's hashable columns."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
 
 
 def dense_id(df: DataFrame, order_by: list[str] | str, name: str = "n", start: int = 0,
-             buckets: int | None = None, materialize: bool | None = None, bucket_prefix: int = 0) -> DataFrame:
-    """O1: ``start, start+1, ...`` over ``order_by`` (dense, gap-free, layout-independent).
-    The input is read up to three times (cut points, range counts, numbering);
-    ``materialize`` checkpoints it first (default: when its plan is expensive to recompute).
+             buckets: int | None = None, bucket_prefix: int = 0) -> DataFrame:
+    """O1: ``start, start+1, ...`` over ``order_by`` (dense, gap-free, layout-independent);
+    rows with equal keys are numbered in the order of their hash.  The input is read twice (range bounds
+    and shuffle) and copied once.
 
     ``bucket_prefix=k``: the first ``k`` order columns already cut the rows into bounded
     groups (e.g. file and split offset of a line: one group is at most one input split), so
-    those groups are the ranges — no cut points, no range shuffle, no checkpoint."""
+    those groups are the ranges — no bounds, no range shuffle, no checkpoint."""
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     if bucket_prefix:
         return _dense_by_groups(df, order_by, bucket_prefix, name, start)
-    if materialize is None:
-        materialize = expensive_plan(df)
-    if materialize:
-        df = cut_lineage(df)
     if buckets is None:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    b = _range_bucket(df, order_by, buckets)
-    counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    tied = df.withColumn("__tie", row_hash(df))
+    ranged = cut_lineage(
+        tied.repartitionByRange(buckets, *order_by, "__tie").sortWithinPartitions(*order_by, "__tie")
+        .withColumn("__b", F.spark_partition_id())
+        # within a partition the low 33 bits of this id count the rows in order
+        .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("__tie"))
+    counts = ranged.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     offsets = counts.select(
         "__b",
         F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__off"))
-    w = Window.partitionBy("__b").orderBy(*order_by)
     # offsets has one row per bucket: bounded by ``buckets``
-    return (b.join(F.broadcast(offsets), "__b")
-            .withColumn(name, (F.row_number().over(w) - 1 + F.col("__off") + F.lit(start)).cast("bigint"))
-            .drop("__b", "__off"))
+    return (ranged.join(F.broadcast(offsets), "__b")
+            .withColumn(name, (F.col("__row") + F.col("__off") + F.lit(start)).cast("bigint"))
+            .drop("__b", "__row", "__off"))
 
 
 def _dense_by_groups(df: DataFrame, order_by: list[str], prefix: int, name: str, start: int) -> DataFrame:
@@ -82,19 +65,7 @@ def _dense_by_groups(df: DataFrame, order_by: list[str], prefix: int, name: str,
             .drop("__off"))
 
 
-def duplicate_occurrences(df: DataFrame, id_col: str, order_by: list[str]) -> DataFrame:
-    """O2: every occurrence of an id after its first one, in line order."""
-    w = Window.partitionBy(id_col).orderBy(*order_by)
-    return (df.withColumn("occurrence", F.row_number().over(w))
-            .filter(F.col("occurrence") > 1))
-
-
 def batch_no(pos, size: int) -> Column:
     """``floor(pos / size)``."""
     p = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(p / F.lit(size)).cast("bigint")
-
-
-def batch_start(pos, size: int) -> Column:
-    p = F.col(pos) if isinstance(pos, str) else pos
-    return (F.floor(p / F.lit(size)) * F.lit(size)).cast("bigint")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 from .bounded import DEFAULT_BROADCAST_BYTES
-from .search import _matrix, _unit, query_blocks
+from .search import RANK_DECIMALS, _matrix, _unit, query_blocks
 
 
 def binary_codes(vec, dim: int) -> Column:
@@ -52,11 +52,14 @@ def _pack(m: np.ndarray) -> np.ndarray:
 
 
 def _hamming(qc: np.ndarray, cc: np.ndarray) -> np.ndarray:
-    x = qc[:, None, :] ^ cc[None, :, :]
-    return np.bitwise_count(x).sum(axis=2).astype(np.int64)
+    """Distances word by word, so memory stays at queries x rows whatever the dimension."""
+    out = np.zeros((len(qc), len(cc)), np.int64)
+    for w in range(qc.shape[1]):
+        out += np.bitwise_count(qc[:, w, None] ^ cc[None, :, w])
+    return out
 
 
-def _hamming_fn(qpdf, dim, shortlist, decimals, id_col):
+def _hamming_fn(qpdf, dim, shortlist, id_col):
     qraw = _matrix(qpdf["__qv"], dim)
     qcodes = _pack(qraw)
     qmat, qok = _unit(qraw)
@@ -64,25 +67,29 @@ def _hamming_fn(qpdf, dim, shortlist, decimals, id_col):
     nq = len(qids)
 
     def run(batches):
-        best = None
+        best, worst = None, np.full(nq, np.iinfo(np.int64).max)
         for pdf in batches:
             if pdf.empty:
                 continue
             craw = _matrix(pdf["__v"], dim)
-            ccodes = _pack(craw)
-            cm, cok = _unit(craw)
-            ids = pdf["__id"].to_numpy()
+            cok = craw.any(axis=1)  # null, zero and other-sized vectors never enter a shortlist
+            if not cok.any():
+                continue
+            craw, ids, frames = craw[cok], pdf["__id"].to_numpy()[cok], []
+            ccodes, cm = _pack(craw), _unit(craw)[0]
             for s in range(0, nq, 256):
                 ham = _hamming(qcodes[s:s + 256], ccodes)
-                sc = np.round(qmat[s:s + 256] @ cm.T, decimals)
                 kk = min(shortlist, ham.shape[1])
                 kth = np.partition(ham, kk - 1, axis=1)[:, kk - 1]
-                qi, ci = np.nonzero(ham <= kth[:, None])
-                frame = pd.DataFrame({"__qi": qi + s, id_col: ids[ci], "hamming": ham[qi, ci],
-                                      "score": np.where(qok[qi + s] & cok[ci], sc[qi, ci], np.nan)})
-                best = frame if best is None else pd.concat([best, frame], ignore_index=True)
-                best = (best.sort_values(["__qi", "hamming", id_col], kind="mergesort")
-                        .groupby("__qi", sort=False).head(shortlist))
+                # only rows that can still enter the query's shortlist go on
+                qi, ci = np.nonzero((ham <= np.minimum(kth, worst[s:s + 256])[:, None]) & qok[s:s + 256, None])
+                frames.append(pd.DataFrame({"__qi": qi + s, id_col: ids[ci], "hamming": ham[qi, ci],
+                                            "score": np.round(np.einsum("ij,ij->i", qmat[qi + s], cm[ci]), RANK_DECIMALS)}))
+            both = pd.concat(frames + ([best] if best is not None else []), ignore_index=True)
+            best = both.sort_values(["__qi", "hamming", id_col], kind="mergesort").groupby("__qi", sort=False).head(shortlist)
+            last = best.groupby("__qi", sort=False)["hamming"].agg(["size", "max"])
+            last = last[last["size"] == shortlist]
+            worst[last.index.to_numpy()] = last["max"].to_numpy()
         if best is None or best.empty:
             return
         yield pd.DataFrame({"qid": qids[best["__qi"].to_numpy()], id_col: best[id_col].to_numpy(),
@@ -108,7 +115,7 @@ def knn_quantized(queries: DataFrame, corpus: DataFrame, k: int = 10, oversample
     for qpdf in query_blocks(q, "__qid", dim * 8 + 64, max_broadcast_bytes):
         if qpdf.empty:
             continue
-        parts.append(src.mapInPandas(_hamming_fn(qpdf, dim, shortlist, decimals, id_col), schema))
+        parts.append(src.mapInPandas(_hamming_fn(qpdf, dim, shortlist, id_col), schema))
     if not parts:
         return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
     partial = parts[0]
@@ -118,4 +125,4 @@ def knn_quantized(queries: DataFrame, corpus: DataFrame, k: int = 10, oversample
     short = partial.withColumn("__s", F.row_number().over(w_short)).filter(F.col("__s") <= shortlist)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), F.col(id_col).asc())
     return (short.filter(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k).select("qid", id_col, "hamming", "score", "rank"))
+            .filter(F.col("rank") <= k).select("qid", id_col, "hamming", F.round("score", decimals).alias("score"), "rank"))

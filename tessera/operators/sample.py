@@ -2,9 +2,9 @@
 
 ``sample_documents`` returns exactly ``min(k, N)`` rows, uniform without replacement and
 reproducible: rows are ranked by ``md5(id:seed)`` (tie by id), so the result does not depend
-on partitioning and equals the DuckDB formulation.  For a large ``k`` the plain top-k would
-merge ``k`` rows in one task, so the large path first counts rows per hash prefix, keeps whole
-prefixes below the boundary with a filter, and orders only the boundary prefix.
+on partitioning and equals the DuckDB formulation.  For every ``k`` the rows are counted per hash
+prefix, whole prefixes below the boundary are kept with a filter, and only the boundary prefix
+is ordered, so no task ever merges ``k`` rows.  Heads number the rows distributedly.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# above this k the histogram path is used
-LARGE_K = 100_000
+from .ordinals import dense_id
+
 _PREFIX_DIGITS = 4  # 65,536 hash buckets
 
 
@@ -25,21 +25,12 @@ def load_head(df: DataFrame, n: int | None, order_by: list[str] | str) -> DataFr
     """The first ``n`` accepted rows in input order (``None`` = all)."""
     if n is None:
         return df
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    if n < LARGE_K:
-        return df.orderBy(*keys).limit(n)
-    # a large head would be merged in one task by a top-k: number the rows distributedly
-    from .ordinals import dense_id
-    return dense_id(df, keys, name="__pos").filter(F.col("__pos") < n).drop("__pos")
+    return dense_id(df, order_by, name="__pos").filter(F.col("__pos") < n).drop("__pos")
 
 
-def sample_documents(df: DataFrame, k: int, seed: int = 42, id_col: str = "id",
-                     large_k: int = LARGE_K) -> DataFrame:
+def sample_documents(df: DataFrame, k: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Exactly ``min(k, N)`` rows."""
-    h = df.withColumn("__h", sample_key(id_col, seed))
-    if k < large_k:
-        return h.orderBy("__h", id_col).limit(k).drop("__h")
-    h = h.withColumn("__p", F.substring("__h", 1, _PREFIX_DIGITS))
+    h = df.withColumn("__h", sample_key(id_col, seed)).withColumn("__p", F.substring("__h", 1, _PREFIX_DIGITS))
     hist = h.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row per prefix (bounded by 16**_PREFIX_DIGITS): the running count is cheap

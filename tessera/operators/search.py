@@ -14,11 +14,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 from .bounded import DEFAULT_BROADCAST_BYTES
 
 # corpus rows x query rows handled per numpy product (bounds task memory)
@@ -49,11 +49,31 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def _partial_topk(qmat, qok, qpart, qids, k, metric, decimals, id_name, has_part):
+#: scores are compared at this precision (engines sum in different orders) and rounded for output
+RANK_DECIMALS = 12
+
+
+def _keep_best(best, frame, k, id_name):
+    """The top k rows per query of the rows so far and the new ones."""
+    both = frame if best is None else pd.concat([best, frame], ignore_index=True)
+    both = both.sort_values(["__qi", "score", id_name], ascending=[True, False, True], kind="mergesort")
+    return both.groupby("__qi", sort=False).head(k)
+
+
+def merge_blocks(parts: list[DataFrame], rank: list[Column], k: int, columns: list[str], decimals: int) -> DataFrame:
+    """Merges the partial results of all query blocks: rank, cut, round."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return (both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*rank)))
+            .filter(F.col("rank") <= k).withColumn("score", F.round("score", decimals)).select(*columns, "rank"))
+
+
+def _partial_topk(qmat, qok, qpart, qids, k, metric, id_name, has_part):
     """Build the per-partition function for mapInPandas."""
 
     def run(batches):
-        cands = []
+        best = None
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -67,7 +87,7 @@ def _partial_topk(qmat, qok, qpart, qids, k, metric, decimals, id_name, has_part
             cpart = pdf["__p"].to_numpy() if has_part else None
             for s in range(0, qmat.shape[0], _QUERY_SLICE):
                 qs = qmat[s:s + _QUERY_SLICE]
-                sc = np.round(qs @ cm.T, decimals)
+                sc = np.round(qs @ cm.T, RANK_DECIMALS)
                 sc[~qok[s:s + _QUERY_SLICE], :] = -np.inf
                 sc[:, ~cok] = -np.inf
                 if has_part:
@@ -76,18 +96,21 @@ def _partial_topk(qmat, qok, qpart, qids, k, metric, decimals, id_name, has_part
                 kth = np.partition(sc, sc.shape[1] - kk, axis=1)[:, sc.shape[1] - kk]
                 qi, ci = np.nonzero((sc >= kth[:, None]) & np.isfinite(sc))
                 if len(qi):
-                    cands.append(pd.DataFrame({"__qi": qi + s, "score": sc[qi, ci], id_name: ids[ci]}))
-        if not cands:
+                    best = _keep_best(best, pd.DataFrame({"__qi": qi + s, "score": sc[qi, ci], id_name: ids[ci]}), k, id_name)
+        if best is None:
             return
-        allc = pd.concat(cands, ignore_index=True)
-        allc = allc.sort_values(["__qi", "score", id_name], ascending=[True, False, True], kind="mergesort")
-        allc = allc.groupby("__qi", sort=False).head(k)
-        yield pd.DataFrame({"qid": qids[allc["__qi"].to_numpy()], id_name: allc[id_name].to_numpy(),
-                            "score": allc["score"].to_numpy()})
+        yield pd.DataFrame({"qid": qids[best["__qi"].to_numpy()], id_name: best[id_name].to_numpy(),
+                            "score": best["score"].to_numpy()})
 
     return run
 
 
+def _settled(part: DataFrame, nblocks: int) -> DataFrame:
+    """With several query blocks, a block's result is written before the next block is read, so
+    the driver holds one block at a time."""
+    return part if nblocks == 1 else cut_lineage(part)
+
+
 def query_blocks(q: DataFrame, qid_col: str, row_bytes: int, max_bytes: int):
     """Yield pandas blocks of the query side, each within ``max_bytes`` (hash-split by id)."""
     n = q.count()
@@ -147,16 +170,9 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
         else:
             qok = np.array([v is not None and len(v) == dim for v in qpdf["__qv"]])
         qpart = qpdf["__qp"].to_numpy() if partition_col else None
-        fn = _partial_topk(qmat, qok, qpart, qpdf["__qid"].to_numpy(), k, metric, decimals, id_col,
-                           bool(partition_col))
-        parts.append(c.mapInPandas(fn, out_schema))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return (allp.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .select("qid", id_col, "score", "rank"))
+        fn = _partial_topk(qmat, qok, qpart, qpdf["__qid"].to_numpy(), k, metric, id_col, bool(partition_col))
+        parts.append(_settled(c.mapInPandas(fn, out_schema), nblocks))
+    return merge_blocks(parts, [F.col("score").desc(), F.col(id_col).asc()], k, ["qid", id_col, "score"], decimals)
 
 
 def knn_filtered(queries: DataFrame, corpus: DataFrame, predicate, k: int = 10, **kw) -> DataFrame:

@@ -28,9 +28,12 @@ def classify_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
 def validate_collection(lines: DataFrame, value_col: str = "value", check_lines: int = 0,
                         line_no_col: str | None = None) -> DataFrame:
-    """A1: one row of counts, length statistics and the verdict."""
+    """A1: one row of counts, length statistics and the verdict.  ``check_lines`` needs the lines
+    to be numbered (``line_no_col``, from 1; see ``number_lines``)."""
+    if check_lines and not line_no_col:
+        raise ValueError("check_lines needs line_no_col")
     c = classify_lines(lines, value_col)
-    if check_lines and line_no_col:
+    if check_lines:
         c = c.withColumn("kind", F.when(F.col(line_no_col) <= check_lines, F.col("kind")))
     valid = F.col("kind") == "valid"
     length = F.when(valid, F.length("text"))

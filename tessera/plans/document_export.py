@@ -27,14 +27,17 @@ RUN_SCHEMA = ("total_documents long, total_vectors long, total_time_seconds doub
 
 
 def export_documents(spark: SparkSession, pages: DataFrame, out_path: str, factory, dim: int, *,
-                     target_count: int = 100_000, strategy: str = "repeat", index_name: str = "pdf_vectors",
+                     target_count: int = 100_000, target_factor: float | None = None, strategy: str = "repeat", index_name: str = "pdf_vectors",
                      token_mode: str = "chars", latin_sentences: bool = False, batch_size: int = 128,
                      run_id: str = "run") -> DataFrame:
-    """``pages`` is ``(source_file, page_no, page_text)``; returns the run-statistics row."""
+    """``pages`` is ``(source_file, page_no, page_text)``; returns the run-statistics row.
+    ``target_factor`` sets the target as a multiple of the number of chunks."""
     t0 = time.time()
     chunks = cut_lineage(chunk_rows(assemble_pages(pages), latin_sentences=latin_sentences))
     t1 = time.time()
-    expanded = expand_documents(chunks, target_count, ["source_file", "chunk_id"], strategy=strategy)
+    if target_factor is not None:
+        target_count = int(chunks.count() * target_factor)
+    expanded = expand_documents(chunks, target_count, ["source_file", "chunk_id"], strategy=strategy, materialize=False)
     expanded = cut_lineage(expanded)
     n_docs = expanded.count()
     t2 = time.time()
@@ -45,8 +48,7 @@ def export_documents(spark: SparkSession, pages: DataFrame, out_path: str, facto
     n_vec = vectors.count()
     t4 = time.time()
     joined = attach_vectors(expanded, vectors, on="id", on_missing="error")
-    write_bulk_ndjson(joined, out_path, index_name, order_by=["source_file", "chunk_id"]
-                      + (["repeat_id"] if "repeat_id" in joined.columns else []))
+    write_bulk_ndjson(joined, out_path, index_name, order_by=["source_file", "chunk_id", "repeat_id"])
     t5 = time.time()
     row = (int(n_docs), int(n_vec), t5 - t0, t1 - t0, t2 - t1, t3 - t2, t4 - t3, t5 - t4, int(tok["total_tokens"]))
     return spark.createDataFrame([row], RUN_SCHEMA).select(F.lit(run_id).alias("run_id"), "*")

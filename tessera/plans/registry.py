@@ -40,7 +40,7 @@ SELECT qid, id, score, CAST(rnk AS INTEGER) AS rank FROM (
   SELECT q.vec_id AS qid, c.vec_id AS id,
          round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY
-            round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC,
+            round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) DESC,
             c.vec_id) AS rnk
   FROM embeddings q, embeddings c {where}
 ) WHERE rnk <= 10
@@ -210,6 +210,18 @@ def q_sample_documents(spark, sf_dir):
     return sample_documents(_collection(spark, sf_dir), 100, seed=42)
 
 
+@query("sample_half", f"""
+WITH c AS (SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS id, {d_flatten('text')} AS text FROM documents)
+           WHERE length(text) BETWEEN 10 AND 512)
+SELECT id, text FROM (SELECT *, row_number() OVER (ORDER BY md5(id || ':7'), id) AS rn FROM c)
+WHERE rn <= (SELECT count(*) // 2 FROM c)""")
+def q_sample_half(spark, sf_dir):
+    """X3 with a k that grows with the corpus."""
+    from ..operators.sample import sample_documents
+    coll = _collection(spark, sf_dir)
+    return sample_documents(coll, coll.count() // 2, seed=7)
+
+
 def _raw_lines(spark, sf_dir):
     """The table written as a raw TSV keyed by ``source``: embedded newlines make extra lines."""
     d = read_table(spark, sf_dir, "documents")
@@ -321,23 +333,24 @@ def q_assemble_pages(spark, sf_dir):
 @query("expand_chunks_fuzzy", f"""
 WITH ch AS (SELECT k AS doc_id, 'doc_' || k || '_chunk_' || chunk_no AS id, text, 'doc_' || k AS source_file,
                    CAST(chunk_no AS INTEGER) AS chunk_id FROM ({d_chunks(_DOC_CHUNK_SRC, 'doc_id', 't')})),
-n AS (SELECT count(*) AS n, CAST(ceil(100000.0 / count(*)) AS BIGINT) AS f FROM ch),
+n AS (SELECT count(*) AS n, (5 * count(*)) // 2 AS target, CAST(ceil(((5 * count(*)) // 2) / count(*)) AS BIGINT) AS f FROM ch),
 o AS (SELECT ch.*, row_number() OVER (ORDER BY doc_id, chunk_id) AS rn FROM ch),
 copies AS (
   SELECT o.*, unnest(range(0, n.f - 1)) AS rep FROM o, n
   UNION ALL
-  SELECT o.*, n.f - 1 AS rep FROM o, n WHERE o.rn <= 100000 - n.n * (n.f - 1))
+  SELECT o.*, n.f - 1 AS rep FROM o, n WHERE o.rn <= n.target - n.n * (n.f - 1))
 SELECT id || '_fuzzy_' || rep AS id, '[副本' || (rep + 1) || '] ' || text AS text, source_file, chunk_id,
        CAST(rep AS INTEGER) AS repeat_id
 FROM copies""")
 def q_expand_chunks(spark, sf_dir):
-    """P7/P8 chunks expanded to the reference's 100,000 target with the fuzzy strategy."""
+    """P7/P8 chunks expanded to five halves of their number with the fuzzy strategy."""
+    from ..session import cut_lineage
     from ..operators.chunk import chunk_rows
     from ..operators.expand import expand_documents
     d = read_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), "text", "doc_id")
-    ch = chunk_rows(d, latin_sentences=True, keep=["doc_id"])
-    return (expand_documents(ch, 100_000, ["doc_id", "chunk_id"], strategy="fuzzy")
+    ch = cut_lineage(chunk_rows(d, latin_sentences=True, keep=["doc_id"]))
+    return (expand_documents(ch, 5 * ch.count() // 2, ["doc_id", "chunk_id"], strategy="fuzzy", materialize=False)
             .select("id", "text", "source_file", "chunk_id", "repeat_id"))
 
 
@@ -476,12 +489,12 @@ def q_embed_with_instruction(spark, sf_dir):
 
 @query("generate_and_store")
 def q_generate_and_store(spark, sf_dir):
-    """S4 -> X3 (100,000 of them, i.e. all at test scale) -> E1 -> K2/K3; run statistics."""
+    """S4 -> X3 (half of them) -> E1 -> K2/K3; run statistics."""
     from ..operators.embed import generate_and_store, hash_embedder_factory
     from ..operators.sample import sample_documents
     from ..session import scratch_path
     coll = _collection(spark, sf_dir)
-    sampled = sample_documents(coll, 100_000, seed=42).withColumn("__k", F.col("id").cast("bigint"))
+    sampled = sample_documents(coll, coll.count() // 2, seed=42).withColumn("__k", F.col("id").cast("bigint"))
     return generate_and_store(sampled, hash_embedder_factory(64), scratch_path(spark, "e4store"),
                               order_by="__k", dim=64)
 
@@ -862,9 +875,9 @@ def q_binary_codes(spark, sf_dir):
 _QUANT_SQL = f"""
 WITH c AS (SELECT vec_id, embedding, {d_codes('embedding')} AS code FROM embeddings),
 p AS (SELECT q.vec_id AS qid, d.vec_id AS id, bit_count(xor(q.code, d.code)) AS hamming,
-        round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM c q, c d),
+        round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 12) AS score FROM c q, c d),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hamming, id) AS sr FROM p) WHERE sr <= 40)
-SELECT qid, id, CAST(hamming AS BIGINT) AS hamming, score, CAST(rank AS INTEGER) AS rank FROM (
+SELECT qid, id, CAST(hamming AS BIGINT) AS hamming, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
 
 
@@ -888,6 +901,64 @@ def q_recall_quantized(spark, sf_dir):
     return search.mean_recall(search.recall_at_k(knn_quantized(q, v, 10), search.knn_exact(q, v, 10), 10))
 
 
+_GAPS = """(SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN NULL
+  WHEN vec_id % 11 = 5 THEN list_transform(embedding, lambda x: 0.0::FLOAT) ELSE embedding END AS embedding FROM embeddings)"""
+
+
+def _with_gaps(spark, sf_dir):
+    """The vector table with null and zero vectors mixed in."""
+    v = _vectors(spark, sf_dir)
+    return v.withColumn("vector", F.when(F.col("id") % 7 == 3, F.lit(None)).when(
+        F.col("id") % 11 == 5, F.transform("vector", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("vector")))
+
+
+_NOT_EMPTY = "len(list_filter({0}.embedding, lambda x: x <> 0)) > 0"
+
+
+@query("knn_exact_with_gaps", _KNN_SQL.format(where=f"WHERE {_NOT_EMPTY.format('q')} AND {_NOT_EMPTY.format('c')}").replace(
+    "FROM embeddings q, embeddings c", f"FROM {_GAPS} q, {_GAPS} c"))
+def q_knn_with_gaps(spark, sf_dir):
+    """V1 on vectors with nulls and zeros: neither is found, neither asks."""
+    v = _with_gaps(spark, sf_dir)
+    return search.knn_exact(_queries_from(v), v, 10)
+
+
+@query("knn_quantized_with_gaps", _QUANT_SQL.replace("FROM embeddings)", f"FROM {_GAPS} g WHERE {_NOT_EMPTY.format('g')})"))
+def q_knn_quantized_with_gaps(spark, sf_dir):
+    """V6 on the same: null and zero vectors take no place in a shortlist."""
+    from ..operators.quantize import knn_quantized
+    v = _with_gaps(spark, sf_dir)
+    return knn_quantized(_queries_from(v), v, 10, oversample=4)
+
+
+@query("knn_ivf_by_label", """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+x AS (SELECT label, i, avg(e[i]) AS m FROM (SELECT label, e, unnest(range(1, 65)) AS i FROM v) GROUP BY label, i),
+c AS (SELECT label, list(m ORDER BY i) AS m FROM x GROUP BY label),
+p AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(e, m), 12) DESC, label) AS near
+      FROM (SELECT v.vec_id, v.e, c.label, c.m FROM v, c)),
+s AS (SELECT q.vec_id AS qid, d.vec_id AS id, round(list_cosine_similarity(qv.e, dv.e), 12) AS score
+      FROM p q JOIN p d ON q.label = d.label AND q.near <= 3 AND d.near = 1
+      JOIN v qv ON qv.vec_id = q.vec_id JOIN v dv ON dv.vec_id = d.vec_id)
+SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def q_knn_ivf_by_label(spark, sf_dir):
+    """V7 with given cells: the mean vector of each label is its centroid, three cells are probed."""
+    from ..operators.ann import cell_means, knn_ivf
+    v = _vectors(spark, sf_dir)
+    return knn_ivf(_queries_from(v), v, 10, nprobe=3, centroids=cell_means(v, "label"))
+
+
+@query("knn_lsh_recall")
+def q_knn_lsh_recall(spark, sf_dir):
+    """V7 + V9, LSH form: recall@10 of the candidates within a wide radius (random projections)."""
+    from ..operators.ann import knn_lsh
+    v = _vectors(spark, sf_dir)
+    q = _queries_from(v)
+    return search.mean_recall(search.recall_at_k(knn_lsh(q, v, 10, threshold=1.5, bucket_length=2.0),
+                                                 search.knn_exact(q, v, 10), 10))
+
+
 @query("knn_ivf_recall")
 def q_knn_ivf_recall(spark, sf_dir):
     """V7 + V9: probe search over 16 KMeans cells (4 probed) and its recall@10 (iterative
@@ -909,12 +980,12 @@ dl AS (SELECT doc_id, len(toks) AS dl FROM d),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(toks) AS term FROM sd)
        WHERE term IN (SELECT term FROM q) GROUP BY term),
 s AS (SELECT q.qid, tf.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2
-        / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))), 6) AS score
+        / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))), 12) AS score
       FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term JOIN dl ON dl.doc_id = tf.doc_id, st
       GROUP BY q.qid, tf.doc_id)
-SELECT qid, doc_id AS id, score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
-_BM25_SQL = _BM25_TMPL.replace("STATDOCS", "documents").replace("DOCS", "documents")
+SELECT qid, doc_id AS id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= DEPTH"""
+_BM25_SQL = _BM25_TMPL.replace("DEPTH", "10").replace("STATDOCS", "documents").replace("DOCS", "documents")
 
 
 def _bm25(spark, sf_dir):
@@ -930,17 +1001,19 @@ def q_bm25_search(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
+#: rows of each list that are fused into the hybrid top 10
+_RANK_WINDOW = 100
 _HYBRID_TMPL = f"""
-WITH bm AS ({_BM25_TMPL}),
+WITH bm AS ({_BM25_TMPL.replace("DEPTH", str(_RANK_WINDOW))}),
 dc AS ({d_cells('SELECT doc_id, text FROM DOCS', 'doc_id', 'text')}),
 qc AS ({d_cells('SELECT item_id, text FROM benchmark', 'item_id', 'text')}),
-vs AS (SELECT qc.k AS qid, dc.k AS id, round(sum(qc.value * dc.value), 6) AS score FROM qc JOIN dc ON qc.bucket = dc.bucket
+vs AS (SELECT qc.k AS qid, dc.k AS id, round(sum(qc.value * dc.value), 12) AS score FROM qc JOIN dc ON qc.bucket = dc.bucket
        GROUP BY qc.k, dc.k),
 vk AS (SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs)
-       WHERE rank <= 10),
+       WHERE rank <= {_RANK_WINDOW}),
 u AS (SELECT qid, id, 1.0 / (60 + rank) AS rrf FROM bm UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM vk),
-f AS (SELECT qid, id, round(sum(rrf), 6) AS score, count(*) AS lists FROM u GROUP BY qid, id)
-SELECT qid, id, score, lists, CAST(rank AS INTEGER) AS rank FROM (
+f AS (SELECT qid, id, round(sum(rrf), 12) AS score, count(*) AS lists FROM u GROUP BY qid, id)
+SELECT qid, id, round(score, 6) AS score, lists, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10"""
 _HYBRID_SQL = _HYBRID_TMPL.replace("STATDOCS", "documents").replace("DOCS", "documents")
 
@@ -955,7 +1028,7 @@ def _cell_vectors(df, id_col, dim=64):
 
 @query("hybrid_search", _HYBRID_SQL)
 def q_hybrid_search(spark, sf_dir):
-    """V4: BM25 top-10 and hash-vector top-10 fused by reciprocal rank (c = 60)."""
+    """V4: the first 100 of BM25 and of the hash vectors fused by reciprocal rank (c = 60), top 10."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return _hybrid(spark, sf_dir, docs)
 
@@ -965,8 +1038,8 @@ def _hybrid(spark, sf_dir, docs, stats_docs=None):
     qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     dv = _cell_vectors(docs, "id")
     qv = _cell_vectors(qs, "qid")
-    vec = search.knn_exact(qv, dv, 10)
-    fused = reciprocal_rank_fusion([bm25_search(docs, qs, 10, stats_corpus=stats_docs), vec], 10)
+    vec = search.knn_exact(qv, dv, _RANK_WINDOW)
+    fused = reciprocal_rank_fusion([bm25_search(docs, qs, _RANK_WINDOW, stats_corpus=stats_docs), vec], 10)
     return fused.select("qid", "id", "score", "lists", F.col("rank").cast("int").alias("rank"))
 
 
@@ -1310,5 +1383,5 @@ def q_document_export_run(spark, sf_dir):
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("source_file"),
         F.col("turn").cast("int").alias("page_no"), F.col("text").alias("page_text"))
     run = export_documents(spark, pages, scratch_path(spark, "export"), hash_embedder_factory(64), 64,
-                           target_count=10_000, latin_sentences=True)
+                           target_factor=2.5, latin_sentences=True)
     return run_rates(run, keep_all=True)

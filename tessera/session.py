@@ -82,6 +82,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -94,18 +96,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_EXPENSIVE_NODES = ("Exchange", "MapInPandas", "ArrowEvalPython", "BatchEvalPython", "Generate",
-                    "Aggregate", "Window", "Sort", "Join", "Expand")
-
-
-def expensive_plan(df: DataFrame) -> bool:
-    """True when re-reading ``df`` costs more than a scan with projections and filters
-    (shuffles, Python, generators, aggregates, sorts, joins) — worth materialising once when
-    it is read several times; a cheap scan is simply read again."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return any(node in plan for node in _EXPENSIVE_NODES)
-
-
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_root(df.sparkSession)

@@ -11,9 +11,7 @@ from ..operators.ordinals import dense_id
 def collection_lines(df: DataFrame, order_by: list[str] | str, text_col: str = "text") -> DataFrame:
     """Dense id over ``order_by`` and the line ``id<TAB>text``.  A CR inside the text would
     split the line on re-read, so it is mapped to a space here (documented deviation)."""
-    # the accepted rows are written once and numbered from that copy: cheaper than scanning
-    # the whole source three times (cut points, range counts, numbering)
-    numbered = dense_id(df, order_by, name="id", materialize=True)
+    numbered = dense_id(df, order_by, name="id")
     text = F.translate(F.col(text_col), "\r", " ")
     return numbered.select("id", text.alias("text"),
                            F.concat_ws("\t", F.col("id").cast("string"), text).alias("value"),
@@ -22,8 +20,7 @@ def collection_lines(df: DataFrame, order_by: list[str] | str, text_col: str = "
 
 def write_collection(df: DataFrame, path: str, order_by: list[str] | str, text_col: str = "text",
                      mode: str = "errorifexists") -> str:
-    """Writes range-partitioned part files whose name order is the id order."""
-    lines = collection_lines(df, order_by, text_col)
-    (lines.repartitionByRange("id").sortWithinPartitions("id")
-     .select("value").write.mode(mode).text(path))
+    """Writes part files whose name order is the id order: the numbered ranges are written as
+    they stand, one file per range."""
+    collection_lines(df, order_by, text_col).select("value").write.mode(mode).text(path)
     return path

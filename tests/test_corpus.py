@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.expand import expand_documents
@@ -73,7 +74,7 @@ def test_dense_id_partition_invariant(spark):
 def test_sample_exact_k_and_paths_agree(spark):
     df = spark.range(0, 3000).select(F.col("id").cast("string").alias("id"))
     small = {r["id"] for r in sample_documents(df, 700, seed=42).collect()}
-    large = {r["id"] for r in sample_documents(df.repartition(7), 700, seed=42, large_k=10).collect()}
+    large = {r["id"] for r in sample_documents(df.repartition(7), 700, seed=42).collect()}
     assert len(small) == 700 and small == large
     assert sample_documents(df, 5000).count() == 3000
 
@@ -86,8 +87,9 @@ def test_expand_exact_target(spark):
     last = sorted(r["k"] for r in rows if r["repeat_id"] == 3)
     assert last == [0, 1]
     same = expand_documents(df, 5, "k")
-    assert same.count() == 7 and "repeat_id" not in same.columns
-    fuzzy = expand_documents(df, 23, "k", strategy="fuzzy", large_k=1)
+    assert same.count() == 7 and same.columns == out.columns and same.filter("repeat_id is not null").count() == 0
+    assert expand_documents(df, 7, "k").count() == 7 and expand_documents(df, 8, "k").count() == 8
+    fuzzy = expand_documents(df, 23, "k", strategy="fuzzy")
     assert fuzzy.count() == 23
     assert fuzzy.filter(F.col("id") == "d0_fuzzy_2").first()["text"] == "[副本3] text 0"
 
@@ -143,6 +145,8 @@ def test_validate_check_lines_cut(spark):
     df = spark.createDataFrame([(v, i + 1) for i, v in enumerate(rows)], "value string, line int")
     r = validate_collection(df, check_lines=2, line_no_col="line").first()
     assert (r["total_lines"], r["valid_lines"], r["malformed_lines"]) == (4, 1, 1)
+    with pytest.raises(ValueError):
+        validate_collection(df, check_lines=2)
 
 
 def test_dense_id_by_groups_matches_global(spark):

@@ -97,13 +97,12 @@ def test_latency_percentiles_match_numpy(spark):
 
 
 def test_lsh_candidates_are_close(spark):
-    from tessera.operators.ann import lsh_candidates
+    from tessera.operators.ann import knn_lsh
     v = _emb(spark)
     q = v.select(F.col("id").alias("qid"), "vector")
-    pairs = lsh_candidates(q, v, threshold=0.5, bucket_length=0.5)
-    rows = pairs.collect()
-    assert rows and all(r["distance"] < 0.5 for r in rows)
-    assert {(r["qid"], r["id"]) for r in rows if r["qid"] == r["id"]}
+    rows = knn_lsh(q, v, 3, threshold=0.5, bucket_length=0.5).collect()
+    assert rows and all(r["score"] > 1 - 0.5**2 / 2 - 1e-6 and r["rank"] <= 3 for r in rows)
+    assert {(r["qid"], r["id"]) for r in rows if r["rank"] == 1} and all(r["qid"] == r["id"] for r in rows if r["score"] > 0.999999)
 
 
 def test_units_and_wide_resources(spark):

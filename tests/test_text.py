@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators.chunk import chunk_text, chunk_text_arrow
+from tessera.operators.chunk import chunk_text
 
 WS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0        　"
 
@@ -42,51 +42,36 @@ def test_preview_and_wrap(spark):
     assert _one(spark, tx.char_length("t"), ["a😀中"]) == [3]
 
 
-def _py_chunk(text, cs=512, mn=10, mx=512):
-    chunks, cur = [], ""
-    for para in text.split("\n\n"):
-        para = para.strip()
-        if not para:
-            continue
-        if len(cur) + len(para) + 1 <= cs:
-            cur = cur + "\n" + para if cur else para
-        else:
-            if cur and len(cur) >= mn:
-                chunks.append(cur[:mx])
-            if len(para) > cs:
-                cur = ""
-                for s in re.split(r"[。！？\n]", para):
-                    s = s.strip()
-                    if not s:
-                        continue
-                    if len(cur) + len(s) + 1 <= cs:
-                        cur = cur + " " + s if cur else s
-                    else:
-                        if cur and len(cur) >= mn:
-                            chunks.append(cur[:mx])
-                        cur = s
-            else:
-                cur = para
-    if cur and len(cur) >= mn:
-        chunks.append(cur[:mx])
-    return chunks
-
-
-def test_chunk_fold_matches_python(spark):
+def test_chunks_of_hand_written_texts(spark):
+    texts = ["", "short", "a" * 9, "a" * 10, "one paragraph.", "para one is here\n\npara two is here", "p" * 25 + "\n\n" + "q" * 25,
+             "first sentence here。second sentence！third one？", "x" * 20 + "\n\n" + "s one is 15 long。" + "s" * 40 + "。tail of it is 20 ch.",
+             "k" * 60]
+    assert _one(spark, chunk_text("t", 40, 10, 40), texts) == [
+        [], [], [], ["a" * 10], ["one paragraph."], ["para one is here\npara two is here"], ["p" * 25, "q" * 25],
+        # longer than 40: packed by sentences
+        ["first sentence here second sentence", "third one"][:1], ["x" * 20, "s one is 15 long", "s" * 40, "tail of it is 20 ch."],
+        ["k" * 40]]
+
+
+def test_chunk_properties(spark):
     rng = random.Random(7)
     words = ["alpha", "beta", "gamma", "中文", "x" * 40, "y" * 700]
     texts = []
-    for _ in range(300):
+    for _ in range(200):
         parts = []
         for _ in range(rng.randint(0, 30)):
             parts.append(" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))))
             parts.append(rng.choice(["。", "！", "\n", "\n\n", " ", "？", "\n\n\n"]))
         texts.append("".join(parts))
-    texts += ["", "short", "a" * 511, "a" * 512, "a" * 513, "b" * 9 + "。" + "c" * 600]
-    for cs, mn, mx in ((512, 10, 512), (50, 5, 30)):
-        want = [_py_chunk(t, cs, mn, mx) for t in texts]
-        assert _one(spark, chunk_text("t", cs, mn, mx), texts) == want
-        assert _one(spark, chunk_text_arrow("t", cs, mn, mx), texts) == [list(x) for x in want]
+
+    def squeezed(s):
+        return re.sub(r"[。！？\s]", "", s)
+    for text, whole, cut in zip(texts, _one(spark, chunk_text("t", 512, 1, 10**6), texts), _one(spark, chunk_text("t", 60, 5, 30), texts)):
+        # without length limits no character but separators is lost, and the order stays
+        assert squeezed("".join(whole)) == squeezed(text)
+        assert all(5 <= len(c) <= 30 for c in cut)
+        # two neighbouring chunks never fit in one, unless a long paragraph begins or ends between them
+        assert all(len(a) + len(b) + 1 > 512 for a, b in zip(whole, whole[1:])) or any(len(p) > 512 for p in text.split("\n\n"))
 
 
 def test_tokens_and_counts(spark):
