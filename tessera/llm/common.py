@@ -12,6 +12,8 @@ from ..session import scratch_path, ship_package
 
 #: rows up to which a table may be broadcast; every use counts the rows first
 BROADCAST_ROWS = 400_000
+#: rows that a Python task holds as objects
+ROWS_AT_ONCE = 512
 #: a word is a run of anything but space and the control characters tab to carriage return
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,7 +44,9 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iter
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for out in function(b.to_pydict() for b in batches):
+        # a few hundred rows at a time become Python objects
+        parts = (b.slice(at, ROWS_AT_ONCE).to_pydict() for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+        for out in function(parts):
             yield pa.RecordBatch.from_pydict(dict(out), schema=target)
 
     return df.mapInArrow(run, schema)

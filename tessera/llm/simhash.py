@@ -159,7 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row (id, fp, component_id) per document row, in which ``component_id`` is the
     smallest id that the links reach."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
+    # an explicit number of parts: each row becomes 64 variants, which sizes in bytes don't tell
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")).repartition(parts, "fp"), "simhash-classes")
     roots = materialise(connected_components(fingerprint_links(classes, max_distance)), "simhash-roots")
     rooted = materialise(classes.join(small(roots), classes["fp"] == roots["node"], "left")
                          .select("fp", "first_id", "root"), "simhash-rooted")

@@ -58,7 +58,7 @@ class SeverityModel:
     def _of(self, word: str) -> tuple[str, ...]:
         found = self._known.get(word)
         if found is None:
-            if len(self._known) > 500_000:
+            if len(self._known) > 100_000:
                 self._known.clear()
             found = self._known[word] = tuple(f for f in _features(word) if f in self.weights)
         return found
