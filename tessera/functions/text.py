@@ -59,10 +59,6 @@ def length_between(c, min_length: int, max_length: int) -> Column:
     return F.length(_c(c)).between(min_length, max_length)
 
 
-def not_blank(c) -> Column:
-    """non-empty after strip."""
-    return py_strip(c) != F.lit("")
-
 
 def sentence_marks_to_cjk(c) -> Column:
     """Option for Latin corpora: map . ! ? to 。！？ so the chunker sees sentence ends
@@ -137,8 +133,3 @@ def token_count(c, mode: str = "chars") -> Column:
 def id_too_long(c, max_bytes: int = 64) -> Column:
     """Ids are stored in at most 64 UTF-8 bytes; flag (never truncate) longer ones."""
     return F.octet_length(_c(c)) > max_bytes
-
-
-def to_float32(c) -> Column:
-    """Vector column as array<float>."""
-    return _c(c).cast("array<float>")

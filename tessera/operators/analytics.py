@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounded import broadcast_if_small
 from .metrics import latency_summary
 from .ordinals import batch_no, dense_id
 
@@ -35,7 +36,7 @@ def search_latency(log: DataFrame, system_col: str = "system", query_col: str =
     time a query is seen) and hot (repeats), then the A3 summary per (system, phase).
 
     Nothing numbers a whole system: the warm-up rows are a per-system top-``warmup``
-    (partial limit before the shuffle, then broadcast: ``systems x warmup`` rows), and the
+    (partial limit before the shuffle, then broadcast if its measured size allows: ``systems x warmup`` rows), and the
     first request of each (system, query) comes from a combinable ``min`` aggregate, joined
     back on the request id (uniformly distributed, so a hot query cannot skew the join)."""
     order = [F.col(ts_col), F.col(query_col), F.col(request_col)]
@@ -46,7 +47,7 @@ def search_latency(log: DataFrame, system_col: str = "system", query_col: str =
     first = (log.groupBy(system_col, query_col)
              .agg(F.min(F.struct(*order)).alias("__f"))
              .select(F.col(f"__f.{request_col}").alias(request_col), F.lit(True).alias("__cold")))
-    staged = (log.join(F.broadcast(warm), request_col, "left_anti")
+    staged = (log.join(broadcast_if_small(warm, row_bytes=32), request_col, "left_anti")
               .join(first, request_col, "left")
               .withColumn("phase", F.when(F.col("__cold"), F.lit("cold")).otherwise(F.lit("hot"))))
     return latency_summary(staged, [system_col, "phase"], latency_col, ok_col, approx=approx)

@@ -133,14 +133,6 @@ def hash_embed_cells(df: DataFrame, dim: int = 64, id_col: str = "id", text_col:
         id_col, "bucket", (F.col("w") / F.col("norm")).alias("value"))
 
 
-def hash_embed_vectors(df: DataFrame, dim: int = 64, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """E3 as dense ``array<double>`` vectors (documents without tokens have no row)."""
-    g = hash_embed_grouped(df, dim, id_col, text_col)
-    m = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["bucket"], c["w"] / F.col("norm"))))
-    return g.select(F.col(id_col), m.alias("__m")).select(
-        id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                            lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0))).alias("vector"))
-
 
 class HashEmbedder:
     """The numpy twin of :func:`hash_embed_cells` (same tokens, buckets, signs, norm)."""

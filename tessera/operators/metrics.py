@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
+from .percentiles import exact_percentiles, same_group
 from ..functions.units import seconds_to_hours, seconds_to_minutes
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -22,16 +23,20 @@ def latency_summary(obs: DataFrame, group_cols: list[str], latency_col: str = "l
                     approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """A3: mean, population std, min, max and exact (linearly interpolated) percentiles, in ms.
 
-    The exact ``percentile`` keeps one count per distinct value of a group (bounded by the
-    measurement resolution, not the row count); ``approx=True`` switches to
-    ``percentile_approx`` with a fixed-size sketch for logs of unbounded resolution."""
+    The exact percentiles are picked from range-sorted value counts (``percentiles``), so a group
+    of any size is spread over the tasks; ``approx=True`` uses a fixed-size sketch instead."""
     src = obs.filter(F.col(ok_col)) if ok_col else obs
     x = F.col(latency_col) * F.lit(scale)
     probs = F.array(*[F.lit(p) for p in PERCENTILES])
-    pct = F.percentile_approx(x, probs, accuracy) if approx else F.percentile(x, probs)
-    agg = src.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("samples"), F.avg(x).alias("mean_ms"), F.stddev_pop(x).alias("std_ms"),
-        F.min(x).alias("min_ms"), F.max(x).alias("max_ms"), pct.alias("__p"))
+    stats = [F.count(F.lit(1)).alias("samples"), F.avg(x).alias("mean_ms"), F.stddev_pop(x).alias("std_ms"),
+             F.min(x).alias("min_ms"), F.max(x).alias("max_ms")]
+    if approx:
+        agg = src.groupBy(*group_cols).agg(*stats, F.percentile_approx(x, probs, accuracy).alias("__p"))
+    else:
+        plain = src.groupBy(*group_cols).agg(*stats)
+        pct = exact_percentiles(src, group_cols, x, list(PERCENTILES))
+        agg = (plain.join(pct, same_group(plain, pct, group_cols), "left")
+               .select(*[plain[c] for c in plain.columns], F.array(*[F.col(f"p{i}") for i in range(len(PERCENTILES))]).alias("__p")))
     names = ["p50_ms", "p90_ms", "p95_ms", "p99_ms"]
     return agg.select(*group_cols, "samples",
                       *[F.round(c, decimals).alias(c) for c in ("mean_ms", "std_ms", "min_ms", "max_ms")],

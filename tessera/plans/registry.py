@@ -501,6 +501,22 @@ def q_generate_and_store(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- bulk
 
+
+@query("attachment_report", """
+WITH d AS (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 17 = 4),
+v AS (SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 23 = 9),
+c AS (SELECT coalesce(d.id, v.id) AS id, coalesce(nd, 0) AS n_docs, coalesce(nv, 0) AS n_vectors
+      FROM (SELECT id, count(*) AS nd FROM d GROUP BY id) d FULL JOIN (SELECT id, count(*) AS nv FROM v GROUP BY id) v ON d.id = v.id)
+SELECT *, CASE WHEN n_vectors = 0 THEN 'missing vector' WHEN n_docs = 0 THEN 'missing document' ELSE 'duplicate' END AS problem
+FROM c WHERE n_docs <> 1 OR n_vectors <> 1""")
+def q_attachment_report(spark, sf_dir):
+    """J1's report: documents and vectors of equal ids, with some rows given twice."""
+    from ..sinks.bulk import attachment_report
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return attachment_report(d.unionByName(d.where("id % 17 = 4")), v.unionByName(v.where("id % 23 = 9")))
+
+
 _BULK_DOC_SCHEMA = "text string, vector array<double>, source_file string, lang string"
 
 
@@ -1020,7 +1036,7 @@ _HYBRID_SQL = _HYBRID_TMPL.replace("STATDOCS", "documents").replace("DOCS", "doc
 
 def _cell_vectors(df, id_col, dim=64):
     """Hash-embedder vectors in float64 through the map-only embedder (no shuffle); equal to
-    the SQL cells of ``hash_embed_vectors``."""
+    the SQL cells of ``hash_embed_cells``."""
     from ..operators.embed import embed, hash_embedder_factory
     return embed(df, hash_embedder_factory(dim), id_col=id_col, dim=dim, vector_type="double") \
         .select(id_col, "vector")
@@ -1273,7 +1289,7 @@ def q_incremental_ingest(spark, sf_dir):
 # ------------------------------------------------------------- files and catalogs
 
 @query("dataset_catalog", f"""
-SELECT lang, CAST(1 AS BIGINT) AS files, count(*) AS lines,
+SELECT lang, count(*) AS lines,
   CAST(sum(strlen(CAST(doc_id AS VARCHAR) || chr(9) || {d_flatten('text')}) + 1) AS BIGINT) AS size_bytes,
   true AS valid_utf8
 FROM documents GROUP BY lang""")
@@ -1285,13 +1301,13 @@ def q_dataset_catalog(spark, sf_dir):
     path = scratch_path(spark, "catalog")
     d = read_table(spark, sf_dir, "documents")
     (d.select("lang", F.concat_ws("\t", F.col("doc_id").cast("string"), flatten_text("text")).alias("value"))
-     .repartition("lang").write.partitionBy("lang").text(path))
+     .write.partitionBy("lang").text(path))
     cat = dataset_catalog(spark, path, "*.txt")
     ok = utf8_check_files(spark, path, "*.txt")
-    j = cat.join(ok, cat.file_path == ok.path).withColumn("lang", F.regexp_extract("file_path", "lang=([^/]+)", 1))
-    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").cast("bigint").alias("lines"),
+    j = cat.join(ok, cat.file_path == ok.path, "left").withColumn("lang", F.regexp_extract("file_path", "lang=([^/]+)", 1))
+    return j.groupBy("lang").agg(F.sum("lines").cast("bigint").alias("lines"),
                                  F.sum("size_bytes").cast("bigint").alias("size_bytes"),
-                                 F.bool_and("valid_utf8").alias("valid_utf8"))
+                                 F.bool_and(F.coalesce("valid_utf8", F.lit(True))).alias("valid_utf8"))
 
 
 @query("telemetry_roundtrip", """

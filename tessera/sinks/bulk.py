@@ -15,28 +15,39 @@ class CountMismatch(ValueError):
     pass
 
 
+def attachment_report(docs: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
+    """``(id, n_docs, n_vectors, problem)`` of every id that isn't in both inputs exactly once:
+    ``missing vector``, ``missing document`` or ``duplicate``.  Each input is counted by id first
+    (combinable, ids only), so neither texts nor vectors are moved."""
+    def counts(df, name):
+        return df.groupBy(F.col(on).alias("__on")).agg(F.count(F.lit(1)).alias(name))
+
+    d, v = counts(docs, "n_docs"), counts(vectors, "n_vectors")
+    n_docs, n_vectors = F.coalesce("n_docs", F.lit(0)), F.coalesce("n_vectors", F.lit(0))
+    problem = (F.when(n_vectors == 0, "missing vector").when(n_docs == 0, "missing document")
+               .when((n_docs > 1) | (n_vectors > 1), "duplicate"))
+    return (d.join(v, d["__on"].eqNullSafe(v["__on"]), "full_outer")
+            .select(F.coalesce(d["__on"], v["__on"]).alias(on), n_docs.alias("n_docs"), n_vectors.alias("n_vectors"), problem.alias("problem"))
+            .where("problem is not null"))
+
+
 def attach_vectors(docs: DataFrame, vectors: DataFrame, on: str = "id",
                    on_missing: str = "error", vector_col: str = "vector") -> DataFrame:
     """Document k with vector k, keyed by id (never by position).
 
-    ``on_missing='error'``: one full outer join is materialised (reliable checkpoint), the
-    counts of documents, vectors and matches are read from it, and any difference raises;
-    the matched rows come from the same materialised join, so the documents are shuffled
-    once.  ``'drop'`` is a plain inner join."""
+    ``on_missing='error'`` raises unless every id stands once in either input (see
+    :func:`attachment_report`); ``'drop'`` joins what there is."""
     v = vectors.select(F.col(on), F.col(vector_col).alias("vector"))
-    if on_missing == "drop":
-        return docs.join(v, on, "inner")
-    if on_missing != "error":
+    if on_missing not in ("error", "drop"):
         raise ValueError("on_missing must be 'error' or 'drop'")
-    from ..session import cut_lineage
-    both = cut_lineage(docs.withColumn("__d", F.lit(True))
-                       .join(v.withColumn("__v", F.lit(True)), on, "full_outer"))
-    c = both.agg(F.count_if(F.col("__d")).alias("docs"), F.count_if(F.col("__v")).alias("vecs"),
-                 F.count_if(F.col("__d") & F.col("__v")).alias("both")).first()
-    if not (c["docs"] == c["vecs"] == c["both"]):
-        raise CountMismatch(f"Documents count ({c['docs']}) != vectors count ({c['vecs']}); "
-                            f"{c['both']} ids match")
-    return both.drop("__d", "__v")
+    if on_missing == "error":
+        c = attachment_report(docs, v, on).agg(
+            F.count(F.lit(1)).alias("ids"), *[F.count_if(F.col("problem") == p).alias(p) for p in ("missing vector", "missing document", "duplicate")]
+        ).first()
+        if c["ids"]:
+            raise CountMismatch(f"Documents and vectors don't pair up: {c['missing vector']} ids without a vector, "
+                                f"{c['missing document']} without a document, {c['duplicate']} given more than once")
+    return docs.join(v, on, "inner")
 
 
 def format_action(id_col: Column, index_name: str) -> Column:

@@ -97,29 +97,48 @@ def read_text_with_fallback(df: DataFrame, text_field: str = "text", min_length:
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str, text_field: str = "text",
-                min_length: int = 10, max_length: int = 512) -> DataFrame:
-    """Dispatch on format; returns flattened, filtered texts with an order key."""
+                min_length: int = 10, max_length: int = 512, max_samples: int | None = None,
+                order_by: list[str] | None = None) -> DataFrame:
+    """Dispatch on format; returns flattened, filtered texts with an order key, the first
+    ``max_samples`` accepted ones in its order.  Lines are ordered by file and place, Parquet rows by
+    file and row position; a table has no order of its own, so ``max_samples`` needs ``order_by`` there."""
+    from ..operators.sample import load_head
     if fmt == "json":
-        return read_json_text(read_lines(spark, path), text_field, min_length, max_length)
-    if fmt == "parquet":
-        df = spark.read.parquet(path).withColumn("__row", F.monotonically_increasing_id())
-        return read_parquet_text(df, text_field, min_length, max_length)
-    if fmt in ("table", "hub"):
-        return read_text_with_fallback(spark.table(path), text_field, min_length, max_length)
-    raise ValueError(f"unknown format {fmt!r}")
+        out, order = read_json_text(read_lines(spark, path), text_field, min_length, max_length), LINE_ORDER
+    elif fmt == "parquet":
+        df = spark.read.parquet(path).withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+        out, order = read_parquet_text(df, text_field, min_length, max_length), ["__file", "__row"]
+    elif fmt in ("table", "hub"):
+        out, order = read_text_with_fallback(spark.table(path), text_field, min_length, max_length), order_by
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+    if max_samples is not None and not order:
+        raise ValueError("max_samples of a table needs order_by")
+    return load_head(out, max_samples, order_by or order)
+
+
+def _plain(path: str) -> Column:
+    """One spelling of local paths: readers write the scheme with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
 
 
 def dataset_catalog(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFrame:
-    """Per file: name, line count, size in bytes."""
-    return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-            .groupBy(F.col("_metadata.file_path").alias("file_path"))
-            .agg(F.count(F.lit(1)).alias("lines"), F.max("_metadata.file_size").alias("size_bytes")))
+    """Per file: name, line count (0 for an empty file), size in bytes."""
+    # the listing reads no contents; an empty file has no lines, so only it knows of them
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+             .select(F.col("path"), F.col("length").alias("size_bytes")))
+    lines = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+             .groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("lines")))
+    return (files.withColumn("path", _plain("path")).join(lines.withColumn("file_path", _plain("file_path")), F.col("path") == F.col("file_path"), "left")
+            .select(F.col("path").alias("file_path"), F.coalesce("lines", F.lit(0)).alias("lines"), "size_bytes"))
 
 
 def utf8_check_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """A2: per file, whether its bytes decode as UTF-8 (``read.text`` would hide bad bytes)."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-            .select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8")))
+    """A2: per file, whether its lines decode as UTF-8.  Lines keep their bytes until they are
+    looked at, so large files are checked split by split."""
+    return (spark.read.option("pathGlobFilter", glob).text(path)
+            .groupBy(_plain("_metadata.file_path").alias("path"))
+            .agg(F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8")))
 
 
 def utf8_valid(c) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.embed import embed
 from ..operators.ordinals import dense_id
-from ..session import cut_lineage
+from ..session import cut_lineage, path_exists
 from ..sources.corpus import parse_collection
 
 
@@ -46,11 +46,10 @@ def incremental_ingest(spark: SparkSession, source_dir: str, store_root: str, fa
         sp = batch.sparkSession
         # the ledger holds one tiny row per committed batch (first position, rows), so the
         # next start position never requires scanning the stored vectors
-        try:
+        prev = None
+        if path_exists(sp, ledger):  # else the first batch; a ledger that can't be read fails the batch
             prev = (sp.read.parquet(ledger).filter(F.col("batch") < batch_id)
                     .agg(F.max(F.col("first_pos") + F.col("rows"))).first()[0])
-        except Exception:  # noqa: BLE001  first batch: no ledger yet
-            prev = None
         start = 0 if prev is None else int(prev)
         vec = cut_lineage(embed(batch, factory, dim=dim, on_error="null").select("id", "vector"))
         numbered = dense_id(vec, "id", name="__o")
