@@ -81,7 +81,8 @@ def write_telemetry_document(t: DataFrame, path: str, run_col: str, device_col:
     summary = telemetry_summary(t, device_col, mem_col, [run_col], device_maps=True)
     fields = [c.split()[0] for c in SNAPSHOT_SCHEMA.split(", ")]
     snapshots = t.groupBy(run_col).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in fields if c in t.columns]))).alias("snapshots"))
-    (summary.join(snapshots, run_col).select(run_col, F.struct(*[c for c in summary.columns if c != run_col]).alias("summary"), "snapshots")
+    packed = summary.select(run_col, F.struct(*[c for c in summary.columns if c != run_col]).alias("summary"))
+    (packed.join(snapshots, run_col).select(run_col, "summary", "snapshots")
      .write.mode("errorifexists").json(path))
     return path
 

@@ -838,6 +838,125 @@ def q_resource_summary(spark, sf_dir):
     return resource_summary(long)
 
 
+@query("resource_wide", """
+SELECT event_type AS system, round(avg(value), 6) AS latency_ms, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS payload_k
+FROM events GROUP BY event_type""")
+def q_resource_wide(spark, sf_dir):
+    """V12 wide form: one column per metric."""
+    from ..operators.telemetry import resource_wide
+    return resource_wide(q_resource_summary(spark, sf_dir), ["latency_ms", "payload_k"])
+
+
+@query("telemetry_windows_sliding", """
+WITH w AS (SELECT time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR * unnest(range(0, 3)) AS window_start, event_type, value FROM events)
+SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, event_type AS gpu_id, count(*) AS snapshots,
+  max(value) AS peak_mb, round(avg(value), 6) AS avg_mb FROM w GROUP BY ALL""")
+def q_telemetry_windows_sliding(spark, sf_dir):
+    """T1 with overlapping windows: 6 hours, one every 2 hours."""
+    from ..operators.telemetry import telemetry_windows
+    return telemetry_windows(_telemetry(spark, sf_dir), window="6 hours", slide="2 hours")
+
+
+@query("telemetry_document", """
+SELECT event_type AS gpu_id, count(*) AS snapshots, max(value) AS peak_mb, round(avg(value), 6) AS avg_mb,
+  CAST(floor(min(epoch(ts))) AS BIGINT) AS first_second FROM events GROUP BY event_type""")
+def q_telemetry_document(spark, sf_dir):
+    """K8 and S15, document form: a run per user, each written as one document and read back."""
+    from ..operators.telemetry import read_telemetry, write_telemetry_document
+    from ..session import scratch_path
+    t = read_table(spark, sf_dir, "events").select(
+        F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("timestamp"), F.col("event_type").alias("gpu_id"),
+        F.col("value").alias("memory_used_mb"), *[F.lit(None).cast("double").alias(c) for c in (
+            "memory_total_mb", "memory_percent", "gpu_util_percent", "temperature")], F.col("user_id").alias("run"))
+    path = write_telemetry_document(t, scratch_path(spark, "telemetry-documents"), "run")
+    return read_telemetry(spark, path, "document").groupBy("gpu_id").agg(
+        F.count(F.lit(1)).alias("snapshots"), F.max("memory_used_mb").alias("peak_mb"), F.round(F.avg("memory_used_mb"), 6).alias("avg_mb"),
+        F.min("timestamp").cast("bigint").alias("first_second"))
+
+
+@query("corpus_max_samples", f"""
+SELECT doc_id, t AS text FROM (SELECT doc_id, {d_flatten("coalesce(text, 'None')")} AS t FROM documents)
+WHERE length(t) BETWEEN 10 AND 512 ORDER BY doc_id LIMIT 40""")
+def q_corpus_max_samples(spark, sf_dir):
+    """The Parquet reader's first 40 accepted texts in file order."""
+    from ..session import scratch_path
+    from ..sources.corpus import read_corpus
+    path = scratch_path(spark, "ordered")
+    read_table(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return read_corpus(spark, path, "parquet", max_samples=40).select("doc_id", "text")
+
+
+@query("scan_page_files", """
+SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages WHERE html IS NOT NULL""")
+def q_scan_page_files(spark, sf_dir):
+    """Pages written as files of several pages each, listed by both globs and cut into pages
+    by an extractor."""
+    from ..session import scratch_path
+    from ..sources.pages import scan_document_dir
+    path = scratch_path(spark, "page-files")
+    # a page's line: its id and its text as JSON, so no line break stands inside
+    (read_table(spark, sf_dir, "pages").where("html is not null").select(F.to_json(F.struct("page_id", "html")).alias("value"))
+     .write.text(path))
+
+    def extract(content: bytes):
+        return content.decode().split("\n")[:-1]
+    found = scan_document_dir(spark, path, extract, glob="*.{txt,TXT}")
+    row = F.from_json("page_text", "page_id bigint, html string")
+    return found.select(row.alias("r")).select("r.page_id", F.length("r.html").alias("n_chars"), F.md5("r.html").alias("digest"))
+
+
+@query("store_paired_write", """
+SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS pos, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 4) AS weighted
+FROM embeddings WHERE vec_id < (SELECT count(*) // 2 FROM embeddings)""")
+def q_store_paired_write(spark, sf_dir):
+    """K4: vectors paired with a shorter list of ids by position; writing stops at the shorter one."""
+    from ..session import scratch_path
+    from ..sinks.store import create_store, write_vectors_iter
+    from ..sources.store import read_store
+    root = scratch_path(spark, "paired")
+    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
+    ids = v.where(F.col("pos") < v.count() // 2).select("pos", F.col("pos").cast("string").alias("id"))
+    create_store(spark, root, total_vectors=None, vector_dim=64, metadata={"model_name": "paired"})
+    write_vectors_iter(spark, root, v, ids)
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return read_store(spark, root).select("id", "pos", F.round(weighted, 4).alias("weighted"))
+
+
+@query("embed_failed_batches", """
+SELECT doc_id, length(text) >= 40 AS ok, CASE WHEN length(text) < 40 THEN 'ValueError: text too short' END AS error FROM documents""")
+def q_embed_failed_batches(spark, sf_dir):
+    """batches of one text; the model refuses short ones, whose rows stay with the reason."""
+    from ..operators.embed import embed
+
+    def factory():
+        import numpy as np
+
+        def model(texts):
+            if min(map(len, texts)) < 40:
+                raise ValueError("text too short")
+            return np.ones((len(texts), 4))
+        return model
+    d = read_table(spark, sf_dir, "documents")
+    return embed(d, factory, id_col="doc_id", dim=4, batch_size=1, on_error="null").select("doc_id", "ok", "error")
+
+
+@query("generate_and_store_counts", f"""
+SELECT count(*) // 2 AS total_vectors, CAST(0 AS BIGINT) AS failed_vectors, true AS measured FROM (
+  SELECT {d_flatten("coalesce(text, 'None')")} AS t FROM documents) WHERE length(t) BETWEEN 10 AND 512""")
+def q_generate_and_store_counts(spark, sf_dir):
+    """E4's counts apart from its timings."""
+    return q_generate_and_store(spark, sf_dir).select("total_vectors", "failed_vectors",
+                                                      ((F.col("seconds") > 0) & (F.col("vectors_per_second") > 0)).alias("measured"))
+
+
+@query("document_export_counts", f"""
+SELECT count(*) * 5 // 2 AS total_documents, count(*) * 5 // 2 AS total_vectors, true AS measured
+FROM ({d_chunks(_CONV_SRC, 'conv_id', 't')})""")
+def q_document_export_counts(spark, sf_dir):
+    """The export flow's counts apart from its timings."""
+    return q_document_export_run(spark, sf_dir).select("total_documents", "total_vectors", (F.col("total_time_seconds") > 0).alias("measured"))
+
+
 # ------------------------------------------------------------------ search family
 
 def _queries_from(v):
@@ -1325,9 +1444,15 @@ def q_telemetry_roundtrip(spark, sf_dir):
 
 
 @query("repeat_with_noise", """
+WITH n AS (SELECT vec_id, r, embedding, list_transform(embedding, lambda x, i: x::DOUBLE + 0.01
+    * sqrt(-2 * ln((('0x' || substr(md5(vec_id || ':' || r || ':' || (i - 1) || ':42'), 1, 8))::BIGINT + 0.5) / 4294967296.0))
+    * cos(2 * pi() * ((('0x' || substr(md5(vec_id || ':' || r || ':' || (i - 1) || ':42'), 9, 8))::BIGINT + 0.5) / 4294967296.0))) AS v
+  FROM embeddings, (SELECT unnest([0, 1]) AS r)),
+u AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM n)
 SELECT CAST(vec_id AS VARCHAR) || '_repeat_' || r AS id, CAST(r AS INTEGER) AS repeat_id,
-  CAST(len(embedding) AS INTEGER) AS dims, CAST(1.0 AS DOUBLE) AS norm
-FROM embeddings, (SELECT unnest([0, 1]) AS r)""")
+  CAST(len(embedding) AS INTEGER) AS dims, CAST(1.0 AS DOUBLE) AS norm,
+  round(list_sum(list_transform(v, lambda x, i: (x / norm)::FLOAT::DOUBLE * i)), 3) AS weighted
+FROM u""")
 def q_repeat_with_noise(spark, sf_dir):
     """The vector table grown to twice its size with reproducible noise, re-normalised."""
     from ..operators.expand import repeat_with_noise
@@ -1336,7 +1461,9 @@ def q_repeat_with_noise(spark, sf_dir):
     n = v.count()
     r = repeat_with_noise(v, 2 * n, "vec_id", sigma=0.01)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return r.select("id", "repeat_id", F.size("vector").cast("int").alias("dims"), F.round(norm, 4).alias("norm"))
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return r.select("id", "repeat_id", F.size("vector").cast("int").alias("dims"), F.round(norm, 4).alias("norm"),
+                    F.round(weighted, 3).alias("weighted"))
 
 
 # ---------------------------------------------------------------------- synthetic
