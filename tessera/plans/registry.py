@@ -38,7 +38,7 @@ def _vectors(spark, sf_dir):
 _KNN_SQL = """
 SELECT qid, id, score, CAST(rnk AS INTEGER) AS rank FROM (
   SELECT q.vec_id AS qid, c.vec_id AS id,
-         round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score,
+         round(round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12), 6) AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY
             round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) DESC,
             c.vec_id) AS rnk
