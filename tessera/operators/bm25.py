@@ -153,3 +153,20 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, c: int = 60, id_
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
     return (fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("score", F.round("score", decimals)))
+
+
+def weighted_fusion(lists: list[DataFrame], weights: list[float], k: int = 10, id_col: str = "id",
+                    decimals: int = 6) -> DataFrame:
+    """V4, weighted form: every list's scores ``(qid, id, score)`` are scaled to 0..1 per query
+    (a list of equal scores counts as 1) and summed by weight; ties by id."""
+    u = None
+    for i, (l, weight) in enumerate(zip(lists, weights)):
+        w = Window.partitionBy("qid")
+        low, high = F.min("score").over(w), F.max("score").over(w)
+        scaled = F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low))
+        part = l.select("qid", id_col, (F.lit(float(weight)) * scaled).alias("__s"))
+        u = part if u is None else u.unionByName(part)
+    fused = u.groupBy("qid", id_col).agg(F.round(F.sum("__s"), RANK_DECIMALS).alias("score"), F.count(F.lit(1)).alias("lists"))
+    by_score = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
+    return (fused.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+            .withColumn("score", F.round("score", decimals)))

@@ -69,6 +69,16 @@ def merge_blocks(parts: list[DataFrame], rank: list[Column], k: int, columns: li
             .filter(F.col("rank") <= k).withColumn("score", F.round("score", decimals)).select(*columns, "rank"))
 
 
+def _blocks(qok, cok, qpart, cpart):
+    """Index pairs (queries, corpus rows) to multiply: all usable rows, or those of each
+    partition value together (a null value is no partition)."""
+    if cpart is None:
+        return [(np.flatnonzero(qok), np.flatnonzero(cok))] if cok.any() else []
+    values = pd.Series(cpart)[cok & cpart.notna().to_numpy()].unique()
+    cpart = cpart.to_numpy()
+    return [(np.flatnonzero(qok & (qpart == v)), np.flatnonzero(cok & (cpart == v))) for v in values]
+
+
 def _partial_topk(qmat, qok, qpart, qids, k, metric, id_name, has_part):
     """Build the per-partition function for mapInPandas."""
 
@@ -84,19 +94,14 @@ def _partial_topk(qmat, qok, qpart, qids, k, metric, id_name, has_part):
             else:
                 cok = np.array([v is not None and len(v) == dim for v in pdf["__v"]])
             ids = pdf["__id"].to_numpy()
-            cpart = pdf["__p"].to_numpy() if has_part else None
-            for s in range(0, qmat.shape[0], _QUERY_SLICE):
-                qs = qmat[s:s + _QUERY_SLICE]
-                sc = np.round(qs @ cm.T, RANK_DECIMALS)
-                sc[~qok[s:s + _QUERY_SLICE], :] = -np.inf
-                sc[:, ~cok] = -np.inf
-                if has_part:
-                    sc[qpart[s:s + _QUERY_SLICE, None] != cpart[None, :]] = -np.inf
-                kk = min(k, sc.shape[1])
-                kth = np.partition(sc, sc.shape[1] - kk, axis=1)[:, sc.shape[1] - kk]
-                qi, ci = np.nonzero((sc >= kth[:, None]) & np.isfinite(sc))
-                if len(qi):
-                    best = _keep_best(best, pd.DataFrame({"__qi": qi + s, "score": sc[qi, ci], id_name: ids[ci]}), k, id_name)
+            for qsel, csel in _blocks(qok, cok, qpart, pdf["__p"] if has_part else None):
+                for s in range(0, len(qsel), _QUERY_SLICE):
+                    rows = qsel[s:s + _QUERY_SLICE]
+                    sc = np.round(qmat[rows] @ cm[csel].T, RANK_DECIMALS)
+                    kk = min(k, sc.shape[1])
+                    kth = np.partition(sc, sc.shape[1] - kk, axis=1)[:, sc.shape[1] - kk]
+                    qi, ci = np.nonzero(sc >= kth[:, None])
+                    best = _keep_best(best, pd.DataFrame({"__qi": rows[qi], "score": sc[qi, ci], id_name: ids[csel[ci]]}), k, id_name)
         if best is None:
             return
         yield pd.DataFrame({"qid": qids[best["__qi"].to_numpy()], id_name: best[id_name].to_numpy(),

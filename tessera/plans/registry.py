@@ -1153,6 +1153,33 @@ SELECT qid, id, round(score, 6) AS score, lists, CAST(rank AS INTEGER) AS rank F
 _HYBRID_SQL = _HYBRID_TMPL.replace("STATDOCS", "documents").replace("DOCS", "documents")
 
 
+_WEIGHTED_SQL = f"""
+WITH bm AS ({_BM25_TMPL.replace("DEPTH", str(_RANK_WINDOW))}),
+dc AS ({d_cells('SELECT doc_id, text FROM DOCS', 'doc_id', 'text')}),
+qc AS ({d_cells('SELECT item_id, text FROM benchmark', 'item_id', 'text')}),
+vs AS (SELECT qc.k AS qid, dc.k AS id, round(sum(qc.value * dc.value), 12) AS score FROM qc JOIN dc ON qc.bucket = dc.bucket
+       GROUP BY qc.k, dc.k),
+vk AS (SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs)
+       WHERE rank <= {_RANK_WINDOW}),
+b AS (SELECT 0.3 AS w, qid, id, score FROM bm UNION ALL SELECT 0.7, qid, id, score FROM vk),
+n AS (SELECT *, min(score) OVER (PARTITION BY w, qid) AS lo, max(score) OVER (PARTITION BY w, qid) AS hi FROM b),
+f AS (SELECT qid, id, round(sum(w * CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END), 12) AS score, count(*) AS lists
+      FROM n GROUP BY qid, id)
+SELECT qid, id, round(score, 6) AS score, lists, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10"""
+
+
+@query("hybrid_search_weighted", _WEIGHTED_SQL.replace("STATDOCS", "documents").replace("DOCS", "documents"))
+def q_hybrid_search_weighted(spark, sf_dir):
+    """V4 by weighted, scaled scores: 0.3 BM25, 0.7 vectors."""
+    from ..operators.bm25 import bm25_search, weighted_fusion
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    vec = search.knn_exact(_cell_vectors(qs, "qid"), _cell_vectors(docs, "id"), _RANK_WINDOW)
+    fused = weighted_fusion([bm25_search(docs, qs, _RANK_WINDOW), vec], [0.3, 0.7], 10)
+    return fused.select("qid", "id", "score", "lists", F.col("rank").cast("int").alias("rank"))
+
+
 def _cell_vectors(df, id_col, dim=64):
     """Hash-embedder vectors in float64 through the map-only embedder (no shuffle); equal to
     the SQL cells of ``hash_embed_cells``."""
