@@ -9,8 +9,8 @@ and is decoded on its own.  Every ``EVERY`` ids a checkpoint notes the bit offse
 looks up ``MAX_BITS`` bits at a time in one table and runs all checkpoints of a block side by
 side.
 
-``encode_words`` serves tokenizers that drop white space and encode words one by one: words
-repeat, so each word of a task is encoded once.
+``encode_words`` serves tokenizers that drop white space, ignore case and encode words one by
+one: words repeat, so a task encodes each piece of a text once.
 
 Defined cases: a null text is empty and has just the end id; null document ids come first;
 rows that repeat an id stay rows, in the order of their ids' checksum and number; an empty table
@@ -20,11 +20,13 @@ gives empty tables; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,81 +34,84 @@ from ..session import ship_package
 from .common import map_rows, materialise, small
 
 MAX_BITS = 20
-BLOCK, EVERY = 1 << 17, 256
-#: words whose ids a task keeps
-CACHE = 300_000
+BLOCK, EVERY = 1 << 19, 256
+#: pieces of texts whose ids a worker process keeps
+CACHE = 700_000
 
 
 # ----------------------------------------------------------------- tokenising
 
+#: a piece of Latin-1 letters is one word to the tokenizer; plain punctuation after such a letter begins the next
+_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
+_AFTER_LETTER = re.compile(rb"([.,;:!?|%&$#*])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes, word by word.
+    """Ids of whole texts as little-endian 32-bit bytes, piece by piece.
 
-    Words are runs between ASCII blanks.  A word of Latin-1 letters with plain punctuation at
-    its end is put together from the two parts' ids; those letters go to the tokenizer in bulk,
-    and the ids are told apart by the suffix that ends a word.  Anything else is encoded alone.
+    Pieces are runs between ASCII blanks, in ASCII lower case, cut once more between a Latin-1
+    letter and the plain punctuation after it, where the tokenizer starts a new word anyway.
+    Pieces of letters go to the tokenizer in bulk and their ids are told apart by the suffix
+    that ends a word; others are encoded alone.  A text that may hold a special token's string
+    is encoded as it stands.
     """
 
     def __init__(self, config: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        suffix = json.loads(config)["model"].get("end_of_word_suffix") or ""
+        parsed = json.loads(config)
+        suffix = parsed["model"].get("end_of_word_suffix") or ""
+        self.special = [t["content"] for t in parsed["added_tokens"]]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letters(self, words: list[str]) -> None:
-        """Encodes letter words together."""
+        self.pieces: dict[bytes, bytes] = {}
+
+    def _alone(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        letters, words = [], []
+        for raw in fresh:
+            piece = raw.decode("utf-8", "surrogatepass")
+            if _LETTERS.fullmatch(piece):
+                letters.append(raw)
+                words.append(piece)
+            else:
+                self.pieces[raw] = self._alone(piece)
+        if not words:
+            return
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(words) and (not len(ids) or stops[-1] == len(ids)):
-            raw, at = ids.tobytes(), 0
-            for word, stop in zip(words, stops.tolist()):
-                self.parts[word] = raw[4 * at:4 * stop]
+        if len(stops) == len(words) and stops[-1] == len(ids):
+            flat, at = ids.tobytes(), 0
+            for raw, stop in zip(letters, (4 * stops).tolist()):
+                self.pieces[raw] = flat[at:stop]
                 at = stop
         else:
-            for word in words:
-                self.parts[word] = self._alone(word)
-
-    def _learn(self, words: set[bytes]) -> None:
-        split, letters = {}, set()
-        for raw in words:
-            word = raw.decode("utf-8", "surrogatepass")
-            core = word.rstrip(".,;:!?|%&$#*")
-            if core and core.isalpha() and core[-1] < "Ā" and max(core) < "Ā":
-                tail = word[len(core):]
-                split[raw] = core.lower(), tail
-                if tail and tail not in self.parts:
-                    self.parts[tail] = self._alone(tail)
-                letters.add(core.lower())
-            else:
-                self.words[raw] = self._alone(word)
-        if fresh := sorted(letters - self.parts.keys()):
-            self._letters(fresh)
-        for raw, (core, tail) in split.items():
-            self.words[raw] = self.parts[core] + (self.parts[tail] if tail else b"")
+            for raw, piece in zip(letters, words):
+                self.pieces[raw] = self._alone(piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        fresh = set().union(*words) - self.words.keys() if words else set()
-        if len(self.words) + len(fresh) > CACHE:
-            self.words.clear()
-            self.parts.clear()
-            fresh = set().union(*words)
+        whole = {i: self._alone(t) for i, t in enumerate(texts) if t and any(x in t.lower() for x in self.special if "<" in t or "<" not in x)}
+        cut = [[] if i in whole else _AFTER_LETTER.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split()
+               for i, t in enumerate(texts)]
+        found = [list(map(self.pieces.get, c)) for c in cut]
+        fresh = {x for c, f in zip(cut, found) if None in f for x, ids in zip(c, f) if ids is None}
+        if len(self.pieces) + len(fresh) > CACHE:
+            self.pieces.clear()
+            fresh = set().union(*cut)
         self._learn(fresh)
-        return [b"".join(map(self.words.__getitem__, w)) for w in words]
+        return [whole[i] if i in whole else b"".join(map(self.pieces.__getitem__, c) if None in f else f)
+                for i, (c, f) in enumerate(zip(cut, found))]
 
 
 @lru_cache(maxsize=1)
 def _encoder(config: str) -> WordEncoder:
-    """A worker process keeps its encoder, with the words it knows, from task to task."""
+    """A worker process keeps its encoder, with the pieces it knows, from task to task."""
     return WordEncoder(config)
 
 
@@ -120,10 +125,9 @@ def encode_words(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
     def run(batches):
         encoder = _encoder(shared.value)
         for b in batches:
-            for at in range(0, len(b["id"]), 256):
-                raw = [x + end for x in encoder.encode(b["text"][at:at + 256])]
-                yield {"id": b["id"][at:at + 256], "n_tokens": [len(x) // 4 for x in raw], "crc": [zlib.crc32(x) for x in raw],
-                       "ids": [pack_ids(np.frombuffer(x, "<u4")) for x in raw]}
+            raw = [x + end for x in encoder.encode(b["text"])]
+            yield {"id": b["id"], "n_tokens": [len(x) // 4 for x in raw], "crc": [zlib.crc32(x) for x in raw],
+                   "ids": [pack_ids(np.frombuffer(x, "<u4")) for x in raw]}
 
     return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run,
                     f"id {kind}, n_tokens bigint, crc bigint, ids binary")
@@ -131,11 +135,11 @@ def encode_words(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
 
 def pack_ids(ids: np.ndarray) -> bytes:
     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return bytes([wide]) + zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+    return bytes([wide]) + zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
 
 
 def unpack_ids(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed[1:]), "<u4" if packed[0] else "<u2").astype(np.int64)
+    return np.frombuffer(zstandard.decompress(packed[1:]), "<u4" if packed[0] else "<u2").astype(np.int64)
 
 
 # ----------------------------------------------------------------- the code
