@@ -30,8 +30,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within the bound, else unchanged
     (then the join shuffles and adaptive execution splits hot keys).  ``df`` should be a
-    materialised table: it is counted here."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    materialised table, whose rows are counted from the files' metadata, or a filter of one."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def map_rows(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],

@@ -35,6 +35,8 @@ from .common import map_rows, materialise, small
 
 MAX_BITS = 20
 BLOCK, EVERY = 1 << 19, 256
+#: ids of a part on average, at most
+PART = 1 << 26
 #: pieces of texts whose ids a worker process keeps
 CACHE = 700_000
 
@@ -251,7 +253,7 @@ def write_token_files(encoded: DataFrame, path: str, max_bits: int = MAX_BITS, b
         .write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(book.for_encoding())
     kind = encoded.schema["id"].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n.sum()) // PART))
     ordered = encoded.repartitionByRange(parts, "id", "crc", "n_tokens").sortWithinPartitions("id", "crc", "n_tokens")
     schema = ("part int, block int, n_tokens bigint, doc_ids array<" + kind + ">, doc_tokens array<bigint>, "
               "checkpoints array<bigint>, payload binary")
