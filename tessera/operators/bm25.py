@@ -1,11 +1,10 @@
-"""BM25 search (V3) and term statistics.
+"""BM25 search (V3) and its fusion with vector lists (V4).
 
-Statistics are Spark aggregates: document length and count, and the document frequency of
-the query vocabulary only (postings are semi-joined against the broadcast query terms before
-the shuffle, so a frequent term never fans out against unrelated queries).  Scoring runs
-map-side: every task holds the (size-checked) query set and its idf table, scores its own
-documents and keeps a partial top-k per query; a per-query ``row_number`` merges them.  No
-(query, document) pair table is ever materialised.
+The documents are tokenised once, in the JVM, and reduced to their lengths and the postings of
+query terms; that table gives the statistics (N, average length, document frequencies) and is
+what every query block scores.  A task adds each posting to the queries of its term only and
+keeps a partial top-k per query; a per-query ``row_number`` merges them.  No (query, document)
+pair table is ever materialised.
 
 Scoring: ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``,
 ``tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))`` summed over the distinct query terms.
@@ -17,86 +16,73 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import TOKEN_SPLIT, tokens
-from ..session import ship_package
-from .bounded import DEFAULT_BROADCAST_BYTES
-from .search import RANK_DECIMALS, merge_blocks
+from ..functions.text import tokens
+from ..session import cut_lineage, ship_package
+from .bounded import DEFAULT_BROADCAST_BYTES, broadcast_if_small
+from .search import RANK_DECIMALS, _keep_best, merge_blocks
 
 K1, B = 1.2, 0.75
 
 
-def statistics_for(docs: DataFrame, vocab: list[str], text_col: str = "text"):
-    """One scan: N, average length and df of every vocabulary term.  Each document emits one
-    row with a null term (its length) and one row per vocabulary term it contains; partial
-    aggregation folds them before the shuffle, which then carries at most |vocab| + 1 groups
-    per task."""
-    toks = tokens(text_col)
-    spark = docs.sparkSession
-    # the vocabulary of one query block: bounded by the caller's broadcast budget
-    vdf = spark.createDataFrame([(t, True) for t in vocab], "term string, __hit boolean")
-    # project the token array once: referencing the higher-order token expression twice
-    # inside the generator below makes Spark re-evaluate it per output row
-    exploded = (docs.select(toks.alias("__toks"))
-                .select(F.size("__toks").alias("dl"),
-                        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("__toks")))
-                        .alias("term")))
-    rows = (exploded.join(F.broadcast(vdf), "term", "left")
-            .filter(F.col("term").isNull() | F.col("__hit")))
-    agg = rows.groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("dl").alias("s")).collect()
-    n, total, dfs = 0, 0, {}
-    for r in agg:
-        if r["term"] is None:
-            n, total = int(r["c"]), int(r["s"] or 0)
-        else:
-            dfs[r["term"]] = int(r["c"])
-    return n, (total / n if n else 0.0), dfs
-
-
-def _score_fn(vocab_index, weights, qids, k, k1, b, avgdl, id_col, budget):
-    """mapInPandas body: dense (doc block x vocabulary) tf matrix, BM25 saturation, one matrix
-    product against the idf-weighted query matrix, partial top-k per query."""
-    nv, nq = weights.shape
-    block = max(1, min(4096, budget // max(1, nv * 8)))
-    present = weights > 0
+def query_postings(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The documents tokenised once: ``(id, dl, postings array<struct<term, tf>>)`` with the
+    postings of the given terms only, frozen by a reliable checkpoint.  Every document has a row
+    (its null-term row keeps it); the shuffle carries one row per document and query term in it."""
+    # the token array is projected once: referenced twice inside a generator it would be re-evaluated
+    exploded = (docs.select(F.col(id_col).alias("__id"), tokens(text_col).alias("__toks"))
+                .select("__id", F.size("__toks").alias("__dl"),
+                        F.explode(F.concat(F.array(F.lit(None).cast("string")), "__toks")).alias("term")))
+    wanted = broadcast_if_small(terms.select("term", F.lit(True).alias("__hit")), row_bytes=64)
+    kept = exploded.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("__hit"))
+    counted = kept.groupBy("__id", "term").agg(F.max("__dl").alias("__dl"), F.count(F.lit(1)).alias("tf"))
+    # collect_list leaves the null of the null-term row out
+    return cut_lineage(counted.groupBy(F.col("__id").alias("id")).agg(
+        F.max("__dl").alias("dl"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("postings")))
+
+
+def _score_fn(terms, starts, qidx, weights, qids, k, k1, b, avgdl, budget):
+    """mapInArrow body.  ``starts[j]:starts[j + 1]`` are the places of term j's queries in
+    ``qidx`` and ``weights``: every posting adds to its own queries only."""
+    nq = len(qids)
+    block = max(1, min(4096, budget // max(1, nq * 8)))
+    vocab = pa.array(terms, pa.string())
 
     def run(batches):
-        import regex
-        split = regex.compile(TOKEN_SPLIT)
         best = None
-        for pdf in batches:
-            for s in range(0, len(pdf), block):
-                part = pdf.iloc[s:s + block]
-                ids = part[id_col].to_numpy()
-                tf = np.zeros((len(part), nv))
-                dl = np.zeros(len(part))
-                for r, text in enumerate(part["__t"]):
-                    toks = [x for x in split.split((text or "").lower()) if x]
-                    dl[r] = len(toks)
-                    for tok in toks:
-                        j = vocab_index.get(tok)
-                        if j is not None:
-                            tf[r, j] += 1.0
-                norm = k1 * (1.0 - b + b * dl / avgdl) if avgdl > 0 else np.full(len(part), k1)
-                sat = tf * (k1 + 1.0) / (tf + norm[:, None])
-                scores = np.round(sat @ weights, RANK_DECIMALS)
-                hit = (tf > 0).astype(np.float64) @ present
-                scores[hit == 0] = -np.inf
-                kk = min(k, scores.shape[0])
-                kth = np.partition(scores, scores.shape[0] - kk, axis=0)[scores.shape[0] - kk, :]
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                part = whole.slice(at, block)
+                n, lists = part.num_rows, part["postings"]
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                j = pc.fill_null(pc.index_in(flat.field("term"), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+                doc, tf = np.repeat(np.arange(n), sizes)[j >= 0], flat.field("tf").to_numpy(zero_copy_only=False)[j >= 0]
+                j = j[j >= 0]
+                if not len(j):
+                    continue
+                dl = part["dl"].to_numpy(zero_copy_only=False)
+                norm = k1 * (1.0 - b + b * dl / avgdl) if avgdl > 0 else np.full(n, k1)
+                sat = tf * (k1 + 1.0) / (tf + norm[doc])
+                fan = starts[j + 1] - starts[j]
+                row = np.repeat(np.arange(len(j)), fan)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(fan) - fan, fan) + starts[j][row]
+                cell = doc[row] * nq + qidx[place]
+                scores = np.round(np.bincount(cell, sat[row] * weights[place], n * nq).reshape(n, nq), RANK_DECIMALS)
+                scores[np.bincount(cell, minlength=n * nq).reshape(n, nq) == 0] = -np.inf
+                kk = min(k, n)
+                kth = np.partition(scores, n - kk, axis=0)[n - kk, :]
                 di, qi = np.nonzero((scores >= kth[None, :]) & np.isfinite(scores))
-                if len(di):
-                    frame = pd.DataFrame({"__qi": qi, id_col: ids[di], "score": scores[di, qi]})
-                    f = frame if best is None else pd.concat([best, frame], ignore_index=True)
-                    best = (f.sort_values(["__qi", "score", id_col], ascending=[True, False, True],
-                                          kind="mergesort").groupby("__qi", sort=False).head(k))
-        if best is None or best.empty:
-            return
-        yield pd.DataFrame({"qid": qids[best["__qi"].to_numpy()], id_col: best[id_col].to_numpy(),
-                            "score": best["score"].to_numpy()})
+                ids = np.array(part["id"].to_pylist(), dtype=object)
+                best = _keep_best(best, pd.DataFrame({"__qi": qi, "id": ids[di], "score": scores[di, qi]}), k, "id")
+        if best is not None:
+            yield pa.RecordBatch.from_pydict({"qid": pa.array([qids[i] for i in best["__qi"]]), "id": pa.array(best["id"].tolist()),
+                                              "score": best["score"].to_numpy()})
 
     return run
 
@@ -106,38 +92,35 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
                 k1: float = K1, b: float = B, decimals: int = 6, stats_corpus: DataFrame | None = None,
                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Top-k documents per query: ``(qid, id, score, rank)``; ties by id.  Queries are split
-    into blocks whose (vocabulary x queries) weight matrix fits ``max_broadcast_bytes``.
-    ``stats_corpus`` (same text column) supplies N, avgdl and df when ``docs`` is a filtered
-    subset, so a filter restricts matches without changing scores."""
-    ship_package(docs.sparkSession)
-    qterms = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(query_text)))
-                            .alias("term"))
-    size = qterms.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("term").alias("v"),
-                      F.count_distinct("qid").alias("q")).first()
-    nblocks = max(1, math.ceil(int(size["v"] or 0) * int(size["q"] or 0) * 8 / max_broadcast_bytes))
-    id_type = docs.schema[id_col].dataType
-    qtype = queries.schema[query_id].dataType
-    schema = T.StructType([T.StructField("qid", qtype), T.StructField(id_col, id_type),
+    into blocks whose postings fit ``max_broadcast_bytes``; every block reads the tokenised
+    documents.  ``stats_corpus`` (same columns) supplies N, avgdl and df when ``docs`` is a
+    filtered subset, so a filter restricts matches without changing scores."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    qterms = cut_lineage(queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(query_text))).alias("term")))
+    vocab = qterms.select("term").distinct()
+    posted = query_postings(docs, vocab, id_col, text_col)
+    stats = posted if stats_corpus is None else query_postings(stats_corpus, vocab, id_col, text_col)
+    total = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("s")).first()
+    n, avgdl = int(total["n"]), (float(total["s"]) / total["n"] if total["n"] else 0.0)
+    df = cut_lineage(stats.select(F.explode("postings.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    nblocks = max(1, math.ceil(qterms.count() * 64 / max_broadcast_bytes))
+    schema = T.StructType([T.StructField("qid", queries.schema[query_id].dataType), T.StructField("id", docs.schema[id_col].dataType),
                            T.StructField("score", T.DoubleType())])
-    src = docs.select(F.col(id_col), F.col(text_col).alias("__t"))
     parts = []
     for blk in range(nblocks):
-        qb = qterms if nblocks == 1 else qterms.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == blk)
-        qpdf = qb.toPandas()
-        vocab = sorted(set(qpdf["term"]))
-        n, avgdl, dfs = statistics_for(stats_corpus if stats_corpus is not None else docs, vocab, text_col)
-        idf = {t: math.log(1.0 + (n - d + 0.5) / (d + 0.5)) for t, d in dfs.items()}
-        vocab = [t for t in vocab if t in idf]
-        vindex = {t: j for j, t in enumerate(vocab)}
-        qids = qpdf["qid"].drop_duplicates().to_numpy()
-        qindex = {q: i for i, q in enumerate(qids)}
-        weights = np.zeros((len(vocab), len(qids)))
-        for q, t in zip(qpdf["qid"], qpdf["term"]):
-            if t in vindex:
-                weights[vindex[t], qindex[q]] = idf[t]
-        fn = _score_fn(vindex, weights, qids, k, k1, b, avgdl, id_col, 32 * 1024 * 1024)
-        parts.append(src.mapInPandas(fn, schema))
-    return merge_blocks(parts, [F.col("score").desc(), F.col(id_col).asc()], k, ["qid", id_col, "score"], decimals)
+        own = qterms if nblocks == 1 else qterms.filter(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == blk)
+        rows = own.join(df, "term").select("term", "qid", "df").toPandas()
+        rows = rows.sort_values("term", kind="stable")
+        terms, starts = np.unique(rows["term"].to_numpy(dtype=str), return_index=True)
+        starts = np.append(starts, len(rows))
+        qidx, qids = pd.factorize(rows["qid"])
+        weights = np.log(1.0 + (n - rows["df"].to_numpy(float) + 0.5) / (rows["df"].to_numpy(float) + 0.5))
+        fn = _score_fn(list(terms), starts.astype(np.int64), qidx, weights, list(qids), k, k1, b, avgdl, 32 * 1024 * 1024)
+        part = posted.select("id", "dl", "postings").mapInArrow(fn, schema)
+        parts.append(part if nblocks == 1 else cut_lineage(part))
+    return merge_blocks([p.withColumnRenamed("id", id_col) for p in parts], [F.col("score").desc(), F.col(id_col).asc()], k,
+                        ["qid", id_col, "score"], decimals)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, c: int = 60, id_col: str = "id",
