@@ -33,8 +33,8 @@ from .common import map_rows, materialise
 TRAINING_ROWS = 10_000
 MAX_FEATURES = 4096
 MIN_DOCUMENTS = 3
-#: likelihood-ratio statistic from which a feature counts (about one in 10,000 by chance)
-MIN_STATISTIC = 15.0
+#: likelihood-ratio statistic from which a feature counts (one in some 200 by chance)
+MIN_STATISTIC = 8.0
 GRADE_EDGES = (0.02, 0.04)
 TOXIC = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
