@@ -1157,8 +1157,9 @@ _WEIGHTED_SQL = f"""
 WITH bm AS ({_BM25_TMPL.replace("DEPTH", str(_RANK_WINDOW))}),
 dc AS ({d_cells('SELECT doc_id, text FROM DOCS', 'doc_id', 'text')}),
 qc AS ({d_cells('SELECT item_id, text FROM benchmark', 'item_id', 'text')}),
-vs AS (SELECT qc.k AS qid, dc.k AS id, round(sum(qc.value * dc.value), 12) AS score FROM qc JOIN dc ON qc.bucket = dc.bucket
-       GROUP BY qc.k, dc.k),
+common AS (SELECT qc.k AS qid, dc.k AS id, sum(qc.value * dc.value) AS score FROM qc JOIN dc ON qc.bucket = dc.bucket GROUP BY qc.k, dc.k),
+vs AS (SELECT q.k AS qid, d.k AS id, round(coalesce(score, 0), 12) AS score FROM (SELECT DISTINCT k FROM qc) q CROSS JOIN (SELECT DISTINCT k FROM dc) d
+       LEFT JOIN common ON common.qid = q.k AND common.id = d.k),
 vk AS (SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs)
        WHERE rank <= {_RANK_WINDOW}),
 b AS (SELECT 0.3 AS w, qid, id, score FROM bm UNION ALL SELECT 0.7, qid, id, score FROM vk),
