@@ -13,8 +13,9 @@ overlap and are merged.
 The sort is a range sort over the whole table, so a passage that a third of the documents share
 is spread over many tasks; the ends of the ranges are compared separately.  A suffix may share
 ``min_words`` words with a third document that isn't its neighbour in this order: suffixes
-without a match in seeds of three or more are settled by the hashes of all ``min_words``-word
-windows around them.  So every document with a passage of ``min_words`` words that another
+without a match in seeds of three or more are sorted by the words before the seed, too, and
+where the reaches in both orders leave a common window possible, it is settled by the hashes of
+the ``min_words``-word windows.  So every document with a passage of ``min_words`` words that another
 document has, too, is reported, and none without.
 
 Words are compared by 64-bit hashes within seeds and by 16 bits each beyond them.
@@ -123,48 +124,70 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _match(x: dict, y: dict, seed: int, min_words: int) -> tuple[int, int] | None:
-    right, left = _common(x["after"], y["after"]), _common(x["before"], y["before"])
-    return (left, right) if left + seed + right >= min_words else None
-
-
-_ROW = ("h", "after", "before", "ref", "pos", "id")
+_ROW = ("h", "after", "before", "ref", "pos", "id", "n")
+_FOUND = ("h", "ref", "id", "pos", "begin", "stop", "other_ref", "other")
+_REACH = ("h", "ref", "pos", "reach", "matched", "lead")
 
 
 class _Neighbours:
-    """Compares a sorted stream of suffixes with their nearest predecessors of other documents."""
+    """Compares a stream of suffixes, sorted by seed and one context, with their nearest
+    neighbours of other documents.  ``reach`` is a suffix's longest common context in that order:
+    no suffix of another document shares more."""
 
-    def __init__(self, seed: int, min_words: int):
-        self.seed, self.min_words, self.found = seed, min_words, []
+    def __init__(self, seed: int, min_words: int, by: str = "after"):
+        self.seed, self.min_words, self.by, self.found, self.reaches = seed, min_words, by, [], []
         self.run: list[dict] = []  # the last suffixes, of one document and one seed
         self.other: dict | None = None  # the suffix before them
+        self.whole = False  # the seed began in this stream
+        self.context, self.refs = None, set()  # the last suffix's whole context; two documents that have it
 
     def add(self, x: dict) -> None:
+        context = x["h"], x["after"], x["before"]
+        if context != self.context:
+            self.context, self.refs = context, set()
+        x["lead"] = len(self.refs) < 2 and x["ref"] not in self.refs
+        if x["lead"]:
+            self.refs.add(x["ref"])
         last = self.run[-1] if self.run else None
         if last is None or last["h"] != x["h"]:
-            self.run, self.other = [x], None
+            self.leave(self.whole)
+            # what stands before the stream's first seed is unknown
+            self.run, self.other, self.whole = [x], None, last is not None
+            x["reach"] = 0 if self.whole else self.min_words
             return
         if last["ref"] == x["ref"]:
             if last["pos"] == x["pos"]:
                 return  # a repeated row
             self.run.append(x)
+            x["reach"] = 0 if self.whole or self.other is not None else self.min_words
         else:
+            x["reach"] = 0
             for y in self.run:
                 self.note(y, x)
+            self.leave(True)
             self.run, self.other = [x], last
         if self.other is not None:
             self.note(x, self.other)
 
-    def note(self, x: dict, y: dict) -> None:
-        if m := _match(x, y, self.seed, self.min_words):
-            self.found.append((x["h"], x["ref"], x["id"], x["pos"], x["pos"] - m[0], x["pos"] + self.seed + m[1], y["ref"], y["id"]))
-
-    def take(self) -> list[tuple]:
-        found, self.found = self.found, []
-        return found
+    def leave(self, known: bool) -> None:
+        """The run has met all its neighbours, unless they may lie beyond an end of the stream."""
+        for y in self.run:
+            if y["n"] > 2:
+                self.reaches.append((y["h"], y["ref"], y["pos"], min(y["reach"] if known else self.min_words, self.min_words - self.seed),
+                                     y.get("matched", False), y["lead"]))
 
+    def note(self, x: dict, y: dict) -> None:
+        right, left = _common(x["after"], y["after"]), _common(x["before"], y["before"])
+        x["reach"] = max(x["reach"], right if self.by == "after" else left)
+        y["reach"] = max(y["reach"], right if self.by == "after" else left)
+        if left + self.seed + right >= self.min_words:
+            x["matched"] = True
+            self.found.append((x["h"], x["ref"], x["id"], x["pos"], x["pos"] - left, x["pos"] + self.seed + right, y["ref"], y["id"]))
 
-_FOUND = ("h", "ref", "id", "pos", "begin", "stop", "other_ref", "other")
+    def take(self) -> tuple[list[tuple], list[tuple]]:
+        out = self.found, self.reaches
+        self.found, self.reaches = [], []
+        return out
 
 
 def candidate_suffixes(docs: DataFrame, min_words: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -201,73 +224,101 @@ def candidate_suffixes(docs: DataFrame, min_words: int, seed: int, id_col: str,
                                 f"h bigint, after binary, before binary, ref bigint, pos int, id {kind}, n bigint"), "suffix-contexts")
 
 
-def neighbour_matches(suffixes: DataFrame, min_words: int, seed: int) -> DataFrame:
-    """Matches (h, ref, id, pos, begin, stop, other_ref, other) of suffixes with their neighbours."""
+def neighbour_matches(suffixes: DataFrame, min_words: int, seed: int, by: str = "after") -> tuple[DataFrame, DataFrame]:
+    """The matches (h, ref, id, pos, begin, stop, other_ref, other) of suffixes with their
+    neighbours in the order of the seed and the context ``by``, and the reaches (h, ref, pos,
+    reach, matched, lead) of the suffixes of seeds that occur three times or more; ``lead`` holds
+    for two documents at least of those with the same whole context."""
     spark = suffixes.sparkSession
     kind = suffixes.schema["id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["h", "after", "before", "ref", "pos"]
+    order = ["h", by, "before" if by == "after" else "after", "ref", "pos"]
     found = f"h bigint, ref bigint, id {kind}, pos int, begin int, stop int, other_ref bigint, other {kind}"
+    edge = f"part int, h bigint, after binary, before binary, ref bigint, pos int, id {kind}, n bigint"
 
     def compare(batches):
-        # besides matches, a task reports its first and last suffix; and for a seed that goes on
-        # past an end, the first and last of another document beside it
+        # besides matches and reaches, a task reports its first and last suffixes, to be compared
+        # across the ends of the ranges
         from pyspark import TaskContext
 
-        part, near, head, tail = TaskContext.get().partitionId(), _Neighbours(seed, min_words), [], []
+        part, near, head = TaskContext.get().partitionId(), _Neighbours(seed, min_words, by), []
+
+        def rows(matches, reaches, edges=()):
+            n, m, k = len(matches), len(reaches), len(edges)
+            match = dict(zip(_FOUND, map(list, zip(*matches)))) if n else {c: [] for c in _FOUND}
+            reach = dict(zip(_REACH, map(list, zip(*reaches)))) if m else {c: [] for c in _REACH}
+            out = {c: match[c] + (reach[c] if c in reach else [None] * m) + [None] * k for c in _FOUND}
+            return out | {c: [None] * n + reach[c] + [None] * k for c in _REACH[3:]} | {"edge": [None] * (n + m) + list(edges)}
+
         for b in batches:
             for row in zip(*(b[c] for c in _ROW)):
                 x = dict(zip(_ROW, row))
                 if not head or len(head) == 1 and head[0]["h"] == x["h"] and head[0]["ref"] != x["ref"]:
                     head.append(x)
                 near.add(x)
-            if out := near.take():
-                yield {**dict(zip(_FOUND, map(list, zip(*out)))), "edge": [None] * len(out)}
+            matches, reaches = near.take()
+            if matches or reaches:
+                yield rows(matches, reaches)
         if near.run:
+            near.leave(False)
             tail = ([near.other] if near.other else []) + [near.run[0], near.run[-1]]
-            yield {**{c: [None] * (len(head) + len(tail)) for c in _FOUND},
-                   "edge": [{"part": part, **x} for x in head + tail]}
+            yield rows(*near.take(), [{"part": part, **{c: x[c] for c in _ROW}} for x in head + tail])
 
-    schema = found + f", edge struct<part: int, h: bigint, after: binary, before: binary, ref: bigint, pos: int, id: {kind}>"
+    schema = found + f", reach int, matched boolean, lead boolean, edge struct<{edge.replace(' ', ': ').replace(',: ', ', ')}>"
     both = materialise(map_rows(suffixes.select(*_ROW).repartitionByRange(parts, *order).sortWithinPartitions(*order), compare, schema),
                        "suffix-matches")
     # a few suffixes per range
     edges = sorted((r["edge"].asDict() for r in both.where("edge is not null").select("edge").collect()),
-                   key=lambda x: (x["part"], x["h"], x["after"], x["before"], x["ref"], x["pos"]))
-    seam = _Neighbours(seed, min_words)
+                   key=lambda x: (x["part"], *[x[c] for c in order]))
+    seam = _Neighbours(seed, min_words, by)
     for x in edges:
         seam.add(x)
-    return both.where("edge is null").drop("edge").unionByName(spark.createDataFrame(seam.take(), found)).distinct()
+    return (both.where("other_ref is not null").select(*_FOUND).unionByName(spark.createDataFrame(seam.take()[0], found)),
+            both.where("reach is not null").select(*_REACH))
+
 
+def window_matches(suffixes: DataFrame, reaches: DataFrame, min_words: int, seed: int) -> DataFrame:
+    """Further matches of suffixes without one whose seed occurs three times or more.
 
-def window_matches(suffixes: DataFrame, matches: DataFrame, min_words: int, seed: int) -> DataFrame:
-    """Matches, by the hashes of whole windows, of the suffixes of seeds that occur three times
-    or more and have a suffix without a match."""
+    Such a suffix may share ``min_words`` words with a document that is its neighbour in neither
+    order.  Its reach to the right bounds how far a common window must at least go to the left;
+    a second sort, by the words before the seed, gives the reach to the left.  Where the two
+    leave windows possible, those windows are compared by their hashes."""
     kind, reach = suffixes.schema["id"].dataType.simpleString(), min_words - seed
-    alone = suffixes.where("n > 2").join(matches.select("ref", "pos").distinct(), ["ref", "pos"], "left_anti")
-    unsettled = materialise(alone.select("h").distinct(), "suffix-unsettled")
+    unsettled = materialise(reaches.where(~F.col("matched")).select("h").distinct(), "suffix-unsettled")
+    rows = suffixes.join(small(unsettled), "h", "left_semi")
+    more, lefts = neighbour_matches(rows, min_words, seed, "before")
+    open_ = materialise(reaches.withColumnRenamed("matched", "m1").withColumnRenamed("reach", "right").join(
+        lefts.select("ref", "pos", F.col("reach").alias("left"), F.col("matched").alias("m2")), ["ref", "pos"])
+        .where(F.col("left") + F.col("right") >= reach)
+        .select("h", "ref", "pos", "left", "right", "lead", (F.col("m1") | F.col("m2")).alias("matched")).distinct(), "suffix-open")
+    asking = materialise(open_.where(~F.col("matched")).select("h").distinct(), "suffix-asking")
+    # suffixes with a match only answer; of those with one context two documents will do
+    places = materialise(open_.where(~F.col("matched") | F.col("lead")).join(small(asking), "h", "left_semi")
+                         .select("ref", "pos", "left", "right"), "suffix-places")
 
     def windows(batches):
         from xxhash import xxh64_intdigest
 
         for b in batches:
             out = {c: [] for c in ("w", "h", "ref", "id", "pos", "begin")}
-            for h, after, before, ref, pos, id_ in zip(*(b[c] for c in _ROW)):
-                for left in range(max(0, reach - len(after) // 2), min(reach, len(before) // 2) + 1):
+            for h, after, before, ref, pos, id_, most, least in zip(*(b[c] for c in ("h", "after", "before", "ref", "pos", "id", "left", "right"))):
+                for left in range(max(reach - least, reach - len(after) // 2, 0), min(most, len(before) // 2) + 1):
                     rest = b"%d:%d:" % (h, left) + before[: 2 * left] + after[: 2 * (reach - left)]
                     out["w"].append(xxh64_intdigest(rest) - (1 << 63))
                     for c, v in zip(("h", "ref", "id", "pos", "begin"), (h, ref, id_, pos, pos - left)):
                         out[c].append(v)
             yield out
 
-    cut = materialise(map_rows(suffixes.join(small(unsettled), "h", "left_semi").select(*_ROW), windows,
-                               f"w bigint, h bigint, ref bigint, id {kind}, pos int, begin int"), "suffix-windows")
+    cut = materialise(map_rows(suffixes.join(small(places), ["ref", "pos"]).select("h", "after", "before", "ref", "pos", "id", "left", "right"),
+                               windows, f"w bigint, h bigint, ref bigint, id {kind}, pos int, begin int"), "suffix-windows")
     shared = materialise(cut.groupBy("w").agg(F.min(F.struct("ref", "id")).alias("a"), F.max(F.struct("ref", "id")).alias("b"))
                          .where("a.ref <> b.ref"), "suffix-shared")
     other = F.when(F.col("ref") == F.col("a.ref"), F.col("b")).otherwise(F.col("a"))
-    return (cut.join(small(shared), "w").withColumn("o", other)
-            .select("h", "ref", "id", "pos", "begin", (F.col("begin") + min_words).alias("stop"),
-                    F.col("o.ref").alias("other_ref"), F.col("o.id").alias("other")))
+    return more.unionByName(
+        cut.join(small(shared), "w").withColumn("o", other)
+        .select("h", "ref", "id", "pos", "begin", (F.col("begin") + min_words).alias("stop"),
+                F.col("o.ref").alias("other_ref"), F.col("o.id").alias("other")))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,8 +327,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = S
     if not 0 < seed <= min_words:
         raise ValueError("seed must be 1 to min_words")
     suffixes = candidate_suffixes(docs, min_words, seed, id_col, text_col)
-    matches = materialise(neighbour_matches(suffixes, min_words, seed), "suffix-neighbours")
-    spans = matches.unionByName(window_matches(suffixes, matches, min_words, seed))
+    matches, reaches = neighbour_matches(suffixes, min_words, seed)
+    spans = matches.unionByName(window_matches(suffixes, reaches, min_words, seed))
     spans = spans.groupBy("ref", "begin", "stop").agg(F.first("id", ignorenulls=True).alias("id"), F.collect_set("other").alias("others"))
     by_begin = Window.partitionBy("ref").orderBy("begin", "stop")
     fresh = F.col("begin") > F.coalesce(F.max("stop").over(by_begin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
