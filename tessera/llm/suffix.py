@@ -12,11 +12,13 @@ overlap and are merged.
 
 The sort is a range sort over the whole table, so a passage that a third of the documents share
 is spread over many tasks; the ends of the ranges are compared separately.  A suffix may share
-``min_words`` words with a third document that isn't its neighbour in this order: suffixes
-without a match in seeds of three or more are sorted by the words before the seed, too, and
-where the reaches in both orders leave a common window possible, it is settled by the hashes of
-the ``min_words``-word windows.  So every document with a passage of ``min_words`` words that another
-document has, too, is reported, and none without.
+``min_words`` words with a third document that isn't its neighbour in this order: of the suffixes
+with a common window of ``min_words`` words, only the first of each chain of neighbours that share
+it asks for it.  Seeds with several asking suffixes are sorted by the words before the seed, too;
+where the reaches in both orders leave windows possible that a suffix doesn't share with its
+predecessor, they are settled by their hashes.  So the stretches are exactly the words in windows
+of ``min_words`` words that another document has, too; ``others`` needn't list every document with
+such a window, but links all of them, directly or through others' rows.
 
 Words are compared by 64-bit hashes within seeds and by 16 bits each beyond them.
 
@@ -126,28 +128,27 @@ def _common(a: bytes, b: bytes) -> int:
 
 _ROW = ("h", "after", "before", "ref", "pos", "id", "n")
 _FOUND = ("h", "ref", "id", "pos", "begin", "stop", "other_ref", "other")
-_REACH = ("h", "ref", "pos", "reach", "matched", "lead")
+_REACH = ("h", "ref", "pos", "reach", "skip_left", "skip_right", "mate_left", "mate_right", "mate_ref", "mate")
 
 
 class _Neighbours:
     """Compares a stream of suffixes, sorted by seed and one context, with their nearest
     neighbours of other documents.  ``reach`` is a suffix's longest common context in that order:
-    no suffix of another document shares more."""
+    no suffix of another document shares more.
+
+    A window is named by its number of words before the seed.  In the order by ``after``, a suffix
+    skips the windows from ``min_words - seed - skip_right`` to ``skip_left``: it shares them with the
+    suffix just before it, directly or as a repeat in one document, and with a neighbour of another
+    document.  A suffix that may share further windows asks: it gets a reach, and the following
+    document (``mate``) with the words that they share."""
 
     def __init__(self, seed: int, min_words: int, by: str = "after"):
         self.seed, self.min_words, self.by, self.found, self.reaches = seed, min_words, by, [], []
         self.run: list[dict] = []  # the last suffixes, of one document and one seed
         self.other: dict | None = None  # the suffix before them
         self.whole = False  # the seed began in this stream
-        self.context, self.refs = None, set()  # the last suffix's whole context; two documents that have it
 
     def add(self, x: dict) -> None:
-        context = x["h"], x["after"], x["before"]
-        if context != self.context:
-            self.context, self.refs = context, set()
-        x["lead"] = len(self.refs) < 2 and x["ref"] not in self.refs
-        if x["lead"]:
-            self.refs.add(x["ref"])
         last = self.run[-1] if self.run else None
         if last is None or last["h"] != x["h"]:
             self.leave(self.whole)
@@ -160,28 +161,49 @@ class _Neighbours:
                 return  # a repeated row
             self.run.append(x)
             x["reach"] = 0 if self.whole or self.other is not None else self.min_words
+            if self.by == "after" and x["n"] > 2:
+                x["repeat"] = _common(x["before"], last["before"]), _common(x["after"], last["after"])
         else:
             x["reach"] = 0
             for y in self.run:
-                self.note(y, x)
+                self.note(y, x, "next")
             self.leave(True)
             self.run, self.other = [x], last
         if self.other is not None:
-            self.note(x, self.other)
+            self.note(x, self.other, "prev")
 
     def leave(self, known: bool) -> None:
         """The run has met all its neighbours, unless they may lie beyond an end of the stream."""
+        most = self.min_words - self.seed
         for y in self.run:
-            if y["n"] > 2:
-                self.reaches.append((y["h"], y["ref"], y["pos"], min(y["reach"] if known else self.min_words, self.min_words - self.seed),
-                                     y.get("matched", False), y["lead"]))
-
-    def note(self, x: dict, y: dict) -> None:
+            if y["n"] <= 2:
+                continue
+            reach = min(y["reach"] if known else self.min_words, most)
+            if self.by == "before":
+                self.reaches.append((y["h"], y["ref"], y["pos"], reach, None, None, None, None, None, None))
+                continue
+            skip = self.skipped(y)
+            left, right = len(y["before"]) // 2, min(reach, len(y["after"]) // 2)
+            if left + right >= most and (skip[0] < left or skip[1] < right):
+                mate = y.get("next") or (-1, -1, None, None)
+                self.reaches.append((y["h"], y["ref"], y["pos"], right, *skip, *mate))
+
+    def skipped(self, x: dict) -> tuple[int, int]:
+        near = [x[side][:2] for side in ("prev", "next") if side in x]
+        if "repeat" in x:
+            # the document's last suffix answers for the window, a neighbour shows that it's shared
+            near = [(min(left, x["repeat"][0]), min(right, x["repeat"][1])) for left, right in near]
+        elif "prev" not in x:
+            return -1, -1
+        best = max(near, key=sum, default=(-1, -1)) if "repeat" in x else near[0]
+        return best if sum(best) >= self.min_words - self.seed else (-1, -1)
+
+    def note(self, x: dict, y: dict, side: str) -> None:
         right, left = _common(x["after"], y["after"]), _common(x["before"], y["before"])
         x["reach"] = max(x["reach"], right if self.by == "after" else left)
         y["reach"] = max(y["reach"], right if self.by == "after" else left)
+        x[side] = left, right, y["ref"], y["id"]
         if left + self.seed + right >= self.min_words:
-            x["matched"] = True
             self.found.append((x["h"], x["ref"], x["id"], x["pos"], x["pos"] - left, x["pos"] + self.seed + right, y["ref"], y["id"]))
 
     def take(self) -> tuple[list[tuple], list[tuple]]:
@@ -227,8 +249,8 @@ def candidate_suffixes(docs: DataFrame, min_words: int, seed: int, id_col: str,
 def neighbour_matches(suffixes: DataFrame, min_words: int, seed: int, by: str = "after") -> tuple[DataFrame, DataFrame]:
     """The matches (h, ref, id, pos, begin, stop, other_ref, other) of suffixes with their
     neighbours in the order of the seed and the context ``by``, and the reaches (h, ref, pos,
-    reach, matched, lead) of the suffixes of seeds that occur three times or more; ``lead`` holds
-    for two documents at least of those with the same whole context."""
+    reach, and by ``after`` the windows to skip and the mate) of the suffixes of seeds that occur
+    three times or more, by ``after`` of those only that ask."""
     spark = suffixes.sparkSession
     kind = suffixes.schema["id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -264,7 +286,7 @@ def neighbour_matches(suffixes: DataFrame, min_words: int, seed: int, by: str =
             tail = ([near.other] if near.other else []) + [near.run[0], near.run[-1]]
             yield rows(*near.take(), [{"part": part, **{c: x[c] for c in _ROW}} for x in head + tail])
 
-    schema = found + f", reach int, matched boolean, lead boolean, edge struct<{edge.replace(' ', ': ').replace(',: ', ', ')}>"
+    schema = found + f", reach int, skip_left int, skip_right int, mate_left int, mate_right int, mate_ref bigint, mate {kind}, edge struct<{edge.replace(' ', ': ').replace(',: ', ', ')}>"
     both = materialise(map_rows(suffixes.select(*_ROW).repartitionByRange(parts, *order).sortWithinPartitions(*order), compare, schema),
                        "suffix-matches")
     # a few suffixes per range
@@ -278,41 +300,50 @@ def neighbour_matches(suffixes: DataFrame, min_words: int, seed: int, by: str =
 
 
 def window_matches(suffixes: DataFrame, reaches: DataFrame, min_words: int, seed: int) -> DataFrame:
-    """Further matches of suffixes without one whose seed occurs three times or more.
+    """Further matches of suffixes whose seed occurs three times or more.
 
     Such a suffix may share ``min_words`` words with a document that is its neighbour in neither
     order.  Its reach to the right bounds how far a common window must at least go to the left;
     a second sort, by the words before the seed, gives the reach to the left.  Where the two
-    leave windows possible, those windows are compared by their hashes."""
+    leave windows possible that the suffix doesn't skip, those windows are compared by their
+    hashes.  All suffixes with a window are linked by neighbours to one that asks for it, so
+    windows of a seed with a single asking suffix are settled, and the askers' documents and
+    mates tell whether another document has the window."""
     kind, reach = suffixes.schema["id"].dataType.simpleString(), min_words - seed
-    unsettled = materialise(reaches.where(~F.col("matched")).select("h").distinct(), "suffix-unsettled")
-    rows = suffixes.join(small(unsettled), "h", "left_semi")
+
+    def several(asking, name):
+        return small(materialise(asking.groupBy("h").agg(F.count("*").alias("askers")).where("askers > 1").select("h"), name))
+
+    rows = suffixes.join(several(reaches, "suffix-unsettled"), "h", "left_semi")
     more, lefts = neighbour_matches(rows, min_words, seed, "before")
-    open_ = materialise(reaches.withColumnRenamed("matched", "m1").withColumnRenamed("reach", "right").join(
-        lefts.select("ref", "pos", F.col("reach").alias("left"), F.col("matched").alias("m2")), ["ref", "pos"])
-        .where(F.col("left") + F.col("right") >= reach)
-        .select("h", "ref", "pos", "left", "right", "lead", (F.col("m1") | F.col("m2")).alias("matched")).distinct(), "suffix-open")
-    asking = materialise(open_.where(~F.col("matched")).select("h").distinct(), "suffix-asking")
-    # suffixes with a match only answer; of those with one context two documents will do
-    places = materialise(open_.where(~F.col("matched") | F.col("lead")).join(small(asking), "h", "left_semi")
-                         .select("ref", "pos", "left", "right"), "suffix-places")
+    open_ = materialise(reaches.withColumnRenamed("reach", "right").join(
+        lefts.select("ref", "pos", F.col("reach").alias("left")), ["ref", "pos"])
+        .where((F.col("left") + F.col("right") >= reach) & ((F.col("skip_left") < F.col("left")) | (F.col("skip_right") < F.col("right")))),
+        "suffix-open")
+    places = materialise(open_.join(several(open_, "suffix-asking"), "h", "left_semi").drop("h"), "suffix-places")
 
     def windows(batches):
         from xxhash import xxh64_intdigest
 
+        names = ("h", "after", "before", "ref", "pos", "id", "left", "right", *_REACH[4:])
         for b in batches:
-            out = {c: [] for c in ("w", "h", "ref", "id", "pos", "begin")}
-            for h, after, before, ref, pos, id_, most, least in zip(*(b[c] for c in ("h", "after", "before", "ref", "pos", "id", "left", "right"))):
+            out = {c: [] for c in ("w", "h", "ref", "id", "pos", "begin", "mate_ref", "mate")}
+            for h, after, before, ref, pos, id_, most, least, skip_left, skip_right, mate_left, mate_right, mate_ref, mate in zip(*(b[c] for c in names)):
                 for left in range(max(reach - least, reach - len(after) // 2, 0), min(most, len(before) // 2) + 1):
+                    if reach - skip_right <= left <= skip_left:
+                        continue
                     rest = b"%d:%d:" % (h, left) + before[: 2 * left] + after[: 2 * (reach - left)]
                     out["w"].append(xxh64_intdigest(rest) - (1 << 63))
-                    for c, v in zip(("h", "ref", "id", "pos", "begin"), (h, ref, id_, pos, pos - left)):
+                    met = reach - mate_right <= left <= mate_left
+                    for c, v in zip(("h", "ref", "id", "pos", "begin", "mate_ref", "mate"),
+                                    (h, ref, id_, pos, pos - left, mate_ref if met else None, mate if met else None)):
                         out[c].append(v)
             yield out
 
-    cut = materialise(map_rows(suffixes.join(small(places), ["ref", "pos"]).select("h", "after", "before", "ref", "pos", "id", "left", "right"),
-                               windows, f"w bigint, h bigint, ref bigint, id {kind}, pos int, begin int"), "suffix-windows")
-    shared = materialise(cut.groupBy("w").agg(F.min(F.struct("ref", "id")).alias("a"), F.max(F.struct("ref", "id")).alias("b"))
+    cut = materialise(map_rows(suffixes.join(small(places), ["ref", "pos"]).select("h", "after", "before", "ref", "pos", "id", "left", "right", *_REACH[4:]),
+                               windows, f"w bigint, h bigint, ref bigint, id {kind}, pos int, begin int, mate_ref bigint, mate {kind}"), "suffix-windows")
+    own, mate = F.struct("ref", "id"), F.when(F.col("mate_ref").isNotNull(), F.struct(F.col("mate_ref").alias("ref"), F.col("mate").alias("id")))
+    shared = materialise(cut.groupBy("w").agg(F.least(F.min(own), F.min(mate)).alias("a"), F.greatest(F.max(own), F.max(mate)).alias("b"))
                          .where("a.ref <> b.ref"), "suffix-shared")
     other = F.when(F.col("ref") == F.col("a.ref"), F.col("b")).otherwise(F.col("a"))
     return more.unionByName(

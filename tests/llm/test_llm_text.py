@@ -288,6 +288,55 @@ def test_passages_match_brute_force(spark):
     assert suffix.repeated_passages(table(spark, []), 50, 20).count() == 0
 
 
+def _branching_rows(rng):
+    """Documents around common seeds, whose left and right contexts agree over different lengths."""
+    rows = []
+    for g in range(5):
+        core = [f"core{g}x{i}" for i in range(rng.choice((20, 24)))]
+        lefts, rights = ([[f"{side}{g}t{min(i, cut) if cut else 0}v{v if i >= cut else 0}w{i}" for i in range(45)]
+                          for v, cut in enumerate((0, 5, 10, 15, 20, 30, 40))] for side in ("l", "r"))
+        for i in range(14):
+            left = rng.choice(lefts)[:rng.choice((0, 10, 25, 30, 45))][::-1]
+            right = rng.choice(rights)[:rng.choice((0, 10, 25, 30, 45))]
+            rows.append((1000 + 100 * g + i, " ".join([words(rng, rng.randrange(20), 10**6), *left, *core, *right, words(rng, rng.randrange(20), 10**6)])))
+    # matched on the right in pairs; the link of the two pairs lies to the left of the seed
+    after = [[f"after{i}" for i in range(15)] + [f"{x}{i}" for i in range(15)] for x in ("p", "r")]
+    before = {k: [f"{k}left{i}" for i in range(30)] for k in ("a", "b", "c", "d")}
+    before["c"] = before["a"]
+    core = [f"seed{i}" for i in range(20)]
+    rows += [(9000 + i, " ".join([*before[k], *core, *after[x]])) for i, (k, x) in enumerate((("a", 0), ("b", 0), ("d", 1), ("c", 1)))]
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_passages_cover_every_shared_window(spark, parts):
+    rows = _branching_rows(random.Random(11))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = suffix.repeated_passages(table(spark, rows), 50, 20).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    where, want = {}, set()
+    for i, text in rows:
+        ws = text.split()
+        for at in range(len(ws) - 49):
+            where.setdefault(tuple(ws[at:at + 50]), set()).add((i, at))
+    shared = [v for v in where.values() if len({i for i, _ in v}) > 1]
+    for v in shared:
+        want |= {(i, w) for i, at in v for w in range(at, at + 50)}
+    assert {(r["id"], w) for r in got for w in range(r["begin"], r["stop"])} == want
+
+    def groups(links):
+        root = {i: i for i, _ in rows}
+        for a, b in links:
+            root = {k: root[a] if v == root[b] else v for k, v in root.items()} if root[a] != root[b] else root
+        return {frozenset(k for k in root if root[k] == r) for r in set(root.values())}
+    assert groups((r["id"], o) for r in got for o in r["others"]) == groups((min(v)[0], i) for v in shared for i, _ in v)
+    direct = {(i, j) for v in shared for i, _ in v for j, _ in v if i != j}
+    assert all((r["id"], o) in direct for r in got for o in r["others"])
+
+
 def test_minimisers_depend_on_the_words_alone():
     import numpy as np
     h = suffix.window_hashes(np.arange(1, 200, dtype=np.uint64) ** 3, 20)
