@@ -2,8 +2,10 @@
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained on
 labelled samples; a long run of key characters whose log-likelihood ratio (random against
-ordinary) is large in total and per character is reported as a ``markov`` span, unless it
-overlaps a span of the fixed patterns.  Spans are code point offsets, end exclusive.
+ordinary) is large in total and per character is reported as a ``markov`` span.  Spans of the
+fixed patterns cut a run; each part is scored as a whole and, if that isn't large, by its
+best-scoring stretches between separators, so a key glued to words or to another key is found.
+Spans are code point offsets, end exclusive.
 
 ``labelled_samples`` draws the labels from the given table: ordinary samples are the words of at
 most ``SAMPLE_DOCUMENTS`` documents (smallest id hashes) outside the fixed patterns' spans;
@@ -39,6 +41,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # a match of the access or hex pattern lies within such a run; the markov runs have no dots
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = {c: i for i, c in enumerate(_ALPHABET)}
 _START = len(_ALPHABET)
@@ -72,26 +75,69 @@ class MarkovModel:
         overall = counts.sum(axis=0) + 0.5
         return (counts + weight * overall / overall.sum()) / (counts.sum(axis=1, keepdims=True) + weight)
 
-    def score(self, run: str) -> float:
-        before, total = _START, 0.0
-        for c in map(_CODE.__getitem__, run):
-            total += self.ratio[before][c]
-            before = c
-        return total
-
     def spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         if self.ratio is None:
             return []
         found = []
         for run in _RUN.finditer(text):
-            a, b = run.span()
-            if any(s < b and a < e for _, s, e in taken) or sum(map(str.isalpha, run.group())) < 4:
-                continue
-            ratio = self.score(run.group())
-            if ratio >= MIN_RATIO and ratio >= MIN_PER_CHARACTER * (b - a):
-                found.append(("markov", a, b))
+            at, end = run.span()
+            for s, e in sorted((s, e) for _, s, e in taken if s < end and at < e):
+                found += self._part(text, at, s)
+                at = max(at, e)
+            found += self._part(text, at, end)
+        return [("markov", a, b) for a, b in found]
+
+    def _part(self, text: str, at: int, end: int) -> list[tuple[int, int]]:
+        """The spans of key characters ``text[at:end]``: the whole, or its best stretches."""
+        if end - at < MIN_RUN:
+            return []
+        part = text[at:end]
+        codes = [_CODE[c] for c in part]
+        sums, before = [0.0], _START
+        for c in codes:
+            sums.append(sums[-1] + self.ratio[before][c])
+            before = c
+        # a stretch is scored as if it stood alone
+        own = [sums[i + 1] - self.ratio[_START][c] for i, c in enumerate(codes)]
+
+        def large(a, b):
+            ratio = sums[b] - own[a]
+            return (b - a >= MIN_RUN and ratio >= MIN_RATIO and ratio >= MIN_PER_CHARACTER * (b - a)
+                    and sum(map(str.isalpha, part[a:b])) >= 4)
+
+        if large(0, len(part)):
+            return [(at, end)]
+        # stretches begin after and end before separators
+        pieces = [m.span() for m in _PIECE.finditer(part)]
+        found, rest = [], [(0, len(pieces))]
+        while rest:
+            low, high = rest.pop()
+            best = None
+            for lo, hi in self._stretches(pieces, low, high, sums, own):
+                a, b = pieces[lo][0], pieces[hi][1]
+                if large(a, b) and (best is None or sums[b] - own[a] > best[0]):
+                    best = sums[b] - own[a], lo, hi
+            if best:
+                found.append((at + pieces[best[1]][0], at + pieces[best[2]][1]))
+                rest += [(low, best[1]), (best[2] + 1, high)]
         return found
 
+    @staticmethod
+    def _stretches(pieces, low: int, high: int, sums, own):
+        """First and last pieces of the stretches to try: every piece, and of the stretches that
+        end with a piece the ones of greatest ratio, in total and above the least per character."""
+        for least in (0.0, MIN_PER_CHARACTER):
+            best, first = None, low
+            for hi in range(low, high):
+                while first <= hi and pieces[hi][1] - pieces[first][0] >= MIN_RUN:
+                    a = pieces[first][0]
+                    if best is None or own[a] - least * a < own[pieces[best][0]] - least * pieces[best][0]:
+                        best = first
+                    first += 1
+                if best is not None:
+                    yield best, hi
+        yield from ((i, i) for i in range(low, high))
+
 
 def _transitions(words) -> Counter:
     pairs = Counter()
