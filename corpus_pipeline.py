@@ -4,7 +4,7 @@ Each stage is a function of (spark, docs, sf_dir); its result is written as Parq
 as the next stage's ``docs``.  All but the last return the columns of ``documents``:
 
 * toxicity: documents whose expected severity reaches the mark go;
-* near duplicates: one document of each SimHash component stays;
+* near duplicates: one row of each SimHash component stays, null and repeated ids included;
 * secrets: every span found is replaced by a mark, so the secrets don't reach training;
 * mix: documents of the seeded epochs that fill each source's budget (a document drawn for
   a second epoch comes twice; a prefix's last document stays whole);
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, shingle_words=3, max_distance=2)
+    return simhash.keep_one(docs, shingle_words=3, max_distance=2, null_ids_stay=False)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, small
@@ -61,16 +61,19 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """One row (id, fp) per document row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+                 row: Column | None = None) -> DataFrame:
+    """One row (id, fp) per document row, or (id, fp, row) with a number ``row`` of it; ``fp``
+    holds the 64 bits as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            yield {"id": b["id"], "fp": [_signed(text_fingerprint(t, shingle_words)) for t in b["text"]]}
+            yield {"id": b["id"], "fp": [_signed(text_fingerprint(t, shingle_words)) for t in b["text"]]} | ({"row": b["row"]} if "row" in b else {})
 
-    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run,
-                    f"id {kind}, fp bigint")
+    more = [] if row is None else [row.alias("row")]
+    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more), run,
+                    f"id {kind}, fp bigint" + ", row bigint" * len(more))
 
 
 def _variants(classes: DataFrame, max_distance: int) -> DataFrame:
@@ -159,28 +162,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row (id, fp, component_id) per document row, in which ``component_id`` is the
     smallest id that the links reach."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
+    return prints.join(_named(prints, max_distance), "fp").select("id", "fp", "component_id")
+
+
+def _named(prints: DataFrame, max_distance: int) -> DataFrame:
+    """The materialised table (fp, component, component_id) of the fingerprints of the
+    materialised ``prints``; ``component`` is the smallest fingerprint that the links reach."""
     # an explicit number of parts: each row becomes 64 variants, which sizes in bytes don't tell
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")).repartition(parts, "fp"), "simhash-classes")
     roots = materialise(connected_components(fingerprint_links(classes, max_distance)), "simhash-roots")
     rooted = materialise(classes.join(small(roots), classes["fp"] == roots["node"], "left")
                          .select("fp", "first_id", "root"), "simhash-rooted")
     firsts = materialise(rooted.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least_id")),
                          "simhash-firsts")
-    named = materialise(rooted.join(small(firsts), "root", "left")
-                        .select("fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id"))
-                                .alias("component_id")), "simhash-named")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
-    """The documents with one of each near-duplicate group: the row whose ``doc_id`` is the
-    group's smallest; of rows repeating that id, one.  Rows without an id can't be named by a
-    group and stay as they are.  Columns are returned unchanged."""
-    groups = near_duplicates(docs.select("doc_id", "text"), "doc_id", "text", shingle_words, max_distance)
-    keep = materialise(groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct(), "simhash-keep")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    stay = (docs.where("doc_id is not null").join(keep, "doc_id").groupBy("doc_id")
-            .agg(*[F.first(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("r")])
-            .select("doc_id", "r.*").select(docs.columns)) if rest else keep
-    return stay.unionByName(docs.where("doc_id is null"))
+    return materialise(rooted.join(small(firsts), "root", "left")
+                       .select("fp", F.coalesce("root", "fp").alias("component"),
+                               F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")),
+                       "simhash-named")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2, null_ids_stay: bool = True) -> DataFrame:
+    """The documents with one row of each near-duplicate group: the one that is least by
+    ``doc_id`` (null last), fingerprint and a hash of its columns; of equal rows, one.  An id
+    that several groups have names a row in each.  With ``null_ids_stay``, rows without an id
+    all stay, and only rows with one are reduced.  Columns are returned unchanged."""
+    # null marks keep a null apart from a missing column
+    docs = docs.withColumn("__row", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "__row"]
+    prints = materialise(fingerprints(docs, "doc_id", "text", shingle_words, F.col("__row")), "simhash-prints")
+    named = _named(prints, max_distance)
+    if null_ids_stay:
+        prints = prints.where("id is not null")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row")).alias("least")
+    # first per fingerprint, so that copies are few before the join
+    firsts = materialise(prints.groupBy("fp").agg(least), "simhash-least")
+    keep = materialise(firsts.join(small(named.select("fp", "component")), "fp").groupBy("component").agg(F.min("least").alias("least"))
+                       .select(F.col("least.id").alias("__id"), F.col("least.row").alias("__kept")).distinct(), "simhash-keep")
+    stay = (docs.join(small(keep), (docs["__row"] == keep["__kept"]) & docs["doc_id"].eqNullSafe(keep["__id"]))
+            .groupBy("__kept", "__id").agg(F.first(F.struct(*columns)).alias("r")).select("r.*"))
+    return stay.unionByName(docs.where("doc_id is null").select(*columns)) if null_ids_stay else stay

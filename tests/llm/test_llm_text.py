@@ -113,6 +113,22 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stay", [True, False])
+def test_keep_one_keeps_a_row_of_each_component(spark, stay):
+    """Different texts under one id, and components of null ids."""
+    rng = random.Random(12)
+    x, y, *more = (words(rng, 200) for _ in range(12))
+    rows = [(7, x), (7, y), (8, x), (None, x), (9, more[0]), (9, more[0])] + [(None, t) for t in more[1:4] for _ in range(3)]
+    rows += [(5, t) for t in more] + [(5, None), (None, "")]
+    docs = table(spark, rows).repartition(5)
+    kept = [(r["doc_id"], r["text"]) for r in (simhash.keep_one(docs) if stay else simhash.keep_one(docs, null_ids_stay=False)).collect()]
+    want = {(7, x), (7, y), (5, None)} | {(5, t) for t in more}
+    assert sorted(map(str, kept)) == sorted(map(str, [*want, *[r for r in rows if r[0] is None and stay]]))
+    alone = table(spark, [(None, t) for t in more for _ in range(2)])
+    assert simhash.keep_one(alone, null_ids_stay=stay).count() == (20 if stay else 10)
+    assert simhash.keep_one(docs.select("doc_id", "text"), null_ids_stay=stay).columns == ["doc_id", "text"]
+
+
 # ------------------------------------------------------------------ quality
 
 def _quality(text):
