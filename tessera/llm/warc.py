@@ -10,6 +10,10 @@ records of ranges that differ are compared one by one.
 a file, each at the byte where the one before ends.  A replica is a table (file, offset,
 length, digest) of what stands at each offset.
 
+``audit`` assumes damage in place: records are compared by their offsets.  In a replica laid out
+from its own bytes, a lost or shortened record moves all that follow it in its file, and every
+one of them is listed as missing, extra or changed; records are not realigned by digest.
+
 Defined cases: null url and html are empty; null ids come first; repeated records are records of
 their own; several records at one offset (not a valid archive) are hashed as a sorted list with
 their counts; a record that only one side has is ``missing`` or ``extra``, one whose length or
