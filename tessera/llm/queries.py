@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, scratch_path
-from . import mixing, packing, quality, secret_scan, simhash, suffix, token_files, topk, toxicity, warc
+from . import mixing, packing, quality, secret_scan, simhash, suffix, token_files, topk, toxicity, warc, whitening
 from .common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,14 @@ def op7(spark, sf_dir):
     found = suffix.repeated_passages(read_table(spark, sf_dir, "documents"), min_words=50)
     return found.select(F.col("id").alias("doc_id"), F.col("begin").alias("first_word"), F.col("stop").alias("end_word"),
                         (F.col("stop") - F.col("begin")).alias("n_words"), F.col("others").alias("other_doc_ids"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found, model = whitening.whiten(rows, components=4)
+    n, trace, variances = (model.n, model.trace, model.variances) if model else (0, 1.0, [])
+    explained = F.element_at(F.array(*[F.lit(float(e / trace)) for e in variances]), F.col("component")) if len(variances) else F.lit(None)
+    return found.select(F.col("id").alias("vec_id"), "component", F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+                        explained.cast("double").alias("explained"),
+                        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"))
