@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, scratch_path
-from . import mixing, packing, quality, secret_scan, simhash, suffix, token_files, topk, toxicity, warc, whitening
+from . import collocations, mixing, packing, quality, secret_scan, setsketch, simhash, suffix, token_files, topk, toxicity, warc, whitening
 from .common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +71,7 @@ def _mix_sql() -> str:
     parts = [f"""
 u AS (SELECT coalesce('domain' || (TRY_CAST(regexp_extract(source, '[0-9]+$') AS BIGINT) % 4), '(none)') AS domain,
        coalesce(nullif(lang, ''), '(none)') AS language, coalesce(nullif(source, ''), '(none)') AS origin, doc_id AS id,
-       count(*) AS rows, sum(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0))::BIGINT AS tokens
+       count(*) AS rows, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::BIGINT AS tokens
       FROM documents GROUP BY ALL)""",
              f"given(depth, domain, language, origin, w) AS (VALUES {given})",
              f"""c3 AS (SELECT *, CASE WHEN w > 0 THEN supply * {MIX_EPOCHS} ELSE 0 END AS cap FROM (
@@ -223,3 +223,41 @@ def op11(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), "component", F.lit(n).cast("long").alias("n"), "deviation", "whitened",
                         explained.cast("double").alias("explained"),
                         F.lit(model.identity_error if model else None).cast("double").alias("identity_error"))
+
+
+@query("op12_phrase_collocations", r"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+    FROM w, (VALUES (1), (2), (3)) t(size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT *, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS score
+    FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.lp JOIN f y ON y.lang = k.lang AND y.phrase = k.rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+    FROM c WHERE size = 3) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+    FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""")
+def op12(spark, sf_dir):
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), max_words=3, min_count=10, keep=2000, cover=50)
+
+
+@query("op13_minhash_near_dedup", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM d),
+c AS (SELECT g, min(doc_id) AS c, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+k AS (SELECT c, n, unnest(g) AS shingle FROM c),
+e AS (SELECT a, b FROM (SELECT x.c AS a, y.c AS b, x.n + y.n AS total, count(*) AS common FROM k x JOIN k y ON x.shingle = y.shingle AND x.c <> y.c
+    AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL) WHERE 100 * common >= 85 * (total - common)),
+r(node, root) AS (SELECT c, c FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(m.root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN m ON m.node = c.c""")
+def op13(spark, sf_dir):
+    return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=5, percent=85).withColumnRenamed("id", "doc_id")
