@@ -14,12 +14,14 @@ sets with about the probability of their Jaccard similarity J.
 * In a second round buckets that still hold several components are compared in full, except
   within a component.  A bucket of up to ``BUCKET`` classes is one task's work; a larger one is
   cut by a second common band, and what stays large by tiles: the classes outside the bucket's
-  largest component against all of it.  No size is capped.
+  largest component against all of it.  No size is capped, and no pairs are written: only the
+  classes with a plausible partner go on, each once a group, to be verified there.
 * A pair's J is estimated jointly from the registers that are greater, less and equal, by the
   likelihood given both set sizes.  A pair goes if the best J is more likely than the threshold
   by ``DOUBT`` nats (a chance of e-9 for a true link) or if the sizes alone rule it out.
-* What remains is verified on the full sets, built again from the whole texts: the texts of a
-  class's partners stream past its set, in lots of ``LOT`` partners.
+* What remains is verified on the full sets, built again from the whole texts: in the first round
+  the texts of a class's partners stream past its set, in lots of ``LOT`` partners; in the second
+  a group's likeliest pairs come first, and pairs that its links have joined are skipped.
 
 Shingles are compared by 64-bit hashes.
 
@@ -39,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import map_rows, materialise, small
+from .common import materialise, small
 from .simhash import connected_components
 
 REGISTERS, BANDS = 128, 32
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-#: classes of a bucket that one task compares, partners of a class that one task verifies
-BUCKET, LOT = 512, 256
+#: classes of a bucket that one task compares, and their shingles; partners of a class that one task verifies
+BUCKET, WEIGHT, LOT = 512, 4_000_000, 256
 #: by how many nats a similarity below the threshold must be the better explanation
 DOUBT = 20.0
 #: rows of a sketch (some 300 bytes) up to which a table of them is broadcast
@@ -211,70 +213,151 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: i
     return streams.mapInArrow(run, "a bigint, b bigint")
 
 
-def _compare(percent: int):
-    """Pairs of different components in a bucket or tile, each in the first bands it shares."""
+def _lots(batches, rows: int = 20_000):
+    """Tables of whole groups (consecutive rows of one key) of some ``rows`` rows or more."""
+    held = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table["key"].to_numpy()
+            end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            held = table.slice(end).to_batches()
+            if end:
+                yield table.slice(0, end)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+_TRIANGLE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _meetings(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows that a group compares: different components, one of them "own" and the
+    other "other"."""
+    keys, roots, own, other = (t[c].to_numpy() for c in ("key", "root", "own", "other"))
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    left, right = [], []
+    for lo, hi in zip(cuts, cuts[1:]):
+        size = hi - lo
+        i, j = _TRIANGLE.get(size) or np.triu_indices(size, 1)
+        if size <= 64:
+            _TRIANGLE[size] = i, j
+        i, j = i + lo, j + lo
+        stay = (roots[i] != roots[j]) & (own[i] & other[j] | own[j] & other[i])
+        left.append(i[stay])
+        right.append(j[stay])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _plausible_rows(t: pa.Table, percent: int, at_once: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, places, equal registers) of the pairs that a group has to verify: those of its rows
+    that first meet in its bands and may reach the threshold."""
+    regs, n, first, second = _unpacked(t["registers"].to_pylist()), t["n"].to_numpy(), t["band"].to_numpy(), t["second"].to_numpy()
+    bands = regs.view(np.uint64).reshape(len(regs), BANDS)
+    left, right = _meetings(t)
+    found = []
+    for at in range(0, len(left), at_once):
+        i, j = left[at:at + at_once], right[at:at + at_once]
+        shared = bands[i] == bands[j]
+        fits = shared.argmax(axis=1) == first[i]
+        shared[np.arange(len(i)), first[i]] = False
+        fits &= (second[i] < 0) | (shared.argmax(axis=1) == second[i])
+        i, j = i[fits], j[fits]
+        stay = plausible(regs[i], regs[j], n[i], n[j], percent)
+        i, j = i[stay], j[stay]
+        found.append((i, j, (regs[i] == regs[j]).sum(axis=1)))
+    return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+
+
+_MEMBER = {"key": "bigint", "band": "int", "second": "int", "class": "bigint", "root": "bigint", "n": "bigint", "registers": "binary",
+           "own": "boolean", "other": "boolean"}
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key")
+
+
+def _unsettled(members: DataFrame, percent: int) -> DataFrame:
+    """The rows of groups that have a plausible partner in another component."""
     def run(batches):
-        for b in batches:
-            left, right = [], []
-            for first, second, members in zip(b["band"], b["second"], b["members"]):
-                ids, roots, sizes = (np.array([m[c] for m in members], np.int64) for c in ("class", "root", "n"))
-                regs = _unpacked([m["registers"] for m in members])
-                bands = regs.view(np.uint64).reshape(len(ids), BANDS)
-                others = np.flatnonzero([m["other"] for m in members])
-                for i in np.flatnonzero([m["own"] for m in members]):
-                    j = others[(roots[others] != roots[i])]
-                    shared = bands[j] == bands[i]
-                    fits = shared.argmax(axis=1) == first
-                    if second >= 0:
-                        shared[:, first] = False
-                        fits &= shared.argmax(axis=1) == second
-                    j = j[fits]
-                    j = j[plausible(regs[j], np.broadcast_to(regs[i], (len(j), REGISTERS)), sizes[j], np.full(len(j), sizes[i]), percent)]
-                    left.extend(np.minimum(ids[i], ids[j]).tolist())
-                    right.extend(np.maximum(ids[i], ids[j]).tolist())
-            pairs = sorted(set(zip(left, right)))
-            yield {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
-    return run
-
-
-_MEMBER = ("class", "root", "n", "registers", "own", "other")
-
-
-def _within(members: DataFrame, percent: int) -> DataFrame:
-    lists = members.groupBy("key", "band", "second").agg(F.collect_list(F.struct(*_MEMBER)).alias("members")).select("band", "second", "members")
-    return map_rows(lists, _compare(percent), "a bigint, b bigint")
+        for t in _lots(batches):
+            i, j, _ = _plausible_rows(t, percent)
+            yield from t.take(pa.array(np.union1d(i, j))).to_batches()
+
+    return _grouped(members.select(*_MEMBER)).mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in _MEMBER.items()))
+
+
+def _settled(rows: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Verified links (a, b) inside the groups of a materialised table of unsettled rows: the
+    likeliest pairs first, and none that earlier links of the group have joined."""
+    needed = materialise(rows.select(F.col("class").alias("row")).distinct(), "setsketch-needed")
+    texts = texts.join(small(needed), "row", "left_semi").withColumnRenamed("row", "class")
+
+    def run(batches):
+        shingles = Shingles(shingle_words)
+        for t in _lots(batches, 2_000):
+            i, j, equal = _plausible_rows(t, percent)
+            keys, classes, roots, text = t["key"].to_numpy(), t["class"].to_numpy(), t["root"].to_numpy(), t["text"]
+            order = np.lexsort((j, i, -equal, keys[i]))
+            key, left, right = None, [], []
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if keys[x] != key:
+                    key, sets, up = keys[x], {}, {}
+
+                def top(r):
+                    while up.get(r, r) != r:
+                        r = up[r]
+                    return r
+                a, b = top(roots[x]), top(roots[y])
+                if a == b:
+                    continue
+                for place in (x, y):
+                    if place not in sets:
+                        sets[place] = shingles.of(text[place].as_py())
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                    up[max(a, b)] = min(a, b)
+                    left.append(min(classes[x], classes[y]))
+                    right.append(max(classes[x], classes[y]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return _grouped(rows.join(texts, "class")).mapInArrow(run, "a bigint, b bigint")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """The rows of buckets with several components, with the bucket's size."""
-    mixed = materialise(members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"))
+    """The rows of buckets with several components, with the bucket's size: its classes, or its
+    shingles in units of ``WEIGHT / BUCKET`` if that is more."""
+    size = F.greatest(F.count("*"), F.ceil(F.sum("n") * BUCKET / WEIGHT)).alias("size")
+    mixed = materialise(members.groupBy("key").agg(size, F.min("root").alias("least"), F.max("root").alias("most"))
                         .where("least <> most").select("key", "size"), "setsketch-mixed")
     return members.join(small(mixed), "key")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
     """Buckets cut into tiles: classes outside the largest component against all classes."""
-    counts = members.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = materialise(counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
-                       .select("key", F.col("top.root").alias("main"), F.ceil(F.col("all") / BUCKET).cast("int").alias("tiles"),
-                               F.ceil((F.col("all") - F.col("top.c")) / BUCKET).cast("int").alias("outer")), "setsketch-main")
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("size").alias("size"))
+    outer = F.col("size") * (F.col("all") - F.col("top.c")) / F.col("all") / BUCKET
+    main = materialise(counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.max("size").alias("size"))
+                       .select("key", F.col("top.root").alias("main"), F.ceil(F.col("size") / BUCKET).cast("int").alias("tiles"),
+                               F.ceil(outer).cast("int").alias("outer")), "setsketch-main")
     rows = members.join(small(main), "key").withColumn("outside", F.col("root") != F.col("main"))
     h = F.xxhash64("class")
     as_other = (rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("y", F.pmod(h, F.col("tiles")))
                 .withColumn("own", F.lit(False)).withColumn("other", F.lit(True)))
     as_own = (rows.where("outside").withColumn("x", F.pmod(h, F.col("outer"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
               .withColumn("own", F.lit(True)).withColumn("other", F.lit(False)))
-    return as_other.unionByName(as_own).withColumn("key", F.xxhash64("key", "x", "y")).select(
-        "key", "band", "second", "class", "root", "n", "registers", "own", "other")
+    return as_other.unionByName(as_own).withColumn("key", F.xxhash64("key", "x", "y")).select(*_MEMBER)
 
 
 def _second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in a common bucket that are not yet in one component."""
-    rooted = materialise(members.select("key", "band", "class").join(small(roots), F.col("class") == F.col("node"), "left")
-                         .select("key", "band", "class", F.coalesce("root", "class").alias("root")), "setsketch-rooted")
-    open_ = materialise(_mixed(rooted).join(small(sets, SKETCH_ROWS), "class").withColumn("second", F.lit(-1)).withColumn("own", F.lit(True))
-                        .withColumn("other", F.lit(True)), "setsketch-open")
-    found = _within(open_.where(F.col("size") <= BUCKET), percent)
+    """Rows of groups of classes that have a plausible partner in another component."""
+    rooted = materialise(members.select("key", "band", "class", "n").join(small(roots), F.col("class") == F.col("node"), "left")
+                         .select("key", "band", "class", "n", F.coalesce("root", "class").alias("root")), "setsketch-rooted")
+    open_ = materialise(_mixed(rooted).join(small(sets.select("class", "registers"), SKETCH_ROWS), "class").withColumn("second", F.lit(-1))
+                        .withColumn("own", F.lit(True)).withColumn("other", F.lit(True)), "setsketch-open")
+    found = _unsettled(open_.where(F.col("size") <= BUCKET), percent)
     large = open_.where(F.col("size") > BUCKET).drop("size")
     if not large.isEmpty():
         later = F.filter(F.array(*[F.struct(F.lit(j).alias("second"), _band(j).alias("k")) for j in range(BANDS)]),
@@ -282,9 +365,9 @@ def _second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent
         again = (large.drop("second").withColumn("s", F.explode(later))
                  .select(F.xxhash64("key", "s.second", "s.k").alias("key"), "band", "s.second", "class", "root", "n", "registers", "own", "other"))
         again = materialise(_mixed(again), "setsketch-again")
-        found = found.unionByName(_within(again.where(F.col("size") <= BUCKET), percent))
-        found = found.unionByName(_within(_tiles(again.where(F.col("size") > BUCKET).drop("size")), percent))
-    return found.distinct()
+        found = found.unionByName(_unsettled(again.where(F.col("size") <= BUCKET), percent))
+        found = found.unionByName(_unsettled(_tiles(again.where(F.col("size") > BUCKET)), percent))
+    return found
 
 
 def links(sets: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -292,8 +375,8 @@ def links(sets: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -
     "at least ``percent`` similar".  ``sets`` is a materialised table (class, n, registers)."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = (sets.repartition(parts, "class")
-             .select("class", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i).alias("key")) for i in range(BANDS)])).alias("s"))
-             .select("class", "s.*"))
+             .select("class", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i).alias("key")) for i in range(BANDS)])).alias("s"))
+             .select("class", "n", "s.*"))
     shared = materialise(bands.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("class").alias("lead"))
                          .where("size > 1").select("key", "band", "lead"), "setsketch-shared")
     members = materialise(bands.join(small(shared), ["key", "band"]), "setsketch-members")
@@ -304,8 +387,7 @@ def links(sets: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -
     found = materialise(_verified(materialise(_likely(first, sets, percent), "setsketch-first"), texts, shingle_words, percent), "setsketch-links")
     roots = materialise(connected_components(found), "setsketch-roots")
     rest = materialise(_second_round(members, sets, roots, percent), "setsketch-rest")
-    more = materialise(_verified(rest, texts, shingle_words, percent), "setsketch-more")
-    return materialise(found.unionByName(more), "setsketch-all")
+    return materialise(found.unionByName(_settled(rest, texts, shingle_words, percent)), "setsketch-all")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
