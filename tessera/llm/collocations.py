@@ -1,18 +1,19 @@
 """Phrase collocations counted by prefix-free parsing.
 
 A document is a sequence of words with a break between its pieces (parts between punctuation
-marks or line ends).  Wherever the hash of ``max_words - 1`` consecutive tokens is 0 modulo
-``PERIOD``, a new chunk begins, and the chunk before it reaches over those tokens; breaks at the
-end close the last one.  Where a chunk begins depends on the text alone, so copies and common
-passages give the same chunks: a *dictionary* of distinct chunks with the frequency of each in
-the parse, per language.  Phrases are counted inside the distinct chunks, weighted by those
-frequencies.  Two neighbouring chunks overlap by ``max_words - 1`` tokens; a phrase is counted
-where it begins before the overlap, so each occurrence counts once.
-
-Phrases are counted by rising length.  A phrase with ``min_count`` occurrences has parts with as
-many, so only phrases are shuffled whose parts may be frequent: the frequent parts' hashes are
-marked in a bitmap of at most 2 to the power ``MAX_BITS`` bits, which is broadcast.  A hash that
-is marked by chance costs a row of the shuffle, never a result; counts are exact.
+marks or line ends).  Wherever the hash of the eight bytes from a token's start is 0 modulo
+``PERIOD``, a new chunk begins, and the chunk before it reaches ``max_words - 1`` tokens further;
+breaks at the end close the last one.  Where a chunk begins depends on the text alone, so copies
+and common passages give the same chunks: a *dictionary* of distinct chunks with the frequency of
+each in the parse, per language.  Phrases are counted inside the distinct chunks, weighted by
+those frequencies.  Two neighbouring chunks overlap by ``max_words - 1`` tokens; a phrase is
+counted where it begins before the overlap, so each occurrence counts once.
+
+A phrase with ``min_count`` occurrences has parts with as many, so only phrases are counted whose
+parts may be frequent.  The hashes of the frequent parts (words first, then the phrases of each
+length but the last, which are counted by their 64-bit hashes for this) are marked in bitmaps of
+at most 2 to the power ``MAX_BITS`` bits, which are broadcast.  A hash marked by chance costs a
+row of the shuffle, never a result; the phrases themselves are counted exactly.
 
 Scores are computed in whole decimals of 38 digits.  The ranking takes the first rows of hash
 groups before those of a language, so no task sorts all candidates of a language.
@@ -40,8 +41,8 @@ from .common import materialise, small
 #: average tokens of a chunk
 PERIOD = 64
 MAX_BITS = 27
-#: chunks whose phrases a task counts at once, distinct words whose hashes it keeps
-CHUNKS_AT_ONCE, CACHE = 4096, 500_000
+#: tokens of the chunks whose phrases a task counts at once
+TOKENS_AT_ONCE = 1 << 19
 BREAK = "."
 _SPREAD = np.random.default_rng(12).integers(0, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # letters in lower case, every separator as one of them (a word never holds one), tab as space
@@ -54,35 +55,31 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(text: str | None, overlap: int, known: dict[bytes, int]) -> list[bytes]:
+def chunks(text: str | None, overlap: int) -> list[bytes]:
     """The parse of a text: chunks of tokens joined by spaces."""
-    from xxhash import xxh64_intdigest
-
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(BREAK.encode(), b" . ").split()
     if not tokens:
         return []
-    tokens += [BREAK.encode()] * overlap
-    if len(known) > CACHE:
-        known.clear()
-    for w in set(tokens).difference(known):
-        known[w] = xxh64_intdigest(w, 5)
-    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-    last = len(tokens) - overlap  # where the closing breaks begin
-    window = np.zeros(last, np.uint64)
-    for i in range(overlap):
-        window += h[i:last + i] * _SPREAD[i]
-    starts = [0, *(np.flatnonzero(_mixed(window[1:]) % np.uint64(PERIOD) == 0) + 1).tolist(), last]
-    return [b" ".join(tokens[a:b + overlap]) for a, b in zip(starts, starts[1:])]
+    flat = b" ".join([*tokens, *[BREAK.encode()] * overlap])
+    data = np.frombuffer(flat + b" " * 8, np.uint8)
+    starts = np.r_[0, np.flatnonzero(data[:len(flat)] == 32) + 1]
+    # eight bytes from a token's start tell where a chunk begins
+    first = starts[1:len(tokens)]
+    eight = np.zeros(len(first), np.uint64)
+    for i in range(8):
+        eight |= data[first + i].astype(np.uint64) << np.uint64(8 * i)
+    begins = [0, *(np.flatnonzero(_mixed(eight * _SPREAD[0]) % np.uint64(PERIOD) == 0) + 1).tolist(), len(tokens)]
+    ends = np.r_[starts, len(flat) + 1]
+    return [flat[starts[a]:ends[b + overlap] - 1] for a, b in zip(begins, begins[1:])]
 
 
 def dictionary(docs: DataFrame, text_col: str, lang_col: str, overlap: int) -> DataFrame:
     """The distinct chunks of each language and their frequencies in the parse."""
     def run(batches):
-        known: dict[bytes, int] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                found = [chunks(t, overlap, known) for t in b["text"].to_pylist()]
+                found = [chunks(t, overlap) for t in b["text"].to_pylist()]
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(c) for c in found]))
                 yield pa.RecordBatch.from_arrays([b["lang"].take(rows), pa.array([c for own in found for c in own], pa.string())],
                                                  ["lang", "chunk"])
@@ -95,17 +92,27 @@ def dictionary(docs: DataFrame, text_col: str, lang_col: str, overlap: int) -> D
 class _Tokens:
     """The tokens of a lot of chunks: (language, word) numbers, and where phrases may begin."""
 
-    def __init__(self, b: pa.RecordBatch, overlap: int):
-        lists = pc.split_pattern(b["chunk"], " ")
+    def __init__(self, b: pa.Table, overlap: int):
+        lists = pc.split_pattern(b["chunk"].combine_chunks(), " ")
         words = pc.dictionary_encode(lists.flatten())
-        langs = pc.dictionary_encode(b["lang"])
+        langs = pc.dictionary_encode(b["lang"].combine_chunks())
         self.words, self.langs = words.dictionary, langs.dictionary
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(lengths)), lengths)
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * len(self.words) + code
-        self.pairs, self.number = np.unique(pair, return_inverse=True)
-        self.word_of, self.lang_of = self.pairs % max(len(self.words), 1), self.pairs // max(len(self.words), 1)
+        size = max(len(self.words), 1)
+        pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + code
+        # the pairs that occur, numbered
+        if len(self.langs) * size <= 16 * len(pair):
+            seen = np.zeros(len(self.langs) * size, bool)
+            seen[pair] = True
+            pairs = np.flatnonzero(seen)
+            number = np.zeros(len(seen), np.int32)
+            number[pairs] = np.arange(len(pairs))
+            self.number = number[pair]
+        else:
+            pairs, self.number = np.unique(pair, return_inverse=True)
+        self.word_of, self.lang_of = pairs % size, pairs // size
         self.times = b["times"].to_numpy()[row]
         rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(row))
         self.word = ~pc.equal(self.words, BREAK).to_numpy(zero_copy_only=False)[code]
@@ -115,9 +122,30 @@ class _Tokens:
         """Of the language and of the word of each pair."""
         from xxhash import xxh64_intdigest
 
-        own = (np.fromiter((xxh64_intdigest(v.as_buffer(), 5) for v in values), np.uint64, len(values)) for values in (self.langs, self.words))
+        own = (np.fromiter((xxh64_intdigest(v.encode(), 5) for v in values.to_pylist()), np.uint64, len(values)) for values in (self.langs, self.words))
         return tuple(h[at] for h, at in zip(own, (self.lang_of, self.word_of)))
 
+    def phrases(self, at: np.ndarray, size: int) -> list[pa.Array]:
+        """The language and the words, joined, of the phrases that begin at the places ``at``."""
+        parts = [self.words.take(pa.array(self.word_of[self.number[at + j]])) for j in range(size)]
+        return [self.langs.take(pa.array(self.lang_of[self.number[at]])), pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]]
+
+    def counted(self, gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a place, occurrences) of each of the numbers ``gram`` at the places ``at``."""
+        _, first, back = np.unique(gram[at], return_index=True, return_inverse=True)
+        return at[first], np.bincount(back, weights=self.times[at]).astype(np.int64)
+
+
+def _lots(batches, overlap: int):
+    """The tokens of some ``TOKENS_AT_ONCE`` tokens' chunks each."""
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        sizes = np.cumsum(pc.binary_length(whole["chunk"]).to_numpy(zero_copy_only=False).astype(np.int64)) // (6 * TOKENS_AT_ONCE)
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), whole.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield _Tokens(pa.Table.from_batches([whole.slice(lo, hi - lo)]), overlap)
+
 
 class Bitmap:
     """Marked hashes of frequent phrases of one length."""
@@ -130,21 +158,16 @@ class Bitmap:
         return (self.marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     @classmethod
-    def of(cls, phrases: DataFrame) -> Bitmap:
-        """Of a materialised table (lang, phrase)."""
-        bits = min(MAX_BITS, max(16, (64 * phrases.count()).bit_length()))
-
-        def run(batches):
-            for b in batches:
-                h = phrase_hashes(b["lang"], b["phrase"]) >> np.uint64(64 - bits)
-                yield pa.RecordBatch.from_pydict({"at": pa.array(h.astype(np.int64) + 1)})
-
-        marked = (phrases.select("lang", "phrase").mapInArrow(run, "at bigint").groupBy(F.bitmap_bucket_number("at").alias("b"))
+    def of(cls, hashes: DataFrame) -> Bitmap:
+        """Of a materialised table (h) of 64-bit hashes."""
+        bits = min(MAX_BITS, max(16, (64 * hashes.count()).bit_length()))
+        at = (F.shiftrightunsigned("h", 64 - bits) + 1).alias("at")
+        marked = (hashes.select(at).groupBy(F.bitmap_bucket_number("at").alias("b"))
                   .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")))
         marks = np.zeros(1 << (bits - 3), np.uint8)
         for r in marked.collect():  # at most 2 ** MAX_BITS bits
-            at = (r["b"] - 1) * 4096
-            marks[at:at + 4096] = np.frombuffer(r["m"], np.uint8)
+            place = (r["b"] - 1) * 4096
+            marks[place:place + 4096] = np.frombuffer(r["m"], np.uint8)
         return cls(bits, marks)
 
 
@@ -155,54 +178,67 @@ def _hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return _mixed(h)
 
 
-def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-    """The hashes of phrases of one length (words joined by spaces), as a task sees them."""
-    from xxhash import xxh64_intdigest
+def _grams(t: _Tokens, size: int, maps: list[Bitmap]):
+    """For 2 to ``size`` words: (words, phrase number per place, places, hashes), of the phrases
+    whose parts may be frequent by the ``maps`` of all smaller sizes (hashes for sizes below
+    ``size``, or with ``size`` maps the last ones too, are those of the places)."""
+    lang, word = t.hashes()
+    fits = t.word & maps[0].holds(_hash(lang, [word]))[t.number]
+    gram = t.number.astype(np.int64)
+    for k in range(2, size + 1):
+        fits = fits[:-1] & fits[1:]
+        here = np.flatnonzero(fits)
+        key, first, back = np.unique(gram[here] * len(t.word_of) + t.number[here + k - 1], return_index=True, return_inverse=True)
+        gram = np.zeros(len(fits), np.int64)
+        gram[here] = back
+        some = here[first]
+        h = _hash(lang[t.number[some]], [word[t.number[some + j]] for j in range(k)])
+        if len(maps) >= k:
+            held = maps[k - 1].holds(h)
+            fits[here] = held[back]
+            here = here[held[back]]
+        yield k, gram, here[t.begins[here]], h
+
+
+def _words(parse: DataFrame, overlap: int) -> DataFrame:
+    """(lang, phrase, f, h) of all words, with the hash by which tasks know them."""
+    def run(batches):
+        for t in _lots(batches, overlap):
+            at, f = t.counted(t.number, np.flatnonzero(t.begins))
+            lang, word = t.hashes()
+            h = _hash(lang, [word])[t.number[at]]
+            yield pa.RecordBatch.from_arrays([*t.phrases(at, 1), pa.array(f), pa.array(h.view(np.int64))], ["lang", "phrase", "f", "h"])
 
-    lang = np.array([xxh64_intdigest(v.as_buffer(), 5) for v in langs], np.uint64)
-    words = [[xxh64_intdigest(w, 5) for w in v.as_buffer().to_pybytes().split(b" ")] for v in phrases]
-    return _hash(lang, list(np.array(words, np.uint64).T)) if words else np.zeros(0, np.uint64)
+    return (parse.mapInArrow(run, "lang string, phrase string, f bigint, h bigint").groupBy("lang", "phrase")
+            .agg(F.sum("f").alias("f"), F.first("h").alias("h")))
 
 
-def _counted(parse: DataFrame, size: int, overlap: int, frequent: list) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``size`` words whose parts may be frequent;
-    ``frequent`` holds the broadcast bitmaps of all smaller sizes."""
+def _hash_counts(parse: DataFrame, size: int, overlap: int, frequent: list) -> DataFrame:
+    """(h, f): occurrences of phrases of ``size`` words whose parts may be frequent, by hash."""
     def run(batches):
-        maps = [f.value for f in frequent]
-        for whole in batches:
-            for at in range(0, whole.num_rows, CHUNKS_AT_ONCE):
-                t = _Tokens(whole.slice(at, CHUNKS_AT_ONCE), overlap)
-                n, gram = len(t.pairs), t.number
-                if size == 1:
-                    where, first = t.begins, None
-                else:
-                    lang, word = t.hashes()
-                    fits = t.word & maps[0].holds(_hash(lang, [word]))[t.number]
-                    for k in range(2, size + 1):
-                        # phrases of k words at i: both parts of k - 1 words may be frequent
-                        fits = fits[:-1] & fits[1:]
-                        here = np.flatnonzero(fits)
-                        key, back = np.unique(gram[here] * n + t.number[here + k - 1], return_inverse=True)
-                        gram = np.zeros(len(fits), np.int64)
-                        gram[here] = back
-                        if k < size:
-                            some = np.zeros(len(key), np.int64)
-                            some[back] = here  # a place of each
-                            held = maps[k - 1].holds(_hash(lang[t.number[some]], [word[t.number[some + j]] for j in range(k)]))
-                            fits[here] = held[back]
-                    where = fits & t.begins[:len(fits)]
-                here = np.flatnonzero(where)
-                if not len(here):
-                    continue
-                kind, first, back = np.unique(gram[here], return_index=True, return_inverse=True)
-                f = np.bincount(back, weights=t.times[here]).astype(np.int64)
-                place = here[first]
-                parts = [t.words.take(pa.array(t.word_of[t.number[place + j]])) for j in range(size)]
-                yield pa.RecordBatch.from_arrays([t.langs.take(pa.array(t.lang_of[t.number[place]])),
-                                                  pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], pa.array(f)],
-                                                 ["lang", "phrase", "f"])
-
-    return parse.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        maps = [m.value for m in frequent]
+        for t in _lots(batches, overlap):
+            for k, gram, at, h in _grams(t, size, maps):
+                if k == size:
+                    place, f = t.counted(gram, at)
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(h[gram[place]].view(np.int64)), "f": pa.array(f)})
+
+    return parse.mapInArrow(run, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def _phrases(parse: DataFrame, size: int, overlap: int, frequent: list) -> DataFrame:
+    """(lang, phrase, size, f) of the phrases of 2 to ``size`` words that may be frequent."""
+    def run(batches):
+        maps = [m.value for m in frequent]
+        for t in _lots(batches, overlap):
+            for k, gram, at, _ in _grams(t, size, maps):
+                if len(at):
+                    place, f = t.counted(gram, at)
+                    yield pa.RecordBatch.from_arrays([*t.phrases(place, k), pa.array(np.full(len(f), k, np.int32)), pa.array(f)],
+                                                     ["lang", "phrase", "size", "f"])
+
+    return (parse.mapInArrow(run, "lang string, phrase string, size int, f bigint").groupBy("lang", "phrase", "size")
+            .agg(F.sum("f").alias("f")))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, min_count: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -212,19 +248,15 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     ship_package(spark)
     overlap = max_words - 1
     parse = materialise(dictionary(docs, text_col, lang_col, overlap), "collocations-chunks")
-    words = materialise(_counted(parse, 1, overlap, []), "collocations-words")
+    words = materialise(_words(parse, overlap), "collocations-words")
     totals = materialise(words.groupBy("lang").agg(F.sum("f").alias("n")), "collocations-totals")
-    frequent, tables = [], []
-    for size in range(1, max_words + 1):
-        counts = words if size == 1 else _counted(parse, size, overlap, frequent)
-        own = materialise(counts.where(F.col("f") >= min_count).withColumn("size", F.lit(size)), f"collocations-{size}")
-        tables.append(own)
-        if size < max_words:
-            frequent.append(spark.sparkContext.broadcast(Bitmap.of(own)))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return totals, out
+    own = materialise(words.where(F.col("f") >= min_count), "collocations-frequent")
+    frequent = [spark.sparkContext.broadcast(Bitmap.of(own.select("h")))]
+    for size in range(2, max_words):
+        hashes = materialise(_hash_counts(parse, size, overlap, frequent).where(F.col("f") >= min_count), "collocations-hashes")
+        frequent.append(spark.sparkContext.broadcast(Bitmap.of(hashes)))
+    longer = materialise(_phrases(parse, max_words, overlap, frequent).where(F.col("f") >= min_count), "collocations-phrases")
+    return totals, own.select("lang", "phrase", F.lit(1).alias("size"), "f").unionByName(longer)
 
 
 def _first(rows: DataFrame, keep: int, order: list) -> DataFrame:

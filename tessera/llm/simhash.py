@@ -24,9 +24,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import row_hash
 from .common import map_rows, materialise, small
 
 #: fingerprints of one variant bucket that are verified in a single task
@@ -62,18 +63,17 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
-                 row: Column | None = None) -> DataFrame:
-    """One row (id, fp) per document row, or (id, fp, row) with a number ``row`` of it; ``fp``
-    holds the 64 bits as a signed long."""
-    kind = docs.schema[id_col].dataType.simpleString()
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row (id, fp) per document row, with the columns ``keep`` (named neither id nor fp nor
+    text); ``fp`` holds the 64 bits as a signed long."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
 
     def run(batches):
         for b in batches:
-            yield {"id": b["id"], "fp": [_signed(text_fingerprint(t, shingle_words)) for t in b["text"]]} | ({"row": b["row"]} if "row" in b else {})
+            yield {"id": b["id"], "fp": [_signed(text_fingerprint(t, shingle_words)) for t in b["text"]]} | {c: b[c] for c in keep}
 
-    more = [] if row is None else [row.alias("row")]
-    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more), run,
-                    f"id {kind}, fp bigint" + ", row bigint" * len(more))
+    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep), run,
+                    ", ".join([f"id {kinds[id_col]}, fp bigint", *(f"{c} {kinds[c]}" for c in keep)]))
 
 
 def _variants(classes: DataFrame, max_distance: int) -> DataFrame:
@@ -115,7 +115,9 @@ def fingerprint_links(classes: DataFrame, max_distance: int = 2) -> DataFrame:
     materialised table with one row per fingerprint ``fp``."""
     if not 0 <= max_distance <= 3:
         raise ValueError("max_distance must be 0 to 3")
-    variants = _variants(classes, max_distance)
+    # dealt out after the reread, whose scan packs small files: each row becomes some 64 variants
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _variants(classes.repartition(parts, "fp"), max_distance)
     shared = materialise(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                          .where("n > 1"), "simhash-shared")
     pairs = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance).select("a", "b")
@@ -168,9 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _named(prints: DataFrame, max_distance: int) -> DataFrame:
     """The materialised table (fp, component, component_id) of the fingerprints of the
     materialised ``prints``; ``component`` is the smallest fingerprint that the links reach."""
-    # an explicit number of parts: each row becomes 64 variants, which sizes in bytes don't tell
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")).repartition(parts, "fp"), "simhash-classes")
+    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
     roots = materialise(connected_components(fingerprint_links(classes, max_distance)), "simhash-roots")
     rooted = materialise(classes.join(small(roots), classes["fp"] == roots["node"], "left")
                          .select("fp", "first_id", "root"), "simhash-rooted")
@@ -184,21 +184,22 @@ def _named(prints: DataFrame, max_distance: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2, null_ids_stay: bool = True) -> DataFrame:
     """The documents with one row of each near-duplicate group: the one that is least by
-    ``doc_id`` (null last), fingerprint and a hash of its columns; of equal rows, one.  An id
-    that several groups have names a row in each.  With ``null_ids_stay``, rows without an id
-    all stay, and only rows with one are reduced.  Columns are returned unchanged."""
-    # null marks keep a null apart from a missing column
-    docs = docs.withColumn("__row", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "__row"]
-    prints = materialise(fingerprints(docs, "doc_id", "text", shingle_words, F.col("__row")), "simhash-prints")
+    ``doc_id`` (null last), fingerprint, a hash of its columns and its place; of equal rows, one.
+    An id that several groups have names a row in each.  With ``null_ids_stay``, rows without an id
+    all stay, and only rows with one are reduced.  Columns are returned unchanged, whatever their
+    names and types."""
+    # numbered once, when they are written: the numbers then name the same rows in every stage
+    rows = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_hash(docs).alias("hash"),
+                                   F.monotonically_increasing_id().alias("row")), "simhash-rows")
+    prints = materialise(fingerprints(rows.select("doc.doc_id", "doc.text", "hash", "row"), shingle_words=shingle_words, keep=("hash", "row")),
+                         "simhash-prints")
     named = _named(prints, max_distance)
     if null_ids_stay:
         prints = prints.where("id is not null")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row")).alias("least")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hash", "row")).alias("least")
     # first per fingerprint, so that copies are few before the join
     firsts = materialise(prints.groupBy("fp").agg(least), "simhash-least")
     keep = materialise(firsts.join(small(named.select("fp", "component")), "fp").groupBy("component").agg(F.min("least").alias("least"))
-                       .select(F.col("least.id").alias("__id"), F.col("least.row").alias("__kept")).distinct(), "simhash-keep")
-    stay = (docs.join(small(keep), (docs["__row"] == keep["__kept"]) & docs["doc_id"].eqNullSafe(keep["__id"]))
-            .groupBy("__kept", "__id").agg(F.first(F.struct(*columns)).alias("r")).select("r.*"))
-    return stay.unionByName(docs.where("doc_id is null").select(*columns)) if null_ids_stay else stay
+                       .select("least.row"), "simhash-keep")
+    stay = rows.join(small(keep), "row", "left_semi").select("doc.*")
+    return stay.unionByName(rows.where("doc.doc_id is null").select("doc.*")) if null_ids_stay else stay

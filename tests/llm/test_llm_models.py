@@ -265,7 +265,7 @@ def test_parse_counts_every_phrase_once(overlap):
             want, got = Counter(), Counter()
             for ws in _pieces(text):
                 want.update(tuple(ws[i:i + k]) for k in range(1, overlap + 2) for i in range(len(ws) - k + 1))
-            for chunk in collocations.chunks(text, overlap, {}):
+            for chunk in collocations.chunks(text, overlap):
                 ws = chunk.decode().split(" ")
                 for i in range(len(ws) - overlap):
                     got.update(tuple(ws[i:i + k]) for k in range(1, overlap + 2) if "." not in ws[i:i + k])
