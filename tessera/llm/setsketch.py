@@ -12,10 +12,12 @@ sets with about the probability of their Jaccard similarity J.
 * In a first round each class is compared with one class only: of the least members of its
   buckets, the one it meets most often.  That joins large groups of near copies in linear work.
 * In a second round buckets that still hold several components are compared in full, except
-  within a component.  A bucket of up to ``BUCKET`` classes is one task's work; a larger one is
-  cut by a second common band, and what stays large by tiles: the classes outside the bucket's
-  largest component against all of it.  No size is capped, and no pairs are written: only the
-  classes with a plausible partner go on, each once a group, to be verified there.
+  within a component.  A component of ``BUCKET`` classes or more leaves the buckets: it is cut into
+  tiles, which are compared with the classes outside that share a bucket with it.  Of the others, a
+  bucket of up to ``BUCKET`` classes is one task's work; a larger one is cut by a second common
+  band, and what stays large by tiles: the classes outside the bucket's largest component against
+  all of it.  No size is capped, and no pairs are written: only the classes with a plausible
+  partner go on, each once a group, to be verified there.
 * A pair's J is estimated jointly from the registers that are greater, less and equal, by the
   likelihood given both set sizes.  A pair goes if the best J is more likely than the threshold
   by ``DOUBT`` nats (a chance of e-9 for a true link) or if the sizes alone rule it out.
@@ -260,7 +262,7 @@ def _plausible_rows(t: pa.Table, percent: int, at_once: int = 50_000) -> tuple[n
     for at in range(0, len(left), at_once):
         i, j = left[at:at + at_once], right[at:at + at_once]
         shared = bands[i] == bands[j]
-        fits = shared.argmax(axis=1) == first[i]
+        fits = (first[i] < 0) | (shared.argmax(axis=1) == first[i])
         shared[np.arange(len(i)), first[i]] = False
         fits &= (second[i] < 0) | (shared.argmax(axis=1) == second[i])
         i, j = i[fits], j[fits]
@@ -326,15 +328,34 @@ def _settled(rows: DataFrame, texts: DataFrame, shingle_words: int, percent: int
     return _grouped(rows.join(texts, "class")).mapInArrow(run, "a bigint, b bigint")
 
 
+def _size():
+    """Of a group: its classes, or its shingles in units of ``WEIGHT / BUCKET`` if that is more."""
+    return F.greatest(F.count("*"), F.ceil(F.sum("n") * BUCKET / WEIGHT))
+
+
 def _mixed(members: DataFrame) -> DataFrame:
-    """The rows of buckets with several components, with the bucket's size: its classes, or its
-    shingles in units of ``WEIGHT / BUCKET`` if that is more."""
-    size = F.greatest(F.count("*"), F.ceil(F.sum("n") * BUCKET / WEIGHT)).alias("size")
-    mixed = materialise(members.groupBy("key").agg(size, F.min("root").alias("least"), F.max("root").alias("most"))
+    """The rows of buckets with several components, with the bucket's size."""
+    mixed = materialise(members.groupBy("key").agg(_size().alias("size"), F.min("root").alias("least"), F.max("root").alias("most"))
                         .where("least <> most").select("key", "size"), "setsketch-mixed")
     return members.join(small(mixed), "key")
 
 
+def _cells(others: DataFrame, own: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows ``others`` of a key cut into ``tiles`` tiles, and the rows ``own`` into ``outer``
+    ones, each of these with each of those; ``cuts`` is a materialised table (key, tiles, outer)."""
+    h, cuts = F.xxhash64("class"), small(cuts)
+
+    def upto(c):
+        return F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    parts = (others.join(cuts, "key").withColumn("x", upto("outer")).withColumn("y", F.pmod(h, "tiles"))
+             .withColumn("own", F.lit(False)).withColumn("other", F.lit(True)),
+             own.join(cuts, "key").withColumn("x", F.pmod(h, "outer")).withColumn("y", upto("tiles"))
+             .withColumn("own", F.lit(True)).withColumn("other", F.lit(False)))
+    # hashes differ by type
+    one, two = (p.withColumn("key", F.xxhash64("key", F.col("x").cast("bigint"), F.col("y").cast("bigint"))).select(*_MEMBER) for p in parts)
+    return one.unionByName(two)
+
+
 def _tiles(members: DataFrame) -> DataFrame:
     """Buckets cut into tiles: classes outside the largest component against all classes."""
     counts = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("size").alias("size"))
@@ -342,32 +363,58 @@ def _tiles(members: DataFrame) -> DataFrame:
     main = materialise(counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.max("size").alias("size"))
                        .select("key", F.col("top.root").alias("main"), F.ceil(F.col("size") / BUCKET).cast("int").alias("tiles"),
                                F.ceil(outer).cast("int").alias("outer")), "setsketch-main")
-    rows = members.join(small(main), "key").withColumn("outside", F.col("root") != F.col("main"))
-    h = F.xxhash64("class")
-    as_other = (rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("y", F.pmod(h, F.col("tiles")))
-                .withColumn("own", F.lit(False)).withColumn("other", F.lit(True)))
-    as_own = (rows.where("outside").withColumn("x", F.pmod(h, F.col("outer"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-              .withColumn("own", F.lit(True)).withColumn("other", F.lit(False)))
-    return as_other.unionByName(as_own).withColumn("key", F.xxhash64("key", "x", "y")).select(*_MEMBER)
+    outside = members.join(small(main.select("key", "main")), "key").where("root <> main").drop("main")
+    return _cells(members, outside, main.select("key", "tiles", "outer"))
+
+
+def _against_large(rooted: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Tiles of each large component (a class a row, however many buckets it is in) against the
+    classes outside that share a bucket with it; None without such classes."""
+    meet = materialise(rooted.groupBy("key").agg(F.collect_set("large").alias("all"), F.min("root").alias("least"), F.max("root").alias("most"))
+                       .where("least <> most").select("key", F.explode("all").alias("of")), "setsketch-meet")
+    outside = materialise(rooted.drop("large").join(small(meet), ["key"]).where("root <> of").select("of", "class", "n", "root").distinct(),
+                          "setsketch-outside")
+    if outside.isEmpty():
+        return None
+    of = materialise(outside.groupBy("of").agg(F.ceil(_size() / BUCKET).cast("int").alias("outer")), "setsketch-of")
+    inside = materialise(rooted.where("large is not null").select("class", "n", "root").distinct()
+                         .join(small(of.select(F.col("of").alias("root"))), "root", "left_semi"), "setsketch-inside")
+    cuts = (of.withColumnRenamed("of", "key").join(small(materialise(inside.groupBy(F.col("root").alias("key")).agg(
+        F.ceil(_size() / BUCKET).cast("int").alias("tiles")), "setsketch-inner")), "key"))
+    cuts = materialise(cuts, "setsketch-cuts")
+    both = inside.withColumn("key", F.col("root")), outside.withColumnRenamed("of", "key")
+    registers = small(sets.select("class", "registers"), SKETCH_ROWS)
+    # no band says where a pair is to be compared: it meets in one tile
+    rows = [b.join(registers, "class").withColumn("band", F.lit(-1)).withColumn("second", F.lit(-1)) for b in both]
+    return _cells(*rows, cuts)
 
 
 def _second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Rows of groups of classes that have a plausible partner in another component."""
+    large = materialise(roots.groupBy("root").agg(F.count("*").alias("c")).where(F.col("c") >= BUCKET).select("root", F.col("root").alias("large")),
+                        "setsketch-large")
     rooted = materialise(members.select("key", "band", "class", "n").join(small(roots), F.col("class") == F.col("node"), "left")
-                         .select("key", "band", "class", "n", F.coalesce("root", "class").alias("root")), "setsketch-rooted")
-    open_ = materialise(_mixed(rooted).join(small(sets.select("class", "registers"), SKETCH_ROWS), "class").withColumn("second", F.lit(-1))
+                         .select("key", "band", "class", "n", F.coalesce("root", "class").alias("root"))
+                         .join(small(large), "root", "left"), "setsketch-rooted")
+    found = []
+    if not large.isEmpty() and (cells := _against_large(rooted, sets)) is not None:
+        found.append(cells)
+    rest = rooted.where("large is null").drop("large")
+    open_ = materialise(_mixed(rest).join(small(sets.select("class", "registers"), SKETCH_ROWS), "class").withColumn("second", F.lit(-1))
                         .withColumn("own", F.lit(True)).withColumn("other", F.lit(True)), "setsketch-open")
-    found = _unsettled(open_.where(F.col("size") <= BUCKET), percent)
-    large = open_.where(F.col("size") > BUCKET).drop("size")
-    if not large.isEmpty():
+    found.append(open_.where(F.col("size") <= BUCKET))
+    crowded = open_.where(F.col("size") > BUCKET).drop("size")
+    if not crowded.isEmpty():
         later = F.filter(F.array(*[F.struct(F.lit(j).alias("second"), _band(j).alias("k")) for j in range(BANDS)]),
                          lambda s: s["second"] > F.col("band"))
-        again = (large.drop("second").withColumn("s", F.explode(later))
+        again = (crowded.drop("second").withColumn("s", F.explode(later))
                  .select(F.xxhash64("key", "s.second", "s.k").alias("key"), "band", "s.second", "class", "root", "n", "registers", "own", "other"))
         again = materialise(_mixed(again), "setsketch-again")
-        found = found.unionByName(_unsettled(again.where(F.col("size") <= BUCKET), percent))
-        found = found.unionByName(_unsettled(_tiles(again.where(F.col("size") > BUCKET)), percent))
-    return found
+        found += [again.where(F.col("size") <= BUCKET), _tiles(again.where(F.col("size") > BUCKET))]
+    out = _unsettled(found[0], percent)
+    for f in found[1:]:
+        out = out.unionByName(_unsettled(f, percent))
+    return out
 
 
 def links(sets: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
