@@ -11,7 +11,7 @@ counted where it begins before the overlap, so each occurrence counts once.
 
 A phrase with ``min_count`` occurrences has parts with as many, so only phrases are counted whose
 parts may be frequent.  The hashes of the frequent parts (words first, then the phrases of each
-length but the last, which are counted by their 64-bit hashes for this) are marked in bitmaps of
+length but the last, which are counted by ``HASH_BITS`` bits of their hashes for this) are marked in bitmaps of
 at most 2 to the power ``MAX_BITS`` bits, which are broadcast.  A hash marked by chance costs a
 row of the shuffle, never a result; the phrases themselves are counted exactly.
 
@@ -40,9 +40,9 @@ from .common import materialise, small
 
 #: average tokens of a chunk
 PERIOD = 64
-MAX_BITS = 27
+MAX_BITS, HASH_BITS = 27, 40
 #: tokens of the chunks whose phrases a task counts at once
-TOKENS_AT_ONCE = 1 << 19
+TOKENS_AT_ONCE = 1 << 20
 BREAK = "."
 _SPREAD = np.random.default_rng(12).integers(0, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # letters in lower case, every separator as one of them (a word never holds one), tab as space
@@ -159,9 +159,9 @@ class Bitmap:
 
     @classmethod
     def of(cls, hashes: DataFrame) -> Bitmap:
-        """Of a materialised table (h) of 64-bit hashes."""
+        """Of a materialised table (h) of the first ``HASH_BITS`` bits of hashes."""
         bits = min(MAX_BITS, max(16, (64 * hashes.count()).bit_length()))
-        at = (F.shiftrightunsigned("h", 64 - bits) + 1).alias("at")
+        at = (F.shiftright("h", HASH_BITS - bits) + 1).alias("at")
         marked = (hashes.select(at).groupBy(F.bitmap_bucket_number("at").alias("b"))
                   .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")))
         marks = np.zeros(1 << (bits - 3), np.uint8)
@@ -201,27 +201,36 @@ def _grams(t: _Tokens, size: int, maps: list[Bitmap]):
 
 
 def _words(parse: DataFrame, overlap: int) -> DataFrame:
-    """(lang, phrase, f, h) of all words, with the hash by which tasks know them."""
+    """(lang, phrase, f) of all words."""
     def run(batches):
         for t in _lots(batches, overlap):
             at, f = t.counted(t.number, np.flatnonzero(t.begins))
-            lang, word = t.hashes()
-            h = _hash(lang, [word])[t.number[at]]
-            yield pa.RecordBatch.from_arrays([*t.phrases(at, 1), pa.array(f), pa.array(h.view(np.int64))], ["lang", "phrase", "f", "h"])
+            yield pa.RecordBatch.from_arrays([*t.phrases(at, 1), pa.array(f)], ["lang", "phrase", "f"])
 
-    return (parse.mapInArrow(run, "lang string, phrase string, f bigint, h bigint").groupBy("lang", "phrase")
-            .agg(F.sum("f").alias("f"), F.first("h").alias("h")))
+    return parse.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def _word_hashes(words: DataFrame) -> DataFrame:
+    """(h): the hashes by which tasks know the words of a table (lang, phrase)."""
+    def run(batches):
+        for b in batches:
+            lang, word = (np.array([xxh64_intdigest(v.encode(), 5) for v in b[c].to_pylist()], np.uint64) for c in ("lang", "phrase"))
+            yield pa.RecordBatch.from_pydict({"h": pa.array((_hash(lang, [word]) >> np.uint64(64 - HASH_BITS)).astype(np.int64))})
+
+    from xxhash import xxh64_intdigest
+    return words.select("lang", "phrase").mapInArrow(run, "h bigint")
 
 
 def _hash_counts(parse: DataFrame, size: int, overlap: int, frequent: list) -> DataFrame:
-    """(h, f): occurrences of phrases of ``size`` words whose parts may be frequent, by hash."""
+    """(h, f): occurrences of phrases of ``size`` words whose parts may be frequent, by the first
+    ``HASH_BITS`` bits of their hashes (phrases that share them are counted together)."""
     def run(batches):
         maps = [m.value for m in frequent]
         for t in _lots(batches, overlap):
             for k, gram, at, h in _grams(t, size, maps):
                 if k == size:
                     place, f = t.counted(gram, at)
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(h[gram[place]].view(np.int64)), "f": pa.array(f)})
+                    yield pa.RecordBatch.from_pydict({"h": pa.array((h[gram[place]] >> np.uint64(64 - HASH_BITS)).astype(np.int64)), "f": pa.array(f)})
 
     return parse.mapInArrow(run, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
 
@@ -234,11 +243,10 @@ def _phrases(parse: DataFrame, size: int, overlap: int, frequent: list) -> DataF
             for k, gram, at, _ in _grams(t, size, maps):
                 if len(at):
                     place, f = t.counted(gram, at)
-                    yield pa.RecordBatch.from_arrays([*t.phrases(place, k), pa.array(np.full(len(f), k, np.int32)), pa.array(f)],
-                                                     ["lang", "phrase", "size", "f"])
+                    yield pa.RecordBatch.from_arrays([*t.phrases(place, k), pa.array(f)], ["lang", "phrase", "f"])
 
-    return (parse.mapInArrow(run, "lang string, phrase string, size int, f bigint").groupBy("lang", "phrase", "size")
-            .agg(F.sum("f").alias("f")))
+    return (parse.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+            .select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, min_count: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +259,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words = materialise(_words(parse, overlap), "collocations-words")
     totals = materialise(words.groupBy("lang").agg(F.sum("f").alias("n")), "collocations-totals")
     own = materialise(words.where(F.col("f") >= min_count), "collocations-frequent")
-    frequent = [spark.sparkContext.broadcast(Bitmap.of(own.select("h")))]
+    frequent = [spark.sparkContext.broadcast(Bitmap.of(materialise(_word_hashes(own), "collocations-marks")))]
     for size in range(2, max_words):
         hashes = materialise(_hash_counts(parse, size, overlap, frequent).where(F.col("f") >= min_count), "collocations-hashes")
         frequent.append(spark.sparkContext.broadcast(Bitmap.of(hashes)))
