@@ -52,6 +52,22 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iter
     return df.mapInArrow(run, schema)
 
 
+def map_slices(df: DataFrame, column: str, function: Callable[[pa.RecordBatch, int], pa.RecordBatch]) -> DataFrame:
+    """``df`` with the rows of ``function(batch, place)``, which gets a few hundred rows at a time and
+    the place of ``column`` among them, and returns rows of the same columns.  Columns may have
+    any names."""
+    ship_package(df.sparkSession)
+    place = df.columns.index(column)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                yield function(whole.slice(at, ROWS_AT_ONCE), place)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -11,8 +11,10 @@ Spans are code point offsets, end exclusive.
 most ``SAMPLE_DOCUMENTS`` documents (smallest id hashes) outside the fixed patterns' spans;
 random samples are digests of those documents' ids in several alphabets.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each;
-an empty table has no samples, and a model without samples finds nothing.
+Defined cases: a null text counts as empty and has no spans; very long texts are scanned whole,
+in time that grows with their runs and spans; repeated rows are scanned each; an empty table has
+no samples, and a model without samples finds nothing; other columns, whatever their names, are
+ignored or kept.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import map_rows
+from .common import map_rows, map_slices
 
 SAMPLE_DOCUMENTS = 2000
 #: characters of a run that is scored, and the least log-likelihood ratio (nats), whole and per character
@@ -60,6 +61,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _outside(runs, taken: list[tuple[str, int, int]]):
+    """The parts of ascending runs (start, stop) that lie outside the taken spans, both lists
+    walked once."""
+    cover: list[list[int]] = []
+    for start, stop in sorted((s, e) for _, s, e in taken):
+        if cover and start <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], stop)
+        else:
+            cover.append([start, stop])
+    i = 0
+    for at, end in runs:
+        while i < len(cover) and cover[i][1] <= at:
+            i += 1
+        j = i
+        while j < len(cover) and cover[j][0] < end:
+            if at < cover[j][0]:
+                yield at, cover[j][0]
+            at = max(at, cover[j][1])
+            j += 1
+        if at < end:
+            yield at, end
+
+
 class MarkovModel:
     """``ratio[a, b]``: log-likelihood ratio of character b after a; None if a class has no samples."""
 
@@ -78,14 +102,8 @@ class MarkovModel:
     def spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         if self.ratio is None:
             return []
-        found = []
-        for run in _RUN.finditer(text):
-            at, end = run.span()
-            for s, e in sorted((s, e) for _, s, e in taken if s < end and at < e):
-                found += self._part(text, at, s)
-                at = max(at, e)
-            found += self._part(text, at, end)
-        return [("markov", a, b) for a, b in found]
+        return [("markov", a, b) for lo, hi in _outside((m.span() for m in _RUN.finditer(text)), taken)
+                for a, b in self._part(text, lo, hi)]
 
     def _part(self, text: str, at: int, end: int) -> list[tuple[int, int]]:
         """The spans of key characters ``text[at:end]``: the whole, or its best stretches."""
@@ -171,9 +189,9 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for key, text in zip(b["id"], b["text"]):
                 text = text or ""
                 taken = base_spans(text)
-                for m in _WORD_RUN.finditer(text):
-                    if not any(s < m.end() and m.start() < e for _, s, e in taken):
-                        ordinary.append(m.group())
+                # runs that no span touches
+                whole = {m.span() for m in _WORD_RUN.finditer(text)}
+                ordinary += [text[a:b] for a, b in _outside(sorted(whole), taken) if (a, b) in whole]
                 random += _digests(str(key))
             yield {"sample": ordinary + random, "random": [False] * len(ordinary) + [True] * len(random)}
 
@@ -225,21 +243,20 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every span (overlapping ones together) replaced by ``mark``; a text
     without spans, null texts included, and all other columns are unchanged."""
     model = fit_markov(labelled_samples(docs))
-    ship_package(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            spans = all_spans(text, model)
-            if spans:
-                parts, at = [], 0
-                for _, start, end in spans:
-                    if start >= at:
-                        parts += [text[at:start], mark]
-                    at = max(at, end)
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn("text", clean(F.col("text"))).select(docs.columns)
+
+    def clean(text: str | None) -> str | None:
+        spans = all_spans(text, model)
+        if not spans:
+            return text
+        parts, at = [], 0
+        for _, start, end in spans:
+            if start >= at:
+                parts += [text[at:start], mark]
+            at = max(at, end)
+        return "".join([*parts, text[at:]])
+
+    def masked(b: pa.RecordBatch, place: int) -> pa.RecordBatch:
+        texts = pa.array([clean(t) for t in b.column(place).to_pylist()], b.schema.field(place).type)
+        return pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(b.columns)], schema=b.schema)
+
+    return map_slices(docs, "text", masked)

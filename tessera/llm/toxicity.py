@@ -13,8 +13,10 @@ of its words that carry a toxic feature (``GRADE_EDGES``).  The model is fitted
 scored, over its whole text.
 
 Defined cases: null or wordless texts have no features (their severity is that of the
-thresholds alone); null labels and ids don't train; an id labelled twice takes its larger
-label, an id with several rows trains once; without labels of both kinds every severity is 0.
+thresholds alone); very long texts are scored whole; null labels and ids don't train; an id
+labelled twice takes its larger label, an id with several rows trains once; repeated rows are
+scored each; features that tie go by name; without labels of both kinds every severity is 0; an
+empty table gives an empty result; other columns, whatever their names, are ignored or kept.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import map_rows, materialise
+from .common import map_rows, map_slices, materialise
 
 TRAINING_ROWS = 10_000
 MAX_FEATURES = 4096
@@ -110,13 +111,16 @@ def fit_ordinal(rows: list[dict[int, float]], grades: list[int], n_features: int
     return p[:n_features], np.cumsum(np.concatenate([p[n_features:n_features + 1], np.exp(p[n_features + 1:])]))
 
 
-def _statistic(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
-    """Likelihood-ratio statistic of a feature's presence against the label."""
-    def term(k, n, q):
-        return (k * np.log(k / n / q) if k else 0) + ((n - k) * np.log((1 - k / n) / (1 - q)) if n - k else 0)
+def _statistic(n_toxic: int, n_other: int) -> Column:
+    """Likelihood-ratio statistic of a feature's presence (columns ``toxic`` and ``other``) against
+    the label."""
+    share = (F.col("toxic") + F.col("other")) / F.lit(float(n_toxic + n_other))
 
-    q = (toxic + other) / (n_toxic + n_other)
-    return float(2 * (term(toxic, n_toxic, q) + term(other, n_other, q))) if 0 < q < 1 else 0.0
+    def term(k, n):
+        n = F.lit(float(n))
+        return (F.when(k > 0, k * F.log(k / n / share)).otherwise(0.0)
+                + F.when(k < n, (n - k) * F.log((1 - k / n) / (1 - share))).otherwise(0.0))
+    return F.when((share > 0) & (share < 1), 2 * (term(F.col("toxic"), n_toxic) + term(F.col("other"), n_other))).otherwise(0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -142,7 +146,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_other = (x or 0 for x in sample.agg(F.sum(F.expr("int(label > 0)")), F.sum(F.expr("int(label <= 0)"))).first())
     if not n_toxic or not n_other:
         return SeverityModel({}, [])
-    statistic = F.udf(lambda a, b: _statistic(a, b, n_toxic, n_other), "double")
     found = (map_rows(sample, frequencies, "feature string, toxic bigint, other bigint")
              .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
              .where(F.col("toxic") + F.col("other") >= MIN_DOCUMENTS)
@@ -150,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              # few features lean clearly to one side; only those are scored
              .where((F.col("toxic") * n_other >= 2 * F.col("other") * n_toxic)
                     | (F.col("other") * n_toxic >= 2 * F.col("toxic") * n_other))
-             .withColumn("g", statistic("toxic", "other")).where(F.col("g") >= MIN_STATISTIC)
+             .withColumn("g", _statistic(n_toxic, n_other)).where(F.col("g") >= MIN_STATISTIC)
              .orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect())
     names = [r["feature"] for r in found]
     markers = frozenset(r["feature"] for r in found if r["toxic"] * n_other > r["other"] * n_toxic)
@@ -170,20 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return SeverityModel(dict(zip(names, w.tolist())), theta.tolist(), markers)
 
 
-def severity(model: SeverityModel, text):
-    """Expected severity of a text column, rounded to 6 decimals."""
-    ship_package()
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([round(model.severity(t), 6) for t in texts], dtype="float64")
-
-    return score(text)
-
-
 def score_documents(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, severity, grade, toxic) per document row; the grade is the rounded severity."""
-    found = docs.select(F.col(id_col).alias("id"), severity(model, F.col(text_col)).alias("severity"))
+    """(id, severity, grade, toxic) per document row: the expected severity to 6 decimals, and its
+    rounded value as grade."""
+    def run(batches):
+        for b in batches:
+            yield {"id": b["id"], "severity": [round(model.severity(t), 6) for t in b["text"]]}
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, severity double")
     return found.select("id", "severity", F.round("severity").cast("int").alias("grade"),
                         (F.col("severity") >= TOXIC).alias("toxic"))
 
@@ -191,4 +189,8 @@ def score_documents(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents below the toxicity mark, their columns unchanged."""
     model = train(docs, labels)
-    return docs.where(severity(model, F.col("text")) < TOXIC)
+
+    def clean(b: pa.RecordBatch, place: int) -> pa.RecordBatch:
+        return b.filter(pa.array([round(model.severity(t), 6) < TOXIC for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return map_slices(docs, "text", clean)
