@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 from ..session import cut_lineage, ship_package
@@ -33,20 +34,23 @@ K1, B = 1.2, 0.75
 def query_postings(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """The documents tokenised once: ``(id, dl, postings array<struct<term, tf>>)`` with the
     postings of the given terms only, frozen by a reliable checkpoint.  Every document has a row
-    (its null-term row keeps it); the shuffle carries one row per document and query term in it."""
+    (its null-term row keeps it), known by its own number: rows may share an id or have none.  The
+    shuffle carries one row per document and query term in it."""
     # the token array is projected once: referenced twice inside a generator it would be re-evaluated
-    exploded = (docs.select(F.col(id_col).alias("__id"), tokens(text_col).alias("__toks"))
-                .select("__id", F.size("__toks").alias("__dl"),
+    exploded = (docs.select(F.col(id_col).alias("__id"), F.coalesce(tokens(text_col), F.array().cast("array<string>")).alias("__toks"),
+                            F.monotonically_increasing_id().alias("__row"))
+                .select("__row", "__id", F.size("__toks").alias("__dl"),
                         F.explode(F.concat(F.array(F.lit(None).cast("string")), "__toks")).alias("term")))
     wanted = broadcast_if_small(terms.select("term", F.lit(True).alias("__hit")), row_bytes=64)
     kept = exploded.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("__hit"))
-    counted = kept.groupBy("__id", "term").agg(F.max("__dl").alias("__dl"), F.count(F.lit(1)).alias("tf"))
+    counted = kept.groupBy("__row", "term").agg(F.max("__id").alias("__id"), F.max("__dl").alias("__dl"), F.count(F.lit(1)).alias("tf"))
     # collect_list leaves the null of the null-term row out
-    return cut_lineage(counted.groupBy(F.col("__id").alias("id")).agg(
-        F.max("__dl").alias("dl"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("postings")))
+    return cut_lineage(counted.groupBy("__row").agg(
+        F.max("__id").alias("id"), F.max("__dl").alias("dl"),
+        F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("postings")).drop("__row"))
 
 
-def _score_fn(terms, starts, qidx, weights, qids, k, k1, b, avgdl, budget):
+def _score_fn(terms, starts, qidx, weights, qids, k, k1, b, avgdl, budget, kind):
     """mapInArrow body.  ``starts[j]:starts[j + 1]`` are the places of term j's queries in
     ``qidx`` and ``weights``: every posting adds to its own queries only."""
     nq = len(qids)
@@ -81,7 +85,7 @@ def _score_fn(terms, starts, qidx, weights, qids, k, k1, b, avgdl, budget):
                 ids = np.array(part["id"].to_pylist(), dtype=object)
                 best = _keep_best(best, pd.DataFrame({"__qi": qi, "id": ids[di], "score": scores[di, qi]}), k, "id")
         if best is not None:
-            yield pa.RecordBatch.from_pydict({"qid": pa.array([qids[i] for i in best["__qi"]]), "id": pa.array(best["id"].tolist()),
+            yield pa.RecordBatch.from_pydict({"qid": pa.array([qids[i] for i in best["__qi"]]), "id": pa.array(best["id"].tolist(), kind),
                                               "score": best["score"].to_numpy()})
 
     return run
@@ -116,7 +120,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
         starts = np.append(starts, len(rows))
         qidx, qids = pd.factorize(rows["qid"])
         weights = np.log(1.0 + (n - rows["df"].to_numpy(float) + 0.5) / (rows["df"].to_numpy(float) + 0.5))
-        fn = _score_fn(list(terms), starts.astype(np.int64), qidx, weights, list(qids), k, k1, b, avgdl, 32 * 1024 * 1024)
+        fn = _score_fn(list(terms), starts.astype(np.int64), qidx, weights, list(qids), k, k1, b, avgdl, 32 * 1024 * 1024, to_arrow_type(docs.schema[id_col].dataType))
         part = posted.select("id", "dl", "postings").mapInArrow(fn, schema)
         parts.append(part if nblocks == 1 else cut_lineage(part))
     return merge_blocks([p.withColumnRenamed("id", id_col) for p in parts], [F.col("score").desc(), F.col(id_col).asc()], k,

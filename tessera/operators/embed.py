@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_SPLIT, tokens, wrap_instruction
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 from .bounded import spread
 
 # one embedding function per Python worker and ``cache_key`` of its factory
@@ -185,6 +185,8 @@ def generate_and_store(df: DataFrame, factory, store_path: str, *, text_col: str
     vec = embed(df, factory, text_col=text_col, id_col=id_col, dim=dim, batch_size=batch_size,
                 on_error="null", keep=[c for c in ([order_by] if isinstance(order_by, str) else order_by)
                                        if c != id_col])
+    # the ordinals and the files read the vectors several times: the model runs once
+    vec = cut_lineage(vec)
     meta = {"model_name": model_name, "batch_size": str(batch_size), "async_mode": "false"}
     meta.update(extra_meta or {})
     create_store(spark, store_path, total_vectors=None, vector_dim=dim, metadata=meta)

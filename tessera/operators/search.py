@@ -56,7 +56,7 @@ RANK_DECIMALS = 12
 def _keep_best(best, frame, k, id_name):
     """The top k rows per query of the rows so far and the new ones."""
     both = frame if best is None else pd.concat([best, frame], ignore_index=True)
-    both = both.sort_values(["__qi", "score", id_name], ascending=[True, False, True], kind="mergesort")
+    both = both.sort_values(["__qi", "score", id_name], ascending=[True, False, True], kind="mergesort", na_position="first")
     return both.groupby("__qi", sort=False).head(k)
 
 

@@ -522,14 +522,14 @@ _BULK_DOC_SCHEMA = "text string, vector array<double>, source_file string, lang
 
 def _bulk_roundtrip(spark, sf_dir):
     from ..operators.embed import embed, hash_embedder_factory
-    from ..session import scratch_path
+    from ..session import cut_lineage, scratch_path
     from ..sinks.bulk import attach_vectors, write_bulk_ndjson
     from ..sources.bulk import read_bulk_ndjson
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("source_file"), "lang",
         F.col("doc_id").alias("__k"))
-    # J1 materialises its join once, so the embedding runs once for the check and the export
-    vecs = embed(docs, hash_embedder_factory(64), dim=64).select("id", "vector")
+    # written once: the check of J1 and the export both read the vectors
+    vecs = cut_lineage(embed(docs, hash_embedder_factory(64), dim=64).select("id", "vector"))
     joined = attach_vectors(docs, vecs, on="id", on_missing="error")
     path = write_bulk_ndjson(joined, scratch_path(spark, "bulk"), "pdf_vectors", order_by="__k")
     return read_bulk_ndjson(spark, path, _BULK_DOC_SCHEMA)
@@ -1224,6 +1224,81 @@ def q_hybrid_search_filtered(spark, sf_dir):
     return _hybrid(spark, sf_dir, docs, stats_docs=all_docs)
 
 
+@query("bm25_index_search", _BM25_SQL)
+def q_bm25_index_search(spark, sf_dir):
+    """V3 over a stored index: built once, then searched without reading any text."""
+    from ..operators.text_index import build_text_index, search_text_index
+    from ..session import scratch_path
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return search_text_index(qs, build_text_index(docs, scratch_path(spark, "text-index")), 10)
+
+
+@query("hybrid_index_search", _HYBRID_SQL)
+def q_hybrid_index_search(spark, sf_dir):
+    """V4 over stored indexes: postings, and the documents' vectors embedded once."""
+    from ..operators.bm25 import reciprocal_rank_fusion
+    from ..operators.text_index import build_text_index, search_text_index
+    from ..session import cut_lineage, scratch_path
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    root = build_text_index(docs, scratch_path(spark, "text-index"))
+    vec = search.knn_exact(cut_lineage(_cell_vectors(qs, "qid")), cut_lineage(_cell_vectors(docs, "id")), _RANK_WINDOW)
+    fused = reciprocal_rank_fusion([search_text_index(qs, root, _RANK_WINDOW), vec], 10)
+    return fused.select("qid", "id", "score", "lists", F.col("rank").cast("int").alias("rank"))
+
+
+#: the queries of the searches over stored vectors: rows whose id is divisible by 100
+_CELLS_SQL = ORACLE["knn_ivf_by_label"].replace("JOIN v qv ON qv.vec_id = q.vec_id", "JOIN v qv ON qv.vec_id = q.vec_id AND q.vec_id % 100 = 0")
+
+
+@query("knn_cells_stored", _CELLS_SQL)
+def q_knn_cells_stored(spark, sf_dir):
+    """V7 over stored cells (given centroids, three probed): only the probed folders are read."""
+    from ..operators.ann import cell_means
+    from ..operators.vector_index import build_cells, search_cells
+    from ..session import scratch_path
+    v = _vectors(spark, sf_dir)
+    root = build_cells(v, scratch_path(spark, "cells"), centroids=cell_means(v, "label"))
+    return search_cells(_queries_from(v).where("qid % 100 = 0"), root, 10, nprobe=3)
+
+
+_REACHED_SQL = "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0"
+
+
+@query("knn_cells_recall", _REACHED_SQL)
+def q_knn_cells_recall(spark, sf_dir):
+    """V7 + V9: KMeans cells, as many probed as a recall@10 of 0.9 takes by measurement."""
+    from ..operators.vector_index import build_cells, choose_nprobe, search_cells
+    from ..session import scratch_path
+    v = _vectors(spark, sf_dir)
+    q = _queries_from(v).where("qid % 100 = 0")
+    root = build_cells(v, scratch_path(spark, "cells"), cells=16)
+    found = search_cells(q, root, 10, nprobe=choose_nprobe(q, root, 10, 0.9))
+    return search.mean_recall(search.recall_at_k(found, search.knn_exact(q, v, 10), 10)).select("queries", (F.col("mean_recall") >= 0.9).alias("reached"))
+
+
+@query("knn_codes_stored", _QUANT_SQL.replace("FROM c q, c d)", "FROM c q, c d WHERE q.vec_id % 100 = 0)"))
+def q_knn_codes_stored(spark, sf_dir):
+    """V6 over stored codes: they alone are scanned for the shortlists, then their vectors are read."""
+    from ..operators.vector_index import build_codes, search_codes
+    from ..session import scratch_path
+    v = _vectors(spark, sf_dir)
+    return search_codes(_queries_from(v).where("qid % 100 = 0"), build_codes(v, scratch_path(spark, "codes")), 10, oversample=4)
+
+
+@query("knn_codes_recall", _REACHED_SQL)
+def q_knn_codes_recall(spark, sf_dir):
+    """V6 + V9: the shortlist grows until the recall@10 is 0.9."""
+    from ..operators.vector_index import build_codes, choose_oversample, search_codes
+    from ..session import scratch_path
+    v = _vectors(spark, sf_dir)
+    q = _queries_from(v).where("qid % 100 = 0")
+    root = build_codes(v, scratch_path(spark, "codes"))
+    found = search_codes(q, root, 10, choose_oversample(q, root, 10, 0.9))
+    return search.mean_recall(search.recall_at_k(found, search.knn_exact(q, v, 10), 10)).select("queries", (F.col("mean_recall") >= 0.9).alias("reached"))
+
+
 @query("usage_top_terms", f"""
 SELECT term, count(*) AS count FROM (SELECT unnest({d_tokens('text')}) AS term FROM documents)
 GROUP BY term ORDER BY count DESC, term LIMIT 20""")
