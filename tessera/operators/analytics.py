@@ -6,7 +6,7 @@ aggregates.  Fixed parameter tables (prices, scales, tiers) are literals of a kn
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bounded import broadcast_if_small
@@ -148,3 +148,14 @@ def top_terms(docs: DataFrame, text_col: str = "text", k: int = 20) -> DataFrame
 def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values of a column (sources, users, ...)."""
     return df.groupBy(col).count().orderBy(F.col("count").desc(), col).limit(k)
+
+
+def top_values_sketched(df: DataFrame, col: str, part: Column, k: int = 10, max_items: int = 10_000) -> DataFrame:
+    """V19 at scale: a heavy-hitter sketch of at most ``max_items`` values per ``part`` (a day, say),
+    which can be stored and combined over any parts; the combined sketch gives the first ``k``.
+    Counts are exact while a sketch holds all values, else too large by a bounded error."""
+    daily = df.where(F.col(col).isNotNull()).groupBy(part.alias("part")).agg(F.expr(f"approx_top_k_accumulate({col}, {max_items})").alias("sketch"))
+    both = daily.agg(F.expr(f"approx_top_k_combine(sketch, {max_items})").alias("sketch"))
+    found = both.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {max_items})")).alias("t"))
+    # equal counts come in no order: all of them are ranked
+    return found.select(F.col("t.item").alias(col), F.col("t.count").alias("count")).orderBy(F.col("count").desc(), col).limit(k)

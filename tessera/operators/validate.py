@@ -8,8 +8,9 @@ the default classifies every line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import id_too_long, preview, py_strip
 from .ordinals import dense_id
@@ -54,10 +55,14 @@ def validate_collection(lines: DataFrame, value_col: str = "value", check_lines:
 
 
 def duplicate_id_lines(lines: DataFrame, order_by: list[str], value_col: str = "value") -> DataFrame:
-    """O2 over a line table: valid lines whose id already occurred earlier."""
+    """O2 over a line table: valid lines whose id already occurred earlier.  The lines are range-sorted
+    by id and place, so the lines of one id spread over tasks; an occurrence is a line's place in
+    that order less the first of its id."""
     c = classify_lines(lines, value_col).filter(F.col("kind") == "valid")
-    w = Window.partitionBy("id").orderBy(*order_by)
-    return c.withColumn("occurrence", F.row_number().over(w)).filter(F.col("occurrence") > 1)
+    placed = dense_id(c, ["id", *order_by], name="__place")
+    firsts = placed.groupBy("id").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    return (placed.join(firsts, "id").withColumn("occurrence", F.col("__place") - F.col("__first") + 1)
+            .filter(F.col("occurrence") > 1).drop("__place", "__first", "__n"))
 
 
 def number_lines(lines: DataFrame, order_by: list[str], name: str = "line_no") -> DataFrame:
@@ -71,6 +76,18 @@ def first_errors(lines: DataFrame, order_by: list[str], n: int = 5, value_col: s
     return c.orderBy(*order_by).limit(n)
 
 
+def numbered_errors(lines: DataFrame, order_by: list[str], n: int = 5, value_col: str = "value") -> DataFrame:
+    """X7 with the errors' line numbers (``line_no``, from 1): only these ``n`` lines are numbered, by
+    counting the lines before each; ``order_by`` names every line."""
+    found = first_errors(lines, order_by, n, value_col).select(*order_by, value_col)
+    rows = found.collect()  # at most n
+    at = F.struct(*order_by)
+    counts = [F.count_if(at < F.struct(*[F.lit(r[c]).cast(lines.schema[c].dataType).alias(c) for c in order_by])).alias(f"c{i}") for i, r in enumerate(rows)]
+    before = lines.agg(*counts).first() if rows else []
+    schema = T.StructType([*found.schema.fields, T.StructField("line_no", T.LongType())])
+    return lines.sparkSession.createDataFrame([(*r, before[i] + 1) for i, r in enumerate(rows)], schema)
+
+
 def head_preview(collection: DataFrame, order_by: list[str], n: int = 3, width: int = 80) -> DataFrame:
     """First ``n`` rows with a ``width``-character preview."""
     return (collection.orderBy(*order_by).limit(n)

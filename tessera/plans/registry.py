@@ -28,6 +28,13 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def _dealt(df):
+    """Rows dealt out over all shuffle partitions in front of a costly expression, for every size: a
+    file may be one row group, which one task reads."""
+    from ..operators.bounded import spread
+    return spread(df, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _vectors(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
@@ -278,9 +285,9 @@ SELECT line_no, CASE WHEN length(value) > 60 THEN substring(value, 1, 60) || '..
 FROM n WHERE {_d_classify('value')} = 'malformed' ORDER BY line_no LIMIT 5""")
 def q_first_malformed(spark, sf_dir):
     from ..functions.text import preview
-    from ..operators.validate import first_errors, number_lines
-    numbered = number_lines(_raw_lines(spark, sf_dir), ["doc_id", "pos"])
-    return first_errors(numbered, ["line_no"], 5).select("line_no", preview("value", 60).alias("preview"))
+    from ..operators.validate import numbered_errors
+    found = numbered_errors(_raw_lines(spark, sf_dir), ["doc_id", "pos"], 5)
+    return found.select("line_no", preview("value", 60).alias("preview"))
 
 
 @query("head_preview", f"""
@@ -307,7 +314,7 @@ def q_chunk_documents(spark, sf_dir):
     from ..operators.chunk import chunk_rows
     d = read_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), "text")
-    return chunk_rows(d, latin_sentences=True)
+    return chunk_rows(_dealt(d), latin_sentences=True)
 
 
 _CONV_SRC = f"""SELECT conv_id, {d_clean("translate(string_agg(text || chr(10) || chr(10), '' ORDER BY turn), '.!?', '。！？')")} AS t
@@ -349,7 +356,7 @@ def q_expand_chunks(spark, sf_dir):
     from ..operators.expand import expand_documents
     d = read_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), "text", "doc_id")
-    ch = cut_lineage(chunk_rows(d, latin_sentences=True, keep=["doc_id"]))
+    ch = cut_lineage(chunk_rows(_dealt(d), latin_sentences=True, keep=["doc_id"]))
     return (expand_documents(ch, 5 * ch.count() // 2, ["doc_id", "chunk_id"], strategy="fuzzy", materialize=False)
             .select("id", "text", "source_file", "chunk_id", "repeat_id"))
 
@@ -441,7 +448,7 @@ SELECT k AS doc_id, bucket, round(value, 6) AS value
 FROM ({d_cells('SELECT doc_id, text FROM documents', 'doc_id', 'text')})""")
 def q_hash_embed_cells(spark, sf_dir):
     from ..operators.embed import hash_embed_cells
-    d = read_table(spark, sf_dir, "documents")
+    d = _dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     cells = hash_embed_cells(d, 64, id_col="doc_id")
     return cells.select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
@@ -464,7 +471,7 @@ FROM documents d LEFT JOIN cells c ON c.k = d.doc_id GROUP BY d.doc_id {group}""
 def q_embed_documents(spark, sf_dir):
     """The built-in hash embedder run through mapInPandas over Arrow batches."""
     from ..operators.embed import embed, hash_embedder_factory
-    d = read_table(spark, sf_dir, "documents")
+    d = _dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     v = embed(d, hash_embedder_factory(64), id_col="doc_id", dim=64)
     return v.select("doc_id", *_vec_summary(F.col("vector")))
 
@@ -529,7 +536,7 @@ def _bulk_roundtrip(spark, sf_dir):
         F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("source_file"), "lang",
         F.col("doc_id").alias("__k"))
     # written once: the check of J1 and the export both read the vectors
-    vecs = cut_lineage(embed(docs, hash_embedder_factory(64), dim=64).select("id", "vector"))
+    vecs = cut_lineage(embed(_dealt(docs.select("id", "text")), hash_embedder_factory(64), dim=64).select("id", "vector"))
     joined = attach_vectors(docs, vecs, on="id", on_missing="error")
     path = write_bulk_ndjson(joined, scratch_path(spark, "bulk"), "pdf_vectors", order_by="__k")
     return read_bulk_ndjson(spark, path, _BULK_DOC_SCHEMA)
@@ -1185,7 +1192,7 @@ def _cell_vectors(df, id_col, dim=64):
     """Hash-embedder vectors in float64 through the map-only embedder (no shuffle); equal to
     the SQL cells of ``hash_embed_cells``."""
     from ..operators.embed import embed, hash_embedder_factory
-    return embed(df, hash_embedder_factory(dim), id_col=id_col, dim=dim, vector_type="double") \
+    return embed(_dealt(df.select(id_col, "text")), hash_embedder_factory(dim), id_col=id_col, dim=dim, vector_type="double") \
         .select(id_col, "vector")
 
 
@@ -1231,7 +1238,7 @@ def q_bm25_index_search(spark, sf_dir):
     from ..session import scratch_path
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return search_text_index(qs, build_text_index(docs, scratch_path(spark, "text-index")), 10)
+    return search_text_index(qs, build_text_index(_dealt(docs), scratch_path(spark, "text-index")), 10)
 
 
 @query("hybrid_index_search", _HYBRID_SQL)
@@ -1242,7 +1249,7 @@ def q_hybrid_index_search(spark, sf_dir):
     from ..session import cut_lineage, scratch_path
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     qs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    root = build_text_index(docs, scratch_path(spark, "text-index"))
+    root = build_text_index(_dealt(docs), scratch_path(spark, "text-index"))
     vec = search.knn_exact(cut_lineage(_cell_vectors(qs, "qid")), cut_lineage(_cell_vectors(docs, "id")), _RANK_WINDOW)
     fused = reciprocal_rank_fusion([search_text_index(qs, root, _RANK_WINDOW), vec], 10)
     return fused.select("qid", "id", "score", "lists", F.col("rank").cast("int").alias("rank"))
@@ -1316,6 +1323,13 @@ def q_usage_top_users(spark, sf_dir):
     return top_values(read_table(spark, sf_dir, "events"), "user_id", 10)
 
 
+@query("usage_top_users_sketched", ORACLE["usage_top_users"])
+def q_usage_top_users_sketched(spark, sf_dir):
+    """V19 by one sketch a day, combined."""
+    from ..operators.analytics import top_values_sketched
+    return top_values_sketched(read_table(spark, sf_dir, "events"), "user_id", F.to_date("ts"), 10)
+
+
 # -------------------------------------------------------- search-benchmark analytics
 # ``events`` as a query log: system = event_type, query = user_id, latency = value ms
 
