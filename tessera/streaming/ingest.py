@@ -1,11 +1,15 @@
 """Incremental corpus ingest into a vector store.
 
-New collection files -> S1 parsing -> de-duplication by id (exact, keyed state; or within an
-ingest-time watermark for bounded state) -> embedding -> append to the store.  Each
-micro-batch is written to its own directory ``batch=<id>`` with overwrite, so a replayed batch
+New collection files -> S1 parsing -> de-duplication by id -> embedding -> append to the store.
+Each micro-batch is written to its own directory ``batch=<id>`` with overwrite, so a replayed batch
 (after a failure between the write and the checkpoint commit) replaces its own output instead
 of duplicating it; positions continue after the last position of all earlier batches, read
 from a one-row-per-batch ledger (also overwritten per batch).
+
+Exact de-duplication keeps no streaming state: the ids of every batch are written beside its
+vectors in ``BUCKETS`` folders by hash, and a batch drops the ids that earlier batches have by an
+anti join with the folders of its own ids.  With a horizon, ids are compared within an
+ingest-time watermark instead, whose state is bounded.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from ..session import cut_lineage, path_exists
 from ..sources.corpus import parse_collection
 
 
+#: folders of known ids
+BUCKETS = 64
+
+
 def stream_store_path(root: str) -> str:
     return f"{root.rstrip('/')}/stream"
 
@@ -36,11 +44,10 @@ def incremental_ingest(spark: SparkSession, source_dir: str, store_root: str, fa
     if dedupe_horizon:
         coll = (coll.withColumn("__ingest", F.current_timestamp()).withWatermark("__ingest", dedupe_horizon)
                 .dropDuplicatesWithinWatermark(["id"]).drop("__ingest"))
-    else:
-        coll = coll.dropDuplicates(["id"])
     out_root = stream_store_path(store_root)
 
-    ledger = f"{store_root.rstrip('/')}/_ledger"
+    ledger, known = (f"{store_root.rstrip('/')}/{name}" for name in ("_ledger", "_ids"))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def write(batch: DataFrame, batch_id: int):
         sp = batch.sparkSession
@@ -51,10 +58,19 @@ def incremental_ingest(spark: SparkSession, source_dir: str, store_root: str, fa
             prev = (sp.read.parquet(ledger).filter(F.col("batch") < batch_id)
                     .agg(F.max(F.col("first_pos") + F.col("rows"))).first()[0])
         start = 0 if prev is None else int(prev)
+        if not dedupe_horizon:
+            batch = batch.dropDuplicates(["id"])
+            if path_exists(sp, known):
+                own = [r["bucket"] for r in batch.select(bucket).distinct().collect()]  # at most BUCKETS
+                # a replayed batch doesn't meet its own ids
+                old = sp.read.schema("id string, batch bigint, bucket int").parquet(known).where((F.col("batch") < batch_id) & F.col("bucket").isin(own))
+                batch = batch.join(old.select("id"), "id", "left_anti")
         vec = cut_lineage(embed(batch, factory, dim=dim, on_error="null").select("id", "vector"))
         numbered = dense_id(vec, "id", name="__o")
         (numbered.select((F.col("__o") + F.lit(start)).alias("pos"), "id", "vector")
          .write.mode("overwrite").parquet(f"{out_root}/batch={batch_id}"))
+        if not dedupe_horizon:
+            vec.select("id", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{known}/batch={batch_id}")
         rows = vec.count()
         (sp.createDataFrame([(start, rows)], "first_pos long, rows long")
          .write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}"))

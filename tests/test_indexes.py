@@ -181,3 +181,36 @@ def test_a_stored_corpus_is_embedded_once(spark, tmpdir_path):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "id long, text string").repartition(4)
     row = generate_and_store(df, factory, tmpdir_path + "/e4", dim=4).first()
     assert row["total_vectors"] == 300 and row["failed_vectors"] == 0 and seen.value == 300
+
+
+# ------------------------------------------------------------------ heads, errors, occurrences, sketches
+
+def test_heads_errors_and_occurrences_without_full_sorts(spark):
+    from tessera.operators.sample import load_head
+    from tessera.operators.validate import duplicate_id_lines, numbered_errors
+    rng = random.Random(1)
+    lines = [(i, "" if i % 11 == 0 else "no tab" if i % 37 == 5 else f"{'hot' if i % 3 == 0 else rng.randrange(200)}\ttext {i}") for i in range(900)]
+    df = spark.createDataFrame(lines, "n long, value string").repartition(6)
+    head = load_head(df, 7, "n")
+    assert [r["n"] for r in head.orderBy("n").collect()] == list(range(7)) and "rangepartitioning" not in _plan(head)
+    found = [(r["line_no"], r["n"]) for r in numbered_errors(df, ["n"], 4).collect()]
+    assert found == [(i + 1, i) for i in range(900) if i % 37 == 5 and i % 11][:4]
+    assert numbered_errors(df.where("value <> 'no tab'"), ["n"], 4).collect() == []
+    seen, want = Counter(), []
+    for i, v in lines:
+        if "\t" in v:
+            seen[v.split("\t")[0]] += 1
+            if seen[v.split("\t")[0]] > 1:
+                want.append((i, v.split("\t")[0], seen[v.split("\t")[0]]))
+    got = duplicate_id_lines(df, ["n"])
+    assert sorted((r["n"], r["id"], r["occurrence"]) for r in got.collect()) == want
+
+
+def test_combined_sketches_find_the_heavy_hitters(spark):
+    from tessera.operators.analytics import top_values, top_values_sketched
+    rng = random.Random(2)
+    df = spark.createDataFrame([(int(rng.paretovariate(1.1)), i % 7) for i in range(4000)] + [(None, 1)], "item long, day int").repartition(5)
+    want = [tuple(r) for r in top_values(df.where("item is not null"), "item", 10).collect()]
+    assert [tuple(r) for r in top_values_sketched(df, "item", F.col("day"), 10).collect()] == want
+    rough = {r["item"]: r["count"] for r in top_values_sketched(df, "item", F.col("day"), 5, max_items=64).collect()}
+    assert set(rough) >= {i for i, _ in want[:3]}

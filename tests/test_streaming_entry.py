@@ -100,3 +100,12 @@ def test_ingest_two_runs_dedupes_and_continues_positions(spark, tmpdir_path):
     rows = read_stream_store(spark, store).collect()
     assert sorted(int(r["id"]) for r in rows) == list(range(15))
     assert sorted(r["pos"] for r in rows) == list(range(15))
+    # no state grows with the ids: they lie in folders by hash
+    import os
+    assert not os.path.exists(ckpt + "/state")
+    assert spark.read.parquet(store + "/_ids").count() == 15
+    again = [f"{i}\tthis is document number {i}" for i in (3, 3, 12, 20, 20)]
+    spark.createDataFrame([(v,) for v in again], "value string").coalesce(1).write.text(src + "/d3")
+    incremental_ingest(spark, src + "/*", store, hash_embedder_factory(8), 8, ckpt)
+    rows = read_stream_store(spark, store).collect()
+    assert sorted((int(r["id"]), r["pos"]) for r in rows if int(r["id"]) > 14) == [(20, 15)] and len(rows) == 16
