@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import seconds_to_hours
+from ..session import cut_lineage
 from .metrics import EXTRAPOLATION_SCALES
 
 MODEL_SCHEMA = (
@@ -61,6 +62,7 @@ def write_results(models: DataFrame, path: str, mode: str = "async", concurrent_
                   order_by: str = "model") -> str:
     """K7: one results document.  The ``models`` list holds one entry per model — a handful
     of rows by construction (bounded by the model roster), ordered by ``order_by``."""
+    models = cut_lineage(models)  # read for the list and for the summary
     by_key = F.collect_list(F.struct(F.col(order_by).alias("__o"), F.col("result")))
     doc = models.agg(F.array_sort(by_key, lambda a, b: F.when(a["__o"] < b["__o"], -1)
                                   .when(a["__o"] > b["__o"], 1).otherwise(0)).alias("__m"))

@@ -35,31 +35,56 @@ def assemble_pages(pages: DataFrame, doc_col: str = "source_file", page_col: str
                              F.lit("\n\n")).alias("text")))
 
 
+def _files(spark: SparkSession, directory: str, glob: str) -> DataFrame | None:
+    """(path, content) of each matching file once (one listing, no shuffle); None without the directory."""
+    ship_package(spark)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        return None
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory).select("path", "content")
+
+
+def _extracted(extract_pages, path: str, content) -> tuple[str, list, str | None]:
+    """(file name, pages, error) of a file."""
+    name = path.rsplit("/", 1)[-1]
+    try:
+        return name, list(extract_pages(bytes(content))), None
+    except Exception as e:  # an unreadable file: no pages, but a row in the failure report
+        return name, [], f"{type(e).__name__}: {e}"
+
+
 def scan_document_dir(spark: SparkSession, directory: str,
                       extract_pages: Callable[[bytes], Iterable[str]],
                       glob: str = "*.{pdf,PDF}") -> DataFrame:
-    """List ``*.pdf``/``*.PDF`` once (distinct paths) and run the caller's page
-    extractor per file inside ``mapInPandas``; a file that fails yields no pages and the run
-    goes on; a missing directory yields an empty table."""
-    ship_package(spark)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    """List ``*.pdf``/``*.PDF`` once and run the caller's page extractor per file inside
+    ``mapInPandas``; a file that fails yields no pages and the run goes on (``scan_failures`` names
+    it); a missing directory yields an empty table."""
+    files = _files(spark, directory, glob)
+    if files is None:
         return spark.createDataFrame([], PAGE_SCHEMA)
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-             .select("path", "content").dropDuplicates(["path"]))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                name = path.rsplit("/", 1)[-1]
-                try:
-                    pages = list(extract_pages(bytes(content)))
-                except Exception:  # noqa: BLE001  unreadable file: no pages
-                    continue
-                for i, t in enumerate(pages, 1):
-                    rows.append((name, i, t))
+                name, pages, _ = _extracted(extract_pages, path, content)
+                rows += [(name, i, t) for i, t in enumerate(pages, 1)]
             yield pd.DataFrame(rows, columns=["source_file", "page_no", "page_text"])
 
     return files.mapInPandas(run, PAGE_SCHEMA)
+
+
+def scan_failures(spark: SparkSession, directory: str, extract_pages: Callable[[bytes], Iterable[str]],
+                  glob: str = "*.{pdf,PDF}") -> DataFrame:
+    """S8's report: (source_file, error) of the files that the extractor can't read."""
+    schema = "source_file string, error string"
+    files = _files(spark, directory, glob)
+    if files is None:
+        return spark.createDataFrame([], schema)
+
+    def run(batches):
+        for pdf in batches:
+            found = [_extracted(extract_pages, path, content) for path, content in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame([(name, error) for name, _, error in found if error], columns=["source_file", "error"])
+
+    return files.mapInPandas(run, schema)

@@ -127,6 +127,10 @@ def test_scan_document_dir(spark, tmpdir_path):
     texts = {r["source_file"]: r["text"] for r in assemble_pages(pages).collect()}
     assert texts["a.pdf"] == "p1\n\np2\n\n"
     assert scan_document_dir(spark, tmpdir_path + "/missing", extract).count() == 0
+    from tessera.sources.pages import scan_failures
+    failed = {r["source_file"] for r in scan_failures(spark, d, extract).collect()}
+    read = {r["source_file"] for r in pages.collect()}
+    assert not failed & read and scan_failures(spark, tmpdir_path + "/missing", extract).count() == 0
 
 
 def test_expand_partition_invariant(spark):
