@@ -26,6 +26,8 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +41,46 @@ BLOCK, EVERY = 1 << 19, 256
 PART = 1 << 26
 #: pieces of texts whose ids a worker process keeps
 CACHE = 700_000
+#: bytes of text encoded at once, but for the rest of the last text
+LOT = 1 << 23
 
 
 # ----------------------------------------------------------------- tokenising
 
 #: a piece of Latin-1 letters is one word to the tokenizer; plain punctuation after such a letter begins the next
 _LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
-_AFTER_LETTER = re.compile(rb"([.,;:!?|%&$#*])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+
+
+def _marked(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+_BLANK, _PUNCTUATION, _LOWER = _marked(b" \t\n\r\x0b\x0c"), _marked(b".,;:!?|%&$#*"), _marked(bytes(range(97, 123)))
+#: second UTF-8 bytes, after 0xC3, of the Latin-1 letters beyond ASCII
+_LATIN = _marked(bytes([*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]))
+_ASCII_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def cut_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, one after another, and each text's first piece (one number more
+    than texts)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets, raw = offsets - offsets[0], _ASCII_LOWER[raw]
+    inside = ~_BLANK[raw]
+    letter = _LOWER[raw]
+    letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | (_PUNCTUATION[raw[1:]] & letter[:-1])
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[heads] = inside[heads]
+    at = np.flatnonzero(begins)
+    data = raw[inside]
+    stops = np.append(np.cumsum(inside, dtype=np.int32)[at] - 1, len(data)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(stops), pa.py_buffer(data)])
+    return pieces, np.searchsorted(at, offsets)
 
 
 class WordEncoder:
@@ -53,16 +88,22 @@ class WordEncoder:
 
     Pieces are runs between ASCII blanks, in ASCII lower case, cut once more between a Latin-1
     letter and the plain punctuation after it, where the tokenizer starts a new word anyway.
-    Pieces of letters go to the tokenizer in bulk and their ids are told apart by the suffix
-    that ends a word; others are encoded alone.  A text that may hold a special token's string
-    is encoded as it stands.
+    Pieces of letters go to the tokenizer's model in bulk, in lower case and cut at blanks, and
+    their ids are told apart by the suffix that ends a word; others are encoded alone.  A text that may hold a
+    special token's string is encoded as it stands.  Known pieces are kept as arrays.
     """
 
     def __init__(self, config: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(config)
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+
+        self.tokenizer, self.plain = Tokenizer.from_str(config), Tokenizer.from_str(config)
+        self.plain.normalizer, self.plain.pre_tokenizer = Sequence([]), WhitespaceSplit()
+        # what the model reads for a letter beyond ASCII
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         parsed = json.loads(config)
         suffix = parsed["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in parsed["added_tokens"]]
@@ -70,45 +111,72 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
-        self.pieces: dict[bytes, bytes] = {}
-
-    def _alone(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        letters, words = [], []
-        for raw in fresh:
-            piece = raw.decode("utf-8", "surrogatepass")
-            if _LETTERS.fullmatch(piece):
-                letters.append(raw)
-                words.append(piece)
-            else:
-                self.pieces[raw] = self._alone(piece)
-        if not words:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces, self.ids = pa.array([], pa.binary()), np.zeros(0, "<u4")
+        self.sizes = np.zeros(0, np.int64)
+
+    def _alone(self, piece: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, fresh: pa.Array) -> None:
+        """Adds pieces; none of them is known."""
+        text = [raw.decode("utf-8") for raw in fresh.to_pylist()]
+        is_word = np.fromiter((_LETTERS.fullmatch(t) is not None for t in text), bool, len(text))
+        words = [t if t.isascii() else t.lower().translate(self.byte_chars) for t, w in zip(text, is_word.tolist()) if w]
+        sizes = np.zeros(len(text), np.int64)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(words) and stops[-1] == len(ids):
-            flat, at = ids.tobytes(), 0
-            for raw, stop in zip(letters, (4 * stops).tolist()):
-                self.pieces[raw] = flat[at:stop]
-                at = stop
+        if len(stops) != len(words) or len(stops) and stops[-1] != len(ids):
+            is_word[:], words, ids, stops = False, [], ids[:0], stops[:0]
+        sizes[is_word] = np.diff(stops, prepend=0)
+        others = [self._alone(t) for t, w in zip(text, is_word) if not w]
+        sizes[~is_word] = [len(x) for x in others]
+        # letters first, then the others
+        order = np.argsort(~is_word, kind="stable")
+        self.pieces = pa.concat_arrays([self.pieces, fresh.take(pa.array(order))])
+        self.sizes = np.concatenate([self.sizes, sizes[order]])
+        self.ids = np.concatenate([self.ids, ids, *others])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.fill_null("")
+        cut, first = cut_pieces(texts)
+        code = pc.index_in(cut, self.pieces)
+        if code.null_count:
+            missed = code.is_null()
+            fresh = cut.filter(missed).unique()
+            if len(self.pieces) + len(fresh) > CACHE:
+                self._forget()
+                fresh = cut.unique()
+                missed = pa.array(np.ones(len(cut), bool))
+            known = len(self.pieces)
+            self._learn(fresh)
+            code = code.to_numpy(zero_copy_only=False)
+            missed = missed.to_numpy(zero_copy_only=False)
+            code[missed] = pc.index_in(cut.filter(pa.array(missed)), self.pieces.slice(known)).to_numpy() + known
+            code = code.astype(np.int32)
         else:
-            for raw, piece in zip(letters, words):
-                self.pieces[raw] = self._alone(piece)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = {i: self._alone(t) for i, t in enumerate(texts) if t and any(x in t.lower() for x in self.special if "<" in t or "<" not in x)}
-        cut = [[] if i in whole else _AFTER_LETTER.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split()
-               for i, t in enumerate(texts)]
-        found = [list(map(self.pieces.get, c)) for c in cut]
-        fresh = {x for c, f in zip(cut, found) if None in f for x, ids in zip(c, f) if ids is None}
-        if len(self.pieces) + len(fresh) > CACHE:
-            self.pieces.clear()
-            fresh = set().union(*cut)
-        self._learn(fresh)
-        return [whole[i] if i in whole else b"".join(map(self.pieces.__getitem__, c) if None in f else f)
-                for i, (c, f) in enumerate(zip(cut, found))]
+            code = code.to_numpy()
+        # the ids of all texts: every place of a piece copies the piece's ids
+        starts, size = np.cumsum(self.sizes) - self.sizes, self.sizes[code]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(starts[code] - stops[:-1], size) + np.arange(stops[-1])]
+        at = stops[first].tolist()
+        out = [ids[s:e].tobytes() for s, e in zip(at, at[1:])]
+        for i in np.flatnonzero(self._suspect(texts)).tolist():
+            text = texts[i].as_py()
+            if any(x in text.lower() for x in self.special):
+                out[i] = self._alone(text).tobytes()
+        return out
+
+    def _suspect(self, texts: pa.Array) -> np.ndarray:
+        """Texts that share the first character of a special token, as far as those aren't letters."""
+        heads = {x[0] for x in self.special}
+        if any(h.isalnum() for h in heads):
+            return np.ones(len(texts), bool)
+        masks = [pc.match_substring(texts, h).to_numpy(zero_copy_only=False) for h in heads]
+        return np.logical_or.reduce(masks) if masks else np.zeros(len(texts), bool)
 
 
 @lru_cache(maxsize=1)
@@ -126,13 +194,26 @@ def encode_words(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str
 
     def run(batches):
         encoder = _encoder(shared.value)
-        for b in batches:
-            raw = [x + end for x in encoder.encode(b["text"])]
-            yield {"id": b["id"], "n_tokens": [len(x) // 4 for x in raw], "crc": [zlib.crc32(x) for x in raw],
-                   "ids": [pack_ids(np.frombuffer(x, "<u4")) for x in raw]}
-
-    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run,
-                    f"id {kind}, n_tokens bigint, crc bigint, ids binary")
+        for whole in batches:
+            for b in _slices(whole):
+                raw = [x + end for x in encoder.encode(b.column(1))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                     pa.array([pack_ids(np.frombuffer(x, "<u4")) for x in raw], pa.binary())], ["id", "n_tokens", "crc", "ids"])
+
+    ship_package(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, f"id {kind}, n_tokens bigint, crc bigint, ids binary")
+
+
+def _slices(batch: pa.RecordBatch):
+    """The rows a lot of about ``LOT`` bytes of text at a time; a longer text is a lot of its own."""
+    size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
+    lot, at = np.cumsum(size) // LOT, 0
+    for stop in [*(np.flatnonzero(np.diff(lot)) + 1).tolist(), batch.num_rows]:
+        if stop > at:
+            yield batch.slice(at, stop - at)
+        at = stop
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
