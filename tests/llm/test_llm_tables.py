@@ -244,18 +244,18 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=20) * rng.choice((0.1, 1, 30))).tolist()) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(30)] + [(500, rows[3][1])] * 2  # ties and repeated rows
+    rows += [(50, rows[50][1])] * 7 + [(100, rows[101][1]), (100, [9.0] * 20), (None, rows[3][1]), (None, rows[150][1])]
     rows += [(600, None), (601, [1.0, None]), (602, [float("nan")] * 20), (603, [float("inf")] * 20), (None, [1.0] * 20), (650, [1.0, 2.0]),
              (651, [3.0, -1.0]), (700, []), (701, []), (750, [0.0] * 20), (800, [1e7] * 20)]
     df = spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(5)
     got = topk.exact_top_k(df.where("id % 50 = 0"), df.withColumn("score", F.lit(1)), 5).collect()
-    good = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v is not None
-            and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for i, v in good:
-        if i % 50 == 0:
-            near = sorted((-int(v @ w), j) for j, w in good if j != i and len(w) == len(v))[:5]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
-    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in got) == sorted(want)
+    for a, (i, v) in enumerate(good):
+        if i is not None and i % 50 == 0:
+            near = sorted((-int(v @ w), j is None, j or 0) for b, (j, w) in enumerate(good) if a != b and len(w) == len(v))[:5]
+            want += [(i, n + 1, None if none else j, -s) for n, (s, none, j) in enumerate(near)]
+    assert sorted(map(str, ((r["query_id"], r["rank"], r["id"], r["score"]) for r in got))) == sorted(map(str, want))
     assert topk.exact_top_k(df.limit(0), df, 5).count() == 0 == topk.exact_top_k(df.where("id = 0"), df.limit(0), 5).count()
 
 
