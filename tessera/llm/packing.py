@@ -3,21 +3,25 @@
 Documents are cut into pieces of at most the largest permitted length; the pieces are dealt by
 a hash of their identity into shards of about ``SHARD`` pieces, and each shard is packed by
 variable-capacity best fit: pieces from long to short, each into the open bin with the least
-room that still holds it; if none does, the bin size with the least cost per token that it is
-expected to hold (the tokens still to place bound that) is opened.  The permitted lengths are
-optimised jointly: a shard is packed once for every smallest-to-largest subset of them that
-holds its longest piece, and the cheapest result stays.  At the end every bin is downsized to
-the shortest permitted length that holds its contents.  Costs are per bin of a length
-(default: the length plus ``OVERHEAD`` tokens).
+room that still holds it; if none does, a bin of the size with the least cost per token is
+opened, where a size is priced by the tokens that the pieces still to place fill it with, from
+long to short.  The permitted lengths are optimised jointly: a shard is packed once for every
+subset of them that holds its longest piece, and the cheapest result stays.  At the end every
+bin is downsized to the cheapest permitted length that holds its contents.  Costs are per bin of
+a length (default: the length plus ``OVERHEAD`` tokens).
 
 Defined cases: rows that repeat an id and length are numbered copies and packed each; a
 document without tokens (null text too) gives one row without a bin; null ids are packed like
-others; an empty table gives an empty result; only the id and the length column are used.
+others; a very long text is many pieces in many shards; pieces of one length go in the order of
+id, copy and piece, of equal rooms the bin opened first is filled, of equal prices the shorter
+length is opened and of equal packings the first of fewest lengths stays; an empty table gives an empty result; only the id and the length column are used.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from heapq import heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +39,26 @@ OVERHEAD = 32
 
 def best_fit(lengths: list[int], capacities: list[int], cost: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
     """Places ``lengths`` (descending, none above the largest capacity): the bin and offset of
-    each piece and, per bin, its tokens."""
+    each piece and, per bin, its tokens.  ``capacities`` ascend."""
     room_bins: dict[int, list[int]] = {}
     rooms = 0  # bit r: there is an open bin with room r
-    fill, bins, offsets, remaining = [], [], [], sum(lengths)
+    left, open_lengths = Counter(lengths), sum(1 << n for n in set(lengths))  # pieces still to place
+    fill, bins, offsets = [], [], []
+
+    def price(size: int, n: int) -> float:
+        """Cost per token of a bin opened for ``n``."""
+        room, fitting = size - n, open_lengths
+        while fitting := fitting & ((1 << (room + 1)) - 1):
+            m = fitting.bit_length() - 1
+            room -= m * min(left[m], room // m)
+            fitting ^= 1 << m
+        tokens = size - room
+        return min(cost[c] for c in capacities if c >= tokens) / tokens
+
     for n in lengths:
+        left[n] -= 1
+        if not left[n]:
+            open_lengths ^= 1 << n
         fitting = rooms >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
@@ -47,13 +66,13 @@ def best_fit(lengths: list[int], capacities: list[int], cost: dict[int, int]) ->
             if not room_bins[room]:
                 rooms ^= 1 << room
         else:
-            size = min((c for c in capacities if c >= n), key=lambda c: (cost[c] / min(c, remaining), c))
+            sizes = [c for c in capacities if c >= n]
+            size = min(sizes, key=lambda c: (price(c, n), c)) if len(sizes) > 1 else sizes[0]
             here, room = len(fill), size
             fill.append(0)
         bins.append(here)
         offsets.append(fill[here])
         fill[here] += n
-        remaining -= n
         if room > n:
             heappush(room_bins.setdefault(room - n, []), here)
             rooms |= 1 << (room - n)
@@ -64,8 +83,8 @@ def pack_shard(lengths: list[int], capacities: list[int], cost: dict[int, int])
     """The cheapest packing over the permitted subsets: bins, offsets, bin tokens and the
     downsized bin lengths."""
     best = None
-    for last in range(len(capacities)):
-        allowed = capacities[: last + 1]
+    subsets = [s for n in range(1, len(capacities) + 1) for s in combinations(capacities, n)]
+    for allowed in subsets:
         if lengths and allowed[-1] < lengths[0]:
             continue
         bins, offsets, fill = best_fit(lengths, allowed, cost)

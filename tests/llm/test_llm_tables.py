@@ -94,14 +94,32 @@ def test_mix_is_seeded_and_keeps_columns(spark):
     assert mixing.mixed_units(units, plan, list(LEVELS), 1).count() == 0
 
 
+def test_rows_without_id_fill_the_budget_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 3 else i, words(rng, 10 + i % 7), "en", "a1") for i in range(300)] + [(5, words(rng, 9), "en", "a1")] * 2
+    docs = table(spark, rows)
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    for seed in range(3):
+        _, plan = mixing.mix_plan(docs, LEVELS, {}, (1, 2), 1, seed, by_row=True)
+        out = mixing.mix_documents(docs, plan, LEVELS, seed, by_row=True).collect()
+        assert 0 <= sum(len(r["text"].split()) for r in out) - total // 2 < 18
+        assert 60 < sum(r["doc_id"] is None for r in out) < 140
+
+
 # ------------------------------------------------------------------ packing
 
 def _plain_best_fit(lengths, allowed, cost):
-    room, fill, where, left = [], [], [], sum(lengths)
-    for n in lengths:
+    room, fill, where = [], [], []
+
+    def price(c, n, rest):
+        held = n
+        for m in rest:
+            held += m if held + m <= c else 0
+        return min(cost[x] for x in allowed if x >= held) / held
+    for at, n in enumerate(lengths):
         fitting = [i for i in range(len(room)) if room[i] >= n]
         if not fitting:
-            size = min((c for c in allowed if c >= n), key=lambda c: (cost[c] / min(c, left), c))
+            size = min((c for c in allowed if c >= n), key=lambda c: (price(c, n, lengths[at + 1:]), c))
             room.append(size)
             fill.append(0)
             fitting = [len(room) - 1]
@@ -109,7 +127,6 @@ def _plain_best_fit(lengths, allowed, cost):
         i = next(i for i in fitting if room[i] == best)
         room[i] -= n
         fill[i] += n
-        left -= n
         where.append(i)
     return where, fill
 
@@ -128,12 +145,44 @@ def test_best_fit_matches_the_plain_rule_and_subsets_compete():
         for n, b, o in zip(lengths, bins, offsets):
             assert o == at[b]
             at[b] += n
-        for last in range(3):
-            if sizes[last] >= lengths[0]:
-                _, other = _plain_best_fit(lengths, sizes[: last + 1], cost)
+        for allowed in ([16], [32], [64], [16, 32], [16, 64], [32, 64], sizes):
+            if allowed[-1] >= lengths[0]:
+                _, other = _plain_best_fit(lengths, allowed, cost)
                 assert sum(cost[d] for d in downsized) <= sum(cost[min(s for s in sizes if s >= f)] for f in other)
 
 
+def _least_cost(lengths, sizes, cost):
+    """The optimum over all partitions of the pieces into bins."""
+    whole = (1 << len(lengths)) - 1
+    tokens = [sum(n for i, n in enumerate(lengths) if mask >> i & 1) for mask in range(whole + 1)]
+    own = [min((cost[c] for c in sizes if c >= t), default=math.inf) for t in tokens]
+    best = [0] + [math.inf] * whole
+    for mask in range(1, whole + 1):
+        first, sub = mask & -mask, mask
+        while sub:
+            if sub & first:
+                best[mask] = min(best[mask], own[sub] + best[mask ^ sub])
+            sub = (sub - 1) & mask
+    return best[whole]
+
+
+@pytest.mark.parametrize("sizes", [[16, 32, 64], [15, 41], [10, 27, 33, 64]])
+def test_packing_is_near_the_exhaustive_optimum(sizes):
+    rng, cost, paid, least = random.Random(9), {c: c + 2 for c in sizes}, 0, 0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, sizes[-1] + 1) for _ in range(rng.randrange(1, 9))), reverse=True)
+        got, want = sum(cost[s] for s in packing.pack_shard(lengths, sizes, cost)[3]), _least_cost(lengths, sizes, cost)
+        assert want <= got <= 1.5 * want
+        paid, least = paid + got, least + want
+    assert paid <= 1.06 * least
+
+
+def test_a_long_piece_does_not_make_the_short_ones_dear():
+    cost = {1500: 1532, 4096: 4128}
+    *_, downsized = packing.pack_shard([3000] + [1400] * 4000, [1500, 4096], cost)
+    assert sum(cost[s] for s in downsized) == 4128 + 4000 * 1532
+
+
 def test_packing_places_every_token_once(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, rng.randrange(300))) for i in range(300)] + ODD + [(7, "a b c")] * 5
