@@ -14,7 +14,9 @@ last one in part.  The cut is found by token sums over hash prefixes, narrowed t
 task orders a leaf.  Everything is DataFrame code.
 
 Defined cases: a null or empty level value is the node ``(none)``; rows that share an id within
-a leaf (null ids too) are one unit, taken together; units without tokens go with any epoch or
+a leaf (null ids too) are one unit, taken together, or with ``by_row`` rows that are equal in
+every column, so that a prefix of documents passes its budget by no more than one document and
+its exact copies; of ties, equal units are one; very long texts count like others; units without tokens go with any epoch or
 prefix that has begun before them; leaves without tokens get nothing; an empty table gives an
 empty mix; a budget beyond the whole capacity is met as far as the capacity goes.  Weights are
 whole numbers, 1 where none is given.
@@ -25,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import row_hash
 from .common import materialise, n_words, small
 
 NONE = "(none)"
@@ -80,6 +83,11 @@ def leaf_budgets(supply: DataFrame, levels: list[str], weights: DataFrame, budge
                     F.coalesce("g", F.lit(0).cast("bigint")).alias("budget")))
 
 
+def _unit(docs: DataFrame, id_col: str, by_row: bool) -> Column:
+    unit = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
+    return F.concat_ws("#", unit, row_hash(docs).cast("string")) if by_row else unit
+
+
 def _key(seed: int, epoch: str, unit: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.col(unit)))
 
@@ -92,7 +100,8 @@ def _crossing(sums: DataFrame, levels: list[str], order: list[str]) -> DataFrame
 
 
 def mix_plan(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, ...], int], budget: tuple[int, int],
-             max_epochs: int, seed: int, id_col: str = "doc_id", tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
+             max_epochs: int, seed: int, id_col: str = "doc_id", tokens: Column | None = None,
+             by_row: bool = False) -> tuple[DataFrame, DataFrame]:
     """The materialised units (levels..., id, unit, rows, tokens) and leaf plans (levels...,
     supply, weight, budget, epochs, cut, cut_take).  ``levels`` gives each level's SQL expression,
     the top one first; ``budget`` is the fraction (numerator,
@@ -100,7 +109,7 @@ def mix_plan(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, .
     whole; of the next, the units whose key is before ``cut`` and ``cut_take`` tokens of the
     unit at it."""
     names, spark = list(levels), docs.sparkSession
-    unit = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
+    unit = _unit(docs, id_col, by_row)
     units = materialise(docs.select(*[node_name(F.expr(c)).alias(n) for n, c in levels.items()], F.col(id_col).alias("id"),
                                     unit.alias("unit"), (n_words(F.col("text")) if tokens is None else tokens).alias("tokens"))
                         .groupBy(*names, "id", "unit").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens")), "mix-units")
@@ -141,11 +150,12 @@ def mixed_units(units: DataFrame, plan: DataFrame, levels: list[str], seed: int)
             .select(*levels, "id", "epoch", "rows", "tokens", "take"))
 
 
-def mix_documents(docs: DataFrame, plan: DataFrame, levels: dict[str, str], seed: int, id_col: str = "doc_id") -> DataFrame:
+def mix_documents(docs: DataFrame, plan: DataFrame, levels: dict[str, str], seed: int, id_col: str = "doc_id",
+                  by_row: bool = False) -> DataFrame:
     """The documents of the mix, whole and with their columns unchanged, once per epoch that
-    takes them; the unit at the cut is taken whole."""
+    takes them; the unit at the cut is taken whole.  ``by_row`` as in the plan."""
     own = {n: f"__mix_{n}" for n in levels}
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), *[node_name(F.expr(c)).alias(own[n]) for n, c in levels.items()],
-                       F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("unit"))
+                       _unit(docs, id_col, by_row).alias("unit"))
     plan = small(plan.where("budget > 0").select(*[F.col(n).alias(own[n]) for n in levels], "epochs", "cut"))
     return _taken(rows.join(plan, list(own.values())), seed).select("__mix_row.*")
