@@ -36,8 +36,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _, plan = mixing.mix_plan(docs, MIX_LEVELS, MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)
-    return mixing.mix_documents(docs, plan, MIX_LEVELS, MIX_SEED)
+    _, plan = mixing.mix_plan(docs, MIX_LEVELS, MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED, by_row=True)
+    return mixing.mix_documents(docs, plan, MIX_LEVELS, MIX_SEED, by_row=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
