@@ -72,7 +72,9 @@ class Searcher:
         return out
 
     def _set_twins_apart(self, open_: np.ndarray, ids: np.ndarray, gaps: np.ndarray, vectors: np.ndarray) -> None:
-        q, x = np.nonzero((ids[None, :] == self.ids[:, None]) & ~gaps[None, :])
+        asked = np.flatnonzero(np.isin(ids, self.ids) & ~gaps)
+        q, x = np.nonzero(ids[asked][None, :] == self.ids[:, None])
+        x = asked[x]
         for at in range(0, len(q), 100_000):
             a, b = q[at:at + 100_000], x[at:at + 100_000]
             same = (self.vectors[a] == vectors[b]).all(axis=1)
