@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,6 +54,14 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iter
     return df.mapInArrow(run, schema)
 
 
+def give_back_memory() -> None:
+    """Returns what a task has freed to the system: a worker outlives its tasks, next to an
+    executor whose later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_slices(df: DataFrame, column: str, function: Callable[[pa.RecordBatch, int], pa.RecordBatch]) -> DataFrame:
     """``df`` with the rows of ``function(batch, place)``, which gets a few hundred rows at a time and
     the place of ``column`` among them, and returns rows of the same columns.  Columns may have
@@ -64,6 +74,7 @@ def map_slices(df: DataFrame, column: str, function: Callable[[pa.RecordBatch, i
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 yield function(whole.slice(at, ROWS_AT_ONCE), place)
+        give_back_memory()
 
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
