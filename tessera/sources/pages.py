@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
 
+# pages of an output batch
+_PAGES = 512
+
 PAGE_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()),
     T.StructField("page_no", T.IntegerType()),
@@ -57,21 +61,23 @@ def scan_document_dir(spark: SparkSession, directory: str,
                       extract_pages: Callable[[bytes], Iterable[str]],
                       glob: str = "*.{pdf,PDF}") -> DataFrame:
     """List ``*.pdf``/``*.PDF`` once and run the caller's page extractor per file inside
-    ``mapInPandas``; a file that fails yields no pages and the run goes on (``scan_failures`` names
+    ``mapInArrow``; a file that fails yields no pages and the run goes on (``scan_failures`` names
     it); a missing directory yields an empty table."""
     files = _files(spark, directory, glob)
     if files is None:
         return spark.createDataFrame([], PAGE_SCHEMA)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                name, pages, _ = _extracted(extract_pages, path, content)
-                rows += [(name, i, t) for i, t in enumerate(pages, 1)]
-            yield pd.DataFrame(rows, columns=["source_file", "page_no", "page_text"])
-
-    return files.mapInPandas(run, PAGE_SCHEMA)
+        for batch in batches:
+            for i in range(batch.num_rows):  # one file at a time
+                name, pages, _ = _extracted(extract_pages, batch.column("path")[i].as_py(), batch.column("content")[i].as_py())
+                for s in range(0, len(pages), _PAGES):
+                    texts = pages[s:s + _PAGES]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(texts), pa.string()), pa.array(range(s + 1, s + 1 + len(texts)), pa.int32()), pa.array(texts, pa.string())],
+                        names=PAGE_SCHEMA.names)
+
+    return files.mapInArrow(run, PAGE_SCHEMA)
 
 
 def scan_failures(spark: SparkSession, directory: str, extract_pages: Callable[[bytes], Iterable[str]],
