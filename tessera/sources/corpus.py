@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import flatten_text, length_between, py_strip
 
 
@@ -48,14 +49,12 @@ def read_collection(spark: SparkSession, path: str, min_length: int = 10, max_le
 def json_text(value: Column, text_field: str = "text") -> Column:
     """S3 rule for one JSON line: the field's string value; ``''`` when the key is absent;
     null (= skip the row) for bad JSON, a non-object root, or a non-string / null value."""
-    v = F.try_parse_json(value)
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    field = F.variant_get(v, f"$.{text_field}", "variant")
-    typ = F.schema_of_variant(field)
-    return (F.when(v.isNull() | ~is_obj, F.lit(None).cast("string"))
-            .when(field.isNull(), F.lit(""))
-            .when(typ == "STRING", F.variant_get(v, f"$.{text_field}", "string"))
-            .otherwise(F.lit(None).cast("string")))
+    def read(v):
+        field = F.variant_get(v, f"$.{text_field}", "variant")
+        return (F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), F.lit(None).cast("string"))
+                .otherwise(let(field, lambda x: F.when(x.isNull(), F.lit("")).when(F.schema_of_variant(x) == "STRING", F.variant_get(x, "$", "string")))))
+    # a line is parsed once, however often the parsed value is named
+    return let(F.try_parse_json(value), read)
 
 
 def read_json_text(lines: DataFrame, text_field: str = "text", min_length: int = 10,
