@@ -62,3 +62,14 @@ def test_a_json_line_is_parsed_once(spark):
     got = lines.select(json_text(F.col("value")).alias("t"))
     assert [r["t"] for r in got.collect()] == ["a", None, None, "", None, None, None]
     assert got._jdf.queryExecution().analyzed().toString().lower().count("parse_json") == 1
+
+
+def test_cleaning_keeps_the_same_of_every_character(spark):
+    """The drop pattern, written for speed, against the plain class, on all code points."""
+    from tessera.functions import text as tx
+    point = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    w = spark.range(0x110000).where("id < 55296 or id > 57343").groupBy((F.col("id") / 64).cast("long")).agg(F.concat_ws("", F.collect_list(point)).alias("x"))
+    x = F.concat(F.lit(" a  b "), F.col("x"), F.lit("  c"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(x, f"{tx.STRIP_CLASS}+", " "), f"[^{tx.CLEAN_KEEP}]+", ""))
+    assert w.where(~tx.clean_text(x).eqNullSafe(plain)).count() == 0
+    assert tx._dropped(r"\p{L}") == r"[^\p{L}]+"
