@@ -464,3 +464,40 @@ def test_minimisers_depend_on_the_words_alone():
         inside = {i for s in range(a, a + 50) for i in [s + int(np.argmin(h[s:s + 31]))]}
         assert set(part) == inside and inside <= set(all_)
     assert list(suffix.minimisers(np.full(40, 5, np.uint64), 31)) == list(range(40))
+
+
+def test_words_are_hashed_in_groups_as_alone():
+    import numpy as np
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+    texts = ["  a  b\t\x0bc d\u3000e \x85x\x1cy \n\r\x0c z ", None, "", "   ", "\u00e9 a a", "w" * 40]
+    want = [[xxh64_intdigest(w, 7) for w in (t or "").encode().split()] for t in texts]
+    for a, kind in ((0, pa.string()), (2, pa.string()), (0, pa.large_string()), (6, pa.string())):
+        got, starts = suffix.word_hashes(pa.array(texts, kind)[a:])
+        assert got.tolist() == sum(want[a:], []) and np.diff(starts).tolist() == list(map(len, want[a:]))
+    long = pa.RecordBatch.from_pydict({"text": ["x" * n if n else None for n in (0, suffix.TEXT_AT_ONCE, 5, 0, suffix.TEXT_AT_ONCE + 1, 7)] + ["y"] * 2000})
+    groups = list(suffix._groups([long.slice(0, 0), long]))
+    assert pa.Table.from_batches(groups).equals(pa.Table.from_batches([long]))
+    assert [g.num_rows for g in groups][:3] == [2, 2, 1] and max(g.num_rows for g in groups) <= 512
+
+
+def test_common_words_of_neighbours():
+    rng = random.Random(3)
+    contexts = [bytes(rng.choice((0, 1)) for _ in range(2 * rng.randrange(8))) for _ in range(500)]
+
+    def plain(a, b):
+        n = min(len(a), len(b)) // 2
+        return next((i for i in range(n) if a[2 * i:2 * i + 2] != b[2 * i:2 * i + 2]), n)
+    want = [plain(a, b) for a, b in zip(contexts, contexts[1:])]
+    assert suffix._commons(contexts) == want == [suffix._common(a, b) for a, b in zip(contexts, contexts[1:])]
+    assert suffix._commons([]) == suffix._commons([b""]) == [] and suffix._commons([b"", b""]) == [0]
+
+
+def test_contexts_are_sorted_twice_and_not_joined(spark, monkeypatch):
+    """Windows come from the second sort; the matches are dealt out once, by their document."""
+    plans, write = [], suffix.materialise
+    monkeypatch.setattr(suffix, "materialise", lambda df, name: (plans.append((name, df._jdf.queryExecution().toString())), write(df, name))[1])
+    found = suffix.repeated_passages(table(spark, _branching_rows(random.Random(11))), 50, 20)
+    assert [name for name, plan in plans if "suffix-contexts" in plan] == ["suffix-matches"] * 2
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert any("hashpartitioning(ref" in line for line in dealt) and not any("begin" in line for line in dealt)
