@@ -86,6 +86,59 @@ def test_text_index_reads_no_text_and_its_terms_only(spark, tmpdir_path):
     assert search_text_index(spark.createDataFrame([(1, "apple")], "qid long, text string"), empty).collect() == []
 
 
+def test_text_index_of_equal_texts_keeps_k_rows_a_segment(spark, tmpdir_path, monkeypatch):
+    """Equal scores don't pile up between the steps of a search; null and repeated ids stay rows."""
+    from tessera.operators import text_index
+    ids = [None, None, *(i // 2 for i in range(1500))]
+    docs = spark.createDataFrame([(i, "same words here") for i in ids] + [(-5, "other words"), (-6, "rest")], "id long, text string").repartition(4)
+    queries = [(1, "same here"), (None, "words"), (3, "rest")]
+    qs = spark.createDataFrame(queries, "qid long, text string")
+    root = build_text_index(docs, tmpdir_path + "/index")
+    sizes, cut = [], text_index.cut_lineage
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        if "score" in out.columns:
+            sizes.append(out.count())
+        return out
+    monkeypatch.setattr(text_index, "cut_lineage", counted)
+    segments = spark.read.parquet(root + "/blocks").select("seg").distinct().count()
+    found = {r[0]: [] for r in queries}
+    for r in search_text_index(qs, root, 5).orderBy("qid", "rank").collect():
+        found[r["qid"]].append(r["id"])
+    assert found == {1: [None, None, 0, 0, 1], None: [-5, None, None, 0, 0], 3: [-6]}
+    assert sizes and max(sizes) <= segments * 5 * len(queries)
+    for bytes_ in (64, 200):  # several blocks of queries
+        again = search_text_index(qs, root, 5, max_broadcast_bytes=bytes_).orderBy("qid", "rank").collect()
+        assert [r["id"] for r in again if r["qid"] == 1] == found[1] and len(again) == 11
+
+
+def test_text_index_segments_hold_the_engines_tokens(spark):
+    import pyarrow as pa
+
+    from tessera.functions.text import tokens
+    from tessera.operators.text_index import _SEGMENT_BYTES, SEGMENT, _pack, _segments, _token_chars, _unpack, _words
+    texts = ["", " ", "a", "\u0130x \u212aelvin \u03a3\u03a3 \u1e9e", "\u4e2d\u6587\u3002\u6587 x2\u00b2", "\U0001d400\U0001f600z \U00010400", "e\u0301 \ufeffb\u00a0c", "A-b_C d", "1.5\u0663"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = df.select("i", tokens("text").alias("t"), F.concat(F.lower("text"), F.lit(" ")).alias("s")).orderBy("i").collect()
+    codes, vocab, dl = _words(pa.array([r["s"] for r in rows]), np.unpackbits(_token_chars(spark)).view(bool))
+    assert [vocab[int(c)].as_py() for c in codes] == [t for r in rows for t in r["t"]] and dl.tolist() == [len(r["t"]) for r in rows]
+    # numbers of every width
+    tf, dl = np.array([3, 1, 300, 70_000, 2]), np.array([9, 300, 70_000, 80_000, 2])
+    begin, sizes = np.array([0, 2, 4]), np.array([2, 2, 1])
+    place = np.array([0, 65_535, 7, 300, 1])
+    blocks = _pack(place, tf, dl, begin, sizes)
+    for at in (0, 1):
+        got = _unpack(blocks.slice(at), sizes[at:], np.maximum.reduceat(tf, begin)[at:])
+        assert [x.tolist() for x in got] == [x[begin[at]:].tolist() for x in (place, tf, dl)]
+    # bounded segments; a long text is one of its own
+    lengths = [10] * 100_000 + [_SEGMENT_BYTES + 1] + [_SEGMENT_BYTES // 3] * 4 + [5]
+    batch = pa.record_batch({"id": pa.array(range(len(lengths))), "text": pa.array(["x" * n for n in lengths])})
+    found = [t["id"].to_pylist() for t in _segments([batch.slice(0, 70_000), batch.slice(70_000)])]
+    assert [i for ids in found for i in ids] == list(range(len(lengths)))
+    assert [len(ids) for ids in found] == [SEGMENT, 100_000 - SEGMENT, 1, 3, 2]
+
+
 # ------------------------------------------------------------------ vectors
 
 def _vectors(spark, n=600, dim=16, seed=3):
