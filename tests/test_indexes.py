@@ -113,6 +113,28 @@ def test_text_index_of_equal_texts_keeps_k_rows_a_segment(spark, tmpdir_path, mo
         assert [r["id"] for r in again if r["qid"] == 1] == found[1] and len(again) == 11
 
 
+def test_hybrid_lists_over_the_stored_index_are_bounded(spark, tmpdir_path, monkeypatch):
+    """The first 100 of each list, fused: a hundred rows a segment and query at most leave the scoring."""
+    from tessera.operators import text_index
+    from tessera.operators.bm25 import reciprocal_rank_fusion
+    docs = spark.createDataFrame([(i, "same words here") for i in range(1200)], "id long, text string").repartition(4)
+    vectors = docs.select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    root = build_text_index(docs, tmpdir_path + "/index")
+    qs = spark.createDataFrame([(1, "words")], "qid long, text string")
+    sizes, cut = [], text_index.cut_lineage
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        if "score" in out.columns:
+            sizes.append(out.count())
+        return out
+    monkeypatch.setattr(text_index, "cut_lineage", counted)
+    vec = search.knn_exact(spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vector array<double>"), vectors, 100)
+    found = reciprocal_rank_fusion([search_text_index(qs, root, 100), vec], 10).orderBy("rank").collect()
+    assert [(r["id"], r["lists"], r["score"]) for r in found] == [(i, 2, round(2 / (61 + i), 6)) for i in range(10)]
+    assert sizes and max(sizes) <= 100 * spark.read.parquet(root + "/blocks").select("seg").distinct().count()
+
+
 def test_text_index_segments_hold_the_engines_tokens(spark):
     import pyarrow as pa
 
